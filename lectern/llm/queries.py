@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bytebpe, linededup, tokencount
+from lectern.llm import bytebpe, linededup, mpegts, tokencount, urlfilter
 from lectern.session import table
 
 
+def op1_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.digests(mpegts.demux(mpegts.mux(table(spark, sf_dir, "documents"))))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10))
 
@@ -22,5 +26,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {q.__name__: q for q in (op3_line_dedup, op4_byte_bpe, op5_token_counts)}
-ORACLES = {"op3_line_dedup": linededup.ORACLE}
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.RULES)
+
+
+QUERIES = {q.__name__: q for q in (op1_mpeg_ts, op3_line_dedup, op4_byte_bpe, op5_token_counts, op8_url_filter)}
+ORACLES = {"op3_line_dedup": linededup.ORACLE, "op8_url_filter": urlfilter.ORACLE}
