@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bytebpe, linededup, mpegts, tokencount, urlfilter
+from lectern.llm import bytebpe, linededup, mpegts, quality, tokencount, urlfilter
+from lectern.llm.common import remainder
 from lectern.session import table
 
 
@@ -26,9 +28,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return judged.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.RULES)
 
 
-QUERIES = {q.__name__: q for q in (op1_mpeg_ts, op3_line_dedup, op4_byte_bpe, op5_token_counts, op8_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_mpeg_ts, op3_line_dedup, op4_byte_bpe, op5_token_counts, op7_quality, op8_url_filter)}
 ORACLES = {"op3_line_dedup": linededup.ORACLE, "op8_url_filter": urlfilter.ORACLE}
