@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 
 from lectern.llm.common import Batches, as_bytes, checkpoint, documents, record_batch, small_batches
 
-STATISTICS = ["log_bytes", "upper", "digit", "blank", "breaks", "sentence_marks", "shouts", "bars", "symbols", "other_marks", "non_ascii", "entropy", "word_length", "long_words", "short_words", "distinct_words", "capital_words", "marked_words", "line_words", "distinct_lines"]
+#: Length counts up to 256 bytes, where shares are uncertain, and no more: a long text is not bad for that.
+STATISTICS = ["bytes_to_256", "upper", "digit", "blank", "breaks", "sentence_marks", "shouts", "bars", "symbols", "other_marks", "non_ascii", "entropy", "word_length", "long_words", "short_words", "capital_words", "marked_words", "repeated_words", "distinct_lines"]
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -56,17 +58,17 @@ def statistics_of(text: bytes) -> list[float]:
     capital = (raw[begins] >= 65) & (raw[begins] <= 90)
     marked = ~letter[ends - 1]
     lines = text.split(b"\n")
+    words = text.split()
     return [
-        math.log1p(n),
+        min(n, 256.0),
         *(counts @ _MASKS / n).tolist(),
         float(-(p * np.log2(p)).sum()),
         float(sizes.sum()) / k,
         float((sizes > 12).sum()) / k,
         float((sizes <= 3).sum()) / k,
-        len(set(text.split())) / k,
         float(capital.sum()) / k,
         float(marked.sum()) / k,
-        k / len(lines),
+        sum(map(operator.eq, words, words[1:])) / k,
         len(set(lines)) / len(lines),
     ]
 
@@ -146,7 +148,7 @@ def _grow(x: np.ndarray, bins: np.ndarray, bounds: list[np.ndarray], residual: n
         _grow(x, bins, bounds, residual, part, depth - 1, (*path, (i, at_most, float(bounds[i][j]))), out, change, least)
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, penalty: float = 2e-3, steps: int = 400, seed: int = 7) -> Ensemble:
+def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3, penalty: float = 1e-4, steps: int = 800, seed: int = 7) -> Ensemble:
     """Rules from boosted trees on random halves, then lasso logistic weights by accelerated proximal steps.
 
     Without rows the score is 0.5; with one label alone it is near that label.
