@@ -8,6 +8,7 @@ with a lasso penalty keeps few of the rules, and those are compiled into one Col
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
 import operator
 
@@ -99,12 +100,13 @@ class Ensemble:
 
     def score(self) -> Column:
         """The rules, compiled into one Column over the statistics."""
-        total = F.lit(self.bias)
+        terms = [F.lit(self.bias)]
         for conditions, weight in self.rules:
-            holds = F.lit(True)
-            for i, at_most, bound in conditions:
-                holds = holds & (F.col(STATISTICS[i]) <= bound if at_most else F.col(STATISTICS[i]) > bound)
-            total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
+            holds = functools.reduce(operator.and_, (F.col(STATISTICS[i]) <= bound if at_most else F.col(STATISTICS[i]) > bound for i, at_most, bound in conditions))
+            terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:  # in pairs, so that the expression stays shallow
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
+        total = terms[0]
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
