@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bytebpe, linededup, mpegts, quality, tokencount, urlfilter
+from lectern.llm import bytebpe, linededup, minmax, mpegts, quality, tokencount, urlfilter
 from lectern.llm.common import remainder
 from lectern.session import table
 
@@ -38,5 +38,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.RULES)
 
 
-QUERIES = {q.__name__: q for q in (op1_mpeg_ts, op3_line_dedup, op4_byte_bpe, op5_token_counts, op7_quality, op8_url_filter)}
+def op10_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+QUERIES = {q.__name__: q for q in (op1_mpeg_ts, op3_line_dedup, op4_byte_bpe, op5_token_counts, op7_quality, op8_url_filter, op10_min_max)}
 ORACLES = {"op3_line_dedup": linededup.ORACLE, "op8_url_filter": urlfilter.ORACLE}

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from lectern.llm import bytebpe, tokencount
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
-ODD = ["", None, " ", "\n\n  \n", "Hello world's don't  we'll", "日本語 текст 😀👩‍👩‍👧 é́", "a" * 5000, "<|endoftext|> x<|endoftext|>", "  x\u0085y", "0123 456,78 ½ ²", "\x00\x01 tab\t\ttab", "word " * 3000, "word " * 3000]
+ODD = ["", None, " ", "\n\n  \n", "Hello world's don't  we'll", "日本語 текст 😀👩‍👩‍👧 é́", "a" * 5000, "<|endoftext|> x<|endoftext|>", "  x\u0085y", "0123 456,78 ½ ²", "\x00\x01 tab\t\ttab", "word " * 3000, "word " * 3000, "a\u0558b \U00010940c\ua7ce 1\u088f"]
 
 
 def reference():
