@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Batches, documents, one_worker_thread, record_batch, small_batches
+from lectern.llm.common import Batches, as_bytes, documents, one_worker_thread, record_batch, small_batches
 
 
 def byte_characters() -> dict[int, str]:
@@ -44,19 +47,43 @@ def parts(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return pieces[0], pieces[1]
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str):
-    """A tokenizer of the `tokenizers` library for a rank file; one for each worker process."""
-    one_worker_thread()
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+class Encoder:
+    """Ids of texts by a rank file: matches of the pattern, each encoded once by the `tokenizers` library while it is remembered.
+
+    The pattern is matched by the `regex` module, whose Unicode classes are those of the rank files' own library
+    for every code point; those of `tokenizers` differ for code points of the latest Unicode versions.
+    """
+
+    REMEMBERED = 300_000
 
-    ranks, chars = read_ranks(path), byte_characters()
-    shown = lambda token: "".join(chars[b] for b in token)
-    ordered = sorted((t for t in ranks if len(t) > 1), key=ranks.get)
-    model = models.BPE({shown(t): r for t, r in ranks.items()}, [tuple(map(shown, parts(t, ranks))) for t in ordered])
-    tok = Tokenizer(model)
-    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return tok
+    def __init__(self, path: str, pattern: str):
+        one_worker_thread()
+        import regex
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        ranks, chars = read_ranks(path), byte_characters()
+        shown = lambda token: "".join(chars[b] for b in token)
+        ordered = sorted((t for t in ranks if len(t) > 1), key=ranks.get)
+        self.tok = Tokenizer(models.BPE({shown(t): r for t, r in ranks.items()}, [tuple(map(shown, parts(t, ranks))) for t in ordered]))
+        self.tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.split = regex.compile(pattern).findall
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and where each text's begin and end."""
+        split = [self.split(t) for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        if len(self.known) + len(new) > self.REMEMBERED:
+            self.known, new = {}, list(set().union(*split))
+        self.known.update(zip(new, (e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, s)), np.int32) for s in split]
+        return np.concatenate([np.empty(0, np.int32), *ids]), np.cumsum([0, *map(len, ids)]).astype(np.int32)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path, pattern)
 
 
 @functools.lru_cache(maxsize=2)
@@ -68,6 +95,18 @@ def byte_table(path: str) -> list[bytes | None]:
     return table
 
 
+def spans(texts: list[bytes], flat: np.ndarray, edges: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """char_start, char_end and byte_end of each token of the texts."""
+    starts, ends, stops = [], [], []
+    for text, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+        stop = np.cumsum(lengths[flat[a:b]])
+        begun = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)  # characters begun up to a byte
+        starts.append(begun[np.concatenate([[0], stop[:-1]])] - 1 if b > a else stop)
+        ends.append(begun[stop - 1] if b > a else stop)
+        stops.append(stop)
+    return [np.concatenate([np.empty(0, np.int64), *x]).astype(np.int32) for x in (starts, ends, stops)]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, *, offsets: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every whole text and, with offsets, the character spans and byte ends of the tokens.
 
@@ -82,21 +121,30 @@ def encode(docs: DataFrame, path: str, pattern: str, *, offsets: bool = True, id
     id_type = source.schema["doc_id"]
 
     def run(batches: Batches) -> Batches:
-        tok = tokenizer(path, pattern)
-        lengths = np.array([len(b) if b is not None else 0 for b in byte_table(path)], np.int64)
+        encoded = encoder(path, pattern)
+        lengths = np.array([len(b or b"") for b in byte_table(path)], np.int64)
         for batch in batches:
-            whole = pa.schema([batch.schema.field(0), *schema])
-            texts = batch.column(1).to_pylist()
-            encoded = tok.encode_batch(texts, add_special_tokens=False) if offsets else tok.encode_batch_fast(texts, add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            columns = [batch.column(0), ids]
+            flat, edges = encoded(batch.column(1).to_pylist())
+            values = [flat]
             if offsets:
-                columns += [[[s for s, _ in e.offsets] for e in encoded], [[t for _, t in e.offsets] for e in encoded], [np.cumsum(lengths[i]).tolist() for i in ids]]
-            yield record_batch(whole, columns)
+                values += spans(as_bytes(batch.column(1)), flat, edges, lengths)
+            yield record_batch(pa.schema([batch.schema.field(0), *schema]), [batch.column(0), *(pa.ListArray.from_arrays(pa.array(edges), pa.array(v)) for v in values)])
 
     return source.mapInArrow(run, T.StructType([id_type, *(T.StructField(n, t) for n, t in fields)]))
 
 
+def joined(ids: pa.ListArray, table: list[bytes | None]) -> Iterator[bytes]:
+    """The bytes of each list; a null list has none."""
+    flat, edges = ids.flatten(), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    if len(flat) and (pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(table)):
+        raise ValueError("an id has no token")
+    pieces = [table[i] for i in flat.to_numpy(zero_copy_only=False).tolist()]
+    if None in pieces:
+        raise ValueError("an id has no token")
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield b"".join(pieces[a:b])
+
+
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, bytes, text) of id lists by the table of token bytes.
 
@@ -109,12 +157,7 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
         table = byte_table(path)
         for batch in batches:
             whole = pa.schema([batch.schema.field(0), ("bytes", pa.binary()), ("text", pa.string())])
-            out = []
-            for ids in batch.column(1).to_pylist():
-                pieces = [table[i] if 0 <= i < len(table) else None for i in ids or ()]
-                if None in pieces:
-                    raise ValueError("an id has no token")
-                out.append(b"".join(pieces))
+            out = list(joined(batch.column(1), table))
             yield record_batch(whole, [batch.column(0), out, [b.decode("utf-8", "replace") for b in out]])
 
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("bytes", T.BinaryType()), T.StructField("text", T.StringType())]))
@@ -128,7 +171,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, **names: str) -> DataFr
         table = byte_table(path)
         for batch in batches:
             whole = pa.schema([*batch.schema, ("bytes", pa.binary())])
-            yield record_batch(whole, [*batch.columns, [b"".join([table[i] for i in ids]) for ids in batch.column(1).to_pylist()]])
+            yield record_batch(whole, [*batch.columns, list(joined(batch.column(1), table))])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("bytes", T.BinaryType())]))
 
