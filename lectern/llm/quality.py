@@ -23,6 +23,9 @@ from lectern.llm.common import Batches, as_bytes, checkpoint, documents, record_
 #: Length counts up to 256 bytes, where shares are uncertain, and no more: a long text is not bad for that.
 STATISTICS = ["bytes_to_256", "upper", "digit", "blank", "breaks", "sentence_marks", "shouts", "bars", "symbols", "other_marks", "non_ascii", "entropy", "word_length", "long_words", "short_words", "capital_words", "marked_words", "repeated_words", "distinct_lines"]
 
+#: Rules of less weight, in units of their standard deviation, are dropped.
+LEAST_WEIGHT = 5e-3
+
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "digit": b"0123456789",
@@ -150,7 +153,7 @@ def _grow(x: np.ndarray, bins: np.ndarray, bounds: list[np.ndarray], residual: n
         _grow(x, bins, bounds, residual, part, depth - 1, (*path, (i, at_most, float(bounds[i][j]))), out, change, least)
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3, penalty: float = 1e-4, steps: int = 800, seed: int = 7) -> Ensemble:
+def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3, penalty: float = 2e-4, steps: int = 800, seed: int = 7) -> Ensemble:
     """Rules from boosted trees on random halves, then lasso logistic weights by accelerated proximal steps.
 
     Without rows the score is 0.5; with one label alone it is near that label.
@@ -174,7 +177,8 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3, penalt
     for path in dict.fromkeys(paths):
         held = holds_in(x, path)
         if 0 < held.sum() < n:
-            rules.setdefault(held.tobytes(), (path, held))  # of rules alike on the sample, the first
+            same = held if held[0] else ~held
+            rules.setdefault(same.tobytes(), (path, held))  # of rules alike on the sample, or each other's opposite, the first
     if not rules:
         return Ensemble(bias, [])
     paths, held = [p for p, _ in rules.values()], np.stack([h for _, h in rules.values()], 1).astype(np.float64)
@@ -193,7 +197,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3, penalt
         new_momentum = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         v, c = new_w + (momentum - 1) / new_momentum * (new_w - w), new_b + (momentum - 1) / new_momentum * (new_b - b)
         w, b, momentum = new_w, new_b, new_momentum
-    kept = np.flatnonzero(np.abs(w) > 1e-6)
+    kept = np.flatnonzero(np.abs(w) > LEAST_WEIGHT)
     weights = w / scale
     return Ensemble(float(b - (weights[kept] * support[kept]).sum()), [(paths[i], float(weights[i])) for i in kept])
 
