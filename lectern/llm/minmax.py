@@ -5,8 +5,9 @@ evaluated; both agree in two sets with the probability of their Jaccard similari
 that share a band are candidates. Documents with the same set are one representative from the start.
 
 Links are looked for bucket by bucket, but never all pairs of a bucket: each member is confirmed against one
-centre of its bucket on the full sets, the components are formed, and only members that are still in different components
-of a bucket meet in later rounds, until no untested pair of them is left. So no link between components is lost.
+centre of its bucket on the full sets. Members that this leaves in different components can reach each
+other only by a difference from the centre that they share, and meet in a join on the rarest of those. So no link
+between components is lost, and copies of one text do not meet in pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from lectern.llm.components import connected_components
 
 ROWS = 4  # values in a band
 MISS = 1e-7  # a pair just at the threshold is missed by all bands with at most this probability
-MAX_ROUNDS = 200
-PAIRS_PER_MEMBER = 4  # all pairs between components of a bucket are tested once there are no more than this many a member
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -127,29 +126,44 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components (node, component) over members (bucket, id, n) of all pairs that share a bucket and reach the threshold."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     weights = members.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
-    alive = checkpoint(members.join(weights, "id").select("bucket", "id", "n", "weight", F.col("id").alias("component")))
-    budget = 10_000 + PAIRS_PER_MEMBER * alive.count()
-    edges = None
-    for _ in range(MAX_ROUNDS):
-        # The member that meets most others is the centre: of near copies, the text they were made from.
-        centres = alive.groupBy("bucket").agg(F.max(F.struct("weight", "id", "n", "component")).alias("c"))
-        meet = alive.join(centres, "bucket").where((F.col("id") != F.col("c.id")) & (F.col("component") != F.col("c.component")) & _fits(percent, F.col("n"), F.col("c.n")))
-        edges, components = _merge(edges, meet.select("id", F.col("c.id").alias("other")), sets, percent)
-        # A centre has met all of its bucket; a bucket of one component has nothing left to find.
-        left = alive.join(centres, "bucket").where("id <> c.id").select("bucket", "id", "n", "weight")
-        left = left.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        alive = checkpoint(left.join(split, "bucket"))
-        parts = alive.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        whole = checkpoint(parts.groupBy("bucket").agg(F.sum("size").alias("total"), F.max(F.struct("size", "component")).alias("largest")))
-        pairs = whole.agg(F.sum((F.col("total") - F.col("largest.size")) * F.col("total").cast("double"))).first()[0]
-        if pairs is None:
-            return components
-        if pairs <= budget:
-            rest = alive.join(whole, "bucket").where(F.col("component") != F.col("largest.component")).select("bucket", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            meet = alive.join(rest, "bucket").where((F.col("component") != F.col("other_component")) & _fits(percent, F.col("n"), F.col("other_n")))
-            return _merge(edges, meet.select("id", "other"), sets, percent)[1]
-    raise RuntimeError("buckets did not settle")
+    alive = checkpoint(members.join(weights, "id").select("bucket", "id", "n", "weight"))
+    # The member that meets most others is the centre: of near copies, the text they were made from.
+    centres = checkpoint(alive.groupBy("bucket").agg(F.max(F.struct("weight", "id", "n")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")))
+    around = alive.join(centres, "bucket").where("id <> centre")
+    meet = around.where(_fits(percent, F.col("n"), F.col("centre_n"))).select("id", F.col("centre").alias("other"))
+    edges, components = _merge(None, meet, sets, percent)
+    labelled = around.join(components.withColumnRenamed("node", "id"), "id", "left").select("bucket", "centre", "id", "n", F.coalesce("component", "id").alias("component"))
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    left = checkpoint(labelled.join(split, "bucket").select("centre", "id", "n", "component").distinct())
+    return _merge(edges, _share_differences(left, sets, percent), sets, percent)[1]
+
+
+def _share_differences(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, other) of different components around one centre that may reach the threshold.
+
+    Let D(u) be the symmetric difference of u and the centre. Sets u and v reach the threshold if |D(u)| + |D(v)| - 2 |D(u) & D(v)|
+    is at most d(u, v) = (100 - percent) / (100 + percent) * (|u| + |v|). If D(u) and D(v) have nothing in common, this puts both
+    in reach of the centre and so in one component. Any other pair shares an element, and one among the rarest of
+    |D(u)| - o + 1, where o >= |D(u)| - d(u, |u| * 100 / percent) is the least overlap that any partner needs.
+    So the pairs come from a join on rare differences, of which copies of one text seldom have the same.
+    """
+    share = (100 - percent) / (100 + percent)
+    one = sets.select(F.col("doc_id").alias("id"), F.col("shingles").alias("su"))
+    other = sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("sc"))
+    differ = left.join(one, "id").join(other, "centre").select("centre", "id", "n", "component", F.concat(F.array_except("su", "sc"), F.array_except("sc", "su")).alias("d"))
+    elements = differ.select("centre", "id", "n", "component", F.size("d").alias("size"), F.explode("d").alias("e"))
+    often = elements.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    common = elements.join(often, ["centre", "e"]).groupBy("centre", "id", "n", "component", "size").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"))
+    # Elements of one member alone come first in the order and join with nothing.
+    placed = common.select("centre", "id", "n", "component", "size", (F.col("size") - F.size("es")).alias("alone"), F.posexplode("es").alias("at", "e"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("size") - F.lit(share * (1 + 100 / percent)) * F.col("n") - 1e-6))
+    placed = placed.select("centre", F.col("e.e").alias("e"), "id", "n", "component", "size", (F.col("at") + F.col("alone")).alias("place")).where(F.col("place") <= F.col("size") - least)
+    placed = checkpoint(placed)
+    mate = placed.select("centre", "e", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"), F.col("size").alias("other_size"), F.col("place").alias("other_place"))
+    reach = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    needed = (F.col("size") + F.col("other_size") - F.lit(share) * (F.col("n") + F.col("other_n"))) / 2 - 1e-6
+    met = (placed["centre"] == mate["centre"]) & (placed["e"] == mate["e"]) & (F.col("id") < F.col("other")) & (F.col("component") != F.col("other_component")) & _fits(percent, F.col("n"), F.col("other_n")) & (reach >= needed)
+    return placed.join(mate, met).select("id", "other")
 
 
 def _merge(edges: DataFrame | None, meet: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

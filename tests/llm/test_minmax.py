@@ -54,16 +54,41 @@ def test_query_against_all_pairs(run_op, frame):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_centres_that_link_to_few(frame, monkeypatch):
-    """A chain, each linked to its neighbours alone, in one bucket with loose documents: many rounds, with and without the last test of all pairs."""
-    words = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(20)]
-    want = brute(rows, 3, 85)
-    assert len({c for _, c in want.values()}) == 1
-    for budget in (0, 50):
-        monkeypatch.setattr(minmax, "PAIRS_PER_MEMBER", budget)
-        got = minmax.near_duplicates(frame(rows), n=3, percent=85).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+def test_links_away_from_the_centre(spark):
+    """Members of one bucket: chains and families of edits, most of them out of the centre's reach."""
+    rng = random.Random(8)
+    for case in range(6):
+        base = list(range(rng.randrange(30, 120)))
+        sets = []
+        for k in range(60):
+            if rng.random() < 0.5 or not sets:
+                one = list(base)
+            else:
+                one = list(rng.choice(sets))
+            for _ in range(rng.randrange(0, 9)):
+                one[rng.randrange(len(one))] = 1000 + (rng.randrange(40) if case % 2 else 10_000 * k + rng.randrange(500))
+            for _ in range(rng.randrange(0, 5)):
+                one.append(5000 + rng.randrange(30))
+            sets.append(sorted(set(one)))
+        distinct = {tuple(x) for x in sets}
+        sets = [set(x) for x in distinct]
+        rows = [(i, sorted(x)) for i, x in enumerate(sets)]
+        parent = list(range(len(sets)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+        members = spark.createDataFrame([(b, i, len(sets[i])) for b in (1, 2) for i in range(len(sets)) if b == 1 or i % 3], "bucket long, id long, n long")
+        got = minmax.links(members, spark.createDataFrame(rows, "doc_id long, shingles array<long>"), 85)
+        found = {r.node: r.component for r in got.collect()}
+        assert {i: found.get(i, i) for i in range(len(sets))} == {i: find(i) for i in range(len(sets))}, case
 
 
 def test_bands_find_pairs_at_the_threshold():
