@@ -196,3 +196,21 @@ def near_duplicates(docs: DataFrame, *, n: int, percent: int, id_col: str = "doc
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps; of rows with one id, one.
+
+    Rows without an id all stay.
+    """
+    judged = checkpoint(near_duplicates(docs, n=n, percent=percent, id_col=id_col, text_col=text_col))
+    key = F.col(f"`{id_col}`")
+    named = judged.where("doc_id is not null")
+    gone = named.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    several = gone.where("kept and rows > 1")
+    out = docs.join(gone.where("not kept").select(F.col("doc_id").alias("_gone")), key == F.col("_gone"), "left_anti")
+    if several.isEmpty():
+        return out
+    repeated = several.select(F.col("doc_id").alias("_several"))
+    once = out.join(repeated, key == F.col("_several"), "left_semi").dropDuplicates([id_col])
+    return out.join(repeated, key == F.col("_several"), "left_anti").unionByName(once)

@@ -11,6 +11,7 @@ import dataclasses
 import functools
 import math
 import operator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +102,11 @@ class Ensemble:
     bias: float
     rules: list[tuple[tuple[Condition, ...], float]]
 
-    def score(self) -> Column:
+    def score(self, of: Callable[[int], Column] = lambda i: F.col(STATISTICS[i])) -> Column:
         """The rules, compiled into one Column over the statistics."""
         terms = [F.lit(self.bias)]
         for conditions, weight in self.rules:
-            holds = functools.reduce(operator.and_, (F.col(STATISTICS[i]) <= bound if at_most else F.col(STATISTICS[i]) > bound for i, at_most, bound in conditions))
+            holds = functools.reduce(operator.and_, (of(i) <= bound if at_most else of(i) > bound for i, at_most, bound in conditions))
             terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
         while len(terms) > 1:  # in pairs, so that the expression stays shallow
             terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
@@ -221,3 +222,23 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, *, threshol
     stats = checkpoint(measure(docs, id_col, text_col))
     model = train(stats.where(learn_from), labels, **settings)
     return stats.select("doc_id", model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: Column, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores `threshold` or more by a model learnt as in classify()."""
+    model = train(checkpoint(measure(docs, id_col, text_col)).where(learn_from), labels, **settings)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    small_batches(docs.sparkSession)
+    at = [*docs.columns, "_text"].index("_text")
+    source = docs.withColumn("_text", text)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = np.array([statistics_of(t) for t in as_bytes(batch.column(at))], np.float64).reshape(-1, len(STATISTICS))
+            numbers = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(STATISTICS), dtype=np.int32)), pa.array(rows.reshape(-1)))
+            yield record_batch(pa.schema([*(batch.schema.field(i) for i in range(at)), ("_statistics", numbers.type)]), [*batch.columns[:at], numbers])
+
+    fields = [*docs.schema, T.StructField("_statistics", T.ArrayType(T.DoubleType()))]
+    measured = source.mapInArrow(run, T.StructType(fields))
+    score = model.score(lambda i: F.get("_statistics", F.lit(i)))
+    return measured.where(score >= threshold).drop("_statistics")
