@@ -32,6 +32,7 @@ from lectern.llm.common import Batches, as_bytes, checkpoint, documents, mix, re
 
 GRAM = 64  # a power of 2
 SLICE = 64  # windows of a slice: one bit each in a long
+KEYS = 2_000_000  # keys of texts (16 bytes each) up to which they are broadcast
 HEAVY = 200_000  # different rows from which a bucket is resolved window by window
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -245,7 +246,11 @@ def repeats(docs: DataFrame, *, length: int = 400, heavy: int = HEAVY, id_col: s
     # Rows of one text count as its copies.
     wanted = anchors.join(often, "hash", "left_semi").groupBy("k1", "k2", "anchor").agg(F.count(F.lit(1)).alias("copies"))
     wanted = checkpoint(wanted.groupBy("k1", "k2").agg(F.collect_list("anchor").alias("anchors"), F.max("copies").alias("copies")))
-    found = _slices(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "anchors", "copies"), length)
+    # Texts without an anchor that occurs twice need not be shuffled, as long as the keys of the others are few.
+    keys = wanted.select("k1", "k2")
+    few = keys.count() <= KEYS
+    touched = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi") if few else texts
+    found = _slices(touched.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "anchors", "copies"), length)
     rows = found.groupBy(*_ROW, "row_a", "row_b").agg(F.sum("copies").alias("copies"))
     rows = checkpoint(rows)
     heavy_cores = checkpoint(rows.groupBy(*_CORE).count().where(F.col("count") > heavy).select(*_CORE))
@@ -253,7 +258,11 @@ def repeats(docs: DataFrame, *, length: int = 400, heavy: int = HEAVY, id_col: s
     if not heavy_cores.isEmpty():
         masks = masks.union(_window_by_window(rows.join(heavy_cores, _CORE, "left_semi")))
     places = found.select("k1", "k2", "base", "row_a", "row_b").join(masks, ["row_a", "row_b"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("base", "mask")).alias("places"))
-    return whole.join(places, ["k1", "k2"], "left").select("doc_id", "text", "places")
+    with_places = lambda df: df.join(places, ["k1", "k2"], "left").select("doc_id", "text", "places")
+    if not few:
+        return with_places(whole)
+    rest = whole.join(F.broadcast(keys), ["k1", "k2"], "left_anti")
+    return with_places(whole.join(F.broadcast(keys), ["k1", "k2"], "left_semi")).unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<struct<base:bigint,mask:bigint>>").alias("places")))
 
 
 def remove(found: DataFrame, *, length: int = 400) -> DataFrame:

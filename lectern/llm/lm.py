@@ -4,10 +4,10 @@ The model works on ids of a byte-level vocabulary, each word encoded with a blan
 the ids hold the words of the text without loss. An id's probability is that of its class times that of the id in the class:
 
 * Classes: the commonest ids are classes of their own, the others share classes of about equal weight.
-* Class probabilities: class bigrams of all training texts, corrected by one head of masked self-attention over the
+* Class probabilities: class bigrams inside the words of all training texts, corrected by one head of masked self-attention over the
   ids before. The head is trained in numpy by rounds of local steps in each partition, on a fixed share of the training
   texts, and the weights of all partitions are averaged after each round.
-* Ids in a class: counts after each previous class over all training texts, backed off to the counts of the ids.
+* Ids in a class: counts after each previous class of the word over all training texts, backed off to the counts of the ids.
 * Words: the product of their ids' probabilities is what the absolutely discounted counts of all training words back off
   to, so that a word met before keeps its share and the head decides on the rest.
 
@@ -19,7 +19,9 @@ are joined.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -33,24 +35,42 @@ from lectern.llm.common import Batches, as_bytes, checkpoint, documents, one_wor
 
 END = b"\n"  # no word has a line break
 LENGTH, STRIDE = 32, 24
-CLASSES, SINGLE, WIDTH, INPUTS = 96, 64, 16, 1024
-HEAD_WORDS = 300_000  # words whose counts are broadcast
-TRAIN_SHARE = 16  # one in so many training texts moves the attention weights
+CLASSES, SINGLE, WIDTH, INPUTS = 64, 48, 8, 1024
+START = CLASSES  # what comes before the first id of a word
+HEAD_WORDS = 100_000  # words whose counts are broadcast
+TRAIN_SHARE = 64  # one in so many training texts moves the attention weights
 ROUNDS = 2
 BACKOFF = 20.0
-DISCOUNT, ALWAYS = 0.75, 0.1  # taken from each word's count; the least share of the ids' probability
+DISCOUNT, ALWAYS = 0.75, 0.03  # taken from each word's count; the least share of the ids' probability
 _LOG10 = 1 / np.log(10)
 
 
 # Words and ids --------------------------------------------------------------------------------
 
 
-class Subwords(dict):
-    """word (bytes) -> ids of the word with a blank before it."""
+class Growing:
+    """A growing array."""
 
-    LIMIT = 300_000
+    def __init__(self, kind: type):
+        self.data, self.n = np.empty(1024, kind), 0
 
-    def __init__(self, path: str):
+    def extend(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(max(need, 2 * self.n) - self.n, self.data.dtype)])
+        self.data[self.n : need] = values
+        self.n = need
+
+
+class Vocabulary(dict):
+    """word (bytes) -> place in arrays of its ids and its count. Place 0 is the end.
+
+    counts: counts of the commonest words; others have -1.
+    """
+
+    LIMIT = 700_000
+
+    def __init__(self, path: str, counts: dict[bytes, int] | None = None):
         super().__init__()
         one_worker_thread()
         from tokenizers import Tokenizer
@@ -59,24 +79,58 @@ class Subwords(dict):
         self.tok.encode_special_tokens = True
         self.size = self.tok.get_vocab_size()
         self.end = self.size  # an id of our own: the text's end, and what comes before its first id
+        self.counts = counts or {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.ids, self.first, self.length, self.count = Growing(np.int32), Growing(np.int64), Growing(np.int32), Growing(np.int64)
+        self.words: list[bytes] = []
+        self[END]
+        self._add([[self.end]])
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self.words) + len(self.new)
+        self.new.append(word)
+        return at
+
+    def _add(self, ids: list[list[int]]) -> None:
+        self.first.extend(self.ids.n + np.cumsum([0, *map(len, ids)])[:-1])
+        self.length.extend(np.array([len(i) for i in ids], np.int32))
+        self.ids.extend(np.fromiter(chain.from_iterable(ids), np.int32))
+        self.count.extend(np.array([self.counts.get(w, -1) for w in self.new], np.int64))
+        self.words += self.new
+        self.new = []
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            encoded = self.tok.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in self.new], add_special_tokens=False)
+            self._add([e.ids for e in encoded])
+        return out
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self))
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(words)
-        encoded = self.tok.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.update(zip(new, (e.ids for e in encoded), strict=True))
-
-    def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The ids of each text, an end last."""
-        self.learn(set().union(*texts))
-        return [np.fromiter(chain(chain.from_iterable(map(self.__getitem__, t)), (self.end,)), np.int32) for t in texts]
+    def spelt(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words by their places."""
+        sizes = self.length.data[places].astype(np.int64)
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.ids.data[within + np.repeat(self.first.data[places], sizes)], sizes
 
 
 @functools.lru_cache(maxsize=1)
-def subwords(path: str) -> Subwords:
-    return Subwords(path)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+_counted: dict[str, Vocabulary] = {}
+
+
+def counted_vocabulary(path: str, counts: dict[bytes, int], key: str) -> Vocabulary:
+    """One for each worker process and set of counts, kept from task to task."""
+    if key not in _counted:
+        _counted.clear()
+        _counted[key] = Vocabulary(path, counts)
+    return _counted[key]
 
 
 def words_of(texts: list[bytes]) -> list[list[bytes]]:
@@ -112,9 +166,9 @@ class Tables:
 
     def __init__(self, classes: Classes, previous: np.ndarray, ids: np.ndarray, counts: np.ndarray):
         n = len(classes.of)
-        after = np.zeros((CLASSES, n))
+        after = np.zeros((CLASSES + 1, n), np.float32)
         after[previous, ids] = counts
-        by_class = np.zeros((CLASSES, CLASSES))
+        by_class = np.zeros((CLASSES + 1, CLASSES))
         np.add.at(by_class.T, classes.of, after.T)
         total = by_class.sum(0) + 0.5
         prior = total / total.sum()
@@ -152,16 +206,23 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Batch:
-    """Windows over texts laid end to end, with a pad of LENGTH."""
-
-    def __init__(self, ids: list[np.ndarray], classes: Classes, end: int):
-        self.lengths = np.array([len(i) for i in ids], np.int64)
+    """Windows over the ids of texts laid end to end, with a pad of LENGTH."""
+
+    def __init__(self, texts: list[list[bytes]], vocab: Vocabulary, classes: Classes):
+        if len(vocab) > vocab.LIMIT:
+            vocab.reset()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        self.places = vocab.places(list(chain.from_iterable(chain(t, (END,)) for t in texts)))
+        ids, self.sizes = vocab.spelt(self.places)
+        self.word_begin = np.cumsum(self.sizes) - self.sizes
+        self.text_words = ends - [len(t) + 1 for t in texts]  # first word of each text
+        self.lengths = np.add.reduceat(self.sizes, self.text_words) if len(texts) else np.empty(0, np.int64)
         begins = np.cumsum(self.lengths) - self.lengths
-        pad = np.full(LENGTH, end, np.int32)
-        self.target = np.concatenate([*ids, pad])
-        previous = np.concatenate([[end], self.target[:-1]]).astype(np.int32)
-        previous[begins] = end
+        self.target = np.concatenate([ids, np.full(LENGTH, vocab.end, np.int32)])
+        previous = np.concatenate([[vocab.end], self.target[:-1]]).astype(np.int32)
+        previous[begins] = vocab.end
         self.inputs, self.before, self.target_class = classes.inputs[previous], classes.of[previous], classes.of[self.target]
+        self.before[self.word_begin] = START
         self.text, begin, self.first = windows(self.lengths)
         self.at = begins[self.text] + begin
         self.size = np.minimum(self.lengths[self.text] - begin, LENGTH)
@@ -231,7 +292,10 @@ class Attention:
         dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
         g["p"] = dx.sum(0)
         g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], inputs.reshape(-1), dx.reshape(-1, WIDTH))
+        order = np.argsort(inputs, axis=None, kind="stable")
+        rows = inputs.reshape(-1)[order]
+        begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g["e"][rows[begins]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begins, axis=0)
         return np.concatenate([g[n].ravel() for n in SHAPES])
 
 
@@ -283,51 +347,52 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def id_counts(words: DataFrame, path: str) -> np.ndarray:
-    """Counts of all ids in the training texts, from the counts of the words."""
+def _spelt_words(batches: Batches, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, first id of its word?, count of its word) of batches of counted words."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 50_000):
+            part = batch.slice(at, 50_000)
+            vocab.reset()
+            ids, sizes = vocab.spelt(vocab.places(part.column(0).to_pylist()))
+            begins = np.zeros(len(ids), bool)
+            begins[np.cumsum(sizes) - sizes] = True
+            yield ids, begins, np.repeat(part.column(1).to_numpy(), sizes).astype(np.float64)
 
-    def run(batches: Batches) -> Batches:
-        sub = subwords(path)
-        total = np.zeros(sub.size + 1, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 50_000):
-                part = batch.slice(at, 50_000)
-                ids = sub.ids([[w] if w != END else [] for w in part.column(0).to_pylist()])
-                sizes = [len(i) - 1 for i in ids]
-                counts = part.column(1).to_numpy()
-                flat = np.concatenate([i[:-1] for i in ids]) if ids else np.empty(0, np.int32)
-                np.add.at(total, flat, np.repeat(counts, sizes))
-                total[sub.end] += counts[[k for k, s in enumerate(sizes) if s == 0]].sum()
-        at = np.flatnonzero(total)
-        yield record_batch(pa.schema([("id", pa.int32()), ("count", pa.int64())]), [at.astype(np.int32), total[at]])
 
-    rows = words.mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
-    out = np.zeros(subwords(path).size + 1, np.int64)
-    out[rows["id"].to_numpy()] = rows["count"].to_numpy()
-    return out
+def make_classes(words: DataFrame, path: str) -> Classes:
+    """From the counts of all ids in the training texts, which follow from those of the words."""
 
+    def run(batches: Batches) -> Batches:
+        vocab = Vocabulary(path)
+        total = np.zeros(vocab.size + 1)
+        for ids, _, counts in _spelt_words(batches, vocab):
+            total += np.bincount(ids, counts, len(total))
+        at = np.flatnonzero(total)
+        yield record_batch(pa.schema([("id", pa.int32()), ("count", pa.float64())]), [at.astype(np.int32), total[at]])
 
-def make_classes(words: DataFrame, path: str) -> Classes:
-    counts, sub = id_counts(words, path), subwords(path)
-    start = np.array([sub.tok.id_to_token(i).startswith("Ġ") for i in range(sub.size)] + [True])
+    rows = words.mapInArrow(run, "id int, count double").groupBy("id").agg(F.sum("count").alias("count")).toArrow()
+    vocab = vocabulary(path)
+    counts = np.zeros(vocab.size + 1)
+    counts[rows["id"].to_numpy()] = rows["count"].to_numpy()
+    start = np.array([vocab.tok.id_to_token(i).startswith("Ġ") for i in range(vocab.size)] + [True])
     return Classes(counts, start)
 
 
-def make_tables(train: DataFrame, classes: Classes, path: str) -> Tables:
-    """Counts of each id after each class over all training texts; at most CLASSES times the vocabulary."""
-    held = train.sparkSession.sparkContext.broadcast(classes)
+def make_tables(words: DataFrame, classes: Classes, path: str) -> Tables:
+    """Counts of each id after each class of its word, or at the word's start; at most CLASSES + 1 times the vocabulary."""
+    held = words.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Batches) -> Batches:
-        sub, cls = subwords(path), held.value
-        total = np.zeros(CLASSES * len(cls.of), np.int32)
-        for batch in batches:
-            b = Batch(sub.ids(words_of(as_bytes(batch.column(1)))), cls, sub.end)
-            key = b.before.astype(np.int64) * len(cls.of) + b.target
-            total += np.bincount(key[:-LENGTH], minlength=len(total)).astype(np.int32)
+        vocab, cls = Vocabulary(path), held.value
+        n = len(cls.of)
+        total = np.zeros((CLASSES + 1) * n)
+        for ids, begins, counts in _spelt_words(batches, vocab):
+            previous = np.where(begins, START, np.concatenate([[0], cls.of[ids[:-1]]]))
+            total += np.bincount(previous.astype(np.int64) * n + ids, counts, len(total))
         at = np.flatnonzero(total)
-        yield record_batch(pa.schema([("previous", pa.int32()), ("id", pa.int32()), ("count", pa.int64())]), [(at // len(cls.of)).astype(np.int32), (at % len(cls.of)).astype(np.int32), total[at].astype(np.int64)])
+        yield record_batch(pa.schema([("previous", pa.int32()), ("id", pa.int32()), ("count", pa.float64())]), [(at // n).astype(np.int32), (at % n).astype(np.int32), total[at]])
 
-    rows = train.mapInArrow(run, "previous int, id int, count long").groupBy("previous", "id").agg(F.sum("count").alias("count")).toPandas()
+    rows = words.mapInArrow(run, "previous int, id int, count double").groupBy("previous", "id").agg(F.sum("count").alias("count")).toArrow()
     return Tables(classes, rows["previous"].to_numpy(), rows["id"].to_numpy(), rows["count"].to_numpy())
 
 
@@ -343,11 +408,11 @@ def train_weights(train: DataFrame, classes: Classes, tables: Tables, path: str,
         def run(batches: Batches, number=number, start=start) -> Batches:
             from pyspark import TaskContext
 
-            sub, (cls, tab), part = subwords(path), held.value, TaskContext.get().partitionId()
+            vocab, (cls, tab), part = vocabulary(path), held.value, TaskContext.get().partitionId()
             trainer = Trainer(start.value, tab, rate=0.01 / (1 + number))
             for k, batch in enumerate(batches):
                 if batch.num_rows:
-                    trainer.take(Batch(sub.ids(words_of(as_bytes(batch.column(1)))), cls, sub.end), k)
+                    trainer.take(Batch(words_of(as_bytes(batch.column(1))), vocab, cls), k)
             if trainer.seen:
                 yield record_batch(schema, [[part % 256], [float(trainer.seen)], [(trainer.flat * trainer.seen).astype(np.float64).tolist()]])
 
@@ -368,44 +433,11 @@ def train_weights(train: DataFrame, classes: Classes, tables: Tables, path: str,
     return flat
 
 
-class HeadWords:
-    """Counts of the commonest words, by sorted 128-bit hashes."""
-
-    def __init__(self, words: list[bytes], counts: list[int]):
-        pairs = sorted((*word_key(w), c) for w, c in zip(words, counts, strict=True))
-        self.a, self.b, self.c = (np.array([p[i] for p in pairs], np.int64) for i in range(3))
-
-    def __call__(self, a: int, b: int) -> int:
-        i = int(np.searchsorted(self.a, a))
-        while i < len(self.a) and self.a[i] == a:
-            if self.b[i] == b:
-                return int(self.c[i])
-            i += 1
-        return -1
-
-
 def word_key(word: bytes) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(word)
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-class WordInfo(dict):
-    """word -> place in arrays of known counts; words outside the head get a negative place in the list of tail keys."""
-
-    LIMIT = 400_000
-
-    def __init__(self, head: HeadWords):
-        super().__init__()
-        self.head = head
-
-    def __missing__(self, word: bytes) -> tuple[int, int, int]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        a, b = word_key(word)
-        self[word] = out = (self.head(a, b), a, b)
-        return out
-
-
 def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUNDS, train_share: int = TRAIN_SHARE, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learnt from the rows that `learn_from` (over doc_id) admits.
 
@@ -420,12 +452,12 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
     words = checkpoint(word_counts(train))
     tokens, distinct, ends = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("count"))), F.lit(0))).first()
     classes = make_classes(words, path)
-    tables = make_tables(train, classes, path)
+    tables = make_tables(words, classes, path)
     share = train.where(F.pmod(F.xxhash64(F.lit("share"), "text"), F.lit(train_share)) == 0)
     flat = train_weights(share, classes, tables, path, rounds)
-    top = words.orderBy(F.desc("count"), "word").limit(head_words).toPandas()
-    least = int(top["count"].iloc[-1]) if len(top) == head_words else 0
-    held = spark.sparkContext.broadcast((classes, tables, flat, HeadWords([bytes(w) for w in top["word"]], top["count"].tolist())))
+    top = words.orderBy(F.desc("count"), "word").limit(head_words).toArrow()
+    least = top["count"][-1].as_py() if top.num_rows == head_words else 0
+    held = spark.sparkContext.broadcast((classes, tables, flat, dict(zip(top["word"].to_pylist(), top["count"].to_pylist(), strict=True))))
     denominator = float(np.log10(tokens + distinct + 1))
     backed = ALWAYS + (1 - ALWAYS) * DISCOUNT * distinct / tokens if tokens else 1.0
     own = (1 - ALWAYS) / max(tokens, 1)
@@ -436,33 +468,32 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
             seen = np.log10(own * np.maximum(count - DISCOUNT, 1e-9) + backed * 10.0**subword)
         return np.where(count > 0, seen, np.log10(backed) + subword)
 
+    run_key = uuid.uuid4().hex
     tail_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("p", pa.float64())]))
     source_field = whole.schema["doc_id"]
 
     def run(batches: Batches) -> Batches:
-        sub, (cls, tab, weights, head) = subwords(path), held.value
-        model, info = Attention(weights, tab), WordInfo(head)
+        cls, tab, weights, head = held.value
+        vocab, model = counted_vocabulary(path, head, run_key), Attention(weights, tab)
         model.folded()
         for batch in batches:
             texts = words_of(as_bytes(batch.column(1)))
             known, base, tails, scores = [], [], [], []
             for i in range(0, len(texts), 64):
-                ids = sub.ids(texts[i : i + 64])
-                b = Batch(ids, cls, sub.end)
-                each = model.score(b) * _LOG10
-                edges = np.cumsum(b.lengths)
-                for ws, begin, stop in zip(texts[i : i + 64], (edges - b.lengths).tolist(), edges.tolist(), strict=True):
-                    sizes = np.fromiter((len(sub[w]) for w in ws), np.int64, len(ws))
-                    by_word = np.add.reduceat(each[begin:stop], np.concatenate([[0], np.cumsum(sizes)]))
-                    counts = np.append(np.fromiter((info[w][0] for w in ws), np.int64, len(ws)), ends)
-                    rare, often = np.flatnonzero(counts < 0), counts >= 0
-                    of = counts[often]
-                    known.append(int((of > 0).sum()))
-                    base.append(float((np.log10(of + 1) - denominator).sum()))
-                    scores.append(float(mixed(of, by_word[often]).sum()))
-                    tails.append([{"a": info[ws[k]][1], "b": info[ws[k]][2], "p": by_word[k]} for k in rare.tolist()])
+                b = Batch(texts[i : i + 64], vocab, cls)
+                by_word = np.add.reduceat(model.score(b), b.word_begin) * _LOG10
+                counts = vocab.count.data[b.places]
+                counts[b.places == 0] = ends
+                head_word = counts >= 0
+                of = np.maximum(counts, 0)
+                known += np.add.reduceat((counts > 0).astype(np.int64), b.text_words).tolist()
+                base += np.add.reduceat(np.where(head_word, np.log10(of + 1) - denominator, 0), b.text_words).tolist()
+                scores += np.add.reduceat(np.where(head_word, mixed(of, by_word), 0), b.text_words).tolist()
+                for words_here in np.split(np.arange(len(counts)), b.text_words[1:]):
+                    rare = words_here[~head_word[words_here]]
+                    tails.append([(*word_key(vocab.words[p]), x) for p, x in zip(b.places[rare].tolist(), by_word[rare].tolist(), strict=True)])
             schema = pa.schema([batch.schema.field(0), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tail", tail_type), ("score", pa.float64())])
-            yield record_batch(schema, [batch.column(0), [len(t) + 1 for t in texts], known, base, tails, scores])
+            yield record_batch(schema, [batch.column(0), [len(t) + 1 for t in texts], known, base, [[{"a": a, "b": b, "p": p} for a, b, p in t] for t in tails], scores])
 
     fields = "n_tokens long, known long, base double, tail array<struct<a:long,b:long,p:double>>, score double"
     scored = checkpoint(whole.mapInArrow(run, T.StructType([source_field, *T._parse_datatype_string(fields).fields])).withColumn("_row", F.monotonically_increasing_id()))

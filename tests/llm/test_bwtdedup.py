@@ -36,7 +36,8 @@ def test_query_against_brute_force(run_op, frame):
 
 
 @pytest.mark.parametrize("heavy", [0, 1, 3])
-def test_heavy_buckets_and_other_lengths(frame, heavy):
+def test_heavy_buckets_other_lengths_and_many_keys(frame, heavy, monkeypatch):
+    monkeypatch.setattr(bwtdedup, "KEYS", heavy)
     texts = corpus(11, (120, 128, 129, 160, 200))
     want = bwtdedup.brute_force([(t or "").encode() for t in texts], 130)
     found = bwtdedup.repeats(frame(texts), length=130, heavy=heavy)
