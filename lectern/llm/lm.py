@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Batches, as_bytes, checkpoint, documents, one_worker_thread, record_batch, small_batches
+from lectern.llm.bytebpe import read_ranks
+from lectern.llm.common import Batches, as_bytes, checkpoint, documents, record_batch, small_batches
 
 END = b"\n"  # no word has a line break
 LENGTH, STRIDE = 32, 24
@@ -72,12 +73,11 @@ class Vocabulary(dict):
 
     def __init__(self, path: str, counts: dict[bytes, int] | None = None):
         super().__init__()
-        one_worker_thread()
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.size = self.tok.get_vocab_size()
+        self.coder = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+        self.size = self.coder.n_vocab
         self.end = self.size  # an id of our own: the text's end, and what comes before its first id
         self.counts = counts or {}
         self.reset()
@@ -106,8 +106,7 @@ class Vocabulary(dict):
     def places(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
-            encoded = self.tok.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in self.new], add_special_tokens=False)
-            self._add([e.ids for e in encoded])
+            self._add([self.coder.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in self.new])
         return out
 
     def spelt(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,36 +233,51 @@ class Attention:
     def __init__(self, flat: np.ndarray, tables: Tables):
         self.w, self.tables = unpack(flat), tables
 
+    @staticmethod
+    def bounded(flat: np.ndarray) -> np.ndarray:
+        """Weights so bounded that no exponential of a score overflows."""
+        return np.clip(flat, -4, 4)
+
     def folded(self) -> None:
         """Tables of queries, keys and values by input, for scoring."""
-        w = self.w
-        self.by_input = np.concatenate([w["e"] @ w["q"] / np.sqrt(WIDTH), w["e"] @ w["k"], w["e"] @ w["v"], w["e"]], 1)
-        self.by_place = np.concatenate([w["p"] @ w["q"] / np.sqrt(WIDTH), w["p"] @ w["k"], w["p"] @ w["v"], w["p"]], 1)
+        w, scale = self.w, np.float32(1 / np.sqrt(WIDTH))
+        both = lambda x: np.concatenate([x @ w["q"] * scale, x @ w["k"], x @ w["v"], x], 1).astype(np.float32)
+        self.by_input, self.by_place = both(w["e"]), both(w["p"])
 
-    def score(self, batch: Batch, step: int = 192) -> np.ndarray:
+    def score(self, batch: Batch, step: int = 128) -> np.ndarray:
         """Natural log probability of each id of the batch."""
         out = np.zeros(int(batch.lengths.sum()) + LENGTH)
-        places = np.arange(LENGTH)
-        for i in range(0, len(batch.at), step):
-            at = batch.at[i : i + step, None] + places
-            x = self.by_input[batch.inputs[at]] + self.by_place
-            attended = np.matmul(x[..., :WIDTH], x[..., WIDTH : 2 * WIDTH].swapaxes(1, 2))
-            attended += _MASK
+        self._score(batch, np.arange(len(batch.at)), LENGTH - STRIDE, LENGTH, step, out)
+        # The first window of a text also scores the places before, which have no earlier window.
+        self._score(batch, np.flatnonzero(batch.first == 0), 0, LENGTH - STRIDE, 3 * step, out)
+        return out[:-LENGTH]
+
+    def _score(self, batch: Batch, which: np.ndarray, first: int, last: int, step: int, out: np.ndarray) -> None:
+        """Scores the places from first to last of some windows; those past a text's end are not kept."""
+        places = np.arange(last)
+        mask, own = _MASK[first:last, :last], self.w["o"]
+        for i in range(0, len(which), step):
+            part = which[i : i + step]
+            at = batch.at[part, None] + places
+            np.minimum(at, len(batch.inputs) - 1, out=at)
+            x = self.by_input[batch.inputs[at]]
+            x += self.by_place[:last]
+            attended = np.matmul(x[:, first:, :WIDTH], x[..., WIDTH : 2 * WIDTH].swapaxes(1, 2))
+            attended += mask
             np.exp(attended, out=attended)
             h = np.matmul(attended, x[..., 2 * WIDTH : 3 * WIDTH])
             h /= attended.sum(2, keepdims=True)
-            h += x[..., 3 * WIDTH :]
-            scored = (places >= batch.first[i : i + step, None]) & (places < batch.size[i : i + step, None])
-            place = at[scored]
-            logits = h[scored] @ self.w["o"]
+            h += x[:, first:, 3 * WIDTH :]
+            place = at[:, first:].reshape(-1)
+            logits = h.reshape(-1, WIDTH) @ own
             logits += self.w["b"]
-            np.clip(logits, -15, 15, out=logits)
             before, target = batch.before[place], batch.target_class[place]
             logits += self.tables.bigram[before]
             chosen = logits[np.arange(len(place)), target]
             np.exp(logits, out=logits)
-            out[place] = chosen - np.log(logits.sum(1)) + self.tables.inside[before, batch.target[place]]
-        return out[:-LENGTH]
+            value = chosen - np.log(logits.sum(1)) + self.tables.inside[before, batch.target[place]]
+            kept = (places[first:] < batch.size[part, None]).reshape(-1)
+            out[place[kept]] = value[kept]
 
     def gradient(self, inputs: np.ndarray, before: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Of the mean negative log probability of the scored classes; all of shape (windows, LENGTH)."""
@@ -318,7 +332,7 @@ class Trainer:
             self.seen += int(scored.sum())
             self.m += 0.1 * (g - self.m)
             self.v += 0.01 * (g * g - self.v)
-            self.flat -= self.rate * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8)
+            self.flat = Attention.bounded(self.flat - self.rate * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8))
 
 
 # Spark ----------------------------------------------------------------------------------------
@@ -374,7 +388,7 @@ def make_classes(words: DataFrame, path: str) -> Classes:
     vocab = vocabulary(path)
     counts = np.zeros(vocab.size + 1)
     counts[rows["id"].to_numpy()] = rows["count"].to_numpy()
-    start = np.array([vocab.tok.id_to_token(i).startswith("Ġ") for i in range(vocab.size)] + [True])
+    start = np.array([vocab.coder.decode_single_token_bytes(i).startswith(b" ") for i in range(vocab.size)] + [True])
     return Classes(counts, start)
 
 

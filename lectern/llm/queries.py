@@ -17,7 +17,7 @@ def op1_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 7) == 2
-    scored = lm.score(table(spark, sf_dir, "documents"), ~held_out, public_tokenizers.path("byte_bpe_50k.json"))
+    scored = lm.score(table(spark, sf_dir, "documents"), ~held_out, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
