@@ -1,14 +1,581 @@
-"""The queries over the driver's tables, with their oracles."""
+"""The queries over the driver's tables, with their oracles in DuckDB SQL.
+
+The oracles share a prelude of views (sentences, tokens and the like) that is written for that engine on its own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.functions import text as X
+from lectern.operators import kinds, post, shallow, structure
+from lectern.operators.segment import Corpus
+from lectern.plans.pack import built_in, check
 from lectern.session import table
+from lectern.sources.blocks import html_blocks, quoted_spans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Words the catalogue's own rules look for. The texts are invented prose, so common short words stand for style words.
+HEDGES = ["perhaps", "maybe", "somewhat", "the be of", "with the", "it is", "of the", "in the", "is the", "to the", "for the"]
+SWAPS = {"of the": "of a", "the and": "the", "is to": "will", "with that": "with this", "in in": "in", "that is": "which is|being"}
+TERMS = [("c1", "the and", "deprecated", False), ("c1", "the", "preferred", False), ("c2", "In The", "preferred", True), ("c3", "of that", "deprecated", False)]
+
+
+def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages as of a document: h1, p and li elements; list items of a page are one list."""
+    return html_blocks(table(spark, sf_dir, "pages")).withColumn("ordered", F.lit(False)).withColumn("list_id", F.when(F.col("kind") == "list-item", 1))
+
+
+def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with a hierarchy: each line of a document is a block; a short line is a heading, whose level follows from its length."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("block_id", "text")).where("text <> ''")
+    short = F.length("text") <= 40
+    return lines.select("doc_id", "block_id", F.when(short, "heading").otherwise("paragraph").alias("kind"), F.when(short, F.length("text") % 3 + 1).otherwise(0).alias("level"), "text", F.lit(None).cast("int").alias("list_id"), F.lit(None).cast("boolean").alias("ordered"), F.lit(0).alias("begin"))
+
+
+# Oracle prelude -------------------------------------------------------------------------------
+
+_WORD = r"[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*(?:-[\p{L}\p{N}]+)*"
+_TRIM = "' ' || chr(9) || chr(10) || chr(13)"
+_PRELUDE = rf"""
+d as (select doc_id, coalesce(text, '') as t from documents),
+parts as (
+  select doc_id, unnest(range(0, len(p))) as n, unnest(p) as part, unnest(list_append(g, '')) as gap
+  from (select doc_id, regexp_split_to_array(t, '(?:[ \t\r]*\n){{2,}}') as p, regexp_extract_all(t, '(?:[ \t\r]*\n){{2,}}') as g from d)
+),
+placed as (
+  select doc_id, n, part, coalesce(sum(length(part) + length(gap)) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as pos0 from parts
+),
+blocks as (
+  select doc_id, (row_number() over (partition by doc_id order by n) - 1)::int as block_id, 'paragraph' as kind, 0 as level,
+    trim(part, {_TRIM}) as text, (pos0 + length(part) - length(ltrim(part, {_TRIM})))::int as begin_at
+  from placed where trim(part, {_TRIM}) <> ''
+),
+held as (
+  select *, regexp_replace(text, '\b(Mr|Mrs|Ms|Dr|Prof|St|Sr|Jr|Gen|Capt|[A-Z])\.', '\1' || chr(2), 'g') as h from blocks
+),
+cut as (
+  select *, string_split(translate(regexp_replace(h, '([.!?…]["”’'')\]]*)([ \t\n\r]+)(["“‘''(\[]*[\p{{Lu}}0-9])', '\1' || chr(1) || '\2\3', 'g'), chr(2), '.'), chr(1)) as pieces from held
+),
+pieces as (
+  select doc_id, block_id, kind, begin_at, unnest(range(0, len(pieces))) as sent_id, unnest(pieces) as piece from cut
+),
+pieces_at as (
+  select *, coalesce(sum(length(piece)) over (partition by doc_id, block_id order by sent_id rows between unbounded preceding and 1 preceding), 0) as pos0 from pieces
+),
+sentences as (
+  select doc_id, block_id, sent_id::int as sent_id, kind, (begin_at + pos0 + length(piece) - length(ltrim(piece, {_TRIM})))::int as begin_at,
+    trim(piece, {_TRIM}) as text, len(regexp_extract_all(piece, '{_WORD}'))::int as n_words
+  from pieces_at where trim(piece, {_TRIM}) <> ''
+),
+token_lists as (
+  select doc_id, block_id, sent_id, begin_at, regexp_extract_all(text, '{_WORD}') as w, regexp_split_to_array(text, '{_WORD}') as g from sentences
+),
+token_rows as (
+  select doc_id, block_id, sent_id, begin_at, unnest(range(0, len(w)))::int as tok_id, unnest(w) as form, unnest(g[1:len(w)]) as gap from token_lists where len(w) > 0
+),
+tokens as (
+  select doc_id, block_id, sent_id, tok_id, form, gap,
+    (begin_at + sum(length(gap) + length(form)) over (partition by doc_id, block_id, sent_id order by tok_id rows between unbounded preceding and current row))::int as stop_at
+  from token_rows
+),
+near as (
+  select *, stop_at - length(form) as begin_at, lead(form) over w as next_form, lead(gap) over w as next_gap, lead(stop_at) over w as next_stop,
+    lead(form, 2) over w as next2_form, lead(gap, 2) over w as next2_gap, lead(stop_at, 2) over w as next2_stop, lag(form) over w as before_form
+  from tokens window w as (partition by doc_id, block_id, sent_id order by tok_id)
+)
+"""
+
+
+def _sql(body: str, extra: str = "") -> str:
+    return f"with {_PRELUDE}{', ' + extra if extra else ''} {body}"
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_AT = ["doc_id", "block_id", "sent_id"]
+
+# Segmentation ---------------------------------------------------------------------------------
+
+
+@query(_sql("select doc_id, block_id, sent_id, begin_at as begin, text, n_words from sentences"))
+def sentences(spark, d):
+    return corpus_of(spark, d).sentences.select(*_AT, "begin", "text", "n_words")
+
+
+@query(_sql("select doc_id, block_id, sent_id, tok_id, form, begin_at as begin, stop_at as stop from near"))
+def tokens(spark, d):
+    return corpus_of(spark, d).tokens.drop("gap")
+
+
+@query(_sql("select doc_id, lower(form) as word, count(*) as n from tokens group by all having count(*) > 1"))
+def doc_token_freq(spark, d):
+    return corpus_of(spark, d).tokens.groupBy("doc_id", F.lower("form").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(_sql("select doc_id, sum(n_words)::bigint as n_words, count(*) as n_sentences, max(n_words) as longest from sentences group by doc_id"))
+def word_counts(spark, d):
+    return corpus_of(spark, d).sentences.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_sentences"), F.max("n_words").alias("longest"))
+
+
+_HTML = r"""
+e as (
+  select page_id as doc_id, unnest(range(0, len(x)))::int as block_id, unnest(x) as element
+  from (select page_id, regexp_extract_all(coalesce(html, ''), '(?is)<(?:h[1-6]|p|li)(?:\s[^>]*)?>.*?</(?:h[1-6]|p|li)>') as x from pages)
+),
+page_blocks as (
+  select doc_id, block_id, case when tag = 'p' then 'paragraph' when tag = 'li' then 'list-item' else 'heading' end as kind,
+    case when tag like 'h%' then substr(tag, 2, 1)::int else 0 end as level, trim(t, ' ' || chr(9) || chr(10) || chr(13)) as text
+  from (select *, lower(regexp_extract(element, '^<([a-zA-Z0-9]+)', 1)) as tag,
+    replace(replace(replace(replace(replace(replace(regexp_replace(element, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') as t from e)
+  where trim(t, ' ' || chr(9) || chr(10) || chr(13)) <> ''
+)
+"""
+
+
+@query(f"with {_HTML} select * from page_blocks")
+def blocks_html(spark, d):
+    return html_blocks(table(spark, d, "pages"))
+
+
+@query(r"with m as (select doc_id, strpos(text, '.') as p, text from documents where strpos(text, '.') > 0) select doc_id, len(string_split(substr(text, 1, p - 1), chr(10)))::int as line, (length(string_split(substr(text, 1, p - 1), chr(10))[-1]) + 1)::int as col from m")
+def line_col(spark, d):
+    docs = table(spark, d, "documents").withColumn("p", F.locate(".", F.col("text")) - 1).where("p >= 0")
+    return docs.select("doc_id", X.line_of(F.col("text"), F.col("p")).alias("line"), X.column_of(F.col("text"), F.col("p")).alias("col"))
+
+
+# Rule kinds -----------------------------------------------------------------------------------
+
+
+def _grams() -> str:
+    one = "select doc_id, block_id, sent_id, tok_id, begin_at, stop_at, form as match, lower(form) as gram, 1 as n from near"
+    two = "select doc_id, block_id, sent_id, tok_id, begin_at, next_stop, form || next_gap || next_form, lower(form || ' ' || next_form), 2 from near where next_form is not null"
+    three = "select doc_id, block_id, sent_id, tok_id, begin_at, next2_stop, form || next_gap || next_form || next2_gap || next2_form, lower(form || ' ' || next_form || ' ' || next2_form), 3 from near where next2_form is not null"
+    return f"grams as ({one} union all {two} union all {three})"
+
+
+def _greedy(items: str) -> str:
+    """Longest first, then leftmost: with items of up to three words an item stands if no stronger standing one overlaps; solved by levels."""
+    return f"""{_grams()},
+items(item, n, fix) as (values {items}),
+hits as (select g.*, i.fix from grams g join items i on g.gram = i.item and g.n = i.n),
+l3 as (select * from (select *, row_number() over (partition by doc_id, block_id, sent_id order by tok_id) as r from hits where n = 3)),
+k3 as (select * from l3),
+h2 as (select * from hits h where n = 2 and not exists (select 1 from k3 k where k.doc_id = h.doc_id and k.block_id = h.block_id and k.sent_id = h.sent_id and k.tok_id < h.tok_id + 2 and h.tok_id < k.tok_id + 3)),
+run2 as (select *, tok_id - row_number() over (partition by doc_id, block_id, sent_id order by tok_id) as island from h2),
+k2 as (select * from (select *, row_number() over (partition by doc_id, block_id, sent_id, island order by tok_id) as r from run2) where r % 2 = 1)
+"""
+
+
+@query(_sql("select doc_id, block_id, sent_id, begin_at as begin, stop_at as stop, match from k2 union all select doc_id, block_id, sent_id, begin_at, stop_at, match from k3", _greedy(", ".join(f"('{w}', {len(w.split())}, '')" for w in HEDGES if len(w.split()) > 1))))
+def words_surface(spark, d):
+    items = kinds.phrase_items(spark, [(w, None) for w in HEDGES])
+    return kinds.words(corpus_of(spark, d), items, 3).select(*_AT, "begin", "stop", "match")
+
+
+@query(_sql(r"select doc_id, block_id, sent_id, (begin_at + list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::int as begin, m[i] as match, regexp_replace(m[i], '^([A-Za-z]+), and', '\1 and') as fixed from (select *, unnest(range(1, len(m) + 1)) as i from (select *, regexp_extract_all(text, '\b[A-Za-z]+, and\b') as m, regexp_split_to_array(text, '\b[A-Za-z]+, and\b') as g from sentences where not regexp_matches(text, 'by the') and list_contains(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)), 'and')))"))
+def regex_rules(spark, d):
+    found = kinds.regex(corpus_of(spark, d).sentences, r"\b([A-Za-z]+), and\b", needs=["and"], unless="by the", replace="$1 and")
+    return found.select(*_AT, "begin", "match", "fixed")
+
+
+@query(_sql("select doc_id, block_id, sent_id, begin_at as begin, form as match from near where lower(form) in ('idiot', 'stupid', 'pathetic', 'worthless', 'clown', 'loser') and lower(form) <> 'clown'"))
+def existence(spark, d):
+    found = kinds.existence(corpus_of(spark, d).sentences, ["idiot", "stupid", "pathetic", "worthless", "clown", "loser"], ignore_case=True, exceptions=["clown"])
+    return found.select(*_AT, "begin", "match")
+
+
+def _case(model: str, word: str) -> str:
+    capital = f"upper(substr({word}, 1, 1)) || substr({word}, 2)"
+    return f"case when length({model}) > 1 and upper({model}) = {model} and lower({model}) <> {model} then upper({word}) when regexp_matches({model}, '^\\p{{Lu}}') then {capital} else {word} end"
+
+
+@query(_sql(f"select doc_id, block_id, sent_id, begin_at as begin, match, case when fix not like '%|%' then {_case('match', 'fix')} end as fixed from k2 where fix like '%|%' or match <> {_case('match', 'fix')}", _greedy(", ".join(f"('{k}', 2, '{v}')" for k, v in SWAPS.items()))))
+def substitution(spark, d):
+    return kinds.substitution(corpus_of(spark, d), SWAPS).select(*_AT, "begin", "match", "fixed")
+
+
+@query(_sql(r"select doc_id, block_id, sent_id, begin_at as begin, text as match from (select *, lead(text) over (partition by doc_id, block_id order by sent_id) as n from sentences) where regexp_matches(text, '^The ') and regexp_matches(n, '^(And|Of|In) ')"))
+def sentence_pair(spark, d):
+    return kinds.sentence_pair(corpus_of(spark, d), "^The ", "^(And|Of|In) ").select(*_AT, "begin", "match")
+
+
+@query(_sql("select doc_id, block_id, sent_id, begin_at as begin, n_words from sentences where n_words > 35"))
+def sentence_length(spark, d):
+    return kinds.sentence_length(corpus_of(spark, d), 35).select(*_AT, "begin", "n_words")
+
+
+@query(_sql("select t.doc_id, count(*) as n from (select doc_id from sentences, unnest(regexp_extract_all(text, '!')) u) t join (select doc_id, sum(n_words) as total from sentences group by doc_id) s using (doc_id) group by t.doc_id, s.total having count(*) * 100 / greatest(s.total, 1) > 1.0"))
+def density(spark, d):
+    return kinds.density(corpus_of(spark, d), ["!"], [], 100, 1.0).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DOUBLED = f"lower(form) = lower(next_form) and lower(form) in {_in(kinds.DOUBLED)} and regexp_matches(next_gap, '^[ \\t]+$') and not coalesce(lower(next2_form) = lower(form), false) and not coalesce(lower(before_form) = lower(form), false)"
+
+
+@query(_sql(f"select doc_id, block_id, sent_id, begin_at as begin, next_stop as stop, form || next_gap || next_form as match, form as fixed from near where {_DOUBLED}"))
+def repeated_word(spark, d):
+    return kinds.repeated_word(corpus_of(spark, d)).select(*_AT, "begin", "stop", "match", "fixed")
+
+
+@query(_sql("select doc_id, block_id, sent_id, begin_at as begin, form || next_gap || next_form as match from near where form in ('a', 'an', 'the') and next_form in ('a', 'an', 'the') and form <> next_form and regexp_matches(next_gap, '^[ \\t]+$')"))
+def double_article(spark, d):
+    return kinds.double_article(corpus_of(spark, d)).select(*_AT, "begin", "match")
+
+
+_AN = r"case when regexp_matches(f, '^\p{Lu}{2}') then substr(f, 1, 1) in ('A','E','F','H','I','L','M','N','O','R','S','X') when regexp_matches(lower(f), '^(h|x|y|uni|eu|u[a-z][aeiou]|on|ou|[0-9])') then null when regexp_matches(lower(f), '^[aeiou]') then true when regexp_matches(lower(f), '^[a-z]') then false end"
+
+
+@query(_sql(f"select doc_id, block_id, sent_id, begin_at as begin, form as match, next_form as word, case when form like 'A%' then case when an then 'An' else 'A' end else case when an then 'an' else 'a' end end as fixed from (select *, {_AN} as an from (select *, regexp_extract(next_form, '^[\\p{{L}}\\p{{N}}''’]+') as f from near where form in ('a', 'an', 'A', 'An') and regexp_matches(next_gap, '^[ \\t]+$'))) where an <> (lower(form) = 'an')"))
+def articles(spark, d):
+    return kinds.articles(corpus_of(spark, d)).select(*_AT, "begin", "match", "word", "fixed")
+
+
+_VARIANTS = [("anea", "x", "first", "inea"), ("inea", "x", "second", "anea"), ("thea", "x", "first", "ofea"), ("ha", "x", "second", "he"), ("he", "x", "first", "ha"), ("or", "y", "first", "er"), ("er", "y", "second", "or")]
+
+
+@query(_sql("select distinct doc_id, block_id, sent_id, begin_at as begin, form as match, winner from used join ranked using (doc_id, axis) where variety <> winner", "v(word, axis, variety, other) as (values " + ", ".join(map(str, _VARIANTS)) + "), used as (select n.*, v.axis, v.variety from near n join v on lower(n.form) = v.word where n.tok_id = 0 or lower(n.form) = n.form), ranked as (select doc_id, axis, arg_max(variety, (n, -f)) as winner from (select doc_id, axis, variety, count(*) as n, min(begin_at) as f from used group by all) group by all)"))
+def consistency(spark, d):
+    listed = spark.createDataFrame(_VARIANTS, "word string, axis string, variety string, other string")
+    return kinds.consistency(corpus_of(spark, d), F.broadcast(listed)).select(*_AT, "begin", "match", "winner")
+
+
+_PLAIN = f"length(regexp_replace({{c}}, '[^\\p{{{{Lu}}}}]', '', 'g')) <= 1 and lower({{c}}) not in {_in(kinds.DOUBLED)}"
+
+
+@query(_sql("select doc_id, key, spelling, winner, n from (select *, count(*) over g as k, max((spelling not like '% %')::int) over g as joined, row_number() over o as r, first_value(spelling) over o as winner from counts window g as (partition by doc_id, key), o as (partition by doc_id, key order by n desc, f)) where k > 1 and joined = 1 and r > 1", f"spelt as (select doc_id, begin_at, replace(lower(form), '-', '') as key, lower(form) as spelling from near where {_PLAIN.format(c='form')} union all select doc_id, begin_at, lower(form) || lower(next_form), lower(form) || ' ' || lower(next_form) from near where {_PLAIN.format(c='form')} and {_PLAIN.format(c='next_form')} and next_gap = ' ' and form not like '%-%' and next_form not like '%-%'), counts as (select doc_id, key, spelling, count(*) as n, min(begin_at) as f from spelt where length(key) >= 5 group by all)"))
+def variants(spark, d):
+    found = kinds.variants(corpus_of(spark, d))
+    return found.select("doc_id", F.replace(F.replace(F.col("spelling"), F.lit(" "), F.lit("")), F.lit("-"), F.lit("")).alias("key"), "spelling", "winner", F.col("times").alias("n"))
+
+
+_ACRONYM = r"acro as (select *, regexp_replace(form, '(\p{Lu})s$', '\1') as sf from near), ac as (select * from acro where length(sf) between 2 and 8 and regexp_matches(sf, '^[\p{Lu}\p{Ll}0-9]+$') and length(regexp_replace(sf, '[^\p{Lu}]', '', 'g')) >= 2 and length(regexp_replace(sf, '[^\p{Lu}]', '', 'g')) * 2 >= length(sf) and not regexp_matches(sf, '^[IVXLCDM]+$') and not regexp_matches(sf, '\p{Ll}{3}') and not coalesce(regexp_matches(before_form, '^[\p{Lu}]{2,}$|^[0-9]'), false) and not coalesce(regexp_matches(next_form, '^[\p{Lu}]{2,}$|^[0-9]'), false))"
+
+
+@query(_sql("select doc_id, sf, min(begin_at) as begin from ac where sf not in ('AND', 'THE') group by all", _ACRONYM))
+def acronym_undefined(spark, d):
+    return kinds.acronyms(corpus_of(spark, d), "undefined", ["AND", "THE"]).select("doc_id", "sf", "begin")
+
+
+def _acronym_rows(check: str):
+    def run(spark, d):
+        return kinds.acronyms(corpus_of(spark, d), check, []).select("doc_id", "sf", "begin")
+
+    run.__name__ = f"acronym_{check.replace('-', '_')}"
+    return query()(run)
+
+
+for _check in ("defined-after-use", "used-once", "redefined", "first-use-in-heading"):
+    _acronym_rows(_check)
+
+
+@query(_sql("select doc_id, block_id, sent_id, begin_at as begin, match from k2", _greedy("('the and', 2, 'the'), ('of that', 2, '')")))
+def glossary_deprecated(spark, d):
+    terms = spark.createDataFrame(TERMS, "concept string, term string, status string, exact boolean")
+    return kinds.glossary(corpus_of(spark, d), terms, "deprecated").select(*_AT, "begin", "match")
+
+
+@query(_sql("select doc_id, block_id, sent_id, begin_at as begin, match from k2 where match <> 'In The'", _greedy("('in the', 2, 'In The')")))
+def glossary_casing(spark, d):
+    terms = spark.createDataFrame(TERMS, "concept string, term string, status string, exact boolean")
+    return kinds.glossary(corpus_of(spark, d), terms, "casing").select(*_AT, "begin", "match")
+
+
+#: Distance 1 in characters, with swaps of neighbours; the engine's own function counts bytes.
+_ONE_EDIT = """abs(length(once.word) - length(lex.word)) <= 1 and case
+  when length(once.word) > length(lex.word) then list_contains(list_transform(range(1, length(once.word) + 1), lambda i: substr(once.word, 1, i - 1) || substr(once.word, i + 1)), lex.word)
+  when length(once.word) < length(lex.word) then list_contains(list_transform(range(1, length(lex.word) + 1), lambda i: substr(lex.word, 1, i - 1) || substr(lex.word, i + 1)), once.word)
+  else len(list_filter(range(1, length(lex.word) + 1), lambda i: substr(lex.word, i, 1) <> substr(once.word, i, 1))) = 1
+    or list_contains(list_transform(range(1, length(lex.word)), lambda i: substr(lex.word, 1, i - 1) || substr(lex.word, i + 1, 1) || substr(lex.word, i, 1) || substr(lex.word, i + 2)), once.word) end"""
+_LEX = r"lex as (select lower(replace(form, '’', '''')) as word, count(distinct doc_id) as docs from tokens where regexp_matches(form, '^\p{Ll}[\p{Ll}''’-]*$') group by 1 having count(distinct doc_id) >= 20)"
+
+
+@query(_sql("select doc_id, word as match, begin from once join (select distinct once.word from once join lex on " + _ONE_EDIT + ") n using (word)", _LEX + r", o as (select doc_id, form as word, min(begin_at) as begin from near where regexp_matches(form, '^\p{Ll}{6,}$') group by all having count(*) = 1), once as (select * from o where word not in (select word from lex))"))
+def spelling_candidates(spark, d):
+    c = corpus_of(spark, d)
+    return kinds.spelling(c, kinds.lexicon(c, 20), min_length=6).select("doc_id", "match", "begin")
+
+
+@query(_sql(r"select doc_id, word as match, begin, n as times from u where exists (select 1 from lex where lex.word in (stem, stem || 'e', regexp_replace(stem, 'i$', 'y')))", _LEX + rf", u as (select *, regexp_extract(word, '^(\p{{Ll}}{{3,}}?)({'|'.join(kinds.SUFFIXES)})$', 1) as stem from (select doc_id, form as word, count(*) as n, min(begin_at) as begin from near where regexp_matches(form, '^(\p{{Ll}}{{3,}}?)({'|'.join(kinds.SUFFIXES)})$') group by all) where word not in (select word from lex))"))
+def coined_words(spark, d):
+    c = corpus_of(spark, d)
+    return kinds.coined_words(c, kinds.lexicon(c, 20)).select("doc_id", "match", "begin", "times")
+
+
+@query()
+def concept_names(spark, d):
+    return kinds.concept_names(corpus_of(spark, d)).select(*_AT, "begin", "match")
+
+
+@query(_sql(r"select doc_id, block_id, sent_id, begin_at as begin, form as match, len(string_split(form, '-'))::int as parts from near where regexp_matches(form, '^\p{L}+(-\p{L}+){2,}$')"))
+def hyphen_chain(spark, d):
+    return kinds.hyphen_chain(corpus_of(spark, d), []).select(*_AT, "begin", "match", "parts")
+
+
+@query(_sql(rf"select doc_id, block_id, sent_id, begin_at as begin, form as match, replace(form, '-', ' ') as fixed from near where regexp_matches(form, '^\p{{L}}{{2,}}ly-\p{{L}}+$') and lower(string_split(form, '-')[1]) not in {_in(kinds.NOT_ADVERBS)}"))
+def ly_hyphen(spark, d):
+    return kinds.ly_hyphen(corpus_of(spark, d)).select(*_AT, "begin", "match", "fixed")
+
+
+# Shallow grammar ------------------------------------------------------------------------------
+
+_TAG = rf"""tagged as (select *, case when regexp_matches(form, '^[0-9]') then 'CD' when lower(form) in {_in(shallow.DETERMINERS)} then 'DT' when lower(form) in {_in(shallow.PREPOSITIONS)} then 'IN'
+  when lower(form) in {_in(shallow.PRONOUNS)} then 'PRP' when lower(form) in {_in(shallow.CONJUNCTIONS)} then 'CC' when lower(form) = 'to' then 'TO' when lower(form) in {_in(shallow.MODALS)} then 'MD'
+  when lower(form) in ('is', 'was', 'has', 'does') then 'VBZ' when lower(form) in {_in(shallow.BE)} then 'VBP' when lower(form) in {_in(shallow.NEGATIONS)} then 'RB' when lower(form) in {_in(shallow.PARTICIPLES)} then 'VBN'
+  when regexp_matches(form, '^\p{{Lu}}') and tok_id <> 0 then case when regexp_matches(form, 's$') then 'NNPS' else 'NNP' end
+  when regexp_matches(lower(form), 'ly$') then 'RB' when regexp_matches(lower(form), '\p{{L}}{{2,}}ing$') then 'VBG' when regexp_matches(lower(form), '\p{{L}}{{2,}}ed$') then 'VBN'
+  when regexp_matches(lower(form), '(ous|ful|ive|able|ible|al|ic|less|ary|ish)$') then 'JJ' when regexp_matches(lower(form), '(ss|us|is)$') then 'NN' when regexp_matches(lower(form), 's$') then 'NNS' else 'NN' end as tag from near)"""
+
+
+@query(_sql("select tag, count(*) as n from tagged group by tag", _TAG))
+def pos_tags(spark, d):
+    return shallow.tagged(corpus_of(spark, d)).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_sql("select chunk, count(*) as n from (select case when cls is null then 'O' when coalesce(before = cls, false) and tag not in ('DT', 'PRP', 'IN') and gap not like '%,%' then 'I-' || cls else 'B-' || cls end as chunk from (select *, lag(cls) over (partition by doc_id, block_id, sent_id order by tok_id) as before from (select *, case when tag in ('DT', 'JJ', 'NN', 'NNS', 'NNP', 'NNPS', 'CD', 'PRP') then 'NP' when tag in ('MD', 'VBZ', 'VBP', 'VBN', 'VBG', 'TO') then 'VP' when tag = 'IN' then 'PP' when tag = 'RB' then 'ADVP' end as cls from tagged))) group by chunk", _TAG))
+def base_chunks(spark, d):
+    return shallow.chunks(corpus_of(spark, d)).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_sql("select doc_id, block_id, sent_id, min(begin_at) as begin, count(*) as n from (select *, sum((not noun or not regexp_matches(gap, '^[ \\t\\n]*$'))::int) over (partition by doc_id, block_id, sent_id order by tok_id) as island from (select *, tag in ('NN', 'NNS') and lower(form) = form as noun from tagged)) where noun group by doc_id, block_id, sent_id, island having count(*) >= 4", _TAG))
+def noun_stack_shallow(spark, d):
+    return shallow.noun_stacks(corpus_of(spark, d), 4).select(*_AT, "begin", "n")
+
+
+@query(_sql("select doc_id, block_id, sent_id, sum((tag in ('JJ', 'RB'))::int)::bigint as n_modifiers, count(*) as n_words from tagged group by all having sum((tag in ('JJ', 'RB'))::int) >= 5 and sum((tag in ('JJ', 'RB'))::int) >= 0.3 * count(*)", _TAG))
+def modifier_density(spark, d):
+    return shallow.modifier_density(corpus_of(spark, d)).select(*_AT, "n_modifiers", "n_words")
+
+
+@query(_sql(f"select doc_id, block_id, sent_id, begin_at as begin, case when t1 = 'VBN' then f1 when t2 = 'VBN' then f2 else f3 end as participle from (select *, lead(tag) over w as t1, lead(tag, 2) over w as t2, lead(tag, 3) over w as t3, lead(form) over w as f1, lead(form, 2) over w as f2, lead(form, 3) over w as f3 from tagged window w as (partition by doc_id, block_id, sent_id order by tok_id)) where lower(form) in {_in(shallow.BE)} and (t1 = 'VBN' or (t1 = 'RB' and (t2 = 'VBN' or (t2 = 'RB' and t3 = 'VBN'))))", _TAG))
+def passive_shallow(spark, d):
+    return shallow.passives(corpus_of(spark, d)).select(*_AT, "begin", "participle")
+
+
+@query(_sql(f"select doc_id, block_id, sent_id, count(*) as n from tokens where lower(form) in {_in(shallow.NEGATIONS)} or regexp_matches(lower(form), 'n[''’]t$') group by all having count(*) >= 2"))
+def stacked_negation(spark, d):
+    return shallow.stacked_negations(corpus_of(spark, d)).select(*_AT, "n")
+
+
+@query(_sql(r"select doc_id, block_id, sent_id, begin_at as begin from sentences where regexp_matches(text, '^(?:This|That) (?:is|was|will|can|may|might|must|should|would|means|makes|gives|shows|has|does)\b')"))
+def bare_demonstrative(spark, d):
+    return shallow.bare_demonstratives(corpus_of(spark, d)).select(*_AT, "begin")
+
+
+@query(_sql(r"select doc_id, block_id, sent_id, past, n, n_past from (select *, count(*) over b as n, sum(past) over b as n_past from (select doc_id, block_id, sent_id, p::int as past from (select *, regexp_matches(lower(text), '\b(was|were|had|did)\b') as p, regexp_matches(lower(text), '\b(is|are|has|does)\b') as q from sentences) where p <> q) window b as (partition by doc_id, block_id)) where n >= 3 and ((n_past >= n * (2.0 / 3.0)::double and past = 0) or (n_past < n * (2.0 / 3.0)::double and n - n_past >= n * (2.0 / 3.0)::double and past = 1))"))
+def tense_shift_shallow(spark, d):
+    return shallow.tense_shifts(corpus_of(spark, d)).select(*_AT, "past", "n", F.col("n_past"))
+
+
+@query(_sql("select doc_id, l.b as block_id, l.s as sent_id, min(e).b as of_block, min(e).s as of_sent from (select a.doc_id, {'b': a.block_id, 's': a.sent_id} as l, {'b': b.block_id, 's': b.sent_id} as e, a.n, count(*) as c from sized a join sized b on a.doc_id = b.doc_id and a.word = b.word and (b.block_id, b.sent_id) < (a.block_id, a.sent_id) group by all) where c * 100 >= n * 80 group by doc_id, l", "content as (select distinct doc_id, block_id, sent_id, lower(form) as word from tokens where length(form) >= 4), sized as (select * from (select *, count(*) over (partition by doc_id, block_id, sent_id) as n from content) where n >= 4)"))
+def restatement(spark, d):
+    return shallow.restatements(corpus_of(spark, d))
+
+
+@query()
+def rule_of_three_shallow(spark, d):
+    return shallow.coordinations(corpus_of(spark, d)).select(*_AT, "begin", "match", "n")
+
+
+@query()
+def agreement_shallow(spark, d):
+    return shallow.agreement(corpus_of(spark, d)).select(*_AT, "begin", "rule", "match", "fixed")
+
+
+@query(_sql("select doc_id, block_id, sent_id, count(*) filter (where length(form) >= 4) as n, count(*) filter (where length(form) >= 4 and lower(form) in (select word from lex)) as n_abstract from tagged group by doc_id, block_id, sent_id having count(*) filter (where length(form) >= 4) >= 3 and count(*) filter (where length(form) >= 4 and lower(form) in (select word from lex)) * 100 >= 80 * count(*) filter (where length(form) >= 4) and not bool_or(tag in ('NNP', 'NNPS', 'CD'))", _LEX + ", " + _TAG))
+def vacuous(spark, d):
+    c = corpus_of(spark, d)
+    return shallow.vacuous(c, kinds.lexicon(c, 20)).select(*_AT, "n", "n_abstract")
+
+
+# Structure ------------------------------------------------------------------------------------
+
+_ARTICLE = "blk as (select doc_id, block_id, case when length(text) <= 40 then 'heading' else 'paragraph' end as kind, case when length(text) <= 40 then (length(text) % 3 + 1)::int else 0 end as level, text from (select doc_id, unnest(range(0, len(l)))::int as block_id, unnest(l) as text from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)) where text <> ''), nx as (select *, lead(kind) over w as next_kind, lead(level) over w as next_level from blk window w as (partition by doc_id order by block_id))"
+
+
+@query(f"with {_ARTICLE} select doc_id, block_id, level, before as from_level from (select *, lag(level) over (partition by doc_id order by block_id) as before from blk where kind = 'heading') where level > before + 1")
+def heading_increment(spark, d):
+    return structure.heading_increment(article_blocks(spark, d)).select("doc_id", "block_id", "level", "from_level")
+
+
+@query(f"with {_ARTICLE} select doc_id, block_id, total from (select *, row_number() over (partition by doc_id order by block_id) as n, count(*) over (partition by doc_id) as total from blk where kind = 'heading' and level = 1) where n > 1")
+def single_h1(spark, d):
+    return structure.single_h1(article_blocks(spark, d)).select("doc_id", "block_id", "total")
+
+
+@query(f"with {_ARTICLE} select doc_id, block_id, level from nx where kind = 'heading' and (next_kind is null or (next_kind = 'heading' and next_level <= level))")
+def empty_section(spark, d):
+    return structure.empty_section(article_blocks(spark, d)).select("doc_id", "block_id", "level")
+
+
+@query(f"with {_ARTICLE} select doc_id, block_id, level from nx where kind = 'heading' and next_kind = 'heading' and next_level > level")
+def stacked_headings(spark, d):
+    return structure.stacked_headings(article_blocks(spark, d)).select("doc_id", "block_id", "level")
+
+
+@query(f"with {_ARTICLE}, h as (select * from blk where kind = 'heading'), p as (select h.*, (select max(b.block_id) from h b where b.doc_id = h.doc_id and b.block_id < h.block_id and b.level < h.level) as parent from h), q as (select p.*, h.level as pl from p join h on h.doc_id = p.doc_id and h.block_id = p.parent) select doc_id, block_id, level from (select *, count(*) over (partition by doc_id, parent) as n from q where level = pl + 1) where n = 1")
+def lone_subsection(spark, d):
+    return structure.lone_subsection(article_blocks(spark, d)).select("doc_id", "block_id", "level")
+
+
+@query(f"with {_ARTICLE} select doc_id, block_id, level from blk where kind = 'heading' and level > 2")
+def depth(spark, d):
+    return structure.depth(article_blocks(spark, d), 2).select("doc_id", "block_id", "level")
+
+
+_CHUNKS = r"len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')))"
+
+
+@query(f"with {_ARTICLE} select doc_id, min(block_id) as block_id, count(*) as n_blocks, sum({_CHUNKS})::bigint as n_words from (select *, sum((kind = 'heading')::int) over (partition by doc_id order by block_id) as island from blk) where kind = 'paragraph' group by doc_id, island having sum({_CHUNKS}) > 150 and count(*) > 2")
+def wall_of_text(spark, d):
+    return structure.wall_of_text(article_blocks(spark, d), 150, 2)
+
+
+@query(_sql("select doc_id, block_id, c as n_words, n as n_sentences from (select b.doc_id, b.block_id, " + _CHUNKS.replace("text", "b.text") + "::int as c, s.n from blocks b join (select doc_id, block_id, count(*) as n from sentences group by all) s on b.doc_id = s.doc_id and b.block_id = s.block_id) where c > 150 or n > 8"))
+def paragraph_length(spark, d):
+    c = corpus_of(spark, d)
+    return structure.paragraph_length(c.blocks, c.sentences, 150, 8).select("doc_id", "block_id", "n_words", "n_sentences")
+
+
+@query()
+def one_line_paragraphs(spark, d):
+    c = Corpus(None, article_blocks(spark, d))
+    return structure.one_line_paragraphs(c.blocks, c.sentences)
+
+
+@query(f"with {_ARTICLE}, l as (select doc_id, min(block_id) as block_id from (select *, sum((kind = 'heading' and level <= 2)::int) over (partition by doc_id order by block_id) as s from blk) where kind = 'paragraph' group by doc_id, s) select b.doc_id, b.block_id from blk b join l using (doc_id, block_id) where regexp_matches(b.text, '^(The|Of|In) ') and not regexp_matches(b.text, '[0-9“\"]|[\\p{{L}},] \\p{{Lu}}')")
+def vague_lead(spark, d):
+    return structure.vague_lead(article_blocks(spark, d), "^(The|Of|In) ").select("doc_id", "block_id")
+
+
+@query(f"with {_ARTICLE} select doc_id, block_id from (select doc_id, max(block_id) as block_id, arg_max(text, block_id) as t, count(*) as n from blk where kind = 'heading' and level = 2 group by doc_id) where n >= 2 and regexp_matches(t, '^(The|And|Of|In)')")
+def conclusion_at_end(spark, d):
+    return structure.conclusion_at_end(article_blocks(spark, d), "^(The|And|Of|In)").select("doc_id", "block_id")
+
+
+@query()
+def parallel_lists_shallow(spark, d):
+    return structure.parallel(page_blocks(spark, d), "list-items", 3, 0.6).select("doc_id", "block_id", "form", "wanted")
+
+
+# Findings and what follows --------------------------------------------------------------------
+
+
+def _findings(spark, d) -> tuple[Corpus, DataFrame]:
+    c = corpus_of(spark, d)
+    doubled = kinds.findings(kinds.repeated_word(c), "core.repeated-word", "warning", "“{match}” repeats a word", F.col("fixed"))
+    arts = kinds.findings(kinds.articles(c), "core.articles", "warning", "“{match}” does not fit the next word", F.col("fixed"))
+    long = kinds.findings(kinds.sentence_length(c, 35), "plain.sentence-length", "suggestion", "a long sentence")
+    return c, doubled.unionByName(arts).unionByName(long)
+
+
+_FOUND = f"""found as (
+  select doc_id, 'core.repeated-word' as rule, 1 as rank, 'warning' as severity, begin_at as b, next_stop as e, form as fix from near where {_DOUBLED}
+  union all select doc_id, 'core.articles', 1, 'warning', begin_at, stop_at, case when form like 'A%' then case when an then 'An' else 'A' end else case when an then 'an' else 'a' end end from (select *, {_AN} as an from (select *, regexp_extract(next_form, '^[\\p{{L}}\\p{{N}}''’]+') as f from near where form in ('a', 'an', 'A', 'An') and regexp_matches(next_gap, '^[ \\t]+$'))) where an <> (lower(form) = 'an')
+  union all select doc_id, 'plain.sentence-length', 2, 'suggestion', begin_at, begin_at + length(text), null from sentences where n_words > 35
+)"""
+
+
+@query(_sql("select doc_id, rule, b as begin, e as stop from found f where not exists (select 1 from found o where o.doc_id = f.doc_id and f.rule = 'plain.sentence-length' and o.rule = 'core.articles' and f.b < o.e and o.b < f.e)", _FOUND))
+def yields_to(spark, d):
+    _, found = _findings(spark, d)
+    order = spark.createDataFrame([("plain.sentence-length", "core.articles")], "rule string, over string")
+    return post.yields_to(found, order).select("doc_id", "rule", "begin", "stop")
+
+
+@query(_sql("select doc_id, rule, b as begin, e as stop, row_number() over (partition by doc_id order by b, rank, rule, e)::int as place from (select distinct doc_id, rule, rank, b, e from found)", _FOUND))
+def dedup_sorted(spark, d):
+    return post.dedup_sorted(_findings(spark, d)[1]).select("doc_id", "rule", "begin", "stop", "place")
+
+
+@query(_sql("select rule, severity, count(*) as n, count(distinct doc_id) as n_docs from found group by rollup (rule, severity)", _FOUND))
+def severity_rollup(spark, d):
+    return post.severity_rollup(_findings(spark, d)[1])
+
+
+@query(_sql("select rule, count(*) as n, 1000.0 * count(*) / (select sum(n_words) from sentences) as per_1000 from found group by rule", _FOUND))
+def rule_rates(spark, d):
+    c, found = _findings(spark, d)
+    return post.rule_rates(found, c.sentences)
+
+
+@query(_sql("select doc_id, count(*) as n from found f join (select doc_id, sum(n_words) as w from sentences group by doc_id) s using (doc_id) where rule like 'core.%' group by doc_id, w having count(*) >= 5 and count(*) * 100 / greatest(w, 1) > 2.0", _FOUND))
+def tell_density(spark, d):
+    c, found = _findings(spark, d)
+    return post.tell_density(found, c.sentences, ["core."], 100, 2.0, 5).select("doc_id", "n")
+
+
+@query()
+def quote_filter(spark, d):
+    c, found = _findings(spark, d)
+    return post.quote_filter(found, quoted_spans(c.docs)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def apply_fixes(spark, d):
+    c, found = _findings(spark, d)
+    return post.apply_fixes(c.docs, found)
+
+
+@query(_sql("select word, choice, r as place from (select *, row_number() over (partition by word order by docs desc, choice) as r from (select distinct once.word, lex.word as choice, lex.docs from once join lex on " + _ONE_EDIT + ")) where r <= 5", _LEX + r", o as (select distinct form as word from (select doc_id, form from near where regexp_matches(form, '^\p{Ll}{6,}$') group by all having count(*) = 1)), once as (select * from o where word not in (select word from lex))"))
+def top_k_suggestions(spark, d):
+    c = corpus_of(spark, d)
+    offered = kinds.spelling(c, kinds.lexicon(c, 20), min_length=6).select(F.col("match").alias("word"), "choices").distinct()
+    return offered.select("word", F.posexplode("choices").alias("place", "choice")).select("word", "choice", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query("select least(floor(p * 10), 9)::int as bin, count(*) as n, avg(p) as mean_p, avg(r) as accuracy, avg((p - r) ** 2) as brier, avg(-case when r = 1 then ln(greatest(least(p, 1 - 1e-9), 1e-9)) else ln(1 - greatest(least(p, 1 - 1e-9), 1e-9)) end) as nll from (select n_chars % 1000 / 1000.0::double as p, quality::double as r from documents join labels using (doc_id)) group by 1")
+def calibration(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return post.calibration(rows.select((F.col("n_chars") % 1000 / F.lit(1000.0)).alias("p"), F.col("quality").alias("right")))
+
+
+@query()
+def report_json(spark, d):
+    c, found = _findings(spark, d)
+    return post.report_json(found, c.docs)
+
+
+@query()
+def sarif(spark, d):
+    c, found = _findings(spark, d)
+    return post.sarif_results(found, c.docs).select("doc_id", "place", "result")
+
+
+@query()
+def rewrite_choice(spark, d):
+    c, found = _findings(spark, d)
+    candidates = post.rewrite_candidates(c.sentences, found)
+    return post.choose_rewrites(candidates, c.sentences, F.col("n_fixes").cast("double")).select(*_AT, "candidate", "n_fixes", "edit")
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+@query()
+def check_packs(spark, d):
+    """All built-in packs over the documents: the findings by rule."""
+    return check(corpus_of(spark, d), built_in()).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id")
+    """The findings of all built-in packs over documents, in order."""
+    return post.dedup_sorted(check(corpus_of(spark, sf_dir), built_in())).select("doc_id", "place", "rule", "severity", "message", "begin", "stop", "match", "replacement")
