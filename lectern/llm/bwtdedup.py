@@ -242,7 +242,8 @@ def repeats(docs: DataFrame, *, length: int = 400, heavy: int = HEAVY, id_col: s
     whole = documents(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     texts = whole.select("k1", "k2", "text").where(F.octet_length("text") >= length)
     anchors = checkpoint(_anchors(texts, length))
-    often = anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash")
+    # A table of its own, so that both sides of the join are dealt out by exchanges that adaptive execution can split.
+    often = checkpoint(anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"))
     # Rows of one text count as its copies.
     wanted = anchors.join(often, "hash", "left_semi").groupBy("k1", "k2", "anchor").agg(F.count(F.lit(1)).alias("copies"))
     wanted = checkpoint(wanted.groupBy("k1", "k2").agg(F.collect_list("anchor").alias("anchors"), F.max("copies").alias("copies")))

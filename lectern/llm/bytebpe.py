@@ -54,7 +54,7 @@ class Encoder:
     for every code point; those of `tokenizers` differ for code points of the latest Unicode versions.
     """
 
-    REMEMBERED = 300_000
+    REMEMBERED = 120_000
 
     def __init__(self, path: str, pattern: str):
         one_worker_thread()

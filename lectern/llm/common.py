@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as all contracts of this subpackage use it.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows in an Arrow batch: whole texts travel in them, so that a batch stays small.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,7 +64,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, kept for the words met lately."""
 
-    LIMIT = 400_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

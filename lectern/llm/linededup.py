@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS
+from lectern.llm.common import BLANKS, checkpoint
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,7 +41,8 @@ def dedup_lines(docs: DataFrame, *, min_docs: int, min_length: int = 1, id_col:
     key = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
     lines = docs.select(key.alias("_key"), line_hashes(text, min_length).alias("_lines"))
     once = lines.select(F.explode(F.array_distinct(F.filter("_lines", lambda h: h.isNotNull()))).alias("h"))
-    common = once.groupBy("h.a", "h.b").count().where(F.col("count") >= min_docs).select("a", "b")
+    # A table of its own, so that both sides of the join are dealt out by exchanges that adaptive execution can split.
+    common = checkpoint(once.groupBy("h.a", "h.b").count().where(F.col("count") >= min_docs).select("a", "b"))
     placed = lines.select(*[c.alias(f"k{i}") for i, c in enumerate(row)], F.posexplode("_lines").alias("pos", "h")).where("h is not null").select("k0", "k1", "k2", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     dropped = placed.join(common, ["a", "b"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("pos").alias("_dropped"))
     whole = docs.withColumn("_key", key).select("*", *[c.alias(f"k{i}") for i, c in enumerate(row)])
