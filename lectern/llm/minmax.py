@@ -214,3 +214,23 @@ def keep_one(docs: DataFrame, *, n: int, percent: int, id_col: str = "doc_id", t
     repeated = several.select(F.col("doc_id").alias("_several"))
     once = out.join(repeated, key == F.col("_several"), "left_semi").dropDuplicates([id_col])
     return out.join(repeated, key == F.col("_several"), "left_anti").unionByName(once)
+
+
+#: The contract query by comparing all pairs that share a shingle.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) end) as s
+  from w
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, e.y from reach r join both_ways e on r.other = e.x),
+least as (select doc_id, min(other) as component_id from reach group by doc_id)
+select l.doc_id, coalesce(n.n, 0)::bigint as n_shingles, l.component_id, l.doc_id = l.component_id as kept from least l left join n using (doc_id)
+"""

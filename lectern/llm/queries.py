@@ -57,4 +57,4 @@ def op10_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_mpeg_ts, op2_lm_scoring, op3_line_dedup, op4_byte_bpe, op5_token_counts, op6_decontamination, op7_quality, op8_url_filter, op9_bwt_dedup, op10_min_max)}
-ORACLES = {"op3_line_dedup": linededup.ORACLE, "op6_decontamination": decontam.ORACLE, "op8_url_filter": urlfilter.ORACLE}
+ORACLES = {"op3_line_dedup": linededup.ORACLE, "op6_decontamination": decontam.ORACLE, "op8_url_filter": urlfilter.ORACLE, "op10_min_max": minmax.ORACLE}
