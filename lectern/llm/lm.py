@@ -4,10 +4,10 @@ The model works on ids of a byte-level vocabulary, each word encoded with a blan
 the ids hold the words of the text without loss. An id's probability is that of its class times that of the id in the class:
 
 * Classes: the commonest ids are classes of their own, the others share classes of about equal weight.
-* Class probabilities: class bigrams inside the words of all training texts, corrected by one head of masked self-attention over the
+* Class probabilities: of classes after ids in the words of all training texts, corrected by one head of masked self-attention over the
   ids before. The head is trained in numpy by rounds of local steps in each partition, on a fixed share of the training
   texts, and the weights of all partitions are averaged after each round.
-* Ids in a class: counts after each previous class of the word over all training texts, backed off to the counts of the ids.
+* Ids in a class: counts after each id of the word over all training texts, backed off to those after its class and of the ids.
 * Words: the product of their ids' probabilities is what the absolutely discounted counts of all training words back off
   to, so that a word met before keeps its share and the head decides on the rest.
 
@@ -37,7 +37,7 @@ from lectern.llm.common import Batches, as_bytes, checkpoint, documents, record_
 END = b"\n"  # no word has a line break
 LENGTH, STRIDE = 32, 24
 CLASSES, SINGLE, WIDTH, INPUTS = 64, 48, 8, 1024
-START = CLASSES  # what comes before the first id of a word
+START = INPUTS + CLASSES  # the input before the first id of a word
 HEAD_WORDS = 100_000  # words whose counts are broadcast
 TRAIN_SHARE = 64  # one in so many training texts moves the attention weights
 ROUNDS = 2
@@ -161,20 +161,47 @@ class Classes:
 
 
 class Tables:
-    """Log probabilities from counts: class after class, and id in its class after a class."""
+    """Log probabilities from counts of ids after inputs: of classes after an input, and of ids in their class after an input.
+
+    Each backs off: from an input to its class, and from the class to the counts of the ids alone.
+    """
 
     def __init__(self, classes: Classes, previous: np.ndarray, ids: np.ndarray, counts: np.ndarray):
-        n = len(classes.of)
+        n = self.size = len(classes.of)
+        class_of = np.full(START + 1, CLASSES)  # of an input; a word's start is a class of its own here
+        common = np.flatnonzero(classes.inputs < INPUTS)
+        class_of[classes.inputs[common]] = classes.of[common]
+        class_of[INPUTS:START] = np.arange(CLASSES)
         after = np.zeros((CLASSES + 1, n), np.float32)
-        after[previous, ids] = counts
+        np.add.at(after, (class_of[previous], ids), counts)
         by_class = np.zeros((CLASSES + 1, CLASSES))
         np.add.at(by_class.T, classes.of, after.T)
         total = by_class.sum(0) + 0.5
-        prior = total / total.sum()
-        self.bigram = np.log((by_class + BACKOFF * prior) / (by_class.sum(1, keepdims=True) + BACKOFF)).astype(np.float32)
+        prior = (by_class + BACKOFF * total / total.sum()) / (by_class.sum(1, keepdims=True) + BACKOFF)
         own = classes.counts + 0.05
         alone = own / np.bincount(classes.of, own, CLASSES)[classes.of]
-        self.inside = np.log((after + BACKOFF * alone) / (by_class[:, classes.of] + BACKOFF)).astype(np.float32)
+        inside = (after + BACKOFF * alone) / (by_class[:, classes.of] + BACKOFF)
+        self.inside = np.log(inside).astype(np.float32)
+        by_input = np.zeros((START + 1, CLASSES))
+        np.add.at(by_input, (previous, classes.of[ids]), counts)
+        self.bigram = np.log((by_input + BACKOFF * prior[class_of]) / (by_input.sum(1, keepdims=True) + BACKOFF)).astype(np.float32)
+        self.unmet = np.log(BACKOFF / (by_input + BACKOFF)).astype(np.float32)  # an id not met after an input
+        self.class_of = class_of.astype(np.int16)
+        key = previous.astype(np.int64) * n + ids
+        order = np.argsort(key)
+        self.key = key[order]
+        met = (counts + BACKOFF * inside[class_of[previous], ids]) / (by_input[previous, classes.of[ids]] + BACKOFF)
+        self.met = np.log(met).astype(np.float32)[order]
+
+    def in_class(self, before: np.ndarray, ids: np.ndarray, target_class: np.ndarray) -> np.ndarray:
+        """Log probability of ids in their class after inputs."""
+        out = self.inside[self.class_of[before], ids] + self.unmet[before, target_class]
+        if len(self.key):
+            key = before.astype(np.int64) * self.size + ids
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            found = self.key[at] == key
+            out[found] = self.met[at[found]]
+        return out
 
 
 SHAPES = {"e": (INPUTS + CLASSES, WIDTH), "p": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, CLASSES), "b": (CLASSES,)}
@@ -220,7 +247,8 @@ class Batch:
         self.target = np.concatenate([ids, np.full(LENGTH, vocab.end, np.int32)])
         previous = np.concatenate([[vocab.end], self.target[:-1]]).astype(np.int32)
         previous[begins] = vocab.end
-        self.inputs, self.before, self.target_class = classes.inputs[previous], classes.of[previous], classes.of[self.target]
+        self.inputs, self.target_class = classes.inputs[previous], classes.of[self.target]
+        self.before = self.inputs.copy()
         self.before[self.word_begin] = START
         self.text, begin, self.first = windows(self.lengths)
         self.at = begins[self.text] + begin
@@ -275,7 +303,7 @@ class Attention:
             logits += self.tables.bigram[before]
             chosen = logits[np.arange(len(place)), target]
             np.exp(logits, out=logits)
-            value = chosen - np.log(logits.sum(1)) + self.tables.inside[before, batch.target[place]]
+            value = chosen - np.log(logits.sum(1)) + self.tables.in_class(before, batch.target[place], target)
             kept = (places[first:] < batch.size[part, None]).reshape(-1)
             out[place[kept]] = value[kept]
 
@@ -393,18 +421,16 @@ def make_classes(words: DataFrame, path: str) -> Classes:
 
 
 def make_tables(words: DataFrame, classes: Classes, path: str) -> Tables:
-    """Counts of each id after each class of its word, or at the word's start; at most CLASSES + 1 times the vocabulary."""
+    """Counts of each id after each input of its word, or at the word's start; at most START + 1 times the vocabulary."""
     held = words.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Batches) -> Batches:
         vocab, cls = Vocabulary(path), held.value
         n = len(cls.of)
-        total = np.zeros((CLASSES + 1) * n)
         for ids, begins, counts in _spelt_words(batches, vocab):
-            previous = np.where(begins, START, np.concatenate([[0], cls.of[ids[:-1]]]))
-            total += np.bincount(previous.astype(np.int64) * n + ids, counts, len(total))
-        at = np.flatnonzero(total)
-        yield record_batch(pa.schema([("previous", pa.int32()), ("id", pa.int32()), ("count", pa.float64())]), [(at // n).astype(np.int32), (at % n).astype(np.int32), total[at]])
+            previous = np.where(begins, START, np.concatenate([[0], cls.inputs[ids[:-1]]]))
+            key, at = np.unique(previous.astype(np.int64) * n + ids, return_inverse=True)
+            yield record_batch(pa.schema([("previous", pa.int32()), ("id", pa.int32()), ("count", pa.float64())]), [(key // n).astype(np.int32), (key % n).astype(np.int32), np.bincount(at, counts)])
 
     rows = words.mapInArrow(run, "previous int, id int, count double").groupBy("previous", "id").agg(F.sum("count").alias("count")).toArrow()
     return Tables(classes, rows["previous"].to_numpy(), rows["id"].to_numpy(), rows["count"].to_numpy())

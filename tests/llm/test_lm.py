@@ -55,7 +55,7 @@ def model(seed=1):
     rng = np.random.default_rng(seed)
     n = 400
     classes = lm.Classes(rng.integers(0, 50, n), rng.random(n) < 0.5)
-    tables = lm.Tables(classes, *np.unique(np.stack([rng.integers(0, lm.CLASSES + 1, 900), rng.integers(0, n, 900)]), axis=1), 3)
+    tables = lm.Tables(classes, *np.unique(np.stack([rng.integers(0, lm.START + 1, 900), rng.integers(0, n, 900)]), axis=1), 3)
     flat = lm.initial() + 0.3 * rng.standard_normal(len(lm.initial())).astype(np.float32)
     return classes, tables, flat, rng
 
@@ -83,8 +83,10 @@ def test_tables_are_distributions():
     classes, tables, _, _ = model()
     assert np.allclose(np.exp(tables.bigram.astype(float)).sum(1), 1, atol=1e-5)
     for c in range(lm.CLASSES):
-        inside = np.exp(tables.inside[:, classes.of == c].astype(float)).sum(1)
-        assert np.allclose(inside, 1, atol=1e-5) or not (classes.of == c).any()
+        ids = np.flatnonzero(classes.of == c)
+        for before in (0, 5, lm.INPUTS + 3, lm.START):
+            if len(ids):
+                assert np.exp(tables.in_class(np.full(len(ids), before), ids, np.full(len(ids), c)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_each_id_is_scored_once_with_enough_context():
@@ -113,9 +115,9 @@ def test_scores_against_one_window_at_a_time():
             a = (x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(lm.WIDTH)
             a = np.exp(a - a.max())
             h = x[-1] + (a / a.sum()) @ (x @ w["v"])
-            before = lm.START if t in starts else classes.of[previous[t]]
+            before = lm.START if t in starts else classes.inputs[previous[t]]
             logits = h @ w["o"] + w["b"] + tables.bigram[before]
-            want = logits[classes.of[seq[t]]] - np.log(np.exp(logits).sum()) + tables.inside[before, seq[t]]
+            want = logits[classes.of[seq[t]]] - np.log(np.exp(logits).sum()) + tables.in_class(np.array([before]), np.array([seq[t]]), np.array([classes.of[seq[t]]]))[0]
             assert got[at] == pytest.approx(want, abs=2e-4)
             at += 1
 
