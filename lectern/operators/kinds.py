@@ -108,24 +108,31 @@ def phrase_items(spark: SparkSession, items: list[tuple[str, str | None]]) -> Da
 
 
 def words(corpus: Corpus, items: DataFrame, max_words: int) -> DataFrame:
-    """Multi-word items as contiguous words of a sentence, by a join on n-grams. Of overlapping items the longest wins, then the
-    first. Adds item_id and `fixed`, the fix in the case of what it replaces."""
-    w = Window.partitionBy(*_SENTENCE).orderBy("tok_id")
-    ahead = w.rowsBetween(Window.currentRow, max_words - 1)
+    """Multi-word items (item_id, item, n, fix, and rule where several rules share the pass) as contiguous words of a sentence.
+
+    The join is on an item's first word; the rest is compared in place, so that no n-grams are built for words that begin no item.
+    Of overlapping items of a rule the longest wins, then the first. Adds `fixed`, the fix in the case of what it replaces.
+    """
+    ahead = Window.partitionBy(*_SENTENCE).orderBy("tok_id").rowsBetween(Window.currentRow, max_words - 1)
     toks = corpus.tokens.withColumn("ahead", F.collect_list(F.struct(X.folded(F.col("form")).alias("f"), "stop", "form", "gap")).over(ahead))
-    grams = toks.select(*_SENTENCE, "tok_id", "begin", F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.struct(n.alias("n"), F.array_join(F.transform(F.slice("ahead", F.lit(1), n), lambda t: t["f"]), " ").alias("gram"), F.element_at("ahead", n)["stop"].alias("stop"), F.array_join(F.transform(F.slice("ahead", F.lit(1), n), lambda t, i: F.concat(F.when(i > 0, t["gap"]).otherwise(F.lit("")), t["form"])), "").alias("match"))))  .alias("g"))
-    found = grams.join(items, (F.col("g.gram") == F.col("item")) & (F.col("g.n") == F.col("n"))).select(*_SENTENCE, "tok_id", "begin", F.col("g.stop").alias("stop"), F.col("g.match").alias("match"), "n", "item_id", F.col("fix"))
-    return longest_first(found).withColumn("fixed", X.match_case(F.col("match"), F.col("fix"))).drop("fix")
+    rule = ["rule"] if "rule" in items.columns else []
+    listed = items.select("item_id", "item", "n", "fix", *rule, F.substring_index("item", " ", 1).alias("opening"))
+    taken = F.slice("ahead", F.lit(1), F.col("n"))
+    same = F.array_join(F.transform(taken, lambda t: t["f"]), " ") == F.col("item")
+    found = toks.join(listed, X.folded(F.col("form")) == F.col("opening")).where((F.size("ahead") >= F.col("n")) & same)
+    match = F.array_join(F.transform(taken, lambda t, i: F.concat(F.when(i > 0, t["gap"]).otherwise(F.lit("")), t["form"])), "")
+    found = found.select(*_SENTENCE, *rule, "tok_id", "begin", F.element_at(taken, -1)["stop"].alias("stop"), match.alias("match"), "n", "item_id", "fix")
+    return longest_first(found, [*_SENTENCE, *rule]).withColumn("fixed", X.match_case(F.col("match"), F.col("fix"))).drop("fix")
 
 
-def longest_first(found: DataFrame) -> DataFrame:
+def longest_first(found: DataFrame, keys: list[str]) -> DataFrame:
     """Greedy choice among overlapping matches of a sentence: more words first, then the earlier one; a fold over one sentence's matches."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "tok_id", "begin", "stop", "match", "n", "item_id", "fix")))
-    grouped = found.groupBy(*_SENTENCE).agg(order.alias("all"))
+    grouped = found.groupBy(*keys).agg(order.alias("all"))
     clash = lambda kept, m: F.exists(kept, lambda k: (k["tok_id"] < m["tok_id"] + m["n"]) & (m["tok_id"] < k["tok_id"] + k["n"]))
     empty = F.expr("filter(all, x -> false)")
     chosen = F.aggregate("all", empty, lambda kept, m: F.when(clash(kept, m), kept).otherwise(F.array_append(kept, m)))
-    return grouped.select(*_SENTENCE, F.explode(chosen).alias("m")).select(*_SENTENCE, "m.tok_id", "m.begin", "m.stop", "m.match", "m.n", "m.item_id", "m.fix")
+    return grouped.select(*keys, F.explode(chosen).alias("m")).select(*keys, "m.tok_id", "m.begin", "m.stop", "m.match", "m.n", "m.item_id", "m.fix")
 
 
 def substitution(corpus: Corpus, swap: dict[str, str]) -> DataFrame:

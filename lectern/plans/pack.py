@@ -74,7 +74,7 @@ def parse(text: str) -> Pack:
         for field in ("pattern", "next", "unless"):
             if field in r:
                 try:
-                    re.compile(re.sub(r"\\p\{L\w?\}|\\p\{N\}", "x", r[field]))
+                    re.compile(re.sub(r"\\p\{L\w?\}|\\p\{N\}|\\x\{[0-9A-Fa-f]+\}", "x", r[field]))
                 except re.error as e:
                     raise PackError(f"{where}: {field}: {e}") from None
         lists = {k: tuple(r.pop(k, ())) for k in ("yields_to", "examples", "acceptable")}
@@ -124,18 +124,20 @@ def _patterns(corpus: Corpus, rules: list[Rule]) -> DataFrame:
 
 
 def _phrases(corpus: Corpus, rules: list[Rule]) -> DataFrame:
-    """All words and substitution rules: one n-gram join, the longest item first in each rule."""
+    """All words and substitution rules of a scope in one join; overlaps are resolved within each rule."""
     items, meta = [], []
     for r in rules:
         swap = r.params["swap"] if r.kind == "substitution" else dict.fromkeys(r.params["words"]) | dict(r.params.get("replace", {}))
         for item in sorted(swap):
+            meta.append((len(items), r.id, r.severity, r.message))
             items.append((item, swap[item]))
-            meta.append((len(meta), r.id, r.severity, r.message))
     spark = corpus.docs.sparkSession
-    table = kinds.phrase_items(spark, items)
     rules_of = spark.createDataFrame(meta, "item_id int, rule string, severity string, template string")
+    table = kinds.phrase_items(spark, items).join(rules_of.select("item_id", "rule"), "item_id")
     most = max(len(re.findall(r"\S+", i)) for i, _ in items)
-    hits = kinds.words(corpus, F.broadcast(table), most).join(F.broadcast(rules_of), "item_id")
+    hits = kinds.words(corpus, F.broadcast(table), most).join(F.broadcast(rules_of.drop("rule")), "item_id")
+    if rules[0].scope != "all":
+        hits = hits.join(kinds.in_scope(corpus, rules[0].scope).select("doc_id", "block_id", "sent_id"), ["doc_id", "block_id", "sent_id"], "left_semi")
     single = F.when(~F.col("fixed").contains("|"), F.col("fixed"))
     choices = F.when(F.col("fixed").isNull(), F.array().cast("array<string>")).otherwise(F.split("fixed", r"\|"))
     hits = hits.where(F.coalesce(F.col("fixed") != F.col("match"), F.lit(True)))
@@ -217,8 +219,8 @@ def check(corpus: Corpus, packs: list[Pack], quotes: DataFrame | None = None) ->
         for scope in SCOPES:
             if rules := [r for r in pack.rules if r.kind in ("regex", "existence") and r.scope == scope]:
                 own.append(_patterns(corpus, rules))
-        for r in (r for r in pack.rules if r.kind in ("words", "substitution")):
-            own.append(_phrases(corpus, [r]))
+            if rules := [r for r in pack.rules if r.kind in ("words", "substitution") and r.scope == scope]:
+                own.append(_phrases(corpus, rules))
         own += [_one(corpus, r) for r in pack.rules if r.kind not in ("regex", "existence", "words", "substitution", "tell-density")]
         if own:
             rows = own[0]
