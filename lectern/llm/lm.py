@@ -66,7 +66,7 @@ class Growing:
 class Vocabulary(dict):
     """word (bytes) -> place in arrays of its ids and its count. Place 0 is the end.
 
-    counts: counts of the commonest words; others have -1.
+    counts: counts of the commonest words; others have -1 and, where counts are given, a 128-bit key.
     """
 
     LIMIT = 700_000
@@ -79,13 +79,14 @@ class Vocabulary(dict):
         self.coder = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
         self.size = self.coder.n_vocab
         self.end = self.size  # an id of our own: the text's end, and what comes before its first id
-        self.counts = counts or {}
+        self.counts = counts
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
         self.ids, self.first, self.length, self.count = Growing(np.int32), Growing(np.int64), Growing(np.int32), Growing(np.int64)
+        self.key_a, self.key_b = Growing(np.int64), Growing(np.int64)
         self.words: list[bytes] = []
         self[END]
         self._add([[self.end]])
@@ -99,7 +100,11 @@ class Vocabulary(dict):
         self.first.extend(self.ids.n + np.cumsum([0, *map(len, ids)])[:-1])
         self.length.extend(np.array([len(i) for i in ids], np.int32))
         self.ids.extend(np.fromiter(chain.from_iterable(ids), np.int32))
-        self.count.extend(np.array([self.counts.get(w, -1) for w in self.new], np.int64))
+        if self.counts is not None:
+            counts = [self.counts.get(w, -1) for w in self.new]
+            keys = [word_key(w) if c < 0 else (0, 0) for w, c in zip(self.new, counts, strict=True)]
+            for column, values in ((self.count, counts), (self.key_a, [a for a, _ in keys]), (self.key_b, [b for _, b in keys])):
+                column.extend(np.array(values, np.int64))
         self.words += self.new
         self.new = []
 
@@ -518,7 +523,7 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
         model.folded()
         for batch in batches:
             texts = words_of(as_bytes(batch.column(1)))
-            known, base, tails, scores = [], [], [], []
+            known, base, tail_sizes, tails, scores = [], [], [], [], []
             for i in range(0, len(texts), 64):
                 b = Batch(texts[i : i + 64], vocab, cls)
                 by_word = np.add.reduceat(model.score(b), b.word_begin) * _LOG10
@@ -529,11 +534,13 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
                 known += np.add.reduceat((counts > 0).astype(np.int64), b.text_words).tolist()
                 base += np.add.reduceat(np.where(head_word, np.log10(of + 1) - denominator, 0), b.text_words).tolist()
                 scores += np.add.reduceat(np.where(head_word, mixed(of, by_word), 0), b.text_words).tolist()
-                for words_here in np.split(np.arange(len(counts)), b.text_words[1:]):
-                    rare = words_here[~head_word[words_here]]
-                    tails.append([(*word_key(vocab.words[p]), x) for p, x in zip(b.places[rare].tolist(), by_word[rare].tolist(), strict=True)])
+                tail_sizes.append(np.add.reduceat((~head_word).astype(np.int32), b.text_words))
+                rare = b.places[~head_word]
+                tails.append((vocab.key_a.data[rare], vocab.key_b.data[rare], by_word[~head_word]))
+            edges = np.concatenate([[0], *tail_sizes]).cumsum().astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, kind), *(t[i] for t in tails)])) for i, kind in enumerate((np.int64, np.int64, np.float64))], ["a", "b", "p"])
             schema = pa.schema([batch.schema.field(0), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tail", tail_type), ("score", pa.float64())])
-            yield record_batch(schema, [batch.column(0), [len(t) + 1 for t in texts], known, base, [[{"a": a, "b": b, "p": p} for a, b, p in t] for t in tails], scores])
+            yield record_batch(schema, [batch.column(0), [len(t) + 1 for t in texts], known, base, pa.ListArray.from_arrays(pa.array(edges), flat), scores])
 
     fields = "n_tokens long, known long, base double, tail array<struct<a:long,b:long,p:double>>, score double"
     scored = checkpoint(whole.mapInArrow(run, T.StructType([source_field, *T._parse_datatype_string(fields).fields])).withColumn("_row", F.monotonically_increasing_id()))

@@ -64,7 +64,7 @@ class Fake(lm.Vocabulary):
     """Words are made of letters that stand for ids."""
 
     def __init__(self):
-        self.counts, self.size, self.end = {}, 399, 399
+        self.counts, self.size, self.end = None, 399, 399
         self.reset()
 
     def places(self, words):
