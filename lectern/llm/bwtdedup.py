@@ -170,6 +170,9 @@ def _slices(wanted: DataFrame, length: int) -> DataFrame:
                     values = (k1, k2, base, int.from_bytes(core[:8], "big", signed=True), int.from_bytes(core[8:], "big", signed=True), lo, hi, before, after, int.from_bytes(row[:8], "big", signed=True), int.from_bytes(row[8:], "big", signed=True), copies)
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
+                if len(columns[0]) >= 5_000:
+                    yield record_batch(whole, columns)
+                    columns = [[] for _ in columns]
             yield record_batch(whole, columns)
 
     kinds = [("k1", "long"), ("k2", "long"), ("base", "long"), ("core_a", "long"), ("core_b", "long"), ("lo", "int"), ("hi", "int"), ("before", "binary"), ("after", "binary"), ("row_a", "long"), ("row_b", "long"), ("copies", "long")]
@@ -259,7 +262,8 @@ def repeats(docs: DataFrame, *, length: int = 400, heavy: int = HEAVY, id_col: s
     if not heavy_cores.isEmpty():
         masks = masks.union(_window_by_window(rows.join(heavy_cores, _CORE, "left_semi")))
     places = found.select("k1", "k2", "base", "row_a", "row_b").join(masks, ["row_a", "row_b"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("base", "mask")).alias("places"))
-    with_places = lambda df: df.join(places, ["k1", "k2"], "left").select("doc_id", "text", "places")
+    # The places of a partition are far smaller than its texts: they are hashed, and texts stream by without a sort.
+    with_places = lambda df: df.join(places.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "places")
     if not few:
         return with_places(whole)
     rest = whole.join(F.broadcast(keys), ["k1", "k2"], "left_anti")

@@ -46,7 +46,8 @@ def dedup_lines(docs: DataFrame, *, min_docs: int, min_length: int = 1, id_col:
     placed = lines.select(*[c.alias(f"k{i}") for i, c in enumerate(row)], F.posexplode("_lines").alias("pos", "h")).where("h is not null").select("k0", "k1", "k2", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     dropped = placed.join(common, ["a", "b"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("pos").alias("_dropped"))
     whole = docs.withColumn("_key", key).select("*", *[c.alias(f"k{i}") for i, c in enumerate(row)])
-    out = whole.join(dropped, ["k0", "k1", "k2"], "left")
+    # The positions of a partition are far smaller than its texts: they are hashed, and texts stream by without a sort.
+    out = whole.join(dropped.hint("shuffle_hash"), ["k0", "k1", "k2"], "left")
     split = F.split(text, "\n", -1)
     none = F.col("_dropped").isNull()
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_dropped")), lambda i: F.get(split, i))
