@@ -19,7 +19,7 @@ def broken(text: Column) -> Column:
     A break follows `.`, `!`, `?` or an ellipsis, with closing marks, before a capital or a digit; not after a title and not
     after an initial.
     """
-    held = F.regexp_replace(text, rf"\b({'|'.join(TITLES)}|[A-Z])\.", f"$1{HOLD}")
+    held = F.regexp_replace(text, rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(TITLES)}|[A-Z])\.", f"$1$2{HOLD}")
     marked = F.regexp_replace(held, rf"([.!?…][\"”’')\]]*)([ \t\n\r]+)({_OPEN}[\p{{Lu}}0-9])", f"$1{BREAK}$2$3")
     return F.translate(marked, HOLD, ".")
 

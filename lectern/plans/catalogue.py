@@ -61,7 +61,7 @@ blocks as (
   from placed where trim(part, {_TRIM}) <> ''
 ),
 held as (
-  select *, regexp_replace(text, '\b(Mr|Mrs|Ms|Dr|Prof|St|Sr|Jr|Gen|Capt|[A-Z])\.', '\1' || chr(2), 'g') as h from blocks
+  select *, regexp_replace(text, '(^|[^\p{{L}}\p{{N}}])(Mr|Mrs|Ms|Dr|Prof|St|Sr|Jr|Gen|Capt|[A-Z])\.', '\1\2' || chr(2), 'g') as h from blocks
 ),
 cut as (
   select *, string_split(translate(regexp_replace(h, '([.!?…]["”’'')\]]*)([ \t\n\r]+)(["“‘''(\[]*[\p{{Lu}}0-9])', '\1' || chr(1) || '\2\3', 'g'), chr(2), '.'), chr(1)) as pieces from held
