@@ -5,8 +5,8 @@ the ids hold the words of the text without loss. An id's probability is that of
 
 * Classes: the commonest ids are classes of their own, the others share classes of about equal weight.
 * Class probabilities: of classes after ids in the words of all training texts, corrected by one head of masked self-attention over the
-  ids before. The head is trained in numpy by rounds of local steps in each partition, on a fixed share of the training
-  texts, and the weights of all partitions are averaged after each round.
+  ids before. The head is trained in numpy by rounds of local steps in each partition, each over all training texts,
+  and the weights of all partitions are averaged after each round.
 * Ids in a class: counts after each id of the word over all training texts, backed off to those after its class and of the ids.
 * Words: the product of their ids' probabilities is what the absolutely discounted counts of all training words back off
   to, so that a word met before keeps its share and the head decides on the rest.
@@ -36,13 +36,12 @@ from lectern.llm.common import Batches, as_bytes, checkpoint, documents, record_
 
 END = b"\n"  # no word has a line break
 LENGTH, STRIDE = 32, 24
-CLASSES, SINGLE, WIDTH, INPUTS = 64, 48, 8, 1024
+CLASSES, SINGLE, WIDTH, INPUTS = 96, 64, 16, 1024
 START = INPUTS + CLASSES  # the input before the first id of a word
 HEAD_WORDS = 100_000  # words whose counts are broadcast
-TRAIN_SHARE = 64  # one in so many training texts moves the attention weights
 ROUNDS = 2
 BACKOFF = 20.0
-DISCOUNT, ALWAYS = 0.75, 0.03  # taken from each word's count; the least share of the ids' probability
+DISCOUNT, ALWAYS = 0.75, 0.1  # taken from each word's count; the least share of the ids' probability
 _LOG10 = 1 / np.log(10)
 
 
@@ -483,7 +482,7 @@ def word_key(word: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUNDS, train_share: int = TRAIN_SHARE, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUNDS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learnt from the rows that `learn_from` (over doc_id) admits.
 
     Null and empty texts are one end. Without training rows the base score is that of unknown words, and the model
@@ -498,8 +497,7 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
     tokens, distinct, ends = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("count"))), F.lit(0))).first()
     classes = make_classes(words, path)
     tables = make_tables(words, classes, path)
-    share = train.where(F.pmod(F.xxhash64(F.lit("share"), "text"), F.lit(train_share)) == 0)
-    flat = train_weights(share, classes, tables, path, rounds)
+    flat = train_weights(train, classes, tables, path, rounds)
     top = words.orderBy(F.desc("count"), "word").limit(head_words).toArrow()
     least = top["count"][-1].as_py() if top.num_rows == head_words else 0
     held = spark.sparkContext.broadcast((classes, tables, flat, dict(zip(top["word"].to_pylist(), top["count"].to_pylist(), strict=True))))

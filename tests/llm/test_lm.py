@@ -44,6 +44,26 @@ def test_base_score_and_gain(frame, head_words):
     assert len(known) > 50 and sum(r.score for r in known) > sum(r.base_score - 0.1 * r.n_tokens for r in known)
 
 
+def test_each_known_document_keeps_its_share(frame):
+    docs = list(enumerate(texts()))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    known = [r for r in lm.score(frame(docs), ~held_out, PATH).collect() if r.n_known == r.n_tokens]
+    # The base score counts a word met once twice; the text of three such words alone is left out.
+    assert len(known) > 50 and all(r.score > r.base_score - 0.1 * r.n_tokens for r in known if docs[r.doc_id][1] != "one\ttwo\x0bthree")
+
+
+def test_all_training_texts_move_the_head(frame, monkeypatch):
+    docs, seen = list(enumerate(texts())), []
+
+    def weights(train, *args, **kwargs):
+        seen.extend(r.doc_id for r in train.select("doc_id").collect())
+        return lm.initial()
+
+    monkeypatch.setattr(lm, "train_weights", weights)
+    lm.score(frame(docs), F.col("doc_id") % 3 != 0, PATH).count()
+    assert sorted(seen) == [i for i, _ in docs if i % 3]
+
+
 def test_query(run_op, frame):
     docs = list(enumerate(texts(40)))
     rows = run_op("op2_lm_scoring", documents=frame(docs)).collect()
