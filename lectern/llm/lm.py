@@ -8,8 +8,8 @@ the ids hold the words of the text without loss. An id's probability is that of
   ids before. The head is trained in numpy by rounds of local steps in each partition, each over all training texts,
   and the weights of all partitions are averaged after each round.
 * Ids in a class: counts after each id of the word over all training texts, backed off to those after its class and of the ids.
-* Words: the product of their ids' probabilities is what the absolutely discounted counts of all training words back off
-  to, so that a word met before keeps its share and the head decides on the rest.
+* Words: the product of their ids' probabilities, mixed with the word's share of all training words. The weight of the two is
+  the one under which all training texts are likeliest, each word judged by the counts of the others (leave one out).
 
 Texts are scored in windows that overlap, so that each id is scored once, with LENGTH - STRIDE ids of context or more.
 Word counts for the base score cover all training texts; the commonest words are broadcast, with a bound, and all others
@@ -41,7 +41,7 @@ START = INPUTS + CLASSES  # the input before the first id of a word
 HEAD_WORDS = 100_000  # words whose counts are broadcast
 ROUNDS = 2
 BACKOFF = 20.0
-DISCOUNT, ALWAYS = 0.75, 0.1  # taken from each word's count; the least share of the ids' probability
+WEIGHTS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])  # of the ids' probability, to choose from
 _LOG10 = 1 / np.log(10)
 
 
@@ -482,11 +482,24 @@ def word_key(word: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
+def mixed(weight: float, count: np.ndarray, total: float, subword: np.ndarray) -> np.ndarray:
+    """log10 of a word's probability, from its count, that of all words and the log10 of its ids' probability."""
+    with np.errstate(under="ignore", divide="ignore"):
+        seen = np.log10((1 - weight) / max(total, 1) * count + weight * 10.0**subword)
+    return np.where(count > 0, seen, np.log10(weight) + subword)
+
+
+def mixture(weight: float, count: Column, total: float, subword: Column) -> Column:
+    """mixed() of columns."""
+    seen = F.log10(F.lit((1 - weight) / max(total, 1)) * count + F.lit(weight) * F.pow(F.lit(10.0), subword))
+    return F.when(count > 0, seen).otherwise(F.lit(float(np.log10(weight))) + subword)
+
+
 def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUNDS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learnt from the rows that `learn_from` (over doc_id) admits.
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, weight) of every row, learnt from the rows that `learn_from` (over doc_id) admits.
 
     Null and empty texts are one end. Without training rows the base score is that of unknown words, and the model
-    knows nothing but its vocabulary. Repeated rows count as often as they occur and get equal scores; null ids stay
+    knows nothing but its vocabulary. `weight` is that of the ids' probability, the same in all rows. Repeated rows count as often as they occur and get equal scores; null ids stay
     null; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -502,26 +515,20 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
     least = top["count"][-1].as_py() if top.num_rows == head_words else 0
     held = spark.sparkContext.broadcast((classes, tables, flat, dict(zip(top["word"].to_pylist(), top["count"].to_pylist(), strict=True))))
     denominator = float(np.log10(tokens + distinct + 1))
-    backed = ALWAYS + (1 - ALWAYS) * DISCOUNT * distinct / tokens if tokens else 1.0
-    own = (1 - ALWAYS) / max(tokens, 1)
-
-    def mixed(count: np.ndarray, subword: np.ndarray) -> np.ndarray:
-        """log10 of a word's probability, from its count and the log10 of its ids' probability."""
-        with np.errstate(under="ignore"):
-            seen = np.log10(own * np.maximum(count - DISCOUNT, 1e-9) + backed * 10.0**subword)
-        return np.where(count > 0, seen, np.log10(backed) + subword)
-
     run_key = uuid.uuid4().hex
     tail_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("p", pa.float64())]))
     source_field = whole.schema["doc_id"]
+    judged = whole.withColumn("learns", F.coalesce(learn_from, F.lit(False)))
+    weights = [float(w) for w in WEIGHTS]
 
     def run(batches: Batches) -> Batches:
-        cls, tab, weights, head = held.value
-        vocab, model = counted_vocabulary(path, head, run_key), Attention(weights, tab)
+        cls, tab, trained, head = held.value
+        vocab, model = counted_vocabulary(path, head, run_key), Attention(trained, tab)
         model.folded()
         for batch in batches:
             texts = words_of(as_bytes(batch.column(1)))
-            known, base, tail_sizes, tails, scores = [], [], [], [], []
+            learns = batch.column(2).to_numpy(zero_copy_only=False)
+            known, base, tail_sizes, tails, scores, left_out = [], [], [], [], [], []
             for i in range(0, len(texts), 64):
                 b = Batch(texts[i : i + 64], vocab, cls)
                 by_word = np.add.reduceat(model.score(b), b.word_begin) * _LOG10
@@ -531,27 +538,35 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
                 of = np.maximum(counts, 0)
                 known += np.add.reduceat((counts > 0).astype(np.int64), b.text_words).tolist()
                 base += np.add.reduceat(np.where(head_word, np.log10(of + 1) - denominator, 0), b.text_words).tolist()
-                scores += np.add.reduceat(np.where(head_word, mixed(of, by_word), 0), b.text_words).tolist()
+                summed = lambda count, total, rows=b, sub=by_word, kept=head_word: np.stack([np.add.reduceat(np.where(kept, mixed(w, count, total, sub), 0), rows.text_words) for w in weights], 1)
+                scores += summed(of, tokens).tolist()
+                left_out += (summed(np.maximum(of - 1, 0), tokens - 1) * learns[i : i + 64, None]).tolist()
                 tail_sizes.append(np.add.reduceat((~head_word).astype(np.int32), b.text_words))
                 rare = b.places[~head_word]
                 tails.append((vocab.key_a.data[rare], vocab.key_b.data[rare], by_word[~head_word]))
             edges = np.concatenate([[0], *tail_sizes]).cumsum().astype(np.int32)
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, kind), *(t[i] for t in tails)])) for i, kind in enumerate((np.int64, np.int64, np.float64))], ["a", "b", "p"])
-            schema = pa.schema([batch.schema.field(0), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tail", tail_type), ("score", pa.float64())])
-            yield record_batch(schema, [batch.column(0), [len(t) + 1 for t in texts], known, base, pa.ListArray.from_arrays(pa.array(edges), flat), scores])
+            schema = pa.schema([batch.schema.field(0), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tail", tail_type), ("scores", pa.list_(pa.float64())), ("left_out", pa.list_(pa.float64())), ("learns", pa.bool_())])
+            yield record_batch(schema, [batch.column(0), [len(t) + 1 for t in texts], known, base, pa.ListArray.from_arrays(pa.array(edges), flat), scores, left_out, batch.column(2)])
 
-    fields = "n_tokens long, known long, base double, tail array<struct<a:long,b:long,p:double>>, score double"
-    scored = checkpoint(whole.mapInArrow(run, T.StructType([source_field, *T._parse_datatype_string(fields).fields])).withColumn("_row", F.monotonically_increasing_id()))
+    fields = "n_tokens long, known long, base double, tail array<struct<a:long,b:long,p:double>>, scores array<double>, left_out array<double>, learns boolean"
+    scored = checkpoint(judged.mapInArrow(run, T.StructType([source_field, *T._parse_datatype_string(fields).fields])).withColumn("_row", F.monotonically_increasing_id()))
     tail = scored.select("_row", F.explode("tail").alias("t")).select("_row", "t.*")
     rare = words.where(F.col("count") <= least) if least else words.limit(0)
     rare = rare.mapInArrow(_keys, "a long, b long, count long")
     c = F.coalesce("count", F.lit(0))
-    seen = F.log10(F.lit(own) * (c - F.lit(DISCOUNT)) + F.lit(backed) * F.pow(F.lit(10.0), F.col("p")))
-    mixture = F.when(c > 0, seen).otherwise(F.lit(float(np.log10(backed))) + F.col("p"))
-    of_tail = tail.join(rare, ["a", "b"], "left").groupBy("_row").agg(F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(F.log10(c + 1) - F.lit(denominator)).alias("tail_base"), F.sum(mixture).alias("tail_score"))
-    out = scored.drop("tail").join(of_tail, "_row", "left")
-    whole_of = lambda column, of_tail: F.col(column) + F.coalesce(of_tail, F.lit(0).cast(scored.schema[column].dataType))
-    return out.select("doc_id", "n_tokens", whole_of("known", "tail_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), whole_of("base", "tail_base").alias("base_score"), whole_of("score", "tail_score").alias("score"))
+    likelihood = np.zeros(len(weights))
+    if tokens:
+        by_head = scored.where("learns").agg(*(F.sum(F.col("left_out")[k]) for k in range(len(weights)))).first()
+        learnt = scored.where("learns").select(F.explode("tail").alias("t")).select("t.*").join(rare, ["a", "b"], "left")
+        by_tail = learnt.agg(*(F.sum(mixture(w, F.greatest(c - 1, F.lit(0)), tokens - 1, F.col("p"))) for w in weights)).first()
+        likelihood = np.array([(h or 0.0) + (t or 0.0) for h, t in zip(by_head, by_tail, strict=True)])
+    best = int(np.argmax(likelihood)) if tokens else len(weights) - 1
+    weight = weights[best]
+    of_tail = tail.join(rare, ["a", "b"], "left").groupBy("_row").agg(F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(F.log10(c + 1) - F.lit(denominator)).alias("tail_base"), F.sum(mixture(weight, c, tokens, F.col("p"))).alias("tail_score"))
+    out = scored.withColumn("score", F.col("scores")[best]).drop("tail").join(of_tail, "_row", "left")
+    whole_of = lambda column, of_tail: F.col(column) + F.coalesce(of_tail, F.lit(0).cast(out.schema[column].dataType))
+    return out.select("doc_id", "n_tokens", whole_of("known", "tail_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), whole_of("base", "tail_base").alias("base_score"), whole_of("score", "tail_score").alias("score"), F.lit(weight).alias("weight"))
 
 
 def _keys(batches: Batches) -> Batches:

@@ -64,6 +64,17 @@ def test_all_training_texts_move_the_head(frame, monkeypatch):
     assert sorted(seen) == [i for i, _ in docs if i % 3]
 
 
+def test_the_weight_of_the_ids_is_learnt(frame):
+    # Words that no other text has: their counts say nothing of them once the word itself is left out.
+    unlike = frame([" ".join(f"k{i}z{j}" for j in range(40)) for i in range(30)])
+    assert {r.weight for r in lm.score(unlike, F.lit(True), PATH, rounds=1).collect()} == {lm.WEIGHTS[-1]}
+    # Broadcast counts and joined ones give the same.
+    docs = frame(texts())
+    all_head, few = ({r.doc_id: r for r in lm.score(docs, F.lit(True), PATH, rounds=1, head_words=n).collect()} for n in (lm.HEAD_WORDS, 5))
+    assert {r.weight for r in all_head.values()} == {r.weight for r in few.values()}
+    assert all(few[i].score == pytest.approx(r.score, rel=1e-6, abs=1e-3) for i, r in all_head.items())
+
+
 def test_query(run_op, frame):
     docs = list(enumerate(texts(40)))
     rows = run_op("op2_lm_scoring", documents=frame(docs)).collect()
