@@ -8,9 +8,13 @@ explicitly allowed url allows its other members; else one with a blocked url blo
 from __future__ import annotations
 
 import dataclasses
+import html
+import re
+from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.components import connected_components
 from lectern.llm.linededup import ascii_lower
@@ -65,14 +69,20 @@ def links(html: Column) -> Column:
     return F.filter(targets, lambda t: t != "")
 
 
-def absolute(target: Column, base: Column) -> Column:
-    """A link target seen from a page; null where it is neither absolute nor rooted."""
-    scheme = F.regexp_extract(base, r"^([^:/?#]*):", 1)
-    return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/") & base.contains("://"), F.concat(scheme, F.lit("://"), host_of(base), target))
-    )
+@F.udf(returnType=T.StringType(), useArrow=False)
+def absolute(target: str | None, base: str | None) -> str | None:
+    """A link target seen from a page, entities decoded and relative to the page's url; null where it has a scheme without `://`, or the page has none."""
+    target = html.unescape(target or "").strip()
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", target):
+        return target
+    scheme = re.match(r"([^:/?#]+)://", base or "")
+    if not scheme or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", target):
+        return None
+    try:
+        # The standard library resolves known schemes only; the path and query are resolved alike for all.
+        return scheme[1] + urljoin("http" + base[scheme.end(1) :], target)[4:]
+    except ValueError:
+        return None
 
 
 def node(url: Column) -> Column:

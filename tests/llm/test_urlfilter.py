@@ -83,6 +83,26 @@ def test_the_oracle_agrees_on_links(tmp_path, spark, run_op):
     assert set(con.execute(f"select page_id, host, path, rule, verdict from ({urlfilter.ORACLE})").fetchall()) == rows
 
 
+def test_relative_and_encoded_targets_join_their_class(spark):
+    pages = [
+        (1, "http://www.com/de/a/x?page=2&ref=x", ""),  # blocked, as all urls under com/de/
+        (2, "http://w.net/p", link("http://www.com/de/a/x?page=2&amp;ref=x")),
+        (3, "http://m.net/a/b/c.html", link("../next.html?q=1")),
+        (4, "http://m.net/a/next.html?q=1", link("http://www.com/de/1")),
+        (5, "http://n.net/l?id=1", link("?id=2")),
+        (6, "http://n.net/l?id=2", refresh("http://www.com/de/1")),
+        (7, "http://o.net/in", link("/go?to=http://z.org/q")),
+        (8, "http://o.net/go?to=http://z.org/q", link("http://www.com/de/1")),
+        (9, "http://s.net/d/one", refresh("two")),
+        (10, "http://s.net/d/two", link("//www.com/de/1")),
+        (11, "http://t.net/a", link("mailto:x@www.com/de/1") + link("#top") + link("http:&#x2F;&#x2F;[")),
+        (12, "ftps://u.net/a", link("b")),
+        (13, "ftps://u.net/b", link("http://www.com/de/1")),
+    ]
+    rows = urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), urlfilter.RULES).collect()
+    assert {r.page_id for r in rows if r.verdict == "allow"} == {11}
+
+
 def test_redirect_tables_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://u.net/a", "")], "page_id long, url string, html string")
     known = spark.createDataFrame([("http://u.net/a", "http://b.com/de/x"), (None, "q")], "a string, b string")
