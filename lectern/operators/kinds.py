@@ -300,9 +300,11 @@ def acronyms(corpus: Corpus, check: str, known: list[str]) -> DataFrame:
     return out.select("doc_id", F.col("at.block_id").alias("block_id"), F.col("at.sent_id").alias("sent_id"), "begin", F.col("at.stop").alias("stop"), F.col("at.match").alias("match"), "sf")
 
 
-def glossary(corpus: Corpus, terms: DataFrame, check: str, max_words: int = 4) -> DataFrame:
+def glossary(corpus: Corpus, terms: DataFrame, check: str, max_words: int | None = None) -> DataFrame:
     """terms (concept, term, status, exact). deprecated: disallowed terms, with the preferred one; casing: exact terms written otherwise,
-    a capital at the start of a sentence allowed."""
+    a capital at the start of a sentence allowed. max_words: of the longest term, counted if not given."""
+    if max_words is None:
+        max_words = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     items = terms.select(F.xxhash64("term").alias("item_id"), F.lower("term").alias("item"), F.size(F.split("term", " ")).alias("n"), F.lit(None).cast("string").alias("fix"), "concept", "term", "status", "exact")
     if check == "deprecated":
         preferred = terms.where("status = 'preferred'").groupBy("concept").agg(F.min("term").alias("preferred"))

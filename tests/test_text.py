@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.register import register
-from lectern.operators import shallow, structure
+from lectern.operators import kinds, shallow, structure
 from lectern.operators.segment import Corpus
 from lectern.sources import glossary
 from lectern.sources.blocks import markdown_blocks
@@ -137,3 +137,12 @@ def test_sql_functions_and_streams(spark, tmp_path):
     sents = Corpus(spark.createDataFrame([(1, "A b. C d.")], "doc_id long, text string")).sentences
     cache = sents.limit(1).select(F.sha2("text", 256).alias("key"))
     assert unseen(sents, cache).count() == 1
+
+
+def test_long_glossary_terms_are_found(spark):
+    docs = Corpus(spark.createDataFrame([(1, "We use the very long name of it and old way.")], "doc_id long, text string"))
+    rows = [("c", "very long name of it", "deprecated", False), ("c", "old way", "deprecated", False), ("c", "It", "preferred", True), ("d", "Use The Very Long Name", "preferred", True)]
+    terms = spark.createDataFrame(rows, "concept string, term string, status string, exact boolean")
+    assert {r.match for r in kinds.glossary(docs, terms, "deprecated").collect()} == {"very long name of it", "old way"}
+    assert "use the very long name" in {r.match for r in kinds.glossary(docs, terms, "casing").collect()}
+    assert kinds.glossary(docs, terms.limit(0), "casing").count() == 0
