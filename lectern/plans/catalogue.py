@@ -573,10 +573,12 @@ def rewrite_choice(spark, d):
 @query()
 def check_packs(spark, d):
     """All built-in packs over the documents: the findings by rule."""
-    return check(corpus_of(spark, d), built_in()).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+    c = corpus_of(spark, d)
+    return check(c, built_in(), quoted_spans(c.docs)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of the core and plain packs over documents, in order."""
-    found = check(corpus_of(spark, sf_dir), built_in(["core", "plain"]))
+    """The findings of the core and plain packs outside quotations over documents, in order."""
+    c = corpus_of(spark, sf_dir)
+    found = check(c, built_in(["core", "plain"]), quoted_spans(c.docs))
     return post.dedup_sorted(found).select("doc_id", "place", "rule", "severity", "message", "begin", "stop", "match", "replacement")

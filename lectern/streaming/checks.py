@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators.segment import BREAK, Corpus, broken
 from lectern.plans.pack import Pack, check
+from lectern.sources.blocks import quoted_spans
 
 
 def stream_matches(docs: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -43,7 +44,8 @@ def check_stream(docs: DataFrame, packs: list[Pack], write: Callable[[DataFrame,
     """Starts a query that checks the newest version of each document of a micro-batch by all rules and hands the findings to `write`."""
 
     def each(batch: DataFrame, number: int) -> None:
-        write(check(Corpus(newest(batch, version)), packs), number)
+        corpus = Corpus(newest(batch, version))
+        write(check(corpus, packs, quoted_spans(corpus.docs)), number)
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 

@@ -146,3 +146,16 @@ def test_long_glossary_terms_are_found(spark):
     assert {r.match for r in kinds.glossary(docs, terms, "deprecated").collect()} == {"very long name of it", "old way"}
     assert "use the very long name" in {r.match for r in kinds.glossary(docs, terms, "casing").collect()}
     assert kinds.glossary(docs, terms.limit(0), "casing").count() == 0
+
+
+def test_streams_leave_quotations_out(spark, tmp_path):
+    from lectern.plans.pack import built_in
+    from lectern.streaming.checks import check_stream
+
+    spark.createDataFrame([(1, 1, 'He put "of of" down.'), (2, 1, "He put of of down.")], "doc_id long, version long, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc_id long, version long, text string").parquet(f"{tmp_path}/in")
+    out = []
+    q = check_stream(stream, built_in(["core"]), lambda found, n: out.extend(found.collect()), f"{tmp_path}/ck")
+    q.processAllAvailable()
+    q.stop()
+    assert {r.doc_id for r in out} == {2}
