@@ -3,15 +3,19 @@
 The model works on ids of a byte-level vocabulary, each word encoded with a blank before it, and one end a text, so that
 the ids hold the words of the text without loss. An id's probability is that of its class times that of the id in the class:
 
-* Classes: the commonest ids are classes of their own, the others share classes of about equal weight.
-* Class probabilities: of classes after ids in the words of all training texts, corrected by one head of masked self-attention over the
-  ids before. The head is trained in numpy by rounds of local steps in each partition, each over all training texts,
-  and the weights of all partitions are averaged after each round.
+* Classes: the commonest ids are classes of their own, the others share classes of about equal weight; a class holds ids
+  that begin words or ids that don't, never both.
+* Class probabilities: of classes after the id before, from counts over all training texts, corrected by one head of masked
+  self-attention. Its places are words, each the mean of its ids' embeddings; what the head sees before a word corrects the
+  classes of all ids of the word. It is trained in numpy by rounds of local steps in each partition, each over all training
+  texts, and the weights of all partitions are averaged after each round.
 * Ids in a class: counts after each id of the word over all training texts, backed off to those after its class and of the ids.
-* Words: the product of their ids' probabilities, mixed with the word's share of all training words. The weight of the two is
-  the one under which all training texts are likeliest, each word judged by the counts of the others (leave one out).
+* Words: the product of their ids' probabilities and of the word's end, which is that of a class that begins words coming next.
+  So the probabilities of all words after a text's beginning add up to 1. They are mixed with the word's share of all training
+  words; the weight of the two is the one under which all training texts are likeliest, each word judged by the counts of the
+  others (leave one out).
 
-Texts are scored in windows that overlap, so that each id is scored once, with LENGTH - STRIDE ids of context or more.
+Texts are scored in windows that overlap, so that each word is scored once, with LENGTH - STRIDE words of context or more.
 Word counts for the base score cover all training texts; the commonest words are broadcast, with a bound, and all others
 are joined.
 """
@@ -19,6 +23,7 @@ are joined.
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -35,14 +40,16 @@ from lectern.llm.bytebpe import read_ranks
 from lectern.llm.common import Batches, as_bytes, checkpoint, documents, record_batch, small_batches
 
 END = b"\n"  # no word has a line break
-LENGTH, STRIDE = 32, 24
+LENGTH, STRIDE = 32, 24  # words of a window, and between the beginnings of two
 CLASSES, SINGLE, WIDTH, INPUTS = 96, 64, 16, 1024
-START = INPUTS + CLASSES  # the input before the first id of a word
-HEAD_WORDS = 100_000  # words whose counts are broadcast
-ROUNDS = 2
+START = INPUTS + CLASSES  # what stands before the first id of a word in the tables of ids in a class
+HEAD_WORDS = 100_000  # words whose counts are broadcast, at most
+PAIRS = 2_000_000  # pairs of ids with counts of their own, at most; others back off
+ROUNDS = 1
 BACKOFF = 20.0
-WEIGHTS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])  # of the ids' probability, to choose from
+WEIGHTS = np.array([0.1, 0.3, 0.5, 0.7, 0.85, 0.95, 0.98])  # of the ids' probability, to choose from
 _LOG10 = 1 / np.log(10)
+_FAR = 30.0  # corrections beyond do not count, so that no exponential overflows
 
 
 # Words and ids --------------------------------------------------------------------------------
@@ -66,58 +73,86 @@ class Vocabulary(dict):
     """word (bytes) -> place in arrays of its ids and its count. Place 0 is the end.
 
     counts: counts of the commonest words; others have -1 and, where counts are given, a 128-bit key.
+    tables: with them, the log probability of a word's ids in their classes is kept as well.
     """
 
     LIMIT = 700_000
 
-    def __init__(self, path: str, counts: dict[bytes, int] | None = None):
+    def __init__(self, path: str, counts: dict[bytes, int] | None = None, tables: Tables | None = None):
         super().__init__()
         import public_tokenizers
         import tiktoken
 
-        self.coder = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+        ranks = read_ranks(path)
+        self.coder = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = self.coder.n_vocab
         self.end = self.size  # an id of our own: the text's end, and what comes before its first id
-        self.counts = counts
+        self.begins_word = np.zeros(self.size + 1, bool)
+        self.begins_word[[r for t, r in ranks.items() if t.startswith(b" ")] + [self.end]] = True
+        self.counts, self.tables = counts, tables
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
         self.ids, self.first, self.length, self.count = Growing(np.int32), Growing(np.int64), Growing(np.int32), Growing(np.int64)
-        self.key_a, self.key_b = Growing(np.int64), Growing(np.int64)
-        self.words: list[bytes] = []
+        self.key_a, self.key_b, self.inside = Growing(np.int64), Growing(np.int64), Growing(np.float64)
         self[END]
-        self._add([[self.end]])
+        self._add(np.array([self.end]), np.array([1]))
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.words) + len(self.new)
+        self[word] = at = self.length.n + len(self.new)
         self.new.append(word)
         return at
 
-    def _add(self, ids: list[list[int]]) -> None:
-        self.first.extend(self.ids.n + np.cumsum([0, *map(len, ids)])[:-1])
-        self.length.extend(np.array([len(i) for i in ids], np.int32))
-        self.ids.extend(np.fromiter(chain.from_iterable(ids), np.int32))
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        begin = np.cumsum(sizes) - sizes
+        self.first.extend(self.ids.n + begin)
+        self.length.extend(sizes)
+        self.ids.extend(ids)
+        if self.tables is not None:
+            before = np.concatenate([[START], self.tables.classes.inputs[ids[:-1]]])
+            before[begin] = START
+            self.inside.extend(np.add.reduceat(self.tables.in_class(before, ids).astype(np.float64), begin))
         if self.counts is not None:
             counts = [self.counts.get(w, -1) for w in self.new]
             keys = [word_key(w) if c < 0 else (0, 0) for w, c in zip(self.new, counts, strict=True)]
             for column, values in ((self.count, counts), (self.key_a, [a for a, _ in keys]), (self.key_b, [b for _, b in keys])):
                 column.extend(np.array(values, np.int64))
-        self.words += self.new
         self.new = []
 
+    def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words that need not be known."""
+        if all(map(bytes.isascii, words)):
+            # No match of the pattern goes from one word into the blank before the next, so that all words go through at once.
+            ids = np.array(self.coder.encode_ordinary(" " + b" ".join(words).decode()), np.int32)
+            begin = np.flatnonzero(self.begins_word[ids])
+            if len(begin) == len(words):
+                return ids, np.diff(begin, append=len(ids))
+        each = [self.coder.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+        return np.fromiter(chain.from_iterable(each), np.int32), np.array([len(i) for i in each])
+
     def places(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
-            self._add([self.coder.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in self.new])
+            plain = [w for w in self.new if w.isascii()]
+            if len(plain) < len(self.new):  # their places follow this order
+                self.new = plain + [w for w in self.new if not w.isascii()]
+                self.update(zip(self.new, range(self.length.n, self.length.n + len(self.new)), strict=True))
+                out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            parts = [self.spell(p) for p in (plain, self.new[len(plain) :]) if p]
+            self._add(*(np.concatenate(p) for p in zip(*parts, strict=True)))
         return out
 
     def spelt(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) of words by their places."""
         sizes = self.length.data[places].astype(np.int64)
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return self.ids.data[within + np.repeat(self.first.data[places], sizes)], sizes
+        return self.ids.data[ranges(self.first.data[places], sizes)], sizes
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each size, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
 @functools.lru_cache(maxsize=1)
@@ -128,11 +163,11 @@ def vocabulary(path: str) -> Vocabulary:
 _counted: dict[str, Vocabulary] = {}
 
 
-def counted_vocabulary(path: str, counts: dict[bytes, int], key: str) -> Vocabulary:
+def counted_vocabulary(path: str, counts: dict[bytes, int], tables: Tables, key: str) -> Vocabulary:
     """One for each worker process and set of counts, kept from task to task."""
     if key not in _counted:
         _counted.clear()
-        _counted[key] = Vocabulary(path, counts)
+        _counted[key] = Vocabulary(path, counts, tables)
     return _counted[key]
 
 
@@ -146,15 +181,18 @@ def words_of(texts: list[bytes]) -> list[list[bytes]]:
 class Classes:
     """Classes of ids, from the counts of ids in all training texts."""
 
-    def __init__(self, counts: np.ndarray, word_start: np.ndarray):
+    def __init__(self, counts: np.ndarray, begins_word: np.ndarray):
         self.counts = counts.astype(np.float64)
         order = np.lexsort((np.arange(len(counts)), -counts))
         self.of = np.empty(len(counts), np.int16)
         self.of[order[:SINGLE]] = np.arange(SINGLE)
+        self.begins_word = np.zeros(CLASSES, np.float32)  # 1: a class of ids that begin words
+        self.begins_word[:SINGLE][: len(order)] = begins_word[order[:SINGLE]]
         rest = order[SINGLE:]
         groups = CLASSES - SINGLE
         for start, first, n in ((True, SINGLE, groups // 2), (False, SINGLE + groups // 2, groups - groups // 2)):
-            ids = rest[word_start[rest] == start]
+            ids = rest[begins_word[rest] == start]
+            self.begins_word[first : first + n] = start
             if len(ids):
                 mass = np.cumsum(self.counts[ids] + 0.1)
                 self.of[ids] = first + np.minimum((mass / mass[-1] * n).astype(int), n - 1)
@@ -162,44 +200,53 @@ class Classes:
         self.inputs[order] = np.arange(len(counts))
         rare = self.inputs >= INPUTS
         self.inputs[rare] = INPUTS + self.of[rare]
+        self.class_of = np.full(START + 1, CLASSES)  # of an input; a word's start is a class of its own here
+        common = np.flatnonzero(self.inputs < INPUTS)
+        self.class_of[self.inputs[common]] = self.of[common]
+        self.class_of[INPUTS:START] = np.arange(CLASSES)
 
 
 class Tables:
     """Log probabilities from counts of ids after inputs: of classes after an input, and of ids in their class after an input.
 
     Each backs off: from an input to its class, and from the class to the counts of the ids alone.
+
+    by_class: counts (CLASSES + 1, ids) of ids after classes of inputs; by_input: counts (START + 1, CLASSES) of classes after
+    inputs, both in words; ends: counts of words by the input of their last id; previous, ids, counts: the pairs with counts of their own.
     """
 
-    def __init__(self, classes: Classes, previous: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+    def __init__(self, classes: Classes, by_class: np.ndarray, by_input: np.ndarray, ends: np.ndarray, previous: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.classes = classes
         n = self.size = len(classes.of)
-        class_of = np.full(START + 1, CLASSES)  # of an input; a word's start is a class of its own here
-        common = np.flatnonzero(classes.inputs < INPUTS)
-        class_of[classes.inputs[common]] = classes.of[common]
-        class_of[INPUTS:START] = np.arange(CLASSES)
-        after = np.zeros((CLASSES + 1, n), np.float32)
-        np.add.at(after, (class_of[previous], ids), counts)
-        by_class = np.zeros((CLASSES + 1, CLASSES))
-        np.add.at(by_class.T, classes.of, after.T)
-        total = by_class.sum(0) + 0.5
-        prior = (by_class + BACKOFF * total / total.sum()) / (by_class.sum(1, keepdims=True) + BACKOFF)
+        class_of = classes.class_of
+        totals = np.zeros((CLASSES + 1, CLASSES))
+        np.add.at(totals.T, classes.of, by_class.T)
         own = classes.counts + 0.05
         alone = own / np.bincount(classes.of, own, CLASSES)[classes.of]
-        inside = (after + BACKOFF * alone) / (by_class[:, classes.of] + BACKOFF)
+        inside = (by_class + BACKOFF * alone) / (totals[:, classes.of] + BACKOFF)
         self.inside = np.log(inside).astype(np.float32)
-        by_input = np.zeros((START + 1, CLASSES))
-        np.add.at(by_input, (previous, classes.of[ids]), counts)
-        self.bigram = np.log((by_input + BACKOFF * prior[class_of]) / (by_input.sum(1, keepdims=True) + BACKOFF)).astype(np.float32)
-        self.unmet = np.log(BACKOFF / (by_input + BACKOFF)).astype(np.float32)  # an id not met after an input
-        self.class_of = class_of.astype(np.int16)
+        # Counts that no pair holds add to the weight of the backoff.
+        held = np.zeros_like(by_input)
+        np.add.at(held, (previous, classes.of[ids]), counts)
+        free = np.maximum(by_input - held, 0) + BACKOFF
+        self.unmet = np.log(free / (by_input + BACKOFF)).astype(np.float32)
         key = previous.astype(np.int64) * n + ids
         order = np.argsort(key)
         self.key = key[order]
-        met = (counts + BACKOFF * inside[class_of[previous], ids]) / (by_input[previous, classes.of[ids]] + BACKOFF)
+        met = (counts + free[previous, classes.of[ids]] * inside[class_of[previous], ids]) / (by_input[previous, classes.of[ids]] + BACKOFF)
         self.met = np.log(met).astype(np.float32)[order]
-
-    def in_class(self, before: np.ndarray, ids: np.ndarray, target_class: np.ndarray) -> np.ndarray:
+        # A word that ends is followed by a word's beginning.
+        begins = (by_input[START] + 0.5) * classes.begins_word
+        after = by_input[:START] + ends[:START, None] * (begins / max(begins.sum(), 1e-9))
+        of_class = np.zeros((CLASSES + 1, CLASSES))
+        np.add.at(of_class, class_of[:START], after)
+        total = of_class.sum(0) + 0.5
+        prior = (of_class + BACKOFF * total / total.sum()) / (of_class.sum(1, keepdims=True) + BACKOFF)
+        self.bigram = np.log((after + BACKOFF * prior[class_of[:START]]) / (after.sum(1, keepdims=True) + BACKOFF)).astype(np.float32)
+
+    def in_class(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Log probability of ids in their class after inputs."""
-        out = self.inside[self.class_of[before], ids] + self.unmet[before, target_class]
+        out = self.inside[self.classes.class_of[before], ids] + self.unmet[before, self.classes.of[ids]]
         if len(self.key):
             key = before.astype(np.int64) * self.size + ids
             at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
@@ -227,144 +274,183 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, begin, first scored place) of the windows over texts of so many ids; each id is scored in one of them."""
-    n = 1 + np.maximum(0, -(-(lengths - LENGTH) // STRIDE))
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, first scored place) of the windows over texts of so many words; each word is scored in one of them."""
+    n = 1 + np.maximum(0, -(-(lengths - LENGTH) // stride))
     text = np.repeat(np.arange(len(lengths)), n)
     number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return text, number * STRIDE, np.where(number > 0, LENGTH - STRIDE, 0)
+    return text, number * stride, np.where(number > 0, LENGTH - stride, 0)
 
 
 class Batch:
-    """Windows over the ids of texts laid end to end, with a pad of LENGTH."""
+    """Texts laid end to end behind one end: word by word, and id by id."""
 
     def __init__(self, texts: list[list[bytes]], vocab: Vocabulary, classes: Classes):
         if len(vocab) > vocab.LIMIT:
             vocab.reset()
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.places = vocab.places(list(chain.from_iterable(chain(t, (END,)) for t in texts)))
+        self.lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        self.text_words = 1 + np.cumsum(self.lengths) - self.lengths  # first word of each text
+        self.places = vocab.places([END, *chain.from_iterable(chain(t, (END,)) for t in texts)])
         ids, self.sizes = vocab.spelt(self.places)
-        self.word_begin = np.cumsum(self.sizes) - self.sizes
-        self.text_words = ends - [len(t) + 1 for t in texts]  # first word of each text
-        self.lengths = np.add.reduceat(self.sizes, self.text_words) if len(texts) else np.empty(0, np.int64)
-        begins = np.cumsum(self.lengths) - self.lengths
-        self.target = np.concatenate([ids, np.full(LENGTH, vocab.end, np.int32)])
-        previous = np.concatenate([[vocab.end], self.target[:-1]]).astype(np.int32)
-        previous[begins] = vocab.end
-        self.inputs, self.target_class = classes.inputs[previous], classes.of[self.target]
-        self.before = self.inputs.copy()
-        self.before[self.word_begin] = START
-        self.text, begin, self.first = windows(self.lengths)
-        self.at = begins[self.text] + begin
-        self.size = np.minimum(self.lengths[self.text] - begin, LENGTH)
+        self.begin = np.cumsum(self.sizes) - self.sizes  # first id of each word
+        self.inputs, self.target = classes.inputs[ids], classes.of[ids].astype(np.int64)
+        self.before = np.concatenate([self.inputs[:1], self.inputs[:-1]])
 
 
 class Attention:
-    """One head over windows; corrections to the class bigrams."""
+    """One head over windows of words; corrections to the class bigrams."""
 
     def __init__(self, flat: np.ndarray, tables: Tables):
         self.w, self.tables = unpack(flat), tables
-
-    @staticmethod
-    def bounded(flat: np.ndarray) -> np.ndarray:
-        """Weights so bounded that no exponential of a score overflows."""
-        return np.clip(flat, -4, 4)
-
-    def folded(self) -> None:
-        """Tables of queries, keys and values by input, for scoring."""
-        w, scale = self.w, np.float32(1 / np.sqrt(WIDTH))
-        both = lambda x: np.concatenate([x @ w["q"] * scale, x @ w["k"], x @ w["v"], x], 1).astype(np.float32)
-        self.by_input, self.by_place = both(w["e"]), both(w["p"])
-
-    def score(self, batch: Batch, step: int = 128) -> np.ndarray:
-        """Natural log probability of each id of the batch."""
-        out = np.zeros(int(batch.lengths.sum()) + LENGTH)
-        self._score(batch, np.arange(len(batch.at)), LENGTH - STRIDE, LENGTH, step, out)
+        self.scale = self.w["q"].dtype.type(1 / np.sqrt(WIDTH))
+
+    def embedded(self, batch: Batch, words: np.ndarray) -> np.ndarray:
+        """The mean embedding of the ids of each of these words."""
+        sizes = batch.sizes[words]
+        rows = self.w["e"][batch.inputs[ranges(batch.begin[words], sizes)]]
+        return np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(rows.dtype)
+
+    def correction(self, h: np.ndarray) -> np.ndarray:
+        return np.clip(h @ self.w["o"] + self.w["b"], -_FAR, _FAR)
+
+    def score(self, batch: Batch, step: int = 64, ids_a_step: int = 1024) -> np.ndarray:
+        """Natural log probability of the classes of each word's ids and of its end; that of the first word, an end before all texts, is 0."""
+        n = len(batch.places)
+        x = np.empty((n + LENGTH, WIDTH), np.float32)
+        x[0], x[n:] = 0, 0
+        x[1:n] = self.embedded(batch, np.arange(n - 1))
+        h = np.zeros((n + LENGTH, WIDTH), np.float32)
+        text, begin, first = windows(batch.lengths)
+        at = batch.text_words[text] + begin
+        self._attend(x, h, at, LENGTH - STRIDE, LENGTH, step)
         # The first window of a text also scores the places before, which have no earlier window.
-        self._score(batch, np.flatnonzero(batch.first == 0), 0, LENGTH - STRIDE, 3 * step, out)
-        return out[:-LENGTH]
-
-    def _score(self, batch: Batch, which: np.ndarray, first: int, last: int, step: int, out: np.ndarray) -> None:
-        """Scores the places from first to last of some windows; those past a text's end are not kept."""
-        places = np.arange(last)
-        mask, own = _MASK[first:last, :last], self.w["o"]
-        for i in range(0, len(which), step):
-            part = which[i : i + step]
-            at = batch.at[part, None] + places
-            np.minimum(at, len(batch.inputs) - 1, out=at)
-            x = self.by_input[batch.inputs[at]]
-            x += self.by_place[:last]
-            attended = np.matmul(x[:, first:, :WIDTH], x[..., WIDTH : 2 * WIDTH].swapaxes(1, 2))
-            attended += mask
-            np.exp(attended, out=attended)
-            h = np.matmul(attended, x[..., 2 * WIDTH : 3 * WIDTH])
-            h /= attended.sum(2, keepdims=True)
-            h += x[:, first:, 3 * WIDTH :]
-            place = at[:, first:].reshape(-1)
-            logits = h.reshape(-1, WIDTH) @ own
-            logits += self.w["b"]
-            before, target = batch.before[place], batch.target_class[place]
-            logits += self.tables.bigram[before]
-            chosen = logits[np.arange(len(place)), target]
-            np.exp(logits, out=logits)
-            value = chosen - np.log(logits.sum(1)) + self.tables.in_class(before, batch.target[place], target)
-            kept = (places[first:] < batch.size[part, None]).reshape(-1)
-            out[place[kept]] = value[kept]
-
-    def gradient(self, inputs: np.ndarray, before: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """Of the mean negative log probability of the scored classes; all of shape (windows, LENGTH)."""
-        w, scale = self.w, 1 / np.sqrt(WIDTH)
-        x = w["e"][inputs] + w["p"]
-        q, k, v = x @ w["q"] * scale, x @ w["k"], x @ w["v"]
-        s = q @ k.swapaxes(1, 2) + _MASK
-        a = np.exp(s - s.max(2, keepdims=True))
+        self._attend(x, h, at[first == 0], 0, LENGTH - STRIDE, 2 * step)
+        corrections = self.correction(h[:n])
+        word = np.repeat(np.arange(n), batch.sizes)
+        out, ended = np.zeros(len(word)), np.zeros(n)
+        begins = np.zeros(len(word), bool)
+        begins[batch.begin] = True
+        for i in range(0, len(word), ids_a_step):
+            part = slice(i, i + ids_a_step)
+            z = self.tables.bigram[batch.before[part]]
+            z += corrections[word[part]]
+            chosen = z[np.arange(len(z)), batch.target[part]]
+            np.exp(z, out=z)
+            total = np.log(z.sum(1))
+            first_ids = np.flatnonzero(begins[part])
+            starts = np.log(z[first_ids] @ self.tables.classes.begins_word + np.float32(1e-30))
+            ended[word[part][first_ids]] = starts - total[first_ids]
+            total[first_ids] = starts
+            out[part] = chosen - total
+        by_word = np.add.reduceat(out, batch.begin)
+        ended[batch.text_words] = 0  # what comes before is another text
+        by_word[:-1] += ended[1:]
+        by_word[0] = 0
+        return by_word
+
+    def _attend(self, x: np.ndarray, out: np.ndarray, begins: np.ndarray, first: int, last: int, step: int) -> None:
+        """What the places from first to last of windows attend to; places past a text's end are written by their own windows later or not used."""
+        w, places = self.w, np.arange(last)
+        mask, q, k, v = _MASK[first:last, :last], w["q"] * self.scale, w["k"], w["v"]
+        for i in range(0, len(begins), step):
+            at = begins[i : i + step, None] + places
+            np.minimum(at, len(x) - 1, out=at)
+            own = x[at]
+            own += w["p"][:last]
+            flat = own.reshape(-1, WIDTH)
+            s = np.matmul((own[:, first:].reshape(-1, WIDTH) @ q).reshape(len(at), -1, WIDTH), (flat @ k).reshape(own.shape).swapaxes(1, 2))
+            s += mask
+            s -= s.max(2, keepdims=True)
+            np.exp(s, out=s)
+            s /= s.sum(2, keepdims=True)
+            h = np.matmul(s, (flat @ v).reshape(own.shape))
+            h += own[:, first:]
+            out[at[:, first:]] = h
+
+    def gradient(self, batch: Batch, words: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """Of the mean negative log probability of the classes of all ids of the kept words of windows; both of shape (windows, LENGTH)."""
+        w = self.w
+        flat_words = words[kept]
+        own = self.embedded(batch, flat_words - 1)
+        x = np.zeros((*words.shape, WIDTH), own.dtype)
+        x[kept] = own
+        x += w["p"]
+        flat = x.reshape(-1, WIDTH)
+        shaped = lambda a: a.reshape(x.shape)
+        q, k, v = shaped(flat @ (w["q"] * self.scale)), shaped(flat @ w["k"]), shaped(flat @ w["v"])
+        a = q @ k.swapaxes(1, 2)
+        a += _MASK
+        a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(2, keepdims=True)
-        h = x + a @ v
-        logits = h @ w["o"] + w["b"] + self.tables.bigram[before]
-        logits -= logits.max(2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(2, keepdims=True)
-        rows = np.indices(target.shape)
-        p[rows[0], rows[1], target] -= 1
-        p *= (scored / max(1, scored.sum()))[..., None]
-        g = {"b": p.sum((0, 1)), "o": np.einsum("blw,blc->wc", h, p, optimize=True)}
-        dh = p @ w["o"].T
+        h = a @ v
+        h += x
+        h = h[kept]
+        raw = h @ w["o"] + w["b"]
+        by_word = self._class_errors(batch, flat_words, np.clip(raw, -_FAR, _FAR))
+        by_word[np.abs(raw) > _FAR] = 0
+        g = {"b": by_word.sum(0), "o": h.T @ by_word}
+        dh = np.zeros_like(x)
+        dh[kept] = by_word @ w["o"].T
         da = dh @ v.swapaxes(1, 2)
         dv = a.swapaxes(1, 2) @ dh
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dq, dk = ds @ k * scale, ds.swapaxes(1, 2) @ q
-        flat = x.reshape(-1, WIDTH)
-        g |= {n: flat.T @ d.reshape(-1, WIDTH) for n, d in (("q", dq * 1.0), ("k", dk), ("v", dv))}
-        dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        g["p"] = dx.sum(0)
-        g["e"] = np.zeros_like(w["e"])
-        order = np.argsort(inputs, axis=None, kind="stable")
-        rows = inputs.reshape(-1)[order]
-        begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g["e"][rows[begins]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begins, axis=0)
+        da -= (da * a).sum(2, keepdims=True)
+        da *= a
+        dq, dk = (da @ k).reshape(-1, WIDTH), (da.swapaxes(1, 2) @ q).reshape(-1, WIDTH)
+        dq *= self.scale
+        dv = dv.reshape(-1, WIDTH)
+        g |= {"q": flat.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv}
+        dx = dh.reshape(-1, WIDTH) + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+        g["p"] = shaped(dx).sum(0)
+        sizes = batch.sizes[flat_words - 1]
+        by_id = np.repeat(dx[kept.reshape(-1)] / sizes[:, None].astype(dx.dtype), sizes, axis=0)
+        rows = batch.inputs[ranges(batch.begin[flat_words - 1], sizes)]
+        g["e"] = np.stack([np.bincount(rows, by_id[:, i], len(w["e"])) for i in range(WIDTH)], 1)
         return np.concatenate([g[n].ravel() for n in SHAPES])
 
+    def _class_errors(self, batch: Batch, words: np.ndarray, corrections: np.ndarray, ids_a_step: int = 1024) -> np.ndarray:
+        """The gradient of the mean loss by each word's corrections."""
+        sizes = batch.sizes[words]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty_like(corrections)
+        i = 0
+        while i < len(words):
+            j = max(i + 1, int(np.searchsorted(edges, edges[i] + ids_a_step, "right")) - 1)
+            rows = ranges(batch.begin[words[i:j]], sizes[i:j])
+            z = self.tables.bigram[batch.before[rows]]
+            z += np.repeat(corrections[i:j], sizes[i:j], axis=0)
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z *= 1 / (z.sum(1, keepdims=True) * z.dtype.type(edges[-1]))
+            z[np.arange(len(rows)), batch.target[rows]] -= 1 / z.dtype.type(edges[-1])
+            np.add.reduceat(z, edges[i:j] - edges[i], axis=0, out=out[i:j])
+            i = j
+        return out
+
 
 class Trainer:
-    """Adam steps from given weights over the windows of one partition."""
+    """Adam steps from given weights over the windows of one partition; each word is in one window."""
 
-    def __init__(self, flat: np.ndarray, tables: Tables, rate: float = 0.01, windows_a_step: int = 128):
+    def __init__(self, flat: np.ndarray, tables: Tables, rate: float = 0.01, windows_a_step: int = 48):
         self.flat, self.tables, self.rate, self.size = flat.astype(np.float32).copy(), tables, rate, windows_a_step
         self.m, self.v, self.steps, self.seen = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, 0
 
     def take(self, batch: Batch, seed: int) -> None:
-        order = np.random.default_rng(seed).permutation(len(batch.at))
+        text, begin, _ = windows(batch.lengths, LENGTH)
+        at, left = batch.text_words[text] + begin, batch.lengths[text] - begin
+        order = np.random.default_rng(seed).permutation(len(at))
         places = np.arange(LENGTH)
         for i in range(0, len(order), self.size):
             part = order[i : i + self.size]
-            at = batch.at[part][:, None] + places
-            scored = (places >= batch.first[part][:, None]) & (places < batch.size[part][:, None])
-            g = Attention(self.flat, self.tables).gradient(batch.inputs[at], batch.before[at], batch.target_class[at].astype(np.int64), scored)
+            kept = places < left[part, None]
+            g = Attention(self.flat, self.tables).gradient(batch, at[part, None] + places, kept).astype(np.float32)
             self.steps += 1
-            self.seen += int(scored.sum())
-            self.m += 0.1 * (g - self.m)
-            self.v += 0.01 * (g * g - self.v)
-            self.flat = Attention.bounded(self.flat - self.rate * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8))
+            self.seen += int(kept.sum())
+            self.m += np.float32(0.1) * (g - self.m)
+            self.v += np.float32(0.01) * (g * g - self.v)
+            step = np.float32(self.rate / (1 - 0.9**self.steps)) * self.m
+            step /= np.sqrt(self.v * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-8)
+            self.flat = np.clip(self.flat - step, -4, 4)
 
 
 # Spark ----------------------------------------------------------------------------------------
@@ -394,25 +480,40 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def _spelt_words(batches: Batches, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, first id of its word?, count of its word) of batches of counted words."""
+    """(ids, number of ids of each word, count of each word) of batches of counted words."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 50_000):
-            part = batch.slice(at, 50_000)
-            vocab.reset()
-            ids, sizes = vocab.spelt(vocab.places(part.column(0).to_pylist()))
-            begins = np.zeros(len(ids), bool)
-            begins[np.cumsum(sizes) - sizes] = True
-            yield ids, begins, np.repeat(part.column(1).to_numpy(), sizes).astype(np.float64)
+        for at in range(0, batch.num_rows, 20_000):
+            part = batch.slice(at, 20_000)
+            words = part.column(0).to_pylist()
+            counts = part.column(1).to_numpy().astype(np.float64)
+            if END in words:
+                end = words.index(END)
+                yield np.array([vocab.end], np.int32), np.array([1]), counts[end : end + 1]
+                words, counts = words[:end] + words[end + 1 :], np.delete(counts, end)
+            if words:
+                yield *vocab.spell(words), counts
+
+
+def at_least(counted: DataFrame, most: int) -> int:
+    """The least count that at most `most` rows of `counted` reach; from a histogram of at most a few hundred bars."""
+    bars = counted.groupBy(F.floor(F.log2("count") * 8).alias("bar")).agg(F.count(F.lit(1)).alias("rows"), F.min("count").alias("least")).orderBy(F.desc("bar")).collect()
+    least, rows = None, 0
+    for bar in bars:
+        rows += bar.rows
+        if rows > most:
+            break
+        least = bar.least
+    return bars[0].least + 1 if least is None and bars else math.ceil(least or 1)
 
 
 def make_classes(words: DataFrame, path: str) -> Classes:
     """From the counts of all ids in the training texts, which follow from those of the words."""
 
     def run(batches: Batches) -> Batches:
-        vocab = Vocabulary(path)
+        vocab = vocabulary(path)
         total = np.zeros(vocab.size + 1)
-        for ids, _, counts in _spelt_words(batches, vocab):
-            total += np.bincount(ids, counts, len(total))
+        for ids, sizes, counts in _spelt_words(batches, vocab):
+            total += np.bincount(ids, np.repeat(counts, sizes), len(total))
         at = np.flatnonzero(total)
         yield record_batch(pa.schema([("id", pa.int32()), ("count", pa.float64())]), [at.astype(np.int32), total[at]])
 
@@ -420,24 +521,54 @@ def make_classes(words: DataFrame, path: str) -> Classes:
     vocab = vocabulary(path)
     counts = np.zeros(vocab.size + 1)
     counts[rows["id"].to_numpy()] = rows["count"].to_numpy()
-    start = np.array([vocab.coder.decode_single_token_bytes(i).startswith(b" ") for i in range(vocab.size)] + [True])
-    return Classes(counts, start)
+    return Classes(counts, vocab.begins_word)
+
 
+def make_tables(words: DataFrame, classes: Classes, path: str, most_pairs: int = PAIRS) -> Tables:
+    """Counts of each id after each input of its word, or at the word's start, and of the ends of words.
 
-def make_tables(words: DataFrame, classes: Classes, path: str) -> Tables:
-    """Counts of each id after each input of its word, or at the word's start; at most START + 1 times the vocabulary."""
+    To the driver come counts by classes (at most CLASSES + 1 times the vocabulary and START + 1 times the classes) and of
+    the commonest pairs, `most_pairs` at most.
+    """
     held = words.sparkSession.sparkContext.broadcast(classes)
+    ended = -1  # in place of an id
 
     def run(batches: Batches) -> Batches:
-        vocab, cls = Vocabulary(path), held.value
-        n = len(cls.of)
-        for ids, begins, counts in _spelt_words(batches, vocab):
-            previous = np.where(begins, START, np.concatenate([[0], cls.inputs[ids[:-1]]]))
-            key, at = np.unique(previous.astype(np.int64) * n + ids, return_inverse=True)
-            yield record_batch(pa.schema([("previous", pa.int32()), ("id", pa.int32()), ("count", pa.float64())]), [(key // n).astype(np.int32), (key % n).astype(np.int32), np.bincount(at, counts)])
-
-    rows = words.mapInArrow(run, "previous int, id int, count double").groupBy("previous", "id").agg(F.sum("count").alias("count")).toArrow()
-    return Tables(classes, rows["previous"].to_numpy(), rows["id"].to_numpy(), rows["count"].to_numpy())
+        vocab, cls = vocabulary(path), held.value
+        n = len(cls.of) + 1
+        for ids, sizes, counts in _spelt_words(batches, vocab):
+            last = np.cumsum(sizes) - 1
+            inputs = cls.inputs[ids]
+            previous = np.concatenate([[START], inputs[:-1]])
+            previous[last - sizes + 1] = START
+            key = np.concatenate([previous.astype(np.int64) * n + ids, inputs[last].astype(np.int64) * n + (n - 1)])
+            key, at = np.unique(key, return_inverse=True)
+            ids = key % n
+            yield record_batch(pa.schema([("previous", pa.int32()), ("id", pa.int32()), ("count", pa.float64())]), [(key // n).astype(np.int32), np.where(ids == n - 1, ended, ids).astype(np.int32), np.bincount(at, np.concatenate([np.repeat(counts, sizes), counts]))])
+
+    pairs = checkpoint(words.mapInArrow(run, "previous int, id int, count double").groupBy("previous", "id").agg(F.sum("count").alias("count")))
+
+    def by_classes(batches: Batches) -> Batches:
+        cls, schema = held.value, pa.schema([("row", pa.int32()), ("column", pa.int32()), ("count", pa.float64())])
+        for batch in batches:
+            previous, ids, counts = (batch.column(i).to_numpy() for i in range(3))
+            inside = ids != ended
+            # Rows below 0: after the class of an input, by id; others: after an input, by class.
+            rows = np.concatenate([-1 - cls.class_of[previous[inside]], previous])
+            columns = np.concatenate([ids[inside], np.where(inside, cls.of[ids], ended)])
+            yield record_batch(schema, [rows.astype(np.int32), columns.astype(np.int32), np.concatenate([counts[inside], counts])])
+
+    summed = pairs.mapInArrow(by_classes, "row int, column int, count double").groupBy("row", "column").agg(F.sum("count").alias("count")).toArrow()
+    row, column, count = (summed[c].to_numpy() for c in ("row", "column", "count"))
+    by_class, by_input, ends = np.zeros((CLASSES + 1, len(classes.of)), np.float32), np.zeros((START + 1, CLASSES)), np.zeros(START + 1)
+    of_class, of_end = row < 0, (row >= 0) & (column == ended)
+    by_class[-1 - row[of_class], column[of_class]] = count[of_class]
+    ends[row[of_end]] = count[of_end]
+    rest = ~of_class & ~of_end
+    by_input[row[rest], column[rest]] = count[rest]
+    own = pairs.where(F.col("id") != ended)
+    common = own.where(F.col("count") >= at_least(own, most_pairs)).toArrow()
+    return Tables(classes, by_class, by_input, ends, common["previous"].to_numpy(), common["id"].to_numpy(), common["count"].to_numpy())
 
 
 def train_weights(train: DataFrame, classes: Classes, tables: Tables, path: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -458,7 +589,7 @@ def train_weights(train: DataFrame, classes: Classes, tables: Tables, path: str,
                 if batch.num_rows:
                     trainer.take(Batch(words_of(as_bytes(batch.column(1))), vocab, cls), k)
             if trainer.seen:
-                yield record_batch(schema, [[part % 256], [float(trainer.seen)], [(trainer.flat * trainer.seen).astype(np.float64).tolist()]])
+                yield record_batch(schema, [[part], [float(trainer.seen)], [(trainer.flat * trainer.seen).astype(np.float64).tolist()]])
 
         partial = train.mapInArrow(run, "part int, seen double, weights array<double>")
 
@@ -470,7 +601,9 @@ def train_weights(train: DataFrame, classes: Classes, tables: Tables, path: str,
             if seen:
                 yield record_batch(schema, [[0], [seen], [total.tolist()]])
 
-        sums = partial.repartition(16, "part").mapInArrow(add, partial.schema).collect()
+        # Some square root of the partitions, so that neither level adds up more than that.
+        groups = max(1, math.isqrt(train.rdd.getNumPartitions()))
+        sums = partial.repartition(groups, "part").mapInArrow(add, partial.schema).collect()
         seen = sum(r.seen for r in sums)
         if seen:
             flat = (np.sum([np.array(r.weights) for r in sorted(sums, key=lambda r: (r.seen, r.weights[0]))], 0) / seen).astype(np.float32)
@@ -482,11 +615,16 @@ def word_key(word: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def mixed(weight: float, count: np.ndarray, total: float, subword: np.ndarray) -> np.ndarray:
-    """log10 of a word's probability, from its count, that of all words and the log10 of its ids' probability."""
-    with np.errstate(under="ignore", divide="ignore"):
-        seen = np.log10((1 - weight) / max(total, 1) * count + weight * 10.0**subword)
-    return np.where(count > 0, seen, np.log10(weight) + subword)
+def mixed(weights: list[float], count: np.ndarray, total: float, subword: np.ndarray) -> Iterator[np.ndarray]:
+    """For each weight, log10 of a word's probability, from its count, that of all words and the log10 of its ids' probability."""
+    met = count > 0
+    share = (count / max(total, 1)).astype(np.float32)
+    with np.errstate(under="ignore"):
+        of_ids = np.power(np.float32(10), subword.astype(np.float32))
+    for w in weights:
+        with np.errstate(divide="ignore"):
+            seen = np.log10(np.float32(1 - w) * share + np.float32(w) * of_ids)
+        yield np.where(met, seen, math.log10(w) + subword)
 
 
 def mixture(weight: float, count: Column, total: float, subword: Column) -> Column:
@@ -511,8 +649,8 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
     classes = make_classes(words, path)
     tables = make_tables(words, classes, path)
     flat = train_weights(train, classes, tables, path, rounds)
-    top = words.orderBy(F.desc("count"), "word").limit(head_words).toArrow()
-    least = top["count"][-1].as_py() if top.num_rows == head_words else 0
+    least = at_least(words, head_words)
+    top = words.where(F.col("count") >= least).toArrow()
     held = spark.sparkContext.broadcast((classes, tables, flat, dict(zip(top["word"].to_pylist(), top["count"].to_pylist(), strict=True))))
     denominator = float(np.log10(tokens + distinct + 1))
     run_key = uuid.uuid4().hex
@@ -523,26 +661,26 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
 
     def run(batches: Batches) -> Batches:
         cls, tab, trained, head = held.value
-        vocab, model = counted_vocabulary(path, head, run_key), Attention(trained, tab)
-        model.folded()
+        vocab, model = counted_vocabulary(path, head, tab, run_key), Attention(trained, tab)
         for batch in batches:
             texts = words_of(as_bytes(batch.column(1)))
             learns = batch.column(2).to_numpy(zero_copy_only=False)
             known, base, tail_sizes, tails, scores, left_out = [], [], [], [], [], []
             for i in range(0, len(texts), 64):
                 b = Batch(texts[i : i + 64], vocab, cls)
-                by_word = np.add.reduceat(model.score(b), b.word_begin) * _LOG10
-                counts = vocab.count.data[b.places]
-                counts[b.places == 0] = ends
+                places, text_words = b.places[1:], b.text_words - 1
+                by_word = (model.score(b)[1:] + vocab.inside.data[places]) * _LOG10
+                counts = vocab.count.data[places]
+                counts[places == 0] = ends
                 head_word = counts >= 0
                 of = np.maximum(counts, 0)
-                known += np.add.reduceat((counts > 0).astype(np.int64), b.text_words).tolist()
-                base += np.add.reduceat(np.where(head_word, np.log10(of + 1) - denominator, 0), b.text_words).tolist()
-                summed = lambda count, total, rows=b, sub=by_word, kept=head_word: np.stack([np.add.reduceat(np.where(kept, mixed(w, count, total, sub), 0), rows.text_words) for w in weights], 1)
+                known += np.add.reduceat((counts > 0).astype(np.int64), text_words).tolist()
+                base += np.add.reduceat(np.where(head_word, np.log10(of + 1) - denominator, 0), text_words).tolist()
+                summed = lambda count, total, rows=text_words, sub=by_word, kept=head_word: np.stack([np.add.reduceat(np.where(kept, m, 0), rows) for m in mixed(weights, count, total, sub)], 1)
                 scores += summed(of, tokens).tolist()
                 left_out += (summed(np.maximum(of - 1, 0), tokens - 1) * learns[i : i + 64, None]).tolist()
-                tail_sizes.append(np.add.reduceat((~head_word).astype(np.int32), b.text_words))
-                rare = b.places[~head_word]
+                tail_sizes.append(np.add.reduceat((~head_word).astype(np.int32), text_words))
+                rare = places[~head_word]
                 tails.append((vocab.key_a.data[rare], vocab.key_b.data[rare], by_word[~head_word]))
             edges = np.concatenate([[0], *tail_sizes]).cumsum().astype(np.int32)
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, kind), *(t[i] for t in tails)])) for i, kind in enumerate((np.int64, np.int64, np.float64))], ["a", "b", "p"])
@@ -552,8 +690,7 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
     fields = "n_tokens long, known long, base double, tail array<struct<a:long,b:long,p:double>>, scores array<double>, left_out array<double>, learns boolean"
     scored = checkpoint(judged.mapInArrow(run, T.StructType([source_field, *T._parse_datatype_string(fields).fields])).withColumn("_row", F.monotonically_increasing_id()))
     tail = scored.select("_row", F.explode("tail").alias("t")).select("_row", "t.*")
-    rare = words.where(F.col("count") <= least) if least else words.limit(0)
-    rare = rare.mapInArrow(_keys, "a long, b long, count long")
+    rare = words.where(F.col("count") < least).mapInArrow(_keys, "a long, b long, count long")
     c = F.coalesce("count", F.lit(0))
     likelihood = np.zeros(len(weights))
     if tokens:

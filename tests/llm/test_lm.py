@@ -39,7 +39,7 @@ def test_base_score_and_gain(frame, head_words):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n)
         assert r.base_score == pytest.approx(base, abs=1e-6)
         assert r.score < 0
-    # A word met before keeps its share but for the discount; a word never met must be spelt.
+    # Where all words are known the model gains on the base.
     known = [r for r in got.values() if r.n_known == r.n_tokens]
     assert len(known) > 50 and sum(r.score for r in known) > sum(r.base_score - 0.1 * r.n_tokens for r in known)
 
@@ -85,8 +85,15 @@ def test_query(run_op, frame):
 def model(seed=1):
     rng = np.random.default_rng(seed)
     n = 400
-    classes = lm.Classes(rng.integers(0, 50, n), rng.random(n) < 0.5)
-    tables = lm.Tables(classes, *np.unique(np.stack([rng.integers(0, lm.START + 1, 900), rng.integers(0, n, 900)]), axis=1), 3)
+    begins = rng.random(n) < 0.5
+    begins[399] = True
+    classes = lm.Classes(rng.integers(0, 50, n), begins)
+    pairs = np.unique(np.stack([rng.integers(0, lm.START + 1, 900), rng.integers(0, n, 900)]), axis=1)
+    by_class, by_input = np.zeros((lm.CLASSES + 1, n)), np.zeros((lm.START + 1, lm.CLASSES))
+    np.add.at(by_class, (classes.class_of[pairs[0]], pairs[1]), 3)
+    np.add.at(by_input, (pairs[0], classes.of[pairs[1]]), 3)
+    some = pairs[:, ::2]  # the others have no counts of their own
+    tables = lm.Tables(classes, by_class, by_input, rng.integers(0, 9, lm.START + 1).astype(float), *some, np.full(some.shape[1], 3.0))
     flat = lm.initial() + 0.3 * rng.standard_normal(len(lm.initial())).astype(np.float32)
     return classes, tables, flat, rng
 
@@ -95,19 +102,16 @@ class Fake(lm.Vocabulary):
     """Words are made of letters that stand for ids."""
 
     def __init__(self):
-        self.counts, self.size, self.end = None, 399, 399
+        self.counts, self.tables, self.size, self.end = None, None, 399, 399
         self.reset()
 
-    def places(self, words):
-        out = np.array([self[w] for w in words])
-        if self.new:
-            self._add([list(w) for w in self.new])
-        return out
+    def spell(self, words):
+        return np.concatenate([list(w) for w in words]).astype(np.int32), np.array([len(w) for w in words])
 
 
-def spell(seqs):
-    """Texts of Fake, one word each."""
-    return [[bytes(x % 250 + 1 for x in s)] for s in seqs]
+def spell(rng, lengths, most=3):
+    """Texts of Fake, of so many words."""
+    return [[bytes(rng.integers(128, 250, rng.integers(1, most + 1)).tolist()) for _ in range(n)] for n in lengths]
 
 
 def test_tables_are_distributions():
@@ -115,12 +119,23 @@ def test_tables_are_distributions():
     assert np.allclose(np.exp(tables.bigram.astype(float)).sum(1), 1, atol=1e-5)
     for c in range(lm.CLASSES):
         ids = np.flatnonzero(classes.of == c)
-        for before in (0, 5, lm.INPUTS + 3, lm.START):
+        for before in (0, 5, lm.INPUTS + 3, lm.START, *range(40)):
             if len(ids):
-                assert np.exp(tables.in_class(np.full(len(ids), before), ids, np.full(len(ids), c)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+                assert np.exp(tables.in_class(np.full(len(ids), before), ids).astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_each_id_is_scored_once_with_enough_context():
+def test_words_are_spelt_alike_alone_and_together():
+    rng = random.Random(5)
+    vocab = lm.Vocabulary(PATH)
+    odd = "é日ñ\u00a0\u0085\u200b'st.,!09-"
+    words = ["".join(rng.choice("abcst'.,!09-" + odd * (i % 2)) for _ in range(rng.randrange(1, 9))).encode() for i in range(400)]
+    vocab.places(words)
+    for w in words:
+        ids, _ = vocab.spelt(np.array([vocab[w]]))
+        assert ids.tolist() == vocab.coder.encode_ordinary(" " + w.decode())
+
+
+def test_each_word_is_scored_once_with_enough_context():
     for t in [*range(1, 120), 1000]:
         text, begin, first = lm.windows(np.array([t, 3]))
         places = [(b + p, p) for x, b, f in zip(text, begin, first) if x == 0 for p in range(f, lm.LENGTH) if b + p < t]
@@ -128,53 +143,74 @@ def test_each_id_is_scored_once_with_enough_context():
         assert all(p >= lm.LENGTH - lm.STRIDE or b == p for b, p in places)
 
 
-def test_scores_against_one_window_at_a_time():
-    classes, tables, flat, rng = model()
-    ids = [rng.integers(0, 400, n).astype(np.int32) for n in (1, 5, 32, 33, 90, 200)]
-    attention = lm.Attention(flat, tables)
-    attention.folded()
-    texts = spell(ids)
-    batch = lm.Batch(texts, Fake(), classes)
-    got, w, at = attention.score(batch), lm.unpack(flat), 0
-    for seq in ([*t[0], 399] for t in texts):
-        starts = {0, len(seq) - 1}
-        previous = np.array([399, *seq[:-1]])
-        for t in range(len(seq)):
-            k = max(0, -(-(t - lm.LENGTH + 1) // lm.STRIDE))
-            begin = k * lm.STRIDE
-            x = w["e"][classes.inputs[previous[begin : t + 1]]] + w["p"][: t + 1 - begin]
+def plain_scores(attention, classes, tables, texts):
+    """Log probabilities of each word's classes and end, word by word."""
+    w, out = attention.w, []
+    for text in texts:
+        words = [[399], *(list(x) for x in text), [399]]
+        vectors = [w["e"][classes.inputs[x]].mean(0) for x in words]
+        hs = []
+        for t in range(len(words) - 1):
+            begin = max(0, -(-(t - lm.LENGTH + 1) // lm.STRIDE)) * lm.STRIDE
+            x = np.array(vectors[begin : t + 1]) + w["p"][: t + 1 - begin]
             a = (x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(lm.WIDTH)
             a = np.exp(a - a.max())
-            h = x[-1] + (a / a.sum()) @ (x @ w["v"])
-            before = lm.START if t in starts else classes.inputs[previous[t]]
-            logits = h @ w["o"] + w["b"] + tables.bigram[before]
-            want = logits[classes.of[seq[t]]] - np.log(np.exp(logits).sum()) + tables.in_class(np.array([before]), np.array([seq[t]]), np.array([classes.of[seq[t]]]))[0]
-            assert got[at] == pytest.approx(want, abs=2e-4)
-            at += 1
+            hs.append(x[-1] + (a / a.sum()) @ (x @ w["v"]))
+        ended = []
+        for t in range(1, len(words)):
+            correction = np.clip(hs[t - 1] @ w["o"] + w["b"], -30, 30)
+            before, total = words[t - 1][-1], 0.0
+            for k, i in enumerate(words[t]):
+                z = np.exp((correction + tables.bigram[classes.inputs[before]]).astype(float))
+                if k == 0:
+                    begins = z[classes.begins_word > 0].sum()
+                    ended.append(np.log(begins / z.sum()))
+                    total += np.log(z[classes.of[i]] / begins)
+                else:
+                    total += np.log(z[classes.of[i]] / z.sum())
+                before = i
+            out.append([total, 0.0])
+            if t > 1:
+                out[-2][1] = ended[-1]
+    return [a + b for a, b in out]
+
+
+def test_scores_against_one_word_at_a_time():
+    classes, tables, flat, rng = model()
+    attention = lm.Attention(flat, tables)
+    texts = spell(rng, (0, 1, 5, 31, 32, 33, 90, 0, 7, 200))
+    got = attention.score(lm.Batch(texts, Fake(), classes))
+    want = plain_scores(attention, classes, tables, texts)
+    assert len(got) == len(want) + 1 and np.allclose(got[1:], want, atol=5e-4)
 
 
 def test_gradient_against_differences():
     classes, tables, flat, rng = model(4)
-    ids = [rng.integers(0, 400, 50).astype(np.int32)]
-    b = lm.Batch(spell(ids), Fake(), classes)
-    at = b.at[:, None] + np.arange(lm.LENGTH)
-    scored = (np.arange(lm.LENGTH) >= b.first[:, None]) & (np.arange(lm.LENGTH) < b.size[:, None])
-    args = (b.inputs[at], b.before[at], b.target_class[at].astype(np.int64), scored)
+    flat, tables.bigram = flat.astype(np.float64), tables.bigram.astype(np.float64)
+    texts = spell(rng, (50, 3))
+    b = lm.Batch(texts, Fake(), classes)
+    text, begin, _ = lm.windows(b.lengths, lm.LENGTH)
+    places = np.arange(lm.LENGTH)
+    words, kept = b.text_words[text, None] + begin[:, None] + places, places < (b.lengths[text] - begin)[:, None]
 
     def loss(f):
-        w = lm.unpack(f)
-        x = w["e"][args[0]] + w["p"]
-        s = (x @ w["q"]) @ (x @ w["k"]).swapaxes(1, 2) / np.sqrt(lm.WIDTH) + lm._MASK
-        a = np.exp(s - s.max(2, keepdims=True))
-        h = x + a / a.sum(2, keepdims=True) @ (x @ w["v"])
-        z = h @ w["o"] + w["b"] + tables.bigram[args[1]]
-        p = z[np.arange(len(z))[:, None], np.arange(lm.LENGTH), args[2]] - np.log(np.exp(z).sum(2))
-        return -(p * scored).sum() / scored.sum()
-
-    flat = flat.astype(np.float64)
-    tables.bigram = tables.bigram.astype(np.float64)
-    g = lm.Attention(flat, tables).gradient(*args)
-    for i in rng.choice(np.flatnonzero(g), 60, replace=False):
+        a, total, n = lm.unpack(f), 0.0, 0
+        vectors = np.stack([a["e"][b.inputs[i : i + k]].mean(0) for i, k in zip(b.begin, b.sizes)])
+        for row, keep in zip(words, kept):
+            row = row[keep]
+            x = vectors[row - 1] + a["p"][: len(row)]
+            s = (x @ a["q"]) @ (x @ a["k"]).T / np.sqrt(lm.WIDTH) + lm._MASK[: len(row), : len(row)]
+            s = np.exp(s - s.max(1, keepdims=True))
+            h = x + s / s.sum(1, keepdims=True) @ (x @ a["v"])
+            for word, corr in zip(row, h @ a["o"] + a["b"]):
+                for i in range(b.begin[word], b.begin[word] + b.sizes[word]):
+                    z = corr + tables.bigram[b.before[i]]
+                    total += np.log(np.exp(z).sum()) - z[b.target[i]]
+                    n += 1
+        return total / n
+
+    g = lm.Attention(flat, tables).gradient(b, words, kept)
+    for i in rng.choice(np.flatnonzero(g), 40, replace=False):
         e = np.zeros_like(flat)
         e[i] = 1e-5
         assert g[i] == pytest.approx((loss(flat + e) - loss(flat - e)) / 2e-5, rel=1e-3, abs=1e-7)
@@ -182,21 +218,92 @@ def test_gradient_against_differences():
 
 def test_training_lowers_the_loss():
     classes, tables, _, rng = model(5)
-    ids = [np.tile(rng.integers(0, 400, 6), 30).astype(np.int32) for _ in range(20)]
-    batch = lm.Batch(spell(ids), Fake(), classes)
+    texts = [spell(rng, (6,))[0] * 30 for _ in range(20)]
+    batch = lm.Batch(texts, Fake(), classes)
     trainer = lm.Trainer(lm.initial(), tables)
-
-    def mean(flat):
-        a = lm.Attention(flat, tables)
-        a.folded()
-        return a.score(batch).mean()
-
+    mean = lambda flat: lm.Attention(flat, tables).score(batch).mean()
     before = mean(trainer.flat)
     for k in range(20):
         trainer.take(batch, k)
     assert mean(trainer.flat) > before + 0.5
 
 
+def languages(n=240, seed=3):
+    """Texts in two languages that share their beginnings of words: only what came before tells which word comes."""
+    rng = random.Random(seed)
+    words = [[a + b for a in ("stone", "river", "light", "under") for b in ends] for ends in (("ing", "ly"), ("ova", "etta"))]
+    return [" ".join(rng.choice(words[i % 2]) for _ in range(200)) for i in range(n)]
+
+
+def test_without_the_head_held_out_texts_are_less_likely(frame, monkeypatch):
+    docs, held_out = frame(languages()), F.col("doc_id") % 5 == 0
+    mean = lambda: lm.score(docs, ~held_out, PATH, rounds=3).where(held_out).agg(F.avg(F.col("score") / F.col("n_tokens"))).first()[0]
+    trained = mean()
+    monkeypatch.setattr(lm, "train_weights", lambda *a, **k: lm.initial())  # the head's output is 0
+    assert trained > mean() + 0.1
+
+
+def test_whole_score_against_a_plain_version(frame, monkeypatch):
+    """The composed score of every text: words one at a time, mixed with word shares, by the weight that was learnt."""
+    docs = list(enumerate(texts(30)[:36]))
+    kept = {}
+    train, tabled = lm.train_weights, lm.make_tables
+    monkeypatch.setattr(lm, "train_weights", lambda *a, **k: kept.setdefault("flat", train(*a, **k)))
+    monkeypatch.setattr(lm, "make_tables", lambda *a, **k: kept.setdefault("tables", tabled(*a, **k)))
+    got = {r.doc_id: r for r in lm.score(frame(docs), F.col("doc_id") % 7 != 2, PATH, head_words=5).collect()}
+    tables, vocab = kept["tables"], lm.Vocabulary(PATH)
+    classes, attention = tables.classes, lm.Attention(kept["flat"], kept["tables"])
+    split = {i: (t or "").encode().lower().split() for i, t in docs}
+    counts = Counter(w for i, ws in split.items() if i % 7 != 2 for w in [*ws, b"\n"])
+    total = sum(counts.values())
+    weight = got[0].weight
+    for i, ws in split.items():
+        seqs = [vocab.coder.encode_ordinary(" " + w.decode()) for w in ws] + [[vocab.end]]
+        words = [[vocab.end], *seqs]
+        w = attention.w
+        vectors = [w["e"][classes.inputs[x]].mean(0) for x in words]
+        logs, ended = [], []
+        for t in range(1, len(words)):
+            begin = max(0, -(-(t - lm.LENGTH) // lm.STRIDE)) * lm.STRIDE
+            x = np.array(vectors[begin:t]) + w["p"][: t - begin]
+            a = (x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(lm.WIDTH)
+            a = np.exp(a - a.max())
+            correction = np.clip((x[-1] + (a / a.sum()) @ (x @ w["v"])) @ w["o"] + w["b"], -30, 30)
+            before, log = words[t - 1][-1], 0.0
+            for k, token in enumerate(words[t]):
+                z = np.exp((correction + tables.bigram[classes.inputs[before]]).astype(float))
+                norm = z[classes.begins_word > 0].sum() if k == 0 else z.sum()
+                if k == 0:
+                    ended.append(np.log(norm / z.sum()))
+                inside = tables.in_class(np.array([lm.START if k == 0 else classes.inputs[before]]), np.array([token]))[0]
+                log += np.log(z[classes.of[token]] / norm) + inside
+                before = token
+            logs.append(log)
+        for t in range(len(logs) - 1):
+            logs[t] += ended[t + 1]
+        want = 0.0
+        for word, log in zip([*ws, b"\n"], logs):
+            sub = log / math.log(10)
+            want += math.log10((1 - weight) * counts[word] / total + weight * 10**sub) if counts[word] else math.log10(weight) + sub
+        assert got[i].score == pytest.approx(want, rel=1e-4, abs=5e-3), docs[i]
+
+
+def test_null_ids_and_repeated_rows(frame):
+    docs = frame([(1, "one two three"), (1, "one two three"), (None, "one two"), (None, None), (4, "three one")])
+    rows = lm.score(docs, F.col("doc_id") != 4, PATH).collect()
+    assert len(rows) == 5 and len({(r.score, r.base_score) for r in rows if r.doc_id == 1}) == 1
+    assert sorted(r.n_tokens for r in rows if r.doc_id is None) == [1, 3]
+    # Rows without an id are not admitted by a condition that is null for them.
+    assert {r.train_tokens for r in rows} == {8}
+
+
+def test_commonest_counts_by_histogram(spark):
+    counted = spark.createDataFrame([(str(i), c) for i, c in enumerate([9, 9, 5, 3, 3, 3, 1, 1])], "word string, count long")
+    for most, rows in ((8, 8), (7, 6), (3, 3), (2, 2), (1, 0)):
+        assert counted.where(F.col("count") >= lm.at_least(counted, most)).count() == rows
+    assert lm.at_least(counted.limit(0), 5) == 1
+
+
 def test_no_training_rows_and_no_rows(frame):
     docs = frame(["a b", None]).selectExpr("*", "1 as score", "2 as known", "3 as tail")
     rows = lm.score(docs, F.lit(False), PATH).collect()
