@@ -70,15 +70,11 @@ class Growing:
 
 
 class Vocabulary(dict):
-    """word (bytes) -> place in arrays of its ids and its count. Place 0 is the end.
-
-    counts: counts of the commonest words; others have -1 and, where counts are given, a 128-bit key.
-    tables: with them, the log probability of a word's ids in their classes is kept as well.
-    """
+    """word (bytes) -> place in arrays of its ids and, where they are attached, of its count and more. Place 0 is the end."""
 
     LIMIT = 700_000
 
-    def __init__(self, path: str, counts: dict[bytes, int] | None = None, tables: Tables | None = None):
+    def __init__(self, path: str):
         super().__init__()
         import public_tokenizers
         import tiktoken
@@ -89,37 +85,56 @@ class Vocabulary(dict):
         self.end = self.size  # an id of our own: the text's end, and what comes before its first id
         self.begins_word = np.zeros(self.size + 1, bool)
         self.begins_word[[r for t, r in ranks.items() if t.startswith(b" ")] + [self.end]] = True
-        self.counts, self.tables = counts, tables
+        self.counts = self.tables = self.attached = None
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.new: list[bytes] = []
-        self.ids, self.first, self.length, self.count = Growing(np.int32), Growing(np.int64), Growing(np.int32), Growing(np.int64)
-        self.key_a, self.key_b, self.inside = Growing(np.int64), Growing(np.int64), Growing(np.float64)
+        self.words, self.done = [], 0
+        self.ids, self.first, self.length = Growing(np.int32), Growing(np.int64), Growing(np.int32)
+        self._detach()
         self[END]
-        self._add(np.array([self.end]), np.array([1]))
+        self._add(np.array([self.end]), np.array([1]), np.array([0]))
+
+    def _detach(self) -> None:
+        self.count, self.key_a, self.key_b, self.inside = Growing(np.int64), Growing(np.int64), Growing(np.int64), Growing(np.float64)
+
+    def attach(self, counts: dict[bytes, int], tables: Tables, key: str) -> None:
+        """From now on each word has its count, -1 and a 128-bit key where `counts` lacks it, and the log probability of its ids in their classes."""
+        if self.attached != key:
+            self.counts, self.tables, self.attached = counts, tables, key
+            self._detach()
+            for at in range(0, self.done, 50_000):
+                self._tell(np.arange(at, min(at + 50_000, self.done)))
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = at = self.length.n + len(self.new)
-        self.new.append(word)
+        self[word] = at = len(self.words)
+        self.words.append(word)
         return at
 
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        begin = np.cumsum(sizes) - sizes
-        self.first.extend(self.ids.n + begin)
-        self.length.extend(sizes)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> None:
+        """The ids of the words from `done` on, that of place done + order[0] first."""
+        first, length = np.empty(len(order), np.int64), np.empty(len(order), np.int32)
+        first[order], length[order] = self.ids.n + np.cumsum(sizes) - sizes, sizes
+        self.first.extend(first)
+        self.length.extend(length)
         self.ids.extend(ids)
-        if self.tables is not None:
-            before = np.concatenate([[START], self.tables.classes.inputs[ids[:-1]]])
-            before[begin] = START
-            self.inside.extend(np.add.reduceat(self.tables.in_class(before, ids).astype(np.float64), begin))
-        if self.counts is not None:
-            counts = [self.counts.get(w, -1) for w in self.new]
-            keys = [word_key(w) if c < 0 else (0, 0) for w, c in zip(self.new, counts, strict=True)]
-            for column, values in ((self.count, counts), (self.key_a, [a for a, _ in keys]), (self.key_b, [b for _, b in keys])):
-                column.extend(np.array(values, np.int64))
-        self.new = []
+        places = np.arange(self.done, self.done + len(order))
+        self.done += len(order)
+        if self.attached:
+            self._tell(places)
+
+    def _tell(self, places: np.ndarray) -> None:
+        ids, sizes = self.spelt(places)
+        begin = np.cumsum(sizes) - sizes
+        before = np.concatenate([[START], self.tables.classes.inputs[ids[:-1]]])
+        before[begin] = START
+        self.inside.extend(np.add.reduceat(self.tables.in_class(before, ids).astype(np.float64), begin))
+        words = self.words[places[0] : places[-1] + 1]
+        counts = [self.counts.get(w, -1) for w in words]
+        keys = [word_key(w) if c < 0 else (0, 0) for w, c in zip(words, counts, strict=True)]
+        for column, values in ((self.count, counts), (self.key_a, [a for a, _ in keys]), (self.key_b, [b for _, b in keys])):
+            column.extend(np.array(values, np.int64))
 
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) of words that need not be known."""
@@ -134,14 +149,12 @@ class Vocabulary(dict):
 
     def places(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            plain = [w for w in self.new if w.isascii()]
-            if len(plain) < len(self.new):  # their places follow this order
-                self.new = plain + [w for w in self.new if not w.isascii()]
-                self.update(zip(self.new, range(self.length.n, self.length.n + len(self.new)), strict=True))
-                out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            parts = [self.spell(p) for p in (plain, self.new[len(plain) :]) if p]
-            self._add(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        new = self.words[self.done :]
+        if new:
+            plain = np.array([w.isascii() for w in new])
+            order = np.argsort(~plain, kind="stable")
+            parts = [self.spell([new[i] for i in np.flatnonzero(which)]) for which in (plain, ~plain) if which.any()]
+            self._add(*(np.concatenate(p) for p in zip(*parts, strict=True)), order)
         return out
 
     def spelt(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,22 +168,24 @@ def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
+def summed(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of so many rows each, one after the other; for few rows a sum faster than reduceat."""
+    begin, most = np.cumsum(sizes) - sizes, int(sizes.max(initial=0))
+    if most > 12:
+        return np.add.reduceat(rows, begin, axis=0)
+    out = rows.take(begin, 0)
+    for k in range(1, most):
+        longer = np.flatnonzero(sizes > k)
+        out[longer] += rows.take(begin[longer] + k, 0)
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
+    """One for each worker process, kept from task to task and from training to scoring."""
     return Vocabulary(path)
 
 
-_counted: dict[str, Vocabulary] = {}
-
-
-def counted_vocabulary(path: str, counts: dict[bytes, int], tables: Tables, key: str) -> Vocabulary:
-    """One for each worker process and set of counts, kept from task to task."""
-    if key not in _counted:
-        _counted.clear()
-        _counted[key] = Vocabulary(path, counts, tables)
-    return _counted[key]
-
-
 def words_of(texts: list[bytes]) -> list[list[bytes]]:
     return [t.lower().split() for t in texts]
 
@@ -243,6 +258,7 @@ class Tables:
         total = of_class.sum(0) + 0.5
         prior = (of_class + BACKOFF * total / total.sum()) / (of_class.sum(1, keepdims=True) + BACKOFF)
         self.bigram = np.log((after + BACKOFF * prior[class_of[:START]]) / (after.sum(1, keepdims=True) + BACKOFF)).astype(np.float32)
+        self.odds = np.exp(self.bigram)
 
     def in_class(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Log probability of ids in their class after inputs."""
@@ -296,6 +312,18 @@ class Batch:
         self.inputs, self.target = classes.inputs[ids], classes.of[ids].astype(np.int64)
         self.before = np.concatenate([self.inputs[:1], self.inputs[:-1]])
 
+    def by_size(self, words: np.ndarray, ids: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in `words`, places of their ids) of words of one size at a time, about so many ids: what fits a core's cache."""
+        sizes = self.sizes[words]
+        order = np.argsort(sizes.astype(np.int32), kind="stable")
+        edges = np.flatnonzero(np.diff(sizes[order], prepend=-1))
+        for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+            size = int(sizes[order[first]])
+            step = max(1, ids // size)
+            for i in range(first, last, step):
+                part = order[i : min(i + step, last)]
+                yield part, self.begin[words[part], None] + np.arange(size)
+
 
 class Attention:
     """One head over windows of words; corrections to the class bigrams."""
@@ -307,8 +335,8 @@ class Attention:
     def embedded(self, batch: Batch, words: np.ndarray) -> np.ndarray:
         """The mean embedding of the ids of each of these words."""
         sizes = batch.sizes[words]
-        rows = self.w["e"][batch.inputs[ranges(batch.begin[words], sizes)]]
-        return np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(rows.dtype)
+        rows = self.w["e"].take(batch.inputs[ranges(batch.begin[words], sizes)], 0)
+        return summed(rows, sizes) / sizes[:, None].astype(rows.dtype)
 
     def correction(self, h: np.ndarray) -> np.ndarray:
         return np.clip(h @ self.w["o"] + self.w["b"], -_FAR, _FAR)
@@ -325,24 +353,20 @@ class Attention:
         self._attend(x, h, at, LENGTH - STRIDE, LENGTH, step)
         # The first window of a text also scores the places before, which have no earlier window.
         self._attend(x, h, at[first == 0], 0, LENGTH - STRIDE, 2 * step)
-        corrections = self.correction(h[:n])
-        word = np.repeat(np.arange(n), batch.sizes)
-        out, ended = np.zeros(len(word)), np.zeros(n)
-        begins = np.zeros(len(word), bool)
-        begins[batch.begin] = True
-        for i in range(0, len(word), ids_a_step):
-            part = slice(i, i + ids_a_step)
-            z = self.tables.bigram[batch.before[part]]
-            z += corrections[word[part]]
-            chosen = z[np.arange(len(z)), batch.target[part]]
-            np.exp(z, out=z)
-            total = np.log(z.sum(1))
-            first_ids = np.flatnonzero(begins[part])
-            starts = np.log(z[first_ids] @ self.tables.classes.begins_word + np.float32(1e-30))
-            ended[word[part][first_ids]] = starts - total[first_ids]
-            total[first_ids] = starts
-            out[part] = chosen - total
-        by_word = np.add.reduceat(out, batch.begin)
+        by_word, ended = np.empty(n), np.empty(n)
+        bigram, odds = self.tables.bigram, self.tables.odds
+        begins_word = self.tables.classes.begins_word
+        for part, rows in batch.by_size(np.arange(n)):
+            correction = self.correction(h[part])
+            factors = np.exp(correction)
+            before, target = batch.before[rows], batch.target[rows]
+            z = odds.take(before, 0)
+            total = np.log(np.einsum("nsc,nc->ns", z, factors))
+            starts = np.log(np.einsum("nc,nc->n", z[:, 0], factors * begins_word) + np.float32(1e-30))
+            chosen = bigram[before, target] + np.take_along_axis(correction, target, 1)
+            ended[part] = starts - total[:, 0]
+            total[:, 0] = starts
+            by_word[part] = (chosen - total).sum(1, dtype=np.float64)
         ended[batch.text_words] = 0  # what comes before is another text
         by_word[:-1] += ended[1:]
         by_word[0] = 0
@@ -408,23 +432,20 @@ class Attention:
         g["e"] = np.stack([np.bincount(rows, by_id[:, i], len(w["e"])) for i in range(WIDTH)], 1)
         return np.concatenate([g[n].ravel() for n in SHAPES])
 
-    def _class_errors(self, batch: Batch, words: np.ndarray, corrections: np.ndarray, ids_a_step: int = 1024) -> np.ndarray:
+    def _class_errors(self, batch: Batch, words: np.ndarray, corrections: np.ndarray) -> np.ndarray:
         """The gradient of the mean loss by each word's corrections."""
-        sizes = batch.sizes[words]
-        edges = np.concatenate([[0], np.cumsum(sizes)])
         out = np.empty_like(corrections)
-        i = 0
-        while i < len(words):
-            j = max(i + 1, int(np.searchsorted(edges, edges[i] + ids_a_step, "right")) - 1)
-            rows = ranges(batch.begin[words[i:j]], sizes[i:j])
-            z = self.tables.bigram[batch.before[rows]]
-            z += np.repeat(corrections[i:j], sizes[i:j], axis=0)
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z *= 1 / (z.sum(1, keepdims=True) * z.dtype.type(edges[-1]))
-            z[np.arange(len(rows)), batch.target[rows]] -= 1 / z.dtype.type(edges[-1])
-            np.add.reduceat(z, edges[i:j] - edges[i], axis=0, out=out[i:j])
-            i = j
+        share = out.dtype.type(1 / batch.sizes[words].sum())
+        odds, n_classes = self.tables.odds, corrections.shape[1]
+        for part, rows in batch.by_size(words):
+            factors = np.exp(corrections[part])
+            z = odds.take(batch.before[rows], 0)
+            total = np.einsum("nsc,nc->ns", z, factors)
+            errors = np.einsum("nsc,ns->nc", z, share / total)
+            errors *= factors
+            met = np.bincount((np.arange(len(part))[:, None] * n_classes + batch.target[rows]).ravel(), minlength=errors.size)
+            errors -= share * met.reshape(errors.shape).astype(errors.dtype)
+            out[part] = errors
         return out
 
 
@@ -661,7 +682,8 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
 
     def run(batches: Batches) -> Batches:
         cls, tab, trained, head = held.value
-        vocab, model = counted_vocabulary(path, head, tab, run_key), Attention(trained, tab)
+        vocab, model = vocabulary(path), Attention(trained, tab)
+        vocab.attach(head, tab, run_key)
         for batch in batches:
             texts = words_of(as_bytes(batch.column(1)))
             learns = batch.column(2).to_numpy(zero_copy_only=False)

@@ -102,7 +102,7 @@ class Fake(lm.Vocabulary):
     """Words are made of letters that stand for ids."""
 
     def __init__(self):
-        self.counts, self.tables, self.size, self.end = None, None, 399, 399
+        self.attached, self.size, self.end = None, 399, 399
         self.reset()
 
     def spell(self, words):
@@ -129,6 +129,7 @@ def test_words_are_spelt_alike_alone_and_together():
     vocab = lm.Vocabulary(PATH)
     odd = "é日ñ\u00a0\u0085\u200b'st.,!09-"
     words = ["".join(rng.choice("abcst'.,!09-" + odd * (i % 2)) for _ in range(rng.randrange(1, 9))).encode() for i in range(400)]
+    vocab.places(words[:150])
     vocab.places(words)
     for w in words:
         ids, _ = vocab.spelt(np.array([vocab[w]]))
@@ -186,7 +187,7 @@ def test_scores_against_one_word_at_a_time():
 
 def test_gradient_against_differences():
     classes, tables, flat, rng = model(4)
-    flat, tables.bigram = flat.astype(np.float64), tables.bigram.astype(np.float64)
+    flat, tables.bigram, tables.odds = flat.astype(np.float64), tables.bigram.astype(np.float64), np.exp(tables.bigram.astype(np.float64))
     texts = spell(rng, (50, 3))
     b = lm.Batch(texts, Fake(), classes)
     text, begin, _ = lm.windows(b.lengths, lm.LENGTH)
