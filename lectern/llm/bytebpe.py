@@ -1,8 +1,9 @@
 """Byte-level BPE over Arrow batches (operator 4).
 
-encode() gives ids with byte and character offsets, decode() gives bytes and text back. The model is built
-for the `tokenizers` library from a file of ranks: a token of more than one byte is the merge of the two
-parts that lower ranks alone make of it, so merging by rank and merging by that list give the same ids.
+encode() gives ids with byte and character offsets, decode() gives bytes and text back, round_trip() all of it in one
+pass. The model is built for the `tokenizers` library from a file of ranks: a token of more than one byte is the merge of the
+two parts that lower ranks alone make of it, so merging by rank and merging by that list give the same ids. Its tokens are
+strings of characters that stand for bytes; decoding reverses that table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,37 +47,99 @@ def parts(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return pieces[0], pieces[1]
 
 
-class Encoder:
+@functools.lru_cache(maxsize=2)
+def model(path: str):
+    """A Tokenizer of the `tokenizers` library that merges by the ranks and cuts nothing by itself."""
+    one_worker_thread()
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    ranks, chars = read_ranks(path), byte_characters()
+    shown = lambda token: "".join(chars[b] for b in token)
+    ordered = sorted((t for t in ranks if len(t) > 1), key=ranks.get)
+    tok = Tokenizer(models.BPE({shown(t): r for t, r in ranks.items()}, [tuple(map(shown, parts(t, ranks))) for t in ordered]))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return tok
+
+
+class Bytes:
+    """The bytes of all tokens end to end: each token's characters, each read by the reversed table."""
+
+    def __init__(self, path: str):
+        of = {c: b for b, c in byte_characters().items()}
+        vocabulary = model(path).get_vocab(with_added_tokens=False)
+        self.length = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        pieces = [b""] * len(self.length)
+        for token, i in vocabulary.items():
+            pieces[i] = bytes(map(of.__getitem__, token))
+            self.length[i] = len(pieces[i])
+        self.flat, self.first = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(self.length) - self.length
+
+    def of(self, ids: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
+        """The bytes of the lists of ids between two edges each; an id without a token is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or not self.length[ids].all()):
+            raise ValueError("an id has no token")
+        sizes = self.length[ids]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        raw = self.flat[np.arange(at[-1]) + np.repeat(self.first[ids] - at[:-1], sizes)].tobytes()
+        ends = at[edges].tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield raw[a:b]
+
+
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> Bytes:
+    """One for each worker process."""
+    return Bytes(path)
+
+
+class Encoder(dict):
     """Ids of texts by a rank file: matches of the pattern, each encoded once by the `tokenizers` library while it is remembered.
 
-    The pattern is matched by the `regex` module, whose Unicode classes are those of the rank files' own library
-    for every code point; those of `tokenizers` differ for code points of the latest Unicode versions.
+    As a dict: match -> its place in the arrays of ids. The pattern is matched by the `regex` module, whose Unicode classes
+    are those of the rank files' own library for every code point; those of `tokenizers` differ for code points of the
+    latest Unicode versions.
     """
 
-    REMEMBERED = 120_000
+    REMEMBERED = 500_000
 
     def __init__(self, path: str, pattern: str):
-        one_worker_thread()
+        super().__init__()
         import regex
-        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        ranks, chars = read_ranks(path), byte_characters()
-        shown = lambda token: "".join(chars[b] for b in token)
-        ordered = sorted((t for t in ranks if len(t) > 1), key=ranks.get)
-        self.tok = Tokenizer(models.BPE({shown(t): r for t, r in ranks.items()}, [tuple(map(shown, parts(t, ranks))) for t in ordered]))
-        self.tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tok = model(path)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.ids, self.first, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, match: str) -> int:
+        self[match] = at = len(self.first) + len(self.new)
+        self.new.append(match)
+        return at
+
+    def _learn(self) -> None:
+        encoded = [e.ids for e in self.tok.encode_batch_fast(self.new, add_special_tokens=False)]
+        length = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.int32, int(length.sum()))])
+        self.new = []
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's begin and end."""
+        if len(self) > self.REMEMBERED:
+            self.forget()
         split = [self.split(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > self.REMEMBERED:
-            self.known, new = {}, list(set().union(*split))
-        self.known.update(zip(new, (e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, s)), np.int32) for s in split]
-        return np.concatenate([np.empty(0, np.int32), *ids]), np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        places = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        if self.new:
+            self._learn()
+        sizes = self.length[places]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.arange(at[-1]) + np.repeat(self.first[places] - at[:-1], sizes)]
+        return ids, at[np.cumsum([0, *map(len, split)])].astype(np.int32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -86,15 +148,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-@functools.lru_cache(maxsize=2)
-def byte_table(path: str) -> list[bytes | None]:
-    ranks = read_ranks(path)
-    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    return table
-
-
 def spans(texts: list[bytes], flat: np.ndarray, edges: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """char_start, char_end and byte_end of each token of the texts."""
     starts, ends, stops = [], [], []
@@ -107,74 +160,72 @@ def spans(texts: list[bytes], flat: np.ndarray, edges: np.ndarray, lengths: np.n
     return [np.concatenate([np.empty(0, np.int64), *x]).astype(np.int32) for x in (starts, ends, stops)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, offsets: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every whole text and, with offsets, the character spans and byte ends of the tokens.
+_SPANS = ("char_start", "char_end", "byte_end")
+
+
+def _lists(edges: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(values))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, *, offsets: bool = True, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of every whole text; with `offsets`, the character spans and byte ends of the tokens; with `decoded`, the bytes of the ids.
 
     char_start and char_end are the span of characters a token has any byte of, so that the tokens of a
     split character share it; byte_end is where the token ends in the UTF-8 text. Null and empty texts have
     no ids. Repeated rows stay repeated; null ids stay null; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    fields = [("ids", T.ArrayType(T.IntegerType()))] + [(c, T.ArrayType(T.IntegerType())) for c in ("char_start", "char_end", "byte_end")] * offsets
-    schema = pa.schema([("ids", pa.list_(pa.int32()))] + [(c, pa.list_(pa.int32())) for c in ("char_start", "char_end", "byte_end")] * offsets)
     source = documents(docs, id_col, text_col)
-    id_type = source.schema["doc_id"]
+    spans_of = _SPANS if offsets else ()
+    arrow = [(c, pa.list_(pa.int32())) for c in ("ids", *spans_of)] + [("bytes", pa.binary())] * decoded
+    fields = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", *spans_of)] + [T.StructField("bytes", T.BinaryType())] * decoded
 
     def run(batches: Batches) -> Batches:
-        encoded = encoder(path, pattern)
-        lengths = np.array([len(b or b"") for b in byte_table(path)], np.int64)
+        encoded, tokens = encoder(path, pattern), token_bytes(path)
         for batch in batches:
-            flat, edges = encoded(batch.column(1).to_pylist())
-            values = [flat]
+            ids, edges = encoded(batch.column(1).to_pylist())
+            columns = [_lists(edges, ids)]
             if offsets:
-                values += spans(as_bytes(batch.column(1)), flat, edges, lengths)
-            yield record_batch(pa.schema([batch.schema.field(0), *schema]), [batch.column(0), *(pa.ListArray.from_arrays(pa.array(edges), pa.array(v)) for v in values)])
-
-    return source.mapInArrow(run, T.StructType([id_type, *(T.StructField(n, t) for n, t in fields)]))
+                columns += [_lists(edges, s) for s in spans(as_bytes(batch.column(1)), ids, edges, tokens.length)]
+            if decoded:
+                columns.append(list(tokens.of(ids, edges)))
+            yield record_batch(pa.schema([batch.schema.field(0), *arrow]), [batch.column(0), *columns])
 
-
-def joined(ids: pa.ListArray, table: list[bytes | None]) -> Iterator[bytes]:
-    """The bytes of each list; a null list has none."""
-    flat, edges = ids.flatten(), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-    if len(flat) and (pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(table)):
-        raise ValueError("an id has no token")
-    pieces = [table[i] for i in flat.to_numpy(zero_copy_only=False).tolist()]
-    if None in pieces:
-        raise ValueError("an id has no token")
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield b"".join(pieces[a:b])
+    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], *fields]))
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, bytes, text) of id lists by the table of token bytes.
+    """(doc_id, bytes, text) of id lists by the reversed byte table.
 
     Bytes are joined before they are read as UTF-8, so characters split between tokens come back whole;
     what is no UTF-8 becomes U+FFFD in text only. A null list counts as empty; an id outside the table is an error.
+    Repeated rows and null ids stay.
     """
-    source = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    source = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Batches) -> Batches:
-        table = byte_table(path)
+        tokens = token_bytes(path)
         for batch in batches:
             whole = pa.schema([batch.schema.field(0), ("bytes", pa.binary()), ("text", pa.string())])
-            out = list(joined(batch.column(1), table))
+            edges = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            ids = batch.column(1).flatten()
+            if ids.null_count:
+                raise ValueError("an id is null")
+            out = list(tokens.of(ids.to_numpy(zero_copy_only=False), edges))
             yield record_batch(whole, [batch.column(0), out, [b.decode("utf-8", "replace") for b in out]])
 
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("bytes", T.BinaryType()), T.StructField("text", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, **names: str) -> DataFrame:
-    """(doc_id, ids, bytes): encode() and then decode() without joining the two again."""
-    encoded = encode(docs, path, pattern, offsets=False, **names)
-
-    def run(batches: Batches) -> Batches:
-        table = byte_table(path)
-        for batch in batches:
-            whole = pa.schema([*batch.schema, ("bytes", pa.binary())])
-            yield record_batch(whole, [*batch.columns, list(joined(batch.column(1), table))])
-
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("bytes", T.BinaryType())]))
+    """(doc_id, ids, char_start, char_end, byte_end, bytes): encode() and decode() in one pass; rows as in encode()."""
+    return encode(docs, path, pattern, decoded=True, **names)
 
 
 def digests(trip: DataFrame) -> DataFrame:
-    return trip.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    """Of each row of round_trip(): n_tokens and the digests of ids and bytes; n_chars and n_split, the characters that the
+    tokens span and the tokens that end inside a character. Texts without tokens have 0 of all."""
+    ids = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256)
+    split = F.filter("char_end", lambda end, i: end > F.get("char_start", i + 1))
+    n_chars = F.coalesce(F.get("char_end", F.size("char_end") - 1), F.lit(0)).cast("long")
+    return trip.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), n_chars.alias("n_chars"), F.size(split).cast("long").alias("n_split"))

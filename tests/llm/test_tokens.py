@@ -33,6 +33,11 @@ def test_encode_is_what_tiktoken_gives_and_decodes(run_op, frame):
         sha = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert (rows[i].n_tokens, rows[i].ids_sha256) == (len(ids), sha), t
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        ends, begun = 0, 0
+        for token in ids[:-1]:
+            ends += len(enc.decode_single_token_bytes(token))
+            begun += t.encode()[ends] & 0xC0 == 0x80
+        assert (rows[i].n_chars, rows[i].n_split) == (len(t or ""), begun)
 
 
 def test_offsets_and_split_characters(frame):
@@ -42,7 +47,7 @@ def test_offsets_and_split_characters(frame):
     assert empty.ids == null.ids == []
     text = "x 😀日 y"
     assert first.byte_end[-1] == len(text.encode())
-    table = bytebpe.byte_table(RANKS)
+    table = {r: t for t, r in bytebpe.read_ranks(RANKS).items()}
     begin = 0
     for i, s, e, end in zip(first.ids, first.char_start, first.char_end, first.byte_end):
         assert text.encode()[begin:end] == table[i]
@@ -82,3 +87,22 @@ def test_token_count_query(run_op, frame):
         t = texts[r.doc_id] or ""
         n = len(tok.encode(t, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 512)
+
+
+def test_byte_table_reversed():
+    tokens = bytebpe.token_bytes(RANKS)
+    for token, rank in bytebpe.read_ranks(RANKS).items():
+        assert tokens.flat[tokens.first[rank] : tokens.first[rank] + tokens.length[rank]].tobytes() == token
+    with pytest.raises(ValueError):
+        list(tokens.of(bytebpe.np.array([len(tokens.length)]), bytebpe.np.array([0, 1])))
+
+
+def test_repeated_rows_null_ids_and_forgetting(frame, monkeypatch):
+    monkeypatch.setattr(bytebpe.Encoder, "REMEMBERED", 3)
+    bytebpe.encoder.cache_clear()
+    docs = frame([(1, "a b c d"), (1, "a b c d"), (None, "e f g h"), (None, None), (2, "long " * 20_000)])
+    rows = bytebpe.digests(bytebpe.round_trip(docs, RANKS, P.PATTERN)).collect()
+    bytebpe.encoder.cache_clear()
+    assert sorted(r.n_tokens for r in rows) == sorted(len(reference().encode_ordinary(t)) for t in ("a b c d", "a b c d", "e f g h", "", "long " * 20_000))
+    counts = tokencount.count_tokens(docs, JSON, limit=512).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in counts) == sorted((r.doc_id is None, r.n_tokens) for r in rows)
