@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as all contracts of this subpackage use it.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Rows in an Arrow batch: whole texts travel in them, so that a batch stays small.
-BATCH_ROWS = 200
+#: Rows and bytes in an Arrow batch: whole texts travel in them, so that a batch stays small.
+BATCH_ROWS, BATCH_BYTES = 200, 16 << 20
+#: Keys (16 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
+FEW_KEYS = 2_000_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -24,19 +27,34 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what an Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds what an Arrow batch of whole texts holds, in rows and in bytes.
+
+    The settings are read when a plan runs, so they stay; smaller ones of the session's own are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"\d+", spark.conf.get(name) or "")
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own only where it names none, as in local tests."""
+    """The folder that the session names in spark.checkpoint.dir; one of our own only in local mode where it names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="lectern-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder wherever Spark's file systems hold it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -45,6 +63,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """(row, the given columns): all columns of docs in one struct, so that their names clash with none of ours; select("row.*") gives them back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text as (a, b); null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def by_keys(big: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A semi or anti join with distinct, checkpointed keys: broadcast where they are few, so that big rows stay where they are."""
+    return big.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys.hint("shuffle_hash"), on, how)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -1,9 +1,10 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (operator 6).
 
 A short item inside a long document has a tiny Jaccard similarity with it, so only the item is sketched: of its k-word
-shingles, those with the smallest hashes. How many depends on the partition of the item's size: a document that
-contains the share `percent` of an item's n shingles misses at most n - ceil(percent * n / 100) of them, so one more
-sketch element than that is enough to meet every such document. The documents' own shingles look the
+shingles, those with the smallest hashes. Items are partitioned by size, in octaves, and each partition has parameters of its
+own: a document that contains the share `percent` of an item's n shingles misses at most n - ceil(percent * n / 100) of them, so
+one more sketch element than that, for the largest n of the partition, is enough to meet every such document; a
+document with fewer shingles than the smallest item needs is not looked up in it. The documents' own shingles look the
 elements up; each candidate is then confirmed by the exact share of the item's shingles, words compared as words.
 
 Items go through in blocks of a bounded number of words, each block over all documents.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Batches, WordHashes, as_bytes, documents, record_batch, shingle_hashes, small_batches
+from lectern.llm.common import Batches, WordHashes, as_bytes, by_keys, checkpoint, documents, record_batch, shingle_hashes, small_batches, text_key, whole_rows
 
 BLOCK_WORDS = 200_000
 
@@ -34,41 +35,58 @@ def shingles(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
 
 
+class Partition:
+    """Items of one size class: those with more than half of `most` shingles and no more. Its sketches hold so many of the
+    smallest hashes of an item that a document with the share `percent` of the shingles meets one."""
+
+    def __init__(self, items: list[tuple[int, list[int]]], percent: int):
+        fewest, most = min(len(of) for _, of in items), max(len(of) for _, of in items)
+        self.needed = least(fewest, percent)  # shingles of a document that contains any item
+        self.sketch = most - least(most, percent) + 1
+        met = defaultdict(list)
+        for at, of in items:
+            for h in sorted(of)[: self.sketch]:
+                met[h].append(at)
+        order = sorted(met)
+        self.elements, self.items = np.array(order, np.uint64), [met[h] for h in order]
+
+    def candidates(self, own: np.ndarray) -> set[int]:
+        """Items that share a sketch element with the hashes of a document."""
+        if len(own) < self.needed:
+            return set()
+        at = np.searchsorted(self.elements, own)
+        at[at == len(self.elements)] = 0
+        return {c for hit in np.unique(at[self.elements[at] == own]) for c in self.items[hit]}
+
+
+def least(n: int, percent: int) -> int:
+    return max(1, -(-percent * n // 100))
+
+
 class Block:
-    """Sketches of some items, by the number of words in their shingles."""
+    """Some items, in partitions by the words of a shingle and by size."""
 
     def __init__(self, items: list[tuple[object, bytes]], n: int, percent: int):
         self.percent = percent
-        self.parts: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
         self.items = [(i, shingles(words_of(t), n)) for i, t in items]
-        hashes, sketches = WordHashes(), defaultdict(lambda: defaultdict(list))
+        hashes, parts = WordHashes(), defaultdict(list)
         for at, (_, whole) in enumerate(self.items):
-            if not whole:
-                continue
-            k = len(next(iter(whole)))
-            of = sorted(int(shingle_hashes(hashes.of(list(s)), k)[0]) for s in whole)
-            for h in of[: len(whole) - self.least(len(whole)) + 1]:
-                sketches[k][h].append(at)
-        for k, found in sketches.items():
-            order = sorted(found)
-            self.parts[k] = (np.array(order, np.uint64), [found[h] for h in order])
-
-    def least(self, n: int) -> int:
-        return max(1, -(-self.percent * n // 100))
+            if whole:
+                k = len(next(iter(whole)))
+                parts[k, len(whole).bit_length()].append((at, [int(shingle_hashes(hashes.of(list(s)), k)[0]) for s in whole]))
+        self.parts = {of: Partition(members, percent) for of, members in sorted(parts.items())}
 
     def search(self, text: bytes, hashes: WordHashes) -> list[tuple[int, int]]:
         """(item, shingles it shares) of the items that the text contains."""
         words = words_of(text)
         of = hashes.of(words)
+        own: dict[int, np.ndarray] = {}
         candidates: set[int] = set()
-        for k, (elements, items) in self.parts.items():
-            if len(words) < k:
-                continue
-            own = shingle_hashes(of, k)
-            at = np.searchsorted(elements, own)
-            at[at == len(elements)] = 0
-            for hit in np.unique(at[elements[at] == own]):
-                candidates.update(items[hit])
+        for (k, _), part in self.parts.items():
+            if len(words) >= k:
+                if k not in own:
+                    own[k] = shingle_hashes(of, k)
+                candidates |= part.candidates(own[k])
         out, whole = [], {}
         for c in sorted(candidates):
             wanted = self.items[c][1]
@@ -76,7 +94,7 @@ class Block:
             if k not in whole:
                 whole[k] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
             common = len(wanted & whole[k])
-            if common >= self.least(len(wanted)):
+            if common >= least(len(wanted), self.percent):
                 out.append((c, common))
         return out
 
@@ -121,13 +139,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, percent:
     return out.withColumn("containment", F.col("n_common") / F.col("n_item"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents that contain no item, with all their columns. Rows without an id stay only if their text is clean, as any other."""
-    text = settings.get("text_col", "text")
-    key = F.struct(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("a"), F.xxhash64(F.lit(1), F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("b"))
-    keyed = docs.withColumn("_key", key)
-    found = contaminated(keyed, benchmark, **settings | {"id_col": "_key"}).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(found, "_key", "left_anti").drop("_key")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **settings) -> DataFrame:
+    """The documents that contain no item, with all their columns, whatever their names.
+
+    A row stays or goes by its text, so repeated rows do so together and rows without an id as any other; null and empty texts
+    stay. An empty benchmark lets all stay.
+    """
+    keyed = docs.select(text_key(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    found = contaminated(keyed, benchmark, **settings | {"id_col": "key", "text_col": "text"})
+    gone = checkpoint(found.select(F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b")).distinct())
+    key = text_key(F.col(f"`{text_col}`"))
+    return by_keys(whole_rows(docs, a=key["a"], b=key["b"]), gone, ["a", "b"], "left_anti").select("row.*")
 
 
 ORACLE = r"""

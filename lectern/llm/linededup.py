@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, checkpoint
+from lectern.llm.common import BLANKS, checkpoint, text_key, whole_rows
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -29,35 +29,39 @@ def line_hashes(text: Column, min_length: int) -> Column:
     return F.transform(F.split(ascii_lower(text), "\n", -1), lambda line: F.when(F.length(line_key(line)) >= min_length, F.struct(F.xxhash64(line_key(line)).alias("a"), F.xxhash64(F.lit(1), line_key(line)).alias("b"))))
 
 
-def dedup_lines(docs: DataFrame, *, min_docs: int, min_length: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, the text without its frequent lines, and n_lines and n_dropped as `_n_lines` and `_n_dropped`.
+def dedup_lines(docs: DataFrame, *, min_docs: int, min_length: int = 1, counts: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs, the text without its frequent lines; with `counts`, the numbers of lines and of dropped ones under these two names.
 
     Each row is a document, so repeated rows count as often as they occur. A null or empty text is one empty
     line, which has no key of a code point and stays; a text all of whose lines go becomes empty. Null ids are
-    ids of their own. Other columns pass through untouched.
+    ids of their own. Other columns pass through untouched, whatever their names, but for those that `counts` names anew.
+    An empty table stays empty.
     """
-    text, row = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), [F.col("_key.id"), F.col("_key.a"), F.col("_key.b")]
+    whole_text, names = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), ["id", "a", "b"]
     # Equal rows get equal keys and lose the same lines, so the key need not be unique.
-    key = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
-    lines = docs.select(key.alias("_key"), line_hashes(text, min_length).alias("_lines"))
-    once = lines.select(F.explode(F.array_distinct(F.filter("_lines", lambda h: h.isNotNull()))).alias("h"))
+    key = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), text_key(whole_text).alias("t"))
+    unpacked = lambda k: [k["id"].alias("id"), k["t"]["a"].alias("a"), k["t"]["b"].alias("b")]
+    lines = docs.select(*unpacked(key), line_hashes(whole_text, min_length).alias("lines"))
+    once = lines.select(F.explode(F.array_distinct(F.filter("lines", lambda h: h.isNotNull()))).alias("h"))
     # A table of its own, so that both sides of the join are dealt out by exchanges that adaptive execution can split.
-    common = checkpoint(once.groupBy("h.a", "h.b").count().where(F.col("count") >= min_docs).select("a", "b"))
-    placed = lines.select(*[c.alias(f"k{i}") for i, c in enumerate(row)], F.posexplode("_lines").alias("pos", "h")).where("h is not null").select("k0", "k1", "k2", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-    dropped = placed.join(common, ["a", "b"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("pos").alias("_dropped"))
-    whole = docs.withColumn("_key", key).select("*", *[c.alias(f"k{i}") for i, c in enumerate(row)])
+    common = checkpoint(once.groupBy(F.col("h.a").alias("ha"), F.col("h.b").alias("hb")).count().where(F.col("count") >= min_docs).select("ha", "hb"))
+    placed = lines.select(*names, F.posexplode("lines").alias("pos", "h")).where("h is not null").select(*names, "pos", F.col("h.a").alias("ha"), F.col("h.b").alias("hb"))
+    dropped = placed.join(common, ["ha", "hb"], "left_semi").groupBy(*names).agg(F.collect_set("pos").alias("dropped"))
     # The positions of a partition are far smaller than its texts: they are hashed, and texts stream by without a sort.
-    out = whole.join(dropped.hint("shuffle_hash"), ["k0", "k1", "k2"], "left")
+    out = whole_rows(docs, **dict(zip(names, unpacked(key), strict=True))).join(dropped.hint("shuffle_hash"), names, "left")
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
     split = F.split(text, "\n", -1)
-    none = F.col("_dropped").isNull()
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_dropped")), lambda i: F.get(split, i))
-    kept_text = F.when(none, text).otherwise(F.concat_ws("\n", kept))
-    columns = [kept_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, F.size(split).cast("long").alias("_n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("_n_dropped"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped")), lambda i: F.get(split, i))
+    kept_text = F.when(F.col("dropped").isNull(), text).otherwise(F.concat_ws("\n", kept))
+    columns = [kept_text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in (counts or ())]
+    if counts:
+        columns += [F.size(split).cast("long").alias(counts[0]), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias(counts[1])]
+    return out.select(*columns)
 
 
 def digests(deduped: DataFrame) -> DataFrame:
-    return deduped.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    """(doc_id, n_lines, n_dropped, kept_sha256) of each row of dedup_lines() with these counts."""
+    return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

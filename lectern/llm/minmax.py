@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Batches, WordHashes, as_bytes, checkpoint, documents, mix, record_batch, shingle_hashes, small_batches
+from lectern.llm.common import Batches, WordHashes, as_bytes, by_keys, checkpoint, documents, mix, record_batch, shingle_hashes, small_batches, whole_rows
 from lectern.llm.components import connected_components
 
 ROWS = 4  # values in a band
@@ -123,8 +123,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (node, component) over members (bucket, id, n) of all pairs that share a bucket and reach the threshold."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    """Components (node, component) over members (bucket, id, n) of all pairs that share a bucket and reach the threshold.
+
+    members and sets (doc_id, shingles) hold no nulls, each id once in a bucket and in sets; without members there are no components.
+    """
+    # Tables of their own, so that both sides of a join are dealt out by exchanges that adaptive execution can split.
+    sizes = checkpoint(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")))
     weights = members.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
     alive = checkpoint(members.join(weights, "id").select("bucket", "id", "n", "weight"))
     # The member that meets most others is the centre: of near copies, the text they were made from.
@@ -132,8 +136,8 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     around = alive.join(centres, "bucket").where("id <> centre")
     meet = around.where(_fits(percent, F.col("n"), F.col("centre_n"))).select("id", F.col("centre").alias("other"))
     edges, components = _merge(None, meet, sets, percent)
-    labelled = around.join(components.withColumnRenamed("node", "id"), "id", "left").select("bucket", "centre", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    labelled = checkpoint(around.join(components.withColumnRenamed("node", "id"), "id", "left").select("bucket", "centre", "id", "n", F.coalesce("component", "id").alias("component")))
+    split = checkpoint(labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"))
     left = checkpoint(labelled.join(split, "bucket").select("centre", "id", "n", "component").distinct())
     return _merge(edges, _share_differences(left, sets, percent), sets, percent)[1]
 
@@ -188,8 +192,15 @@ def near_duplicates(docs: DataFrame, *, n: int, percent: int, id_col: str = "doc
     exploded = classes.select(F.explode("bands").alias("bucket"), "id", "n")
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = checkpoint(exploded.join(shared, "bucket"))
-    involved = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = sets_of(documents(docs, id_col, text_col).join(involved, "doc_id", "left_semi"), n).groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    involved = checkpoint(members.select(F.col("id").alias("doc_id")).distinct())
+    # The texts stay where they are; only those of ids that occur more than once are brought together.
+    named = by_keys(documents(docs, id_col, text_col), involved, ["doc_id"], "left_semi")
+    twice = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    twice = checkpoint(twice.join(involved, "doc_id", "left_semi"))
+    sets = sets_of(named, n)
+    if not twice.isEmpty():
+        once = by_keys(sets, twice, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+        sets = by_keys(sets, twice, ["doc_id"], "left_anti").unionByName(once)
     merged = links(members, checkpoint(sets), percent)
     by_class = classes.select("set_a", "set_b", "id").join(merged.withColumnRenamed("node", "id"), "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
     out = drawn.drop("bands").join(by_class, ["set_a", "set_b"], "left")
@@ -201,19 +212,18 @@ def near_duplicates(docs: DataFrame, *, n: int, percent: int, id_col: str = "doc
 def keep_one(docs: DataFrame, *, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates() keeps; of rows with one id, one.
 
-    Rows without an id all stay.
+    Rows without an id all stay, as do null and empty texts. Columns pass through whatever their names.
     """
     judged = checkpoint(near_duplicates(docs, n=n, percent=percent, id_col=id_col, text_col=text_col))
-    key = F.col(f"`{id_col}`")
-    named = judged.where("doc_id is not null")
-    gone = named.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    several = gone.where("kept and rows > 1")
-    out = docs.join(gone.where("not kept").select(F.col("doc_id").alias("_gone")), key == F.col("_gone"), "left_anti")
-    if several.isEmpty():
-        return out
-    repeated = several.select(F.col("doc_id").alias("_several"))
-    once = out.join(repeated, key == F.col("_several"), "left_semi").dropDuplicates([id_col])
-    return out.join(repeated, key == F.col("_several"), "left_anti").unionByName(once)
+    ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    ids = checkpoint(ids.where("not kept or rows > 1"))
+    rows = whole_rows(docs, doc_id=F.col(f"`{id_col}`"))
+    out = by_keys(rows, checkpoint(ids.where("not kept").select("doc_id")), ["doc_id"], "left_anti")
+    several = checkpoint(ids.where("kept").select("doc_id"))
+    if not several.isEmpty():
+        once = by_keys(out, several, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+        out = by_keys(out, several, ["doc_id"], "left_anti").unionByName(once)
+    return out.select("row.*")
 
 
 #: The contract query by comparing all pairs that share a shingle.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Batches, as_bytes, checkpoint, documents, record_batch, small_batches
+from lectern.llm.common import Batches, as_bytes, checkpoint, documents, record_batch, small_batches, whole_rows
 
 #: Length counts up to 256 bytes, where shares are uncertain, and no more: a long text is not bad for that.
 STATISTICS = ["bytes_to_256", "upper", "digit", "blank", "breaks", "sentence_marks", "shouts", "bars", "symbols", "other_marks", "non_ascii", "entropy", "word_length", "long_words", "short_words", "capital_words", "marked_words", "repeated_words", "distinct_lines"]
@@ -203,14 +203,33 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3, penalt
     return Ensemble(float(b - (weights[kept] * support[kept]).sum()), [(paths[i], float(weights[i])) for i in kept])
 
 
+BARS = 1 << 16
+
+
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """The rows whose ids have the smallest hashes, at most `most`: a bound on the hash is read off a histogram, so that no more rows travel."""
+    bar = F.shiftrightunsigned(F.xxhash64("doc_id"), 48)
+    taken, bound = 0, 0
+    for b in rows.groupBy(bar.cast("int").alias("bar")).count().orderBy("bar").collect():
+        taken += b["count"]
+        if taken > most:
+            break
+        bound = b.bar + 1
+    # Where even the first bar is too long, it alone is sorted.
+    return rows.where(bar < bound) if bound or not taken else rows.where(bar <= b.bar).orderBy(F.xxhash64("doc_id"), *rows.columns).limit(most)
+
+
 def train(stats: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, label_col: str = "quality", **settings: float) -> Ensemble:
     """Fits on at most `max_rows` labelled rows, those with the smallest hash of the id.
 
-    Repeated labels of a document count once, by their least value; null ids and labels other than 0 and 1 don't count.
+    Repeated labels of a document count once, by their least value, and so do rows with one id and equal statistics; null ids
+    and labels other than 0 and 1 don't count.
     """
-    labels = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id")).agg(F.min(label_col).cast("double").alias("_label"))
-    rows = stats.join(labels, "doc_id").orderBy(F.xxhash64(F.col("doc_id")), "doc_id", *STATISTICS).limit(max_rows).select(*STATISTICS, "_label").toPandas().to_numpy(np.float64)
-    return fit(rows[:, :-1], rows[:, -1], **settings)
+    labels = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id")).agg(F.min(label_col).cast("double").alias("label"))
+    labelled = checkpoint(stats.join(labels, "doc_id").select("doc_id", *STATISTICS, "label").distinct())
+    rows = sample(labelled, max_rows).select(F.xxhash64("doc_id").alias("hash"), *STATISTICS, "label").toPandas()
+    rows = rows.sort_values(list(rows.columns), kind="stable").to_numpy(np.float64)
+    return fit(rows[:, 1:-1], rows[:, -1], **settings)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
@@ -225,20 +244,20 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, *, threshol
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn_from: Column, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores `threshold` or more by a model learnt as in classify()."""
+    """The rows of docs, with all their columns, whose text scores `threshold` or more by a model learnt as in classify().
+
+    Null and empty texts score as there; repeated rows and rows without an id stay or go by their texts. Columns pass through
+    whatever their names.
+    """
     model = train(checkpoint(measure(docs, id_col, text_col)).where(learn_from), labels, **settings)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     small_batches(docs.sparkSession)
-    at = [*docs.columns, "_text"].index("_text")
-    source = docs.withColumn("_text", text)
+    source = whole_rows(docs, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            rows = np.array([statistics_of(t) for t in as_bytes(batch.column(at))], np.float64).reshape(-1, len(STATISTICS))
+            rows = np.array([statistics_of(t) for t in as_bytes(batch.column(1))], np.float64).reshape(-1, len(STATISTICS))
             numbers = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(STATISTICS), dtype=np.int32)), pa.array(rows.reshape(-1)))
-            yield record_batch(pa.schema([*(batch.schema.field(i) for i in range(at)), ("_statistics", numbers.type)]), [*batch.columns[:at], numbers])
+            yield record_batch(pa.schema([batch.schema.field(0), ("statistics", numbers.type)]), [batch.column(0), numbers])
 
-    fields = [*docs.schema, T.StructField("_statistics", T.ArrayType(T.DoubleType()))]
-    measured = source.mapInArrow(run, T.StructType(fields))
-    score = model.score(lambda i: F.get("_statistics", F.lit(i)))
-    return measured.where(score >= threshold).drop("_statistics")
+    measured = source.mapInArrow(run, T.StructType([source.schema["row"], T.StructField("statistics", T.ArrayType(T.DoubleType()))]))
+    return measured.where(model.score(lambda i: F.get("statistics", F.lit(i))) >= threshold).select("row.*")

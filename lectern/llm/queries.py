@@ -22,7 +22,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.digests(linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10))
+    return linededup.digests(linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, counts=("n_lines", "n_dropped")))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,26 @@ def test_empty_tables(frame, spark):
     assert decontam.contaminated(frame(docs).limit(0), bench).count() == 0
     assert decontam.contaminated(frame(docs), bench.limit(0)).count() == 0
     assert decontam.decontaminate(frame(docs), bench.limit(0)).count() == len(docs)
+
+
+def test_repeated_documents_and_null_ids(frame, spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "one two"), (None, "never named at all here"), (3, None)], "item_id long, text string")
+    docs = frame([(1, "zero one two three four five six seven eight"), (1, "zero one two three four five six seven eight"), (None, "say one two"), (2, None), (3, "never named at all here")])
+    got = sorted((r.doc_id or 0, r.item_id) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(0, 2), (1, 1), (1, 1), (1, 2), (1, 2)]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, items).collect()) == [2, 3]
+
+
+def test_partitions_by_size_lose_no_item(frame, spark):
+    import random
+
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 5, 6, 9, 17, 40, 130])))) for i in range(60)]
+    docs = []
+    for i in range(120):
+        words = [rng.choice(vocab) for _ in range(rng.randrange(0, 60))]
+        cut = rng.choice(items)[1].split()
+        docs.append((i, " ".join(words + cut[: max(1, int(len(cut) * rng.choice([0.7, 0.85, 1])))] + words[:5])))
+    got = sorted((r.doc_id, r.item_id, r.n_common) for r in decontam.contaminated(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == sorted((d, i, c) for d, i, c, *_ in brute(docs, items, 5, 80)) and got

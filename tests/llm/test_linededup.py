@@ -29,6 +29,6 @@ def test_against_brute_force(run_op, frame):
 
 def test_ids_repeat_or_are_null_and_columns_clash(frame):
     docs = frame([(1, "x\ny"), (1, "x\ny"), (None, "x\nz"), (None, None)]).selectExpr("doc_id", "text", "7 as a", "8 as pos", "9 as h")
-    out = linededup.dedup_lines(docs, min_docs=3)
+    out = linededup.dedup_lines(docs, min_docs=3, counts=("_n_lines", "_n_dropped"))
     assert sorted((r.doc_id or 0, r.text, r._n_dropped, r.a, r.pos) for r in out.collect()) == [(0, None or "", 0, 7, 8), (0, "z", 1, 7, 8), (1, "y", 1, 7, 8), (1, "y", 1, 7, 8)]
     assert linededup.dedup_lines(docs.limit(0), min_docs=3).count() == 0

@@ -83,3 +83,27 @@ def test_near_dedup_keeps_one_row_of_repeated_ids(spark, frame):
     docs = frame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (None, None), (3, "")])
     out = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1, 3]
+
+
+CLASHES = ["row", "a", "b", "t", "id", "key", "k0", "pos", "lines", "dropped", "_text", "statistics", "_statistics", "_dropped", "_key", "_gone", "kept", "rows", "component", "n_lines", "hash", "label"]
+
+
+def test_stages_with_clashing_columns(spark, frame, tmp_path):
+    """Columns named as anything the stages use inside pass through with their values."""
+    write(spark, frame, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    wide = docs.select("*", *(F.concat(F.lit(c), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, wide, str(tmp_path)), stage(spark, docs, str(tmp_path))
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHES if r.doc_id is not None), name
+        assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in plain.collect()), name
+
+
+def test_very_long_texts(spark, frame):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = frame([(1, long), (2, long + " end"), (3, "short one of five words"), (4, "x" * 500_000), (5, "l\n" * 200_000)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4, 5]
+    cut = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert cut[1] == long and cut[5] == "l\n" * 200_000

@@ -66,3 +66,12 @@ def test_clashing_columns(frame, spark):
     docs, y = rows(60)
     labels = spark.createDataFrame([(i, q) for i, q in enumerate(y)], "doc_id long, quality int").selectExpr("*", "1 as upper", "2 as _label", "3 as text")
     assert quality.classify(frame(docs).selectExpr("*", "1 as upper", "2 as score"), labels, F.lit(True)).count() == 60
+
+
+def test_sample_is_bounded_and_repeats_count_once(spark, frame):
+    rows = spark.range(5000).selectExpr("id as doc_id", "id as x")
+    assert 4000 < quality.sample(rows, 4990).count() <= 4990 and quality.sample(rows, 5000).count() == 5000
+    assert quality.sample(rows.selectExpr("7L as doc_id", "x"), 100).count() == 100 and quality.sample(rows.limit(0), 5).count() == 0
+    stats = quality.measure(frame([(i % 40, junk(random.Random(i % 40)) if i % 2 else "Good plain words stand here.") for i in range(400)] + [(None, "x"), (None, None)]))
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert quality.train(stats, labels) == quality.train(stats.distinct(), labels)
