@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytebpe, decontam, linededup, minmax, quality
-from lectern.llm.common import remainder, shared_folder
+from lectern.llm.common import remainder, remove, shared_folder
 from lectern.session import table
 
 
@@ -24,7 +24,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that 10 or more of them share; n_chars follows the text."""
-    cut = linededup.dedup_lines(docs, min_docs=10).drop("_n_lines", "_n_dropped")
+    cut = linededup.dedup_lines(docs, min_docs=10)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 
@@ -50,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    """All stages over documents, each but the last written to the shared folder and read again; what only earlier stages read is removed."""
+    docs, folder, last = table(spark, sf_dir, "documents"), posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(path := posixpath.join(folder, name))
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
