@@ -11,17 +11,21 @@ class Sentences:
     """sentences(text): the sentences of a text, one a row."""
 
     def eval(self, text: str):
-        import re
+        import regex
 
-        from lectern.operators.segment import TITLES
+        from lectern.operators.segment import BREAK, marks
 
-        held = re.sub(rf"\b({'|'.join(TITLES)}|[A-Z])\.", "\\1\x02", text or "")
-        parts = re.sub(r"([.!?…][\"”’')\]]*)([ \t\n\r]+)(?=[\"“‘'(\[]*([^\W\d_]|[0-9]))", lambda m: m[0] if m[3].islower() else m[1] + "\x01" + m[2], held).split("\x01")
-        for i, p in enumerate(p for p in (x.strip(" \t\n\r").replace("\x02", ".") for x in parts) if p):
-            yield i, p
+        held = text or ""
+        for pattern, replacement in marks():
+            held = regex.sub(pattern.replace(r"\z", r"\Z"), regex.sub(r"\$(\d)", r"\\g<\1>", replacement), held)
+        pieces = (p.strip(" \t\n\r") for p in held.split(BREAK))
+        yield from enumerate(p for p in pieces if p)
 
 
 def register(spark: SparkSession) -> None:
     """Registers sentences(text), and word_count(text) and takes_an(word) as SQL functions without Python."""
     spark.udtf.register("sentences", Sentences)
+    from lectern.functions.text import takes_an_sql
+
+    spark.sql(f"create or replace temporary function takes_an(word string) returns boolean return {takes_an_sql('word')}")
     spark.sql(r"create or replace temporary function word_count(t string) returns int return size(regexp_extract_all(t, '[\\p{L}\\p{N}]+(?:[\'’][\\p{L}\\p{N}]+)*(?:-[\\p{L}\\p{N}]+)*', 0))")

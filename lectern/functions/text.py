@@ -104,13 +104,32 @@ def column_of(text: Column, offset: Column) -> Column:
 VOWEL_NAMES = "AEFHILMNORSX"
 
 
+# Beginnings of words that are spelt with a vowel and begin with a consonant's sound.
+CONSONANT_SOUNDS = [
+    "eu", "ewe", "ouija", "ubiq", "ukulele", "unary", "unicast", "unicode", "unicorn", "unidirectional", "unif", "unilateral", "union", "unique", "unison", "unit", "univers",
+    "ura", "ure", "uri", "uro", "usa", "use", "usu", "uter", "util", "utopi",
+]
+# Beginnings of words that are spelt with a consonant and begin with a vowel's sound.
+VOWEL_SOUNDS = ["heir", "honest", "honor", "honour", "hour"]
+_SOUNDS = [
+    (r"^(?:one|once)(?:$|[^\p{L}\p{N}])", False),
+    (f"^(?:{'|'.join(CONSONANT_SOUNDS)})", False),
+    (f"^(?:{'|'.join(VOWEL_SOUNDS)})", True),
+    ("^uni", None),
+    ("^(?:[aeio]|u[nmplgtr])", True),
+    ("^[b-df-gj-np-tv-wyz]", False),
+]
+
+
+def takes_an_sql(word: str) -> str:
+    """takes_an() as an SQL expression over `word`."""
+    cases = " ".join(f"when lower({word}) rlike r'{pattern}' then {str(an).lower() if an is not None else 'null'}" for pattern, an in _SOUNDS)
+    return rf"case when {word} rlike r'^\p{{Lu}}{{2}}' then instr('{VOWEL_NAMES}', substring({word}, 1, 1)) > 0 {cases} end"
+
+
 def takes_an(word: Column) -> Column:
-    """Whether a word wants `an`, by its spelling; null where spelling does not decide (h, x, uni-, eu-, o before n or u)."""
-    acronym = word.rlike(r"^\p{Lu}{2}")
-    lower = F.lower(word)
-    return (
-        F.when(acronym, F.substring(word, 1, 1).isin(*VOWEL_NAMES))
-        .when(lower.rlike(r"^(h|x|y|uni|eu|u[a-z][aeiou]|on|ou|[0-9])"), F.lit(None).cast("boolean"))
-        .when(lower.rlike(r"^[aeiou]"), F.lit(True))
-        .when(lower.rlike(r"^[a-z]"), F.lit(False))
-    )
+    """Whether a word wants `an`, by its spelling; null where spelling does not decide (h, x, uni, u before other letters, digits)."""
+    out = F.when(word.rlike(r"^\p{Lu}{2}"), F.substring(word, 1, 1).isin(*VOWEL_NAMES))
+    for pattern, an in _SOUNDS:
+        out = out.when(F.lower(word).rlike(pattern), F.lit(an).cast("boolean"))
+    return out

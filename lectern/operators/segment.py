@@ -7,21 +7,55 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import WORD, match_all, word_count
 
-# Abbreviations after which a sentence goes on.
-TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Sr", "Jr", "Gen", "Capt"]
-BREAK, HOLD = "\x01", "\x02"
+# Abbreviations that stand before a name or a number and never end a sentence.
+TITLES = [
+    "Mr", "Mrs", "Ms", "Mx", "Dr", "Prof", "Rev", "Hon", "Gov", "Pres", "Sen", "Rep", "Gen", "Col", "Lt", "Sgt", "Capt", "Maj", "St", "Mt",
+    "No", "Nos", "Fig", "Figs", "Vol", "Vols", "pp", "Ch", "Eq", "cf", "vs", "ca", "approx", "Dept", "Est",
+    "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec",
+]
+# Other abbreviations, which end a sentence only before a word that opens one.
+ABBREVIATIONS = ["etc", "al", "Co", "Corp", "Inc", "Ltd", "Jr", "Sr", "Bros", "Univ", "Ave", "Blvd", r"e\.g", r"i\.e", "viz", "resp", "incl", "min", "max", "hrs", "mins", "secs", r"Ph\.D", r"B\.Sc", r"M\.Sc", r"B\.A", r"M\.A"]
+# Words that often open a sentence.
+OPENERS = [
+    "I", "You", "He", "She", "It", "We", "They", "The", "A", "An", "This", "That", "These", "Those", "There", "Here", "How", "What", "Why", "When", "Where", "Who",
+    "Which", "But", "And", "So", "Then", "If", "In", "On", "At", "After", "Before", "However", "Please", "My", "Our", "His", "Her", "Their", "Its", "Your", "Did", "Do", "Does",
+]
+BREAK, HOLD, UNSURE, REAL = "\x01", "\x02", "\x03", "\x04"  # a break; a dot that ends no sentence, may end one, does end one
 _OPEN = r"[\"“‘'(\[]*"
+_BEFORE = r"(^|[^\p{L}\p{N}.])"
+
+
+def marks() -> list[tuple[str, str]]:
+    """(pattern, replacement) in order: dots that end no sentence become HOLD, then breaks are marked. No pattern looks around."""
+    any_case = lambda words: "|".join(f"[{w[0].upper()}{w[0].lower()}]{w[1:]}" for w in words)
+    return [
+        # Titles, months and initials; `I` is no initial after a lower-case word.
+        (rf"{_BEFORE}({any_case(TITLES)}|[A-HJ-Z])\.", f"$1$2{HOLD}"),
+        (r"(^|[^\p{Ll}][ \t\n]|[^\p{L}\p{N}. \t\n])I\.", f"$1I{HOLD}"),
+        # Other abbreviations, unless an opener follows.
+        (rf"{_BEFORE}({any_case(ABBREVIATIONS)})\.", f"$1$2{UNSURE}"),
+        (rf"{UNSURE}([ \t\n\r]+{_OPEN}(?:{'|'.join(OPENERS)})(?:[^\p{{L}}\p{{N}}]|\z))", ".$1"),
+        # Three dots; spaced ones unless there are four before a capital.
+        (r"(^|[^.])\.\.\.([^.]|\z)", f"$1..{HOLD}$2"),
+        (r"(\.[ \t]+\.[ \t]+\.[ \t]+)\.([ \t\n]+[\p{Lu}])", f"$1{REAL}$2"),
+        (r"([ \t])\.([ \t]+[^ \t])", f"$1{HOLD}$2"),
+        # The number of a list item at the beginning of a line.
+        (r"((?:^|\n)[ \t]*(?:[0-9]{1,3}|[a-z]))\.([ \t])", f"$1{HOLD}$2"),
+        (REAL, "."),
+        (rf"([.!?…][\"”’')\]]*)([ \t\n\r]+)({_OPEN}[\p{{Lu}}0-9])", f"$1{BREAK}$2$3"),
+        (f"[{HOLD}{UNSURE}]", "."),
+    ]
 
 
 def broken(text: Column) -> Column:
     """The text with a mark before the blanks of each sentence break.
 
-    A break follows `.`, `!`, `?` or an ellipsis, with closing marks, before a capital or a digit; not after a title and not
-    after an initial.
+    A break follows `.`, `!`, `?` or an ellipsis, with closing marks, before a capital or a digit; not after titles, initials,
+    ellipses of three dots, numbers of list items, nor after other abbreviations unless an opener follows.
     """
-    held = F.regexp_replace(text, rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(TITLES)}|[A-Z])\.", f"$1$2{HOLD}")
-    marked = F.regexp_replace(held, rf"([.!?…][\"”’')\]]*)([ \t\n\r]+)({_OPEN}[\p{{Lu}}0-9])", f"$1{BREAK}$2$3")
-    return F.translate(marked, HOLD, ".")
+    for pattern, replacement in marks():
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def sentences(blocks: DataFrame) -> DataFrame:
@@ -56,16 +90,28 @@ class Corpus:
     """The relations of one set of documents; each is a plan, nothing is computed before it is used."""
 
     def __init__(self, docs: DataFrame, blocks: DataFrame | None = None):
-        from lectern.sources.blocks import plain_blocks
+        from lectern.sources.blocks import blocks_of
 
         self.docs = docs
-        self.blocks = plain_blocks(docs) if blocks is None else blocks
+        self.blocks = blocks_of(docs) if blocks is None else blocks
         self.sentences = sentences(self.blocks)
         self.tokens = tokens(self.sentences)
+        self._kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Persists a relation until release()."""
+        self._kept.append(df.persist())
+        return self._kept[-1]
 
     def persist(self) -> Corpus:
         """Keeps the relations that every rule reads, in memory and beyond it on disk; lost parts are computed again."""
-        self.blocks = self.blocks.persist()
-        self.sentences = sentences(self.blocks).persist()
-        self.tokens = tokens(self.sentences).persist()
+        if not self._kept:
+            self.blocks = self.keep(self.blocks)
+            self.sentences = self.keep(sentences(self.blocks))
+            self.tokens = self.keep(tokens(self.sentences))
         return self
+
+    def release(self) -> None:
+        """Frees what persist() and the checks kept; results computed later read the documents again."""
+        while self._kept:
+            self._kept.pop().unpersist()

@@ -63,11 +63,11 @@ def depth(blocks: DataFrame, most: int = 4) -> DataFrame:
 
 
 def wall_of_text(blocks: DataFrame, words: int = 450, paragraphs: int = 5) -> DataFrame:
-    """Unbroken runs of paragraphs and quotes over a number of words and of blocks: islands between other kinds."""
+    """Unbroken runs of paragraphs and quotes over a number of words or of blocks: islands between other kinds."""
     prose = F.col("kind").isin("paragraph", "quote")
     runs = blocks.withColumn("island", F.sum((~prose).cast("int")).over(_by_doc())).where(prose)
     total = runs.groupBy("doc_id", "island").agg(F.min("block_id").alias("block_id"), F.count(F.lit(1)).alias("n_blocks"), F.sum(chunk_count(F.col("text"))).alias("n_words"))
-    return total.where((F.col("n_words") > words) & (F.col("n_blocks") > paragraphs)).drop("island")
+    return total.where((F.col("n_words") > words) | (F.col("n_blocks") > paragraphs)).drop("island")
 
 
 def one_line_paragraphs(blocks: DataFrame, sentences: DataFrame, words: int = 8, least: int = 3, share: float = 0.4) -> DataFrame:

@@ -5,6 +5,8 @@ The oracles share a prelude of views (sentences, tokens and the like) that is wr
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import kinds, post, shallow, structure
-from lectern.operators.segment import Corpus
+from lectern.operators.segment import Corpus, marks
 from lectern.plans.pack import built_in, check
 from lectern.session import table
 from lectern.sources.blocks import html_blocks, quoted_spans
@@ -30,6 +32,11 @@ def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def corpus_with(spark: SparkSession, sf_dir: str, sentence: str) -> Corpus:
+    """The documents, each with one more paragraph by an SQL expression over doc_id: for kinds that the tables' own prose does not set off."""
+    return Corpus(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), F.expr(sentence)).alias("text")))
+
+
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of pages as of a document: h1, p and li elements; list items of a page are one list."""
     return html_blocks(table(spark, sf_dir, "pages")).withColumn("ordered", F.lit(False)).withColumn("list_id", F.when(F.col("kind") == "list-item", 1))
@@ -46,6 +53,7 @@ def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORD = r"[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*(?:-[\p{L}\p{N}]+)*"
 _TRIM = "' ' || chr(9) || chr(10) || chr(13)"
+_sql_text = lambda text: "'" + re.sub(r"\$(\d)", r"\\\1", text.replace("'", "''")) + "'"
 _PRELUDE = rf"""
 d as (select doc_id, coalesce(text, '') as t from documents),
 parts as (
@@ -60,12 +68,7 @@ blocks as (
     trim(part, {_TRIM}) as text, (pos0 + length(part) - length(ltrim(part, {_TRIM})))::int as begin_at
   from placed where trim(part, {_TRIM}) <> ''
 ),
-held as (
-  select *, regexp_replace(text, '(^|[^\p{{L}}\p{{N}}])(Mr|Mrs|Ms|Dr|Prof|St|Sr|Jr|Gen|Capt|[A-Z])\.', '\1\2' || chr(2), 'g') as h from blocks
-),
-cut as (
-  select *, string_split(translate(regexp_replace(h, '([.!?…]["”’'')\]]*)([ \t\n\r]+)(["“‘''(\[]*[\p{{Lu}}0-9])', '\1' || chr(1) || '\2\3', 'g'), chr(2), '.'), chr(1)) as pieces from held
-),
+cut as (select *, string_split(@MARKED@, chr(1)) as pieces from blocks),
 pieces as (
   select doc_id, block_id, kind, begin_at, unnest(range(0, len(pieces))) as sent_id, unnest(pieces) as piece from cut
 ),
@@ -94,12 +97,19 @@ near as (
   from tokens window w as (partition by doc_id, block_id, sent_id order by tok_id)
 )
 """
+_PRELUDE = _PRELUDE.replace("@MARKED@", functools.reduce(lambda sql, m: f"regexp_replace({sql}, {_sql_text(m[0])}, {_sql_text(m[1])}, 'g')", marks(), "text"))
+
 
 
 def _sql(body: str, extra: str = "") -> str:
     return f"with {_PRELUDE}{', ' + extra if extra else ''} {body}"
 
 
+def _sql_with(body: str, sentence: str, extra: str = "") -> str:
+    """_sql() over the documents of corpus_with()."""
+    return _sql(body, extra).replace("select doc_id, coalesce(text, '') as t from documents", f"select doc_id, coalesce(text, '') || chr(10) || chr(10) || ({sentence}) as t from documents", 1)
+
+
 def _in(words: list[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
@@ -244,7 +254,7 @@ def double_article(spark, d):
     return kinds.double_article(corpus_of(spark, d)).select(*_AT, "begin", "match")
 
 
-_AN = r"case when regexp_matches(f, '^\p{Lu}{2}') then substr(f, 1, 1) in ('A','E','F','H','I','L','M','N','O','R','S','X') when regexp_matches(lower(f), '^(h|x|y|uni|eu|u[a-z][aeiou]|on|ou|[0-9])') then null when regexp_matches(lower(f), '^[aeiou]') then true when regexp_matches(lower(f), '^[a-z]') then false end"
+_AN = "case when regexp_matches(f, '^\\p{Lu}{2}') then contains('" + X.VOWEL_NAMES + "', substr(f, 1, 1)) when lower(f) in ('one', 'once') then false when regexp_matches(lower(f), '^(" + "|".join(X.CONSONANT_SOUNDS) + ")') then false when regexp_matches(lower(f), '^(" + "|".join(X.VOWEL_SOUNDS) + ")') then true when starts_with(lower(f), 'uni') then null when regexp_matches(lower(f), '^([aeio]|u[nmplgtr])') then true when regexp_matches(lower(f), '^[b-df-gj-np-tv-wyz]') then false end"
 
 
 @query(_sql(f"select doc_id, block_id, sent_id, begin_at as begin, form as match, next_form as word, case when form like 'A%' then case when an then 'An' else 'A' end else case when an then 'an' else 'a' end end as fixed from (select *, {_AN} as an from (select *, regexp_extract(next_form, '^[\\p{{L}}\\p{{N}}''’]+') as f from near where form in ('a', 'an', 'A', 'An') and regexp_matches(next_gap, '^[ \\t]+$'))) where an <> (lower(form) = 'an')"))
@@ -328,14 +338,18 @@ def concept_names(spark, d):
     return kinds.concept_names(corpus_of(spark, d)).select(*_AT, "begin", "match")
 
 
-@query(_sql(r"select doc_id, block_id, sent_id, begin_at as begin, form as match, len(string_split(form, '-'))::int as parts from near where regexp_matches(form, '^\p{L}+(-\p{L}+){2,}$')"))
+#: A paragraph with hyphenated words, one kind for each remainder of the id.
+_HYPHENS = "case doc_id % 4 when 0 then 'A state-of-the-art newly-built tool.' when 1 then 'An early-stage, fully-fledged one by one-two-three.' when 2 then 'The plain-text file.' else 'Family-run, boldly-made, up-to-date work.' end"
+
+
+@query(_sql_with(r"select doc_id, block_id, sent_id, begin_at as begin, form as match, len(string_split(form, '-'))::int as parts from near where regexp_matches(form, '^\p{L}+(-\p{L}+){2,}$')", _HYPHENS))
 def hyphen_chain(spark, d):
-    return kinds.hyphen_chain(corpus_of(spark, d), []).select(*_AT, "begin", "match", "parts")
+    return kinds.hyphen_chain(corpus_with(spark, d, _HYPHENS), []).select(*_AT, "begin", "match", "parts")
 
 
-@query(_sql(rf"select doc_id, block_id, sent_id, begin_at as begin, form as match, replace(form, '-', ' ') as fixed from near where regexp_matches(form, '^\p{{L}}{{2,}}ly-\p{{L}}+$') and lower(string_split(form, '-')[1]) not in {_in(kinds.NOT_ADVERBS)}"))
+@query(_sql_with(rf"select doc_id, block_id, sent_id, begin_at as begin, form as match, replace(form, '-', ' ') as fixed from near where regexp_matches(form, '^\p{{L}}{{2,}}ly-\p{{L}}+$') and lower(string_split(form, '-')[1]) not in {_in(kinds.NOT_ADVERBS)}", _HYPHENS))
 def ly_hyphen(spark, d):
-    return kinds.ly_hyphen(corpus_of(spark, d)).select(*_AT, "begin", "match", "fixed")
+    return kinds.ly_hyphen(corpus_with(spark, d, _HYPHENS)).select(*_AT, "begin", "match", "fixed")
 
 
 # Shallow grammar ------------------------------------------------------------------------------
@@ -447,7 +461,7 @@ def depth(spark, d):
 _CHUNKS = r"len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')))"
 
 
-@query(f"with {_ARTICLE} select doc_id, min(block_id) as block_id, count(*) as n_blocks, sum({_CHUNKS})::bigint as n_words from (select *, sum((kind = 'heading')::int) over (partition by doc_id order by block_id) as island from blk) where kind = 'paragraph' group by doc_id, island having sum({_CHUNKS}) > 150 and count(*) > 2")
+@query(f"with {_ARTICLE} select doc_id, min(block_id) as block_id, count(*) as n_blocks, sum({_CHUNKS})::bigint as n_words from (select *, sum((kind = 'heading')::int) over (partition by doc_id order by block_id) as island from blk) where kind = 'paragraph' group by doc_id, island having sum({_CHUNKS}) > 150 or count(*) > 2")
 def wall_of_text(spark, d):
     return structure.wall_of_text(article_blocks(spark, d), 150, 2)
 

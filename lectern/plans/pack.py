@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import kinds, post, shallow, structure
 from lectern.operators.segment import Corpus
+from lectern.sources.blocks import to_source
 
 SEVERITIES = ("error", "warning", "suggestion", "info")
 SCOPES = ("all", "heading", "body", "paragraph", "list-item", "lead")
@@ -211,7 +212,10 @@ def _one(corpus: Corpus, rule: Rule) -> DataFrame:
 
 
 def check(corpus: Corpus, packs: list[Pack], quotes: DataFrame | None = None) -> DataFrame:
-    """The findings of all packs: quoted text is left out (unless a pack takes it), then rules yield, then densities of findings are judged."""
+    """The findings of all packs: quoted text is left out (unless a pack takes it), then rules yield, then densities of findings are judged.
+
+    Offsets are those of the documents. The corpus keeps what several rules read until corpus.release().
+    """
     corpus.persist()
     found: list[DataFrame] = []
     for pack in packs:
@@ -226,8 +230,9 @@ def check(corpus: Corpus, packs: list[Pack], quotes: DataFrame | None = None) ->
             rows = own[0]
             for more in own[1:]:
                 rows = rows.unionByName(more)
+            rows = to_source(rows, corpus.blocks)
             rows = post.quote_filter(rows, quotes) if quotes is not None and not pack.quoted else rows
-            found.append(rows.persist())  # read again by precedence and densities; planned once
+            found.append(corpus.keep(rows))  # read again by precedence and densities; planned once
     if not found:
         raise PackError("no rules")
     rows = found[0]

@@ -1,8 +1,11 @@
-"""Block scans: documents become blocks (doc_id, block_id, kind, level, text, begin, list_id, ordered, item_id)."""
+"""Block scans: documents become blocks (doc_id, block_id, kind, level, text, begin, list_id, ordered, item_id).
+
+Blocks of Markdown also have `pieces`, which lead from their text back to the document.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _COLUMNS = ["doc_id", "block_id", "kind", "level", "text", "begin", "list_id", "ordered", "item_id"]
@@ -15,10 +18,19 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("name").alias("doc_id"), "name", "text", kind.alias("format"))
 
 
-def elide_shortcodes(text):
-    """Template short codes go; the text of a tooltip stays."""
-    kept = F.regexp_replace(text, r"\{\{[<%][^}]*?text=\"([^\"]*)\"[^}]*?[%>]\}\}", "$1")
-    return F.regexp_replace(kept, r"\{\{[<%][^}]*[%>]\}\}", "")
+#: Template short codes; the text of a tooltip stays, what stands around it goes.
+SHORTCODE = r"\{\{[<%][^}\"]*?\btext=\"|\"[^}\"]*(?:[a-z]+=\"[^\"]*\"[^}\"]*)*[%>]\}\}|\{\{[<%][^}]*[%>]\}\}"
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Blocks by the scan that each document's format names: markdown, html, or else plain. Without a column `format` all are plain."""
+    if "format" not in docs.columns:
+        return plain_blocks(docs)
+    of = F.lower(F.coalesce(F.col("format"), F.lit("plain")))
+    plain = plain_blocks(docs.where(~of.isin("markdown", "html")))
+    marked = markdown_blocks(docs.where(of == "markdown"))
+    pages = html_blocks(docs.where(of == "html"), "doc_id", "text")
+    return plain.unionByName(marked, allowMissingColumns=True).unionByName(pages, allowMissingColumns=True)
 
 
 def plain_blocks(docs: DataFrame) -> DataFrame:
@@ -36,20 +48,28 @@ def plain_blocks(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", number.cast("int").alias("block_id"), F.lit("paragraph").alias("kind"), F.lit(0).alias("level"), "text", "begin", null.cast("int").alias("list_id"), null.cast("boolean").alias("ordered"), null.cast("int").alias("item_id"))
 
 
+_FRONT = r"^(---|\+\+\+)\n(?s:.*?)\n\1[ \t]*(?:\n|$)"
+_MARKS = r"^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|(?:[-*+]|[0-9]+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)?[ \t\r|]*"
+
+
 def markdown_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of Markdown by line classes: headings, list items, quotes, table rows, code, front matter and paragraphs.
 
     Lines are classified, runs of lines that belong together are numbered by a running sum (islands), and each run
-    is a block. Fenced code is an empty block of kind code; front matter and table rules are left out; inline code stays.
-    A line that is only a bold label ends its block.
+    is a block: its lines without their marks, joined by blanks. Fenced code is an empty block of kind code; front matter and
+    table rules are left out; inline code stays. A line that is only a bold label ends its block.
+
+    `pieces` (at, source) tells where each piece of a block's text begins in it and in the document; begin is the first source
+    offset. to_source() turns offsets that count from begin into those of the document.
     """
-    text = elide_shortcodes(F.coalesce(F.col("text"), F.lit("")))
-    text = F.regexp_replace(text, r"^(---|\+\+\+)\n(?s:.*?)\n\1[ \t]*(?:\n|$)", "")
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    front = F.length(F.regexp_extract(whole, _FRONT, 0))
+    lines = docs.select("doc_id", front.alias("front"), F.posexplode(F.split(F.substring(whole, front + 1, F.length(whole)), "\n", -1)).alias("n", "line"))
     by_doc = Window.partitionBy("doc_id").orderBy("n")
+    at = F.col("front") + F.sum(F.length("line") + 1).over(by_doc) - F.length("line") - 1
     fence = F.col("line").rlike(r"^ {0,3}(```|~~~)")
     fences = F.sum(fence.cast("int")).over(by_doc)
-    lines = lines.withColumn("fence", fence).withColumn("inside", ((fences - fence.cast("int")) % 2 == 1) | fence)
+    lines = lines.withColumns({"at": at, "fence": fence, "inside": ((fences - fence.cast("int")) % 2 == 1) | fence})
     kind = (
         F.when(F.col("inside"), "code")
         .when(F.col("line").rlike(r"^[ \t\r]*$"), "blank")
@@ -67,10 +87,20 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     follows = follows | ((F.col("kind") == "quote") & (before == "quote")) | ((F.col("kind") == "code") & (before == "code") & ~(F.col("fence") & (fences % 2 == 1)))
     new = (~F.coalesce(follows, F.lit(False))).cast("int")
     lines = lines.withColumn("run", F.sum(new).over(by_doc)).where("kind not in ('blank', 'rule')")
-    bare = F.regexp_replace(F.col("line"), r"^[ \t]*(#{1,6}[ \t]+|>[ \t]?|([-*+]|[0-9]+[.)])[ \t]+(\[[ xX]\][ \t]+)?)?", "")
-    bare = F.btrim(F.regexp_replace(bare, r"[ \t]+#+[ \t\r]*$", ""), F.lit(" \t\r|"))
-    runs = lines.groupBy("doc_id", "run").agg(F.min_by("kind", "n").alias("kind"), F.min("n").alias("n"), F.min_by("line", "n").alias("first"), F.array_sort(F.collect_list(F.struct("n", bare.alias("bare")))).alias("parts"))
-    text = F.when(F.col("kind") == "code", "").otherwise(F.concat_ws(" ", F.col("parts.bare")))
+    marks = F.length(F.regexp_extract("line", _MARKS, 0))
+    bare = F.rtrim(F.regexp_replace(F.substring(F.col("line"), marks + 1, F.length("line")), r"[ \t]+#+[ \t\r]*$", ""), F.lit(" \t\r|"))
+    bare = F.when(F.col("kind") == "code", "").otherwise(bare)
+    # Pieces of a line are what short codes leave of it.
+    cut = F.arrays_zip(F.split("bare", SHORTCODE, -1).alias("piece"), F.concat(F.regexp_extract_all("bare", F.lit(SHORTCODE), F.lit(0)), F.array(F.lit(""))).alias("gone"))
+    cut = lines.select("doc_id", "run", "n", "kind", "line", (F.col("at") + marks).alias("at"), bare.alias("bare")).select("*", F.posexplode(cut).alias("i", "p"))
+    of_line = Window.partitionBy("doc_id", "run").orderBy("n", "i")
+    before = F.col("i") == 0
+    ends = F.sum(F.length("p.piece") + F.length("p.gone")).over(of_line.partitionBy("doc_id", "run", "n").orderBy("i")) - F.length("p.piece") - F.length("p.gone")
+    blank = F.when(before & (F.row_number().over(of_line) > 1), 1).otherwise(0)
+    pieces = cut.withColumns({"source": (F.col("at") + ends).cast("int"), "blank": blank})
+    pieces = pieces.withColumn("place", (F.sum(F.length("p.piece") + F.col("blank")).over(of_line) - F.length("p.piece")).cast("int"))
+    part = F.struct("n", "i", F.col("place").alias("at"), "source", F.concat(F.repeat(F.lit(" "), F.col("blank")), "p.piece").alias("text"))
+    runs = pieces.groupBy("doc_id", "run").agg(F.min_by("kind", "n").alias("kind"), F.min("n").alias("n"), F.min_by("line", F.struct("n", "i")).alias("first"), F.array_sort(F.collect_list(part)).alias("parts"))
     order = Window.partitionBy("doc_id").orderBy("n")
     previous = F.lag("kind").over(order)
     starts = ((F.col("kind") == "list-item") & (F.coalesce(previous, F.lit("")) != "list-item")).cast("int")
@@ -79,15 +109,36 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
         (F.row_number().over(order) - 1).cast("int").alias("block_id"),
         F.when(F.col("kind") == "text", "paragraph").otherwise(F.col("kind")).alias("kind"),
         F.when(F.col("kind") == "heading", F.length(F.regexp_extract("first", r"^ {0,3}(#+)", 1))).otherwise(0).cast("int").alias("level"),
-        text.alias("text"),
-        F.col("n").alias("begin"),
+        F.array_join("parts.text", "").alias("text"),
+        F.col("parts")[0]["source"].alias("begin"),
         F.when(F.col("kind") == "list-item", F.sum(starts).over(order)).cast("int").alias("list_id"),
         F.when(F.col("kind") == "list-item", F.col("first").rlike(r"^[ \t]*[0-9]+[.)]")).alias("ordered"),
+        F.transform("parts", lambda p: F.struct(p["at"].alias("at"), p["source"].alias("source"))).alias("pieces"),
     )
+    blocks = blocks.withColumn("text", F.when(F.col("kind") == "code", "").otherwise(F.col("text")))
     item = F.row_number().over(Window.partitionBy("doc_id", "list_id").orderBy("block_id")) - 1
     return blocks.where("text <> '' or kind = 'code'").withColumn("item_id", F.when(F.col("list_id").isNotNull(), item).cast("int"))
 
 
+def to_source(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Findings (doc_id, block_id, begin, stop, ...) in offsets of the document, where a block's text is not a slice of it.
+
+    An end is the source of the last character and one. Blocks without pieces keep their offsets.
+    """
+    if "pieces" not in blocks.columns:
+        return found
+    places = blocks.where(F.col("pieces").isNotNull()).select("doc_id", "block_id", F.col("begin").alias("_from"), F.col("pieces").alias("_pieces"))
+
+    def source(offset: Column) -> Column:
+        last = F.element_at(F.filter("_pieces", lambda p: p["at"] <= F.greatest(offset, F.lit(0))), -1)
+        return F.coalesce(last["source"] + offset - last["at"], offset + F.col("_from"))
+
+    begin, stop = F.col("begin") - F.col("_from"), F.col("stop") - F.col("_from")
+    moved = {"begin": source(begin), "stop": F.when(stop > begin, source(stop - 1) + 1).otherwise(source(begin))}
+    out = found.join(places, ["doc_id", "block_id"], "left")
+    return out.select(*(F.when(F.col("_pieces").isNull(), F.col(c)).otherwise(moved[c]).cast("int").alias(c) if c in moved else F.col(c) for c in found.columns))
+
+
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(doc_id, block_id, kind, level, text) of the h1-h6, p and li elements of a page; inner tags go, common entities are decoded."""
     html = F.coalesce(F.col(html_col), F.lit(""))

@@ -45,7 +45,10 @@ def check_stream(docs: DataFrame, packs: list[Pack], write: Callable[[DataFrame,
 
     def each(batch: DataFrame, number: int) -> None:
         corpus = Corpus(newest(batch, version))
-        write(check(corpus, packs, quoted_spans(corpus.docs)), number)
+        try:
+            write(check(corpus, packs, quoted_spans(corpus.docs)), number)
+        finally:
+            corpus.release()
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
