@@ -230,9 +230,10 @@ def consistency(corpus: Corpus, variants: DataFrame) -> DataFrame:
     return found.select(*_SENTENCE, "begin", "stop", F.col("form").alias("match"), "variety", "winner", fixed.alias("fixed")).dropDuplicates(["doc_id", "begin", "stop"])
 
 
-def variants(corpus: Corpus, min_length: int = 5) -> DataFrame:
-    """Spellings of one word with and without hyphens or a space: the most used wins, the first used on a tie. Headings, function words and
-    words with several capitals take no part; no part of speech is compared."""
+def variants(corpus: Corpus, min_length: int = 5, terms: DataFrame | None = None) -> DataFrame:
+    """Each use of a word that its document spells in several ways, with and without hyphens or a space, but for the winning one: the
+    spelling that the glossary `terms` prefers, else the most used, the first used on a tie. `fixed` has the winner's spelling. Headings,
+    function words and words with several capitals take no part; no part of speech is compared."""
     body = corpus.tokens.join(corpus.blocks.where("kind <> 'heading'").select("doc_id", "block_id"), ["doc_id", "block_id"], "left_semi")
     w = Window.partitionBy(*_SENTENCE).orderBy("tok_id")
     plain = lambda c: (F.length(F.regexp_replace(c, r"[^\p{Lu}]", "")) <= 1) & ~F.lower(c).isin(DOUBLED)
@@ -240,10 +241,16 @@ def variants(corpus: Corpus, min_length: int = 5) -> DataFrame:
     single = both.where(plain("form")).select(*_SENTENCE, "begin", "stop", F.col("form").alias("match"), F.replace(F.lower("form"), F.lit("-"), F.lit("")).alias("key"), F.lower("form").alias("spelling"))
     pair = both.where(plain("form") & plain("next_form") & (F.col("next_gap") == " ") & ~F.col("form").contains("-") & ~F.col("next_form").contains("-"))
     pair = pair.select(*_SENTENCE, "begin", F.col("next_stop").alias("stop"), F.concat("form", F.lit(" "), "next_form").alias("match"), F.concat(F.lower("form"), F.lower("next_form")).alias("key"), F.concat(F.lower("form"), F.lit(" "), F.lower("next_form")).alias("spelling"))
-    counts = single.union(pair).where(F.length("key") >= min_length).groupBy("doc_id", "key", "spelling").agg(F.count(F.lit(1)).alias("times"), F.min("begin").alias("first"), F.min_by(F.struct(*_SENTENCE[1:], "stop", "match"), "begin").alias("at"))
-    group = Window.partitionBy("doc_id", "key")
-    several = counts.withColumns({"n": F.count(F.lit(1)).over(group), "joined": F.max((~F.col("spelling").contains(" ")).cast("int")).over(group), "rank": F.row_number().over(group.orderBy(F.desc("times"), "first")), "winner": F.first("spelling").over(group.orderBy(F.desc("times"), "first"))})
-    return several.where("n > 1 and joined = 1 and rank > 1").select("doc_id", F.col("at.block_id").alias("block_id"), F.col("at.sent_id").alias("sent_id"), F.col("first").alias("begin"), F.col("at.stop").alias("stop"), F.col("at.match").alias("match"), "spelling", "winner", "times")
+    uses = single.union(pair).where(F.length("key") >= min_length)
+    counts = uses.groupBy("doc_id", "key", "spelling").agg(F.count(F.lit(1)).alias("times"), F.min("begin").alias("first"))
+    preferred = F.lit(False)
+    if terms is not None:
+        listed = terms.where("status = 'preferred'").select(F.lower("term").alias("spelling")).distinct().withColumn("preferred", F.lit(True))
+        counts, preferred = counts.join(F.broadcast(listed), "spelling", "left"), F.coalesce("preferred", F.lit(False))
+    best = F.max_by("spelling", F.struct(preferred.alias("preferred"), F.col("times"), -F.col("first")))
+    groups = counts.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("spellings"), F.max(~F.col("spelling").contains(" ")).alias("joined"), best.alias("winner")).where("spellings > 1 and joined")
+    found = uses.join(groups.select("doc_id", "key", "winner"), ["doc_id", "key"]).where("spelling <> winner")
+    return found.select(*_SENTENCE, "begin", "stop", "match", "key", "spelling", "winner", X.match_case(F.col("match"), F.col("winner")).alias("fixed"))
 
 
 #: Capitals and digits, at least half of them capitals, no roman numeral.
@@ -255,26 +262,44 @@ def is_acronym(form: Column) -> Column:
     return form.rlike(ACRONYM) & (capitals * 2 >= F.length(form)) & ~form.rlike(r"^[IVXLCDM]+$") & ~form.rlike(r"\p{Ll}{3}")
 
 
+_CONTENT, _STANDS = r"^ ?\(([^()]{1,80})\)", r"^\s*,?\s*(?:stands for|is short for|is an abbreviation (?:for|of)|is an acronym for)\s+([^,.;:]+)"
+
+
+def long_form(short: Column, before: Column) -> Column:
+    """The end of `before` that `short` abbreviates, or null: the letters of short are found from the end, each as late as
+    possible, the first at the beginning of a word. Read backwards this is one pattern of lazy steps."""
+    letters = F.regexp_replace(F.reverse(F.lower(short)), r"[^\p{L}\p{N}]", "")
+    pattern = F.concat(F.lit("(?s)^.*?"), F.array_join(F.filter(F.split(letters, ""), lambda c: c != ""), ".*?"), F.lit(r"(?![\p{L}\p{N}])\S*"))
+    found = F.call_function("regexp_extract", F.reverse(F.lower(before)), pattern, F.lit(0))
+    long = F.btrim(F.substring(before, F.length(before) - F.length(found) + 1, F.length(before)))
+    return F.when((found != "") & (long != "") & (F.lower(long) != F.lower(short)), long)
+
+
 def acronym_uses(corpus: Corpus) -> DataFrame:
-    """Acronyms with the kind of their block and a plural s stripped; not next to a number or to another all-capital word (emphasis)."""
+    """Acronyms with the kind of their block, a plural s stripped, and `long`, the long form where this use defines it; not next to a number or
+    to another all-capital word (emphasis). Definitions are `long form (SF)` within min(n + 5, 2 n) words, `SF (long form)` and
+    `SF stands for long form`."""
     w = Window.partitionBy(*_SENTENCE).orderBy("tok_id")
-    form = F.regexp_replace("form", r"(?<=\p{Lu})s$", "")
-    near = corpus.tokens.withColumns({"sf": form, "before": F.lag("form").over(w), "after": F.lead("form").over(w)})
+    near = corpus.tokens.withColumns({"sf": F.regexp_replace("form", r"(?<=\p{Lu})s$", ""), "last_form": F.lag("form").over(w), "next_form": F.lead("form").over(w)})
     loud = lambda c: F.coalesce(F.col(c).rlike(r"^[\p{Lu}]{2,}$|^[0-9]"), F.lit(False))
-    uses = near.where(is_acronym(F.col("sf")) & ~loud("before") & ~loud("after"))
-    return uses.join(corpus.blocks.select("doc_id", "block_id", "kind"), ["doc_id", "block_id"]).select(*_SENTENCE, "kind", "begin", "stop", F.col("form").alias("match"), "sf")
+    uses = near.where(is_acronym(F.col("sf")) & ~loud("last_form") & ~loud("next_form"))
+    uses = uses.join(corpus.sentences.select(*_SENTENCE, "text", F.col("begin").alias("at")), _SENTENCE)
+    before, after = F.substring(F.col("text"), F.lit(1), F.col("begin") - F.col("at")), F.substring(F.col("text"), F.col("stop") - F.col("at") + 1, F.length("text"))
+    words = F.filter(F.split(F.regexp_replace(before, r"\s*\($", ""), r"\s+"), lambda x: x != "")
+    n = F.length("sf")
+    window = F.least(n + 5, n * 2, F.size(words))
+    tail = F.array_join(F.slice(words, F.size(words) - window + 1, window), " ")
+    inside = F.btrim(F.regexp_extract(after, _CONTENT, 1))
+    ahead = F.when(before.endswith("(") & after.rlike(r"^\s*\)") & (F.size(words) > 0), long_form(F.col("sf"), tail))
+    behind = F.when((F.size(F.split(inside, r"\s+")) >= 2) & long_form(F.col("sf"), inside).isNotNull(), inside)
+    stands = F.nullif(F.btrim(F.regexp_extract(after, _STANDS, 1)), F.lit(""))
+    uses = uses.withColumn("long", F.coalesce(ahead, behind, stands))
+    return uses.join(corpus.blocks.select("doc_id", "block_id", "kind"), ["doc_id", "block_id"]).select(*_SENTENCE, "kind", "begin", "stop", F.col("form").alias("match"), "sf", "long")
 
 
 def acronym_definitions(corpus: Corpus) -> DataFrame:
-    """(doc_id, sf, long, begin): `long form (SF)` where the initials of the words before the bracket, one a word, give SF. An approximation
-    of the usual alignment by letters, which also takes letters from inside words."""
-    pattern = r"((?:[\p{L}]+[ -]){1,8})\(([\p{Lu}0-9][\p{L}0-9]{1,7}?)s?\)"
-    found = _matches(corpus.sentences, pattern)
-    sf = F.upper(F.regexp_extract("match", pattern, 2))
-    parts = F.filter(F.split(F.regexp_extract("match", pattern, 1), r"[ -]+"), lambda x: x != "")
-    last = F.when(F.size(parts) >= F.length(sf), F.slice(parts, F.size(parts) - F.length(sf) + 1, F.length(sf)))
-    initials = F.upper(F.array_join(F.transform(last, lambda p: F.substring(p, 1, 1)), ""))
-    return found.select("doc_id", "block_id", "sent_id", F.regexp_extract("match", pattern, 2).alias("sf"), F.lower(F.array_join(last, " ")).alias("long"), (F.col("stop") - 1 - F.length("sf")).alias("begin"), initials.alias("initials"), sf.alias("wanted")).where("initials = wanted").drop("initials", "wanted")
+    """(doc_id, block_id, sent_id, sf, long, begin): the uses that define."""
+    return acronym_uses(corpus).where(F.col("long").isNotNull()).select(*_SENTENCE, "sf", F.lower("long").alias("long"), "begin")
 
 
 def acronyms(corpus: Corpus, check: str, known: list[str]) -> DataFrame:
@@ -338,7 +363,7 @@ def spelling(corpus: Corpus, known: DataFrame, min_length: int = 4, best: int =
     return unknown.join(offered, "word").select("doc_id", F.col("at.block_id").alias("block_id"), F.col("at.sent_id").alias("sent_id"), "begin", F.col("at.stop").alias("stop"), F.col("word").alias("match"), "choices")
 
 
-# Productive English endings.
+#: Chosen: productive English endings.
 SUFFIXES = ["able", "hood", "ish", "ism", "ist", "ize", "less", "like", "ly", "ment", "ness", "ship", "wise"]
 
 
@@ -354,8 +379,8 @@ def coined_words(corpus: Corpus, known: DataFrame) -> DataFrame:
     return unknown.join(made, ["doc_id", "word"]).select("doc_id", F.col("at.block_id").alias("block_id"), F.col("at.sent_id").alias("sent_id"), "begin", F.col("at.stop").alias("stop"), F.col("word").alias("match"), "base", "times")
 
 
-# Heads of names that stand for an idea.
-HEADS = ["Approach", "Framework", "Gap", "Law", "Loop", "Method", "Model", "Paradox", "Principle", "Problem", "Rule", "System", "Trap"]
+#: Chosen heads of names that stand for an idea: nouns for a way of doing, a regularity or a difficulty.
+HEADS = ["Approach", "Doctrine", "Effect", "Fallacy", "Framework", "Hypothesis", "Law", "Maxim", "Method", "Model", "Paradox", "Principle", "Rule", "Theorem", "Trap"]
 
 
 def concept_names(corpus: Corpus, terms: DataFrame | None = None) -> DataFrame:

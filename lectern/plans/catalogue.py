@@ -9,7 +9,7 @@ import functools
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -274,30 +274,62 @@ def consistency(spark, d):
 _PLAIN = f"length(regexp_replace({{c}}, '[^\\p{{{{Lu}}}}]', '', 'g')) <= 1 and lower({{c}}) not in {_in(kinds.DOUBLED)}"
 
 
-@query(_sql("select doc_id, key, spelling, winner, n from (select *, count(*) over g as k, max((spelling not like '% %')::int) over g as joined, row_number() over o as r, first_value(spelling) over o as winner from counts window g as (partition by doc_id, key), o as (partition by doc_id, key order by n desc, f)) where k > 1 and joined = 1 and r > 1", f"spelt as (select doc_id, begin_at, replace(lower(form), '-', '') as key, lower(form) as spelling from near where {_PLAIN.format(c='form')} union all select doc_id, begin_at, lower(form) || lower(next_form), lower(form) || ' ' || lower(next_form) from near where {_PLAIN.format(c='form')} and {_PLAIN.format(c='next_form')} and next_gap = ' ' and form not like '%-%' and next_form not like '%-%'), counts as (select doc_id, key, spelling, count(*) as n, min(begin_at) as f from spelt where length(key) >= 5 group by all)"))
+@query(_sql("select doc_id, key, spelling, begin_at as begin, winner, n as times from spelt join counts using (doc_id, key, spelling) join best using (doc_id, key) where spellings > 1 and joined and spelling <> winner", f"spelt as (select doc_id, begin_at, replace(lower(form), '-', '') as key, lower(form) as spelling from near where {_PLAIN.format(c='form')} union all select doc_id, begin_at, lower(form) || lower(next_form), lower(form) || ' ' || lower(next_form) from near where {_PLAIN.format(c='form')} and {_PLAIN.format(c='next_form')} and next_gap = ' ' and form not like '%-%' and next_form not like '%-%'), counts as (select doc_id, key, spelling, count(*) as n, min(begin_at) as f from spelt where length(key) >= 5 group by all), best as (select doc_id, key, count(*) as spellings, bool_or(spelling not like '% %') as joined, arg_max(spelling, (spelling = 'ofthe', n, -f)) as winner from counts group by all)"))
 def variants(spark, d):
-    found = kinds.variants(corpus_of(spark, d))
-    return found.select("doc_id", F.replace(F.replace(F.col("spelling"), F.lit(" "), F.lit("")), F.lit("-"), F.lit("")).alias("key"), "spelling", "winner", F.col("times").alias("n"))
+    terms = spark.createDataFrame([("c9", "OfThe", "preferred", False)], "concept string, term string, status string, exact boolean")
+    found = kinds.variants(corpus_of(spark, d), terms=terms)
+    return found.select("doc_id", "key", "spelling", "begin", "winner", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "key", "spelling")).alias("times"))
 
 
 _ACRONYM = r"acro as (select *, regexp_replace(form, '(\p{Lu})s$', '\1') as sf from near), ac as (select * from acro where length(sf) between 2 and 8 and regexp_matches(sf, '^[\p{Lu}\p{Ll}0-9]+$') and length(regexp_replace(sf, '[^\p{Lu}]', '', 'g')) >= 2 and length(regexp_replace(sf, '[^\p{Lu}]', '', 'g')) * 2 >= length(sf) and not regexp_matches(sf, '^[IVXLCDM]+$') and not regexp_matches(sf, '\p{Ll}{3}') and not coalesce(regexp_matches(before_form, '^[\p{Lu}]{2,}$|^[0-9]'), false) and not coalesce(regexp_matches(next_form, '^[\p{Lu}]{2,}$|^[0-9]'), false))"
 
 
-@query(_sql("select doc_id, sf, min(begin_at) as begin from ac where sf not in ('AND', 'THE') group by all", _ACRONYM))
-def acronym_undefined(spark, d):
-    return kinds.acronyms(corpus_of(spark, d), "undefined", ["AND", "THE"]).select("doc_id", "sf", "begin")
+#: A paragraph with acronyms: defined ahead, behind or in words, late, twice, once, never, or first in a heading.
+_SHORT = """case doc_id % 8
+  when 0 then 'The Random Access Memory (RAM) holds it. Then RAM is read.' when 1 then 'We read RAM twice. The random-access memory (RAM) holds it.'
+  when 2 then 'A NATO (North Atlantic Treaty Organization) plan. The NATO plan.' when 3 then 'Our SLA stands for service level agreement, as said.'
+  when 4 then 'The hypertext markup language (HTML) is old. The HyperText Mark Language (HTML) is new, says HTML.' when 5 then 'The CPU and the GPUs run. A note (FYI) about CPU.'
+  when 6 then 'The XQZ (no long form here) stays. XQZ again.' else 'About the QPS rule' || chr(10) || chr(10) || 'Queries per second (QPS) rise. More QPS.' end"""
+_DEFINED = _ACRONYM + r""",
+placed_ac as (
+  select a.doc_id, a.sf, a.begin_at, s.kind, regexp_split_to_array(trim(regexp_replace(substr(s.text, 1, a.begin_at - s.begin_at), '\s*\($', '')), '\s+') as w,
+    suffix(substr(s.text, 1, a.begin_at - s.begin_at), '(') as opened, substr(s.text, a.stop_at - s.begin_at + 1) as after,
+    '^(?s:.*?)' || array_to_string(regexp_split_to_array(reverse(lower(regexp_replace(a.sf, '[^\p{L}\p{N}]', '', 'g'))), ''), '(?s:.*?)') || '(?:$|\s|[^\p{L}\p{N}\s]\S*)' as pat
+  from ac a join sentences s using (doc_id, block_id, sent_id)
+),
+tails as (
+  select *, array_to_string(w[greatest(1, len(w) - least(length(sf) + 5, 2 * length(sf)) + 1):], ' ') as tail, trim(regexp_extract(after, '^ ?\(([^()]{1,80})\)', 1)) as inside,
+    trim(regexp_extract(after, '^\s*,?\s*(?:stands for|is short for|is an abbreviation (?:for|of)|is an acronym for)\s+([^,.;:]+)', 1)) as stands from placed_ac
+),
+uses as (
+  select doc_id, sf, begin_at, kind, lower(coalesce(
+    case when opened and regexp_matches(after, '^\s*\)') and trim(reverse(regexp_extract(reverse(lower(tail)), pat))) not in ('', lower(sf)) then trim(reverse(regexp_extract(reverse(lower(tail)), pat))) end,
+    case when len(regexp_split_to_array(inside, '\s+')) >= 2 and trim(reverse(regexp_extract(reverse(lower(inside)), pat))) not in ('', lower(sf)) then inside end, nullif(stands, ''))) as long
+  from tails
+),
+defs as (select doc_id, sf, min(begin_at) as def_begin, count(*) as defs, arg_min(long, begin_at) as first_long from uses where long is not null group by all)"""
+
 
+def _headed(corpus: Corpus) -> Corpus:
+    """Short blocks without an end mark become headings."""
+    heading = (F.length("text") <= 60) & ~F.col("text").rlike("[.!?…]")
+    return Corpus(corpus.docs, corpus.blocks.withColumn("kind", F.when(heading, "heading").otherwise("paragraph")))
 
-def _acronym_rows(check: str):
+
+def _acronym_rows(check: str, body: str):
     def run(spark, d):
-        return kinds.acronyms(corpus_of(spark, d), check, []).select("doc_id", "sf", "begin")
+        return kinds.acronyms(_headed(corpus_with(spark, d, _SHORT)), check, ["AND", "THE"]).select("doc_id", "sf", "begin")
 
     run.__name__ = f"acronym_{check.replace('-', '_')}"
-    return query()(run)
+    headed = _sql_with(body, _SHORT, _DEFINED).replace("'paragraph' as kind", f"case when length(trim(part, {_TRIM})) <= 60 and not regexp_matches(part, '[.!?…]') then 'heading' else 'paragraph' end as kind", 1)
+    return query(headed)(run)
 
 
-for _check in ("defined-after-use", "used-once", "redefined", "first-use-in-heading"):
-    _acronym_rows(_check)
+_acronym_rows("undefined", "select doc_id, sf, min(begin_at) as begin from uses where kind <> 'heading' and sf not in ('AND', 'THE') and (doc_id, sf) not in (select (doc_id, sf) from defs) group by all")
+_acronym_rows("defined-after-use", "select doc_id, sf, begin from (select doc_id, sf, min(begin_at) as begin from uses where kind <> 'heading' group by all) join defs using (doc_id, sf) where begin < def_begin and sf not in ('AND', 'THE')")
+_acronym_rows("used-once", "select doc_id, sf, begin from (select doc_id, sf, min(begin_at) as begin, count(*) as n from uses group by all) join defs using (doc_id, sf) where n = 1 and defs = 1")
+_acronym_rows("redefined", "select doc_id, sf, begin_at as begin from uses join defs using (doc_id, sf) where long <> first_long")
+_acronym_rows("first-use-in-heading", "select doc_id, sf, begin from (select doc_id, sf, min(begin_at) as begin, arg_min(kind, begin_at) as k from uses group by all) where k = 'heading' and sf not in ('AND', 'THE')")
 
 
 @query(_sql("select doc_id, block_id, sent_id, begin_at as begin, match from k2", _greedy("('the and', 2, 'the'), ('of that', 2, '')")))
@@ -312,16 +344,14 @@ def glossary_casing(spark, d):
     return kinds.glossary(corpus_of(spark, d), terms, "casing").select(*_AT, "begin", "match")
 
 
-#: Distance 1 in characters, with swaps of neighbours; the engine's own function counts bytes.
-_ONE_EDIT = """abs(length(once.word) - length(lex.word)) <= 1 and case
-  when length(once.word) > length(lex.word) then list_contains(list_transform(range(1, length(once.word) + 1), lambda i: substr(once.word, 1, i - 1) || substr(once.word, i + 1)), lex.word)
-  when length(once.word) < length(lex.word) then list_contains(list_transform(range(1, length(lex.word) + 1), lambda i: substr(lex.word, 1, i - 1) || substr(lex.word, i + 1)), once.word)
-  else len(list_filter(range(1, length(lex.word) + 1), lambda i: substr(lex.word, i, 1) <> substr(once.word, i, 1))) = 1
-    or list_contains(list_transform(range(1, length(lex.word)), lambda i: substr(lex.word, 1, i - 1) || substr(lex.word, i + 1, 1) || substr(lex.word, i, 1) || substr(lex.word, i + 2)), once.word) end"""
+#: The word and its forms with one character less: two words share one if an edit or a swap of neighbours leads from one to the other.
+_DELETED = "list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)), word))"
+_NEAR = """abs(length(a) - length(b)) <= 1 and (length(a) <> length(b) or len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) = 1
+  or list_contains(list_transform(range(1, length(b)), lambda i: substr(b, 1, i - 1) || substr(b, i + 1, 1) || substr(b, i, 1) || substr(b, i + 2)), a))"""
 _LEX = r"lex as (select lower(replace(form, '’', '''')) as word, count(distinct doc_id) as docs from tokens where regexp_matches(form, '^\p{Ll}[\p{Ll}''’-]*$') group by 1 having count(distinct doc_id) >= 20)"
 
 
-@query(_sql("select doc_id, word as match, begin from once join (select distinct once.word from once join lex on " + _ONE_EDIT + ") n using (word)", _LEX + r", o as (select doc_id, form as word, min(begin_at) as begin from near where regexp_matches(form, '^\p{Ll}{6,}$') group by all having count(*) = 1), once as (select * from o where word not in (select word from lex))"))
+@query(_sql("select doc_id, word as match, begin from once where word in (select a from pairs where " + _NEAR + ")", _LEX + r", o as (select doc_id, form as word, min(begin_at) as begin from near where regexp_matches(form, '^\p{Ll}{6,}$') group by all having count(*) = 1), once as (select * from o where word not in (select word from lex)), wrong as (select distinct word from once), wrong_keys as (select word, unnest(" + _DELETED + ") as k from wrong), lex_keys as (select word, unnest(" + _DELETED + ") as k from lex), pairs as (select distinct w.word as a, l.word as b from wrong_keys w join lex_keys l using (k))"))
 def spelling_candidates(spark, d):
     c = corpus_of(spark, d)
     return kinds.spelling(c, kinds.lexicon(c, 20), min_length=6).select("doc_id", "match", "begin")
@@ -333,9 +363,12 @@ def coined_words(spark, d):
     return kinds.coined_words(c, kinds.lexicon(c, 20)).select("doc_id", "match", "begin", "times")
 
 
-@query()
+_NAMES = "case doc_id % 3 when 0 then 'We call it the Second Mover Principle. The Second Mover Principle holds.' when 1 then 'Our Long Tail Effect and the Dead Letter Model fit.' else 'A Model of no name.' end"
+
+
+@query(_sql_with(rf"select doc_id, block_id, sent_id, begin, match from (select *, row_number() over (partition by doc_id, regexp_replace(match, '^\p{{L}}+ ', '') order by begin) as r from (select doc_id, block_id, sent_id, match, (begin_at + sum(length(g) + length(match)) over (partition by doc_id, block_id, sent_id order by i) - length(match))::int as begin from (select doc_id, block_id, sent_id, begin_at, unnest(m) as match, unnest(g[1:len(m)]) as g, unnest(range(0, len(m))) as i from (select *, regexp_extract_all(text, '@N@') as m, regexp_split_to_array(text, '@N@') as g from sentences)))) where r = 1".replace("@N@", rf"\b(?:[Tt]he|[Oo]ur|[Aa]n?) (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}(?:{'|'.join(kinds.HEADS)})\b"), _NAMES))
 def concept_names(spark, d):
-    return kinds.concept_names(corpus_of(spark, d)).select(*_AT, "begin", "match")
+    return kinds.concept_names(corpus_with(spark, d, _NAMES)).select(*_AT, "begin", "match")
 
 
 #: A paragraph with hyphenated words, one kind for each remainder of the id.
@@ -552,7 +585,7 @@ def apply_fixes(spark, d):
     return post.apply_fixes(c.docs, found)
 
 
-@query(_sql("select word, choice, r as place from (select *, row_number() over (partition by word order by docs desc, choice) as r from (select distinct once.word, lex.word as choice, lex.docs from once join lex on " + _ONE_EDIT + ")) where r <= 5", _LEX + r", o as (select distinct form as word from (select doc_id, form from near where regexp_matches(form, '^\p{Ll}{6,}$') group by all having count(*) = 1)), once as (select * from o where word not in (select word from lex))"))
+@query(_sql("select word, choice, r as place from (select a as word, b as choice, row_number() over (partition by a order by docs desc, b) as r from pairs where " + _NEAR + ") where r <= 5", _LEX + r", o as (select distinct form as word from (select doc_id, form from near where regexp_matches(form, '^\p{Ll}{6,}$') group by all having count(*) = 1)), wrong as (select * from o where word not in (select word from lex)), wrong_keys as (select word, unnest(" + _DELETED + ") as k from wrong), lex_keys as (select word, docs, unnest(" + _DELETED + ") as k from lex), pairs as (select distinct w.word as a, l.word as b, l.docs from wrong_keys w join lex_keys l using (k))"))
 def top_k_suggestions(spark, d):
     c = corpus_of(spark, d)
     offered = kinds.spelling(c, kinds.lexicon(c, 20), min_length=6).select(F.col("match").alias("word"), "choices").distinct()
