@@ -133,3 +133,96 @@ def takes_an(word: Column) -> Column:
     for pattern, an in _SOUNDS:
         out = out.when(F.lower(word).rlike(pattern), F.lit(an).cast("boolean"))
     return out
+
+
+def lead_in(text: Column) -> Column:
+    """Whether a text ends in a colon right after a subordinator: the list or block that follows completes it."""
+    return text.rlike(r"(?i)(^|[^\p{L}])(if|when|whenever|whether|because|unless|while|where|although|though|until):\s*$")
+
+
+def _letters(word: Column) -> Column:
+    return F.filter(F.split(word, ""), lambda c: c != "")
+
+
+def osa(a: Column, b: Column) -> Column:
+    """Edit distance of lower-cased words with swaps of neighbours as one edit: rows of the usual table, folded over the letters of a."""
+    a, b = _letters(F.lower(a)), _letters(F.lower(b))
+    first = F.sequence(F.lit(0), F.size(b))
+    start = F.struct(F.lit(0).alias("i"), first.alias("last"), first.alias("row"), F.lit("").alias("before"))
+
+    def step(state: Column, letter: Column) -> Column:
+        row, last, i = state["row"], state["last"], state["i"]
+
+        def cell(new: Column, j: Column) -> Column:
+            here = F.get(b, j - 1)
+            least = F.least(F.get(row, j) + 1, F.get(new, j - 1) + 1, F.get(row, j - 1) + F.when(here == letter, 0).otherwise(1))
+            swap = (i > 0) & (j > 1) & (F.get(b, j - 2) == letter) & (here == state["before"])
+            return F.concat(new, F.array(F.when(swap, F.least(least, F.get(last, j - 2) + 1)).otherwise(least)))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(b)), lambda j: j > 0)
+        return F.struct((i + 1).alias("i"), row.alias("last"), F.aggregate(places, F.array(i + 1), cell).alias("row"), letter.alias("before"))
+
+    return F.element_at(F.aggregate(a, start, step, lambda s: s["row"]), -1)
+
+
+def common_letters(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    a, b = _letters(a), _letters(b)
+    places = F.filter(F.sequence(F.lit(0), F.size(b)), lambda j: j > 0)
+
+    def step(row: Column, letter: Column) -> Column:
+        return F.aggregate(places, F.array(F.lit(0)), lambda new, j: F.concat(new, F.array(F.when(F.get(b, j - 1) == letter, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.get(new, j - 1))))))
+
+    return F.element_at(F.aggregate(a, F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0)), step), -1)
+
+
+def indels_only(a: Column, b: Column) -> Column:
+    """Whether a shortest way from a to b only drops and adds letters."""
+    return F.length(a) + F.length(b) - common_letters(a, b) * 2 == osa(a, b)
+
+
+# The rows of letters on a keyboard.
+KEYS = ["qwertyuiop", "asdfghjkl", "zxcvbnm"]
+
+
+def adjacent_keys(a: Column, b: Column) -> Column:
+    """Whether two letters are at most one row and one column apart on a keyboard."""
+    row = lambda c: F.coalesce(*(F.when((c != "") & F.lit(k).contains(c), F.lit(i)) for i, k in enumerate(KEYS)))
+    place = lambda c: F.coalesce(*(F.when((c != "") & F.lit(k).contains(c), F.instr(F.lit(k), c)) for k in KEYS))
+    return F.coalesce((F.abs(row(a) - row(b)) <= 1) & (F.abs(place(a) - place(b)) <= 1), F.lit(False))
+
+
+def typo_cost(typed: Column, target: Column) -> Column:
+    """How unlikely `typed` is as a typing mistake for `target`, one edit away: 0.5 a swap, 0.6 a doubling, 0.8 a neighbouring key, 0.9 a
+    letter more or less, 1 any other."""
+    n = F.least(F.length(typed), F.length(target))
+    at = lambda w, i: F.substring(w, i, F.lit(1))
+    differs = F.array_position(F.transform(F.sequence(F.lit(1), n + 1), lambda i: at(typed, i) != at(target, i)), True).cast("int")
+    i = F.when(differs == 0, n + 1).otherwise(differs)
+    swapped_here = (at(typed, i) == at(target, i + 1)) & (at(typed, i + 1) == at(target, i)) & (i < F.length(typed)) & (F.substring(typed, i + 2, F.length(typed)) == F.substring(target, i + 2, F.length(target)))
+    same_length = F.when(swapped_here, 0.5).when(adjacent_keys(at(typed, i), at(target, i)), 0.8).otherwise(1.0)
+    longer = F.when(F.length(target) > F.length(typed), target).otherwise(typed)
+    doubled = ((i > 1) & (at(longer, i - 1) == at(longer, i))) | ((at(longer, i + 1) == at(longer, i)) & (i < F.length(longer)))
+    return F.when(F.length(typed) == F.length(target), same_length).when(doubled, 0.6).otherwise(0.9)
+
+
+def transformed(text: Column, case: str = "", pattern: str | None = None, replacement: str = "") -> Column:
+    """A text after a replacement and then in another case: startupper, startlower, allupper, alllower or as it is."""
+    out = text if pattern is None else F.regexp_replace(text, pattern, replacement)
+    first, rest = F.substring(out, 1, 1), F.substring(out, F.lit(2), F.length(out))
+    return {"startupper": F.concat(F.upper(first), rest), "startlower": F.concat(F.lower(first), rest), "allupper": F.upper(out), "alllower": F.lower(out)}.get(case, out)
+
+
+def tsv_escaped(cell: Column) -> Column:
+    """A cell without tabs and line breaks: they and the backslash are written with a backslash."""
+    for char, mark in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        cell = F.replace(cell, F.lit(char), F.lit(mark))
+    return cell
+
+
+def tsv_unescaped(cell: Column) -> Column:
+    """What tsv_escaped() had; a backslash before any other character goes, one at the end stays."""
+    held = F.replace(cell, F.lit("\\\\"), F.lit("\x01"))
+    for mark, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
+        held = F.replace(held, F.lit(mark), F.lit(char))
+    return F.replace(F.regexp_replace(held, r"\\(.)", "$1"), F.lit("\x01"), F.lit("\\"))

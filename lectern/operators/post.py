@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import column_of, line_of
+from lectern.functions.text import column_of, indels_only, line_of
 
 # Ranks of severities; info is another name of suggestion.
 RANKS = {"error": 0, "warning": 1, "suggestion": 2, "info": 2}
@@ -191,3 +191,48 @@ def decide(units: DataFrame, model, options: list[str], flag: str, threshold: fl
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema)
     return units.mapInPandas(run, f"{fields}, probability double").where(F.col("probability") >= threshold)
+
+
+def fit_temperature(samples: DataFrame, low: float = 0.05, high: float = 20.0, points: int = 17, rounds: int = 6) -> float:
+    """The temperature under which the right answers are likeliest; samples (scores array<double>, right int). 1 without samples.
+
+    The likelihood has one peak over the temperature's logarithm, so each round judges a grid of `points` in one aggregate
+    and the next one lies between the neighbours of the best.
+    """
+    import math
+
+    a, b = math.log(low), math.log(high)
+    for _ in range(rounds):
+        grid = [a + (b - a) * k / (points - 1) for k in range(points)]
+        row = samples.agg(*(F.sum(_loss(math.exp(x))) for x in grid)).first()
+        if row[0] is None:
+            return 1.0
+        best = min(range(points), key=lambda k: row[k])
+        a, b = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
+    return math.exp((a + b) / 2)
+
+
+def _loss(temperature: float) -> Column:
+    """Negative log likelihood of the right answer by a softmax at a temperature."""
+    scaled = F.transform("scores", lambda s: s / F.lit(temperature))
+    top = F.array_max(scaled)
+    return top + F.log(F.aggregate(scaled, F.lit(0.0), lambda n, s: n + F.exp(s - top))) - F.get(scaled, F.col("right"))
+
+
+def surroundings(sentences: DataFrame) -> DataFrame:
+    """(doc_id, block_id, sent_id, context): the sentences before and after each, as context for a question about it."""
+    order = Window.partitionBy("doc_id").orderBy("block_id", "sent_id")
+    before, after = F.concat(F.lit("Before it: "), F.lag("text").over(order)), F.concat(F.lit("After it: "), F.lead("text").over(order))
+    return sentences.select("doc_id", "block_id", "sent_id", F.concat_ws("\n", before, after).alias("context"))
+
+
+def words_in(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """Tokens that overlap spans (doc_id, begin, stop), with the span as span_begin and span_stop: an equi-join by document with a range."""
+    at = spans.select("doc_id", F.col("begin").alias("span_begin"), F.col("stop").alias("span_stop"))
+    return tokens.join(at, "doc_id").where("begin < span_stop and span_begin < stop")
+
+
+def released(found: DataFrame, least: int = 6) -> DataFrame:
+    """Findings that stand without a model: those that need none, and misspellings without capitals whose only suggestion drops or adds letters."""
+    only = (F.size("suggestions") == 1) & (F.length("match") >= least) & ~F.col("match").rlike(r"\p{Lu}")
+    return found.where(~F.coalesce("needs_model", F.lit(False)) | (only & indels_only(F.col("match"), F.get("suggestions", F.lit(0)))))

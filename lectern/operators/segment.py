@@ -29,9 +29,9 @@ def marks() -> list[tuple[str, str]]:
     """(pattern, replacement) in order: dots that end no sentence become HOLD, then breaks are marked. No pattern looks around."""
     any_case = lambda words: "|".join(f"[{w[0].upper()}{w[0].lower()}]{w[1:]}" for w in words)
     return [
-        # Titles, months and initials; `I` is no initial after a lower-case word.
+        # Titles, months and initials; `I` is no initial after a word that begins in lower case.
         (rf"{_BEFORE}({any_case(TITLES)}|[A-HJ-Z])\.", f"$1$2{HOLD}"),
-        (r"(^|[^\p{Ll}][ \t\n]|[^\p{L}\p{N}. \t\n])I\.", f"$1I{HOLD}"),
+        (r"(^|(?:^|[ \t\n])[^\p{Ll} \t\n][^ \t\n]*[ \t\n]+)I\.", f"$1I{HOLD}"),
         # Other abbreviations, unless an opener follows.
         (rf"{_BEFORE}({any_case(ABBREVIATIONS)})\.", f"$1$2{UNSURE}"),
         (rf"{UNSURE}([ \t\n\r]+{_OPEN}(?:{'|'.join(OPENERS)})(?:[^\p{{L}}\p{{N}}]|\z))", ".$1"),

@@ -79,6 +79,17 @@ def noun_stacks(corpus: Corpus, least: int = 3, most: int | None = None, tags: t
     return (out if most is None else out.where(F.col("n") <= most)).drop("island")
 
 
+def adjective_stacks(corpus: Corpus, least: int = 3) -> DataFrame:
+    """Runs of `least` adjectives or more with only blanks between that stand right before a noun."""
+    rows = tagged(corpus).withColumns({"joined": F.col("gap").rlike(r"^[ \t\n]*$"), "next_tag": F.lead("tag").over(_in_sentence()), "next_gap": F.lead("gap").over(_in_sentence())})
+    stop = (~(F.col("tag") == "JJ") | ~F.col("joined")).cast("int")
+    runs = rows.withColumn("island", F.sum(stop).over(_in_sentence())).where("tag = 'JJ'")
+    last = F.max_by(F.struct("stop", "next_tag", "next_gap"), "tok_id")
+    out = runs.groupBy("doc_id", "block_id", "sent_id", "island").agg(F.min("begin").alias("begin"), last.alias("last"), F.count(F.lit(1)).alias("n"))
+    before_noun = F.coalesce(F.col("last.next_tag").startswith("NN") & F.col("last.next_gap").rlike(r"^[ \t\n]*$"), F.lit(False))
+    return out.where((F.col("n") >= least) & before_noun).select("doc_id", "block_id", "sent_id", "begin", F.col("last.stop").alias("stop"), "n")
+
+
 def modifier_density(corpus: Corpus, least: int = 5, ratio: float = 0.3) -> DataFrame:
     """Sentences with many adjectives and adverbs."""
     per = tagged(corpus).groupBy("doc_id", "block_id", "sent_id").agg(F.sum(F.col("tag").isin("JJ", "RB").cast("int")).alias("n_modifiers"), F.count(F.lit(1)).alias("n_words"))

@@ -17,7 +17,8 @@ from lectern.operators import kinds, post, shallow, structure
 from lectern.operators.segment import Corpus, marks
 from lectern.plans.pack import built_in, check
 from lectern.session import table
-from lectern.sources.blocks import html_blocks, quoted_spans
+from lectern.sources.blocks import code_words as words_of_code
+from lectern.sources.blocks import html_blocks, markdown_blocks, quoted_spans, to_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -617,6 +618,84 @@ def rewrite_choice(spark, d):
     return post.choose_rewrites(candidates, c.sentences, F.col("n_fixes").cast("double")).select(*_AT, "candidate", "n_fixes", "edit")
 
 
+@query(_sql("select doc_id, block_id, sent_id, concat_ws(chr(10), 'Before it: ' || lag(text) over w, 'After it: ' || lead(text) over w) as context from sentences window w as (partition by doc_id order by block_id, sent_id)"))
+def surroundings(spark, d):
+    return post.surroundings(corpus_of(spark, d).sentences)
+
+
+@query(_sql("select doc_id, form, begin_at as begin, s as span_begin from near, (values (100, 180), (150, 152), (400, 1000)) v(s, e) where begin_at < e and s < stop_at"))
+def words_in_spans(spark, d):
+    c = corpus_of(spark, d)
+    spans = c.docs.select("doc_id", F.explode(F.expr("array(struct(100 as begin, 180 as stop), struct(150 as begin, 152 as stop), struct(400 as begin, 1000 as stop))")).alias("s")).select("doc_id", "s.*")
+    return post.words_in(c.tokens, spans).select("doc_id", "form", "begin", "span_begin")
+
+
+_STACKS = "case doc_id % 3 when 0 then 'The national digital educational plan holds.' when 1 then 'A useful, careful, helpful, formal tool.' else 'The national formal one is useful careful practical.' end"
+
+
+@query(_sql_with("select doc_id, block_id, sent_id, begin, n from (select doc_id, block_id, sent_id, island, min(begin_at) as begin, count(*) as n, arg_max(nt, tok_id) as nt, arg_max(ng, tok_id) as ng from (select *, sum((tag <> 'JJ' or not regexp_matches(gap, '^[ \\t\\n]*$'))::int) over w as island, lead(tag) over w as nt, lead(gap) over w as ng from tagged window w as (partition by doc_id, block_id, sent_id order by tok_id)) where tag = 'JJ' group by all) where n >= 2 and starts_with(nt, 'NN') and regexp_matches(ng, '^[ \\t\\n]*$')", _STACKS, _TAG))
+def adjective_stack_shallow(spark, d):
+    return shallow.adjective_stacks(corpus_with(spark, d, _STACKS), 2).select(*_AT, "begin", "n")
+
+
+_LEADS = "case doc_id % 4 when 0 then 'It is a good fit if:' when 1 then 'We stop unless : so' when 2 then 'These hold: ' else 'Wait until:  ' end"
+
+
+@query(_sql_with("select doc_id, block_id, sent_id from sentences where regexp_matches(text, '(?i)(?:^|[^a-z])(?:if|when|whenever|whether|because|unless|while|where|although|though|until):$')", _LEADS))
+def lead_ins(spark, d):
+    return corpus_with(spark, d, _LEADS).sentences.where(X.lead_in(F.col("text"))).select(*_AT)
+
+
+_CODED = """case doc_id % 3 when 0 then 'Use `git commit -m` or `Rebase`, not `x' when 1 then 'Text' || chr(10) || '```sh' || chr(10) || 'make All -j8' || chr(10) || '```' || chr(10) || 'More `ls`.' else 'No code' end"""
+
+
+@query(f"select distinct doc_id, lower(unnest(regexp_extract_all(code, '[\\p{{L}}\\p{{N}}]+'))) as word from (select doc_id, case when fence then '' when inside then line else array_to_string(list_transform(range(2, len(p) + 1, 2), lambda i: p[i]), ' ') end as code from (select *, sum(fence::int) over (partition by doc_id order by n) % 2 = 1 as inside, string_split(line, '`') as p from (select *, regexp_matches(line, '^[ \\t]*(```|~~~)') as fence from (select doc_id, unnest(l) as line, unnest(range(0, len(l))) as n from (select doc_id, string_split(coalesce(text, '') || chr(10) || chr(10) || ({_CODED}), chr(10)) as l from documents)))))")
+def code_words(spark, d):
+    return words_of_code(corpus_with(spark, d, _CODED).docs)
+
+
+#: Each word with mistakes of four kinds at a place that follows from its length.
+_TYPOS = "select distinct lower(form) as word from {t} where {m}"
+
+
+@query(_sql(r"select word, kind, typed, case when typed = word then 0 else 1 end as distance, typed = word or kind in ('drop', 'twice') as indels, (case kind when 'swap' then 0.5 when 'twice' then 0.6 when 'drop' then case when substr(word, p, 1) in (substr(word, p - 1, 1), substr(word, p + 1, 1)) then 0.6 else 0.9 end else case when abs(rw - re) <= 1 and abs(cw - 3) <= 1 then 0.8 else 1.0 end end)::double as cost from (select *, case when contains('qwertyuiop', substr(word, p, 1)) then 0 when contains('asdfghjkl', substr(word, p, 1)) then 1 else 2 end as rw, 0 as re, greatest(instr('qwertyuiop', substr(word, p, 1)), instr('asdfghjkl', substr(word, p, 1)), instr('zxcvbnm', substr(word, p, 1))) as cw from typos) where typed <> word", r"w as (select word, length(word) % 3 + 2 as p from (select distinct lower(form) as word from near where regexp_matches(form, '^[A-Za-z]{5,9}$'))), typos as (select word, p, 'swap' as kind, substr(word, 1, p - 1) || substr(word, p + 1, 1) || substr(word, p, 1) || substr(word, p + 2) as typed from w where length(word) > p union all select word, p, 'drop', substr(word, 1, p - 1) || substr(word, p + 1) from w union all select word, p, 'twice', substr(word, 1, p) || substr(word, p) from w union all select word, p, 'other', substr(word, 1, p - 1) || 'e' || substr(word, p + 1) from w)"))
+def typing_mistakes(spark, d):
+    words = corpus_of(spark, d).tokens.where(F.col("form").rlike("^[A-Za-z]{5,9}$")).select(F.lower("form").alias("word")).distinct().withColumn("p", F.length("word") % 3 + 2)
+    kinds_of = "stack(4, 'swap', if(length(word) > p, substr(word, 1, p - 1) || substr(word, p + 1, 1) || substr(word, p, 1) || substr(word, p + 2), word), 'drop', substr(word, 1, p - 1) || substr(word, p + 1), 'twice', substr(word, 1, p) || substr(word, p), 'other', substr(word, 1, p - 1) || 'e' || substr(word, p + 1)) as (kind, typed)"
+    made = words.selectExpr("word", kinds_of).where("typed <> word")
+    return made.select("word", "kind", "typed", X.osa(F.col("typed"), F.col("word")).alias("distance"), X.indels_only(F.col("typed"), F.col("word")).alias("indels"), X.typo_cost(F.col("typed"), F.col("word")).alias("cost"))
+
+
+@query("select doc_id, text as cell from documents where text is not null")
+def tsv_cells(spark, d):
+    """Texts escaped to cells and back."""
+    cells = table(spark, d, "documents").where("text is not null").select("doc_id", X.tsv_escaped(F.col("text")).alias("cell"))
+    return cells.where(~F.col("cell").rlike("[\n\t\r]")).select("doc_id", X.tsv_unescaped(F.col("cell")).alias("cell"))
+
+
+@query("with s as (select doc_id, [(doc_id % 7) / 2.0, (doc_id % 5) / 1.0, (doc_id % 3) / 1.5] as x, (doc_id % 11 % 3)::int as r from documents), t as (select unnest(range(0, 4001)) as k), g as (select k, exp(ln(0.05) + (ln(20) - ln(0.05)) * k / 4000) as t from t) select round(ln(arg_min(t, loss)) * 50)::bigint as log_t from (select t, sum(ln(exp(x[1] / t) + exp(x[2] / t) + exp(x[3] / t)) - x[r + 1] / t) as loss from s, g group by t)")
+def temperature(spark, d):
+    """The temperature that scores and answers made from ids want, as its logarithm in fiftieths."""
+    import math
+
+    scores = F.expr("array((doc_id % 7) / 2.0D, (doc_id % 5) / 1.0D, (doc_id % 3) / 1.5D)")
+    t = post.fit_temperature(table(spark, d, "documents").select(scores.alias("scores"), F.expr("cast(doc_id % 11 % 3 as int)").alias("right")))
+    return spark.range(1).select(F.lit(round(math.log(t) * 50)).cast("long").alias("log_t"))
+
+
+#: A document in Markdown around the text's first line.
+_MARKED = """'---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || '# The the heading' || chr(10) || chr(10) || 'Some long' || chr(10) || 'intro in in line.' || chr(10) || chr(10) || '> Quoted' || chr(10) || '> and and so on.' || chr(10) || chr(10) || '1. First of of' || chr(10) || '   to to.' || chr(10) || 'n' || doc_id || chr(10) || chr(10) || 'Then {{< tip text="or or" >}} it it is.'"""
+
+
+@query(f"with m as (select doc_id, {_MARKED} as t from documents), w(word) as (values ('The the'), ('in in'), ('and and'), ('of of'), ('to to'), ('or or'), ('it it')) select doc_id, word as match, (strpos(t, word) - 1)::int as begin, (strpos(t, word) - 1 + length(word))::int as stop from m, w")
+def markdown_offsets(spark, d):
+    """Doubled words of Markdown documents, at their places in the document."""
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_MARKED).alias("text"))
+    c = Corpus(docs, markdown_blocks(docs))
+    found = kinds.repeated_word(c)
+    return to_source(found, c.blocks).select("doc_id", "match", "begin", "stop")
+
+
 @query()
 def check_packs(spark, d):
     """All built-in packs over the documents: the findings by rule."""

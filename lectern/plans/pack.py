@@ -190,6 +190,7 @@ def _one(corpus: Corpus, rule: Rule) -> DataFrame:
         "hyphen-chain": lambda: kinds.hyphen_chain(corpus, p.get("except", [])),
         "ly-hyphen": lambda: kinds.ly_hyphen(corpus),
         "noun-stack": lambda: shallow.noun_stacks(corpus, p.get("min", 3), p.get("max")),
+        "adjective-stack": lambda: shallow.adjective_stacks(corpus, p.get("min", 3)),
         "passive": lambda: shallow.passives(corpus, p.get("window", 3), p.get("agentless", False)),
         "coordination": lambda: shallow.coordinations(corpus, p.get("min", 3), p.get("max")),
         "bare-demonstrative": lambda: shallow.bare_demonstratives(corpus),

@@ -159,3 +159,14 @@ def quoted_spans(docs: DataFrame) -> DataFrame:
     pattern = r"“[^”\n]*”|(?<![^\s(\[{])\"(?=\S)[^\"\n]*\"(?![\p{L}\p{N}])"
     found = docs.select("doc_id", F.explode(spans(F.coalesce(F.col("text"), F.lit("")), pattern)).alias("s"))
     return found.select("doc_id", F.col("s.begin").alias("begin"), (F.col("s.begin") + F.length("s.match")).alias("stop"))
+
+
+def code_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, word): the lower-case words in inline code and fenced blocks of Markdown documents, each once."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("n", "line"))
+    fence = F.col("line").rlike(r"^[ \t]*(```|~~~)")
+    lines = lines.withColumn("inside", F.sum(fence.cast("int")).over(Window.partitionBy("doc_id").orderBy("n")) % 2 == 1)
+    between = F.filter(F.split("line", "`", -1), lambda _, i: i % 2 == 1)
+    code = F.when(fence, F.array().cast("array<string>")).when(F.col("inside"), F.array("line")).otherwise(between)
+    words = F.flatten(F.transform(code, lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    return lines.select("doc_id", F.explode(words).alias("word")).distinct()
