@@ -380,7 +380,7 @@ def coined_words(corpus: Corpus, known: DataFrame) -> DataFrame:
 
 
 #: Chosen heads of names that stand for an idea: nouns for a way of doing, a regularity or a difficulty.
-HEADS = ["Approach", "Doctrine", "Effect", "Fallacy", "Framework", "Hypothesis", "Law", "Maxim", "Method", "Model", "Paradox", "Principle", "Rule", "Theorem", "Trap"]
+HEADS = ["Approach", "Doctrine", "Effect", "Fallacy", "Framework", "Hypothesis", "Law", "Maxim", "Method", "Model", "Paradox", "Principle", "Problem", "Rule", "Theorem", "Trap"]
 
 
 def concept_names(corpus: Corpus, terms: DataFrame | None = None) -> DataFrame:
