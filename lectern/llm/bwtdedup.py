@@ -10,11 +10,14 @@ whole corpus; they are split into buckets that can be merged alone, with nothing
 * Rows. A slice is kept as what precedes its core (the Burrows-Wheeler columns of its suffixes, nearest first) and what
   follows it. Equal rows of all shards are one, with their count, before they are shuffled.
 
-In a bucket the shards' rows are merged by interleave refinement: a stable partition by one symbol at a time, first over
-what follows the core, which orders the suffixes and gives their common prefixes, then over the preceding columns, which
-takes the order of the suffixes at one place to the order one place before. Neighbours that agree in both parts of a window
-are a repeated interval. No suffix is sorted again on the way. A bucket with too many different rows for one
-task is resolved window by window, by counts that are summed before they are shuffled.
+A shard is a partition of the different rows. It sorts its own rows once by what follows their cores: its part of the
+transform, with the preceding columns beside it. In a bucket the shards are merged by interleave refinement: all rows begin
+as one interval, shard after shard, and each round splits the intervals by one more symbol, stably, so that every shard keeps
+its order. The round that splits two neighbours is their longest common prefix. An interval left with rows of one shard is
+settled: its order and common prefixes are the shard's own. The preceding columns then take the order of the suffixes at one
+place to the order one place before, by a stable partition again. Neighbours that agree in both parts of a window are a
+repeated interval. A bucket with too many different rows for one task is resolved window by window, by counts that are
+summed before they are shuffled.
 """
 
 from __future__ import annotations
@@ -85,25 +88,56 @@ def slices(text: bytes, length: int, wanted: set[int]) -> list[tuple[int, bytes,
     return out
 
 
-def merge(bucket: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: np.ndarray, after: np.ndarray, several: np.ndarray) -> np.ndarray:
+def interleave(bucket: np.ndarray, shard: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common) of rows that come by bucket, by shard in it and sorted by `after` in each shard.
+
+    order: the merged order of the rows. common: the longest common prefix of each with the one before, -1 where a bucket begins.
+    """
+    n, depth = after.shape
+    order, common = np.arange(n), np.full(n, depth)
+    if not n:
+        return order, common
+    begins = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    common[begins] = -1
+    beside = np.concatenate([[False], (shard[1:] == shard[:-1]) & ~begins[1:]])  # a row and its shard's row before it
+    differ = after[1:] != after[:-1]
+    own = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), depth)])
+    at = order.copy()  # places in intervals that are not settled
+    for h in range(depth):
+        interval = np.cumsum(common[at] < depth) - 1
+        mixed = np.zeros(len(at), bool)
+        mixed[interval[1:][(shard[order[at]][1:] != shard[order[at]][:-1]) & (interval[1:] == interval[:-1])]] = True
+        at, interval = at[mixed[interval]], interval[mixed[interval]]
+        if not len(at):
+            break
+        symbol = after[order[at], h]
+        splits = np.zeros(int(interval[-1]) + 1, bool)
+        splits[interval[1:][(symbol[1:] != symbol[:-1]) & (interval[1:] == interval[:-1])]] = True
+        split = splits[interval]
+        places, key = at[split], interval[split] * 256 + symbol[split]
+        step = np.argsort(key, kind="stable")
+        order[places], key = order[places[step]], key[step]
+        common[places[1:][(key[1:] != key[:-1]) & (key[1:] >> 8 == key[:-1] >> 8)]] = h
+    settled = (common == depth) & beside[order]
+    settled[1:] &= order[1:] == order[:-1] + 1
+    common[settled] = own[order[settled]]
+    return order, common
+
+
+def merge(bucket: np.ndarray, shard: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: np.ndarray, after: np.ndarray, several: np.ndarray) -> np.ndarray:
     """Masks of the repeated windows of rows, over many buckets at once.
 
-    before, after: uint8 of shape (rows, SLICE - 1), nearest the core first, padded. several: rows that occur more than once.
+    Rows come by bucket, by shard in it and sorted by `after` in each shard. before, after: uint8 of shape (rows, SLICE - 1),
+    nearest the core first, padded. several: rows that occur more than once.
     """
     n, depth = len(bucket), SLICE - 1
     out = np.zeros(n, np.uint64)
     if not n:
         return out
-    order = np.argsort(bucket, kind="stable")  # the shards' rows one after the other in each bucket
-    if (before.any() or after.any()) and n > 1:
-        for d in range(depth - 1, -1, -1):  # refine by what follows, the farthest symbol first
-            order = order[np.argsort(after[order, d], kind="stable")]
-        order = order[np.argsort(bucket[order], kind="stable")]
+    order, common = interleave(bucket, shard, after)
+    common = common[1:]
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    differ = after[order[1:]] != after[order[:-1]]
-    common = np.where(differ.any(1), differ.argmax(1), depth)  # longest common prefixes of neighbours
-    common[bucket[order[1:]] != bucket[order[:-1]]] = -1
     interval = np.cumsum(np.concatenate([[0], common < 0])).astype(np.int64)  # in the current order
     for o in range(SLICE):
         if o:  # one place to the left: stable partition by the preceding symbol within each interval
@@ -198,7 +232,8 @@ def _merged(rows: DataFrame, least_rows: int = 50_000) -> DataFrame:
         at = np.flatnonzero((size > 1) | several)
         table = table.take(pa.array(at)).combine_chunks()
         column = lambda n: table[n].chunk(0) if table.num_rows else pa.array([], table.schema.field(n).type)
-        masks = merge(bucket[at], column("lo").to_numpy(), column("hi").to_numpy(), _padded(column("before")), _padded(column("after")), several[at])
+        shard = column("place").to_numpy() >> 33  # as monotonically_increasing_id() has them
+        masks = merge(bucket[at], shard, column("lo").to_numpy(), column("hi").to_numpy(), _padded(column("before")), _padded(column("after")), several[at])
         some = np.flatnonzero(masks)
         return record_batch(schema, [column("row_a").take(pa.array(some)), column("row_b").take(pa.array(some)), masks[some].view(np.int64)])
 
@@ -258,7 +293,9 @@ def repeats(docs: DataFrame, *, length: int = 400, heavy: int = HEAVY, id_col: s
     rows = found.groupBy(*_ROW, "row_a", "row_b").agg(F.sum("copies").alias("copies"))
     rows = checkpoint(rows)
     heavy_cores = checkpoint(rows.groupBy(*_CORE).count().where(F.col("count") > heavy).select(*_CORE))
-    masks = _merged(rows.join(heavy_cores, _CORE, "left_anti").repartition(*_CORE).sortWithinPartitions(*_CORE))
+    # Each partition sorts its rows once; a place holds the shard and the row's rank in it.
+    shards = rows.join(heavy_cores, _CORE, "left_anti").sortWithinPartitions(*_CORE, "after").withColumn("place", F.monotonically_increasing_id())
+    masks = _merged(shards.repartition(*_CORE).sortWithinPartitions(*_CORE, "place"))
     if not heavy_cores.isEmpty():
         masks = masks.union(_window_by_window(rows.join(heavy_cores, _CORE, "left_semi")))
     places = found.select("k1", "k2", "base", "row_a", "row_b").join(masks, ["row_a", "row_b"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("base", "mask")).alias("places"))

@@ -53,7 +53,10 @@ def test_merge_against_comparing_all_pairs():
     before[:, : d // 2], after[:, : d // 2] = before[:, :1], after[:, :1]
     lo, hi = rng.integers(0, 40, n), rng.integers(30, 64, n)
     several = rng.random(n) < 0.05
-    masks = bwtdedup.merge(bucket, lo, hi, before, after, several)
+    shard = rng.integers(0, 5, n)
+    order = np.lexsort((*after.T[::-1], shard, bucket))
+    bucket, shard, before, after, lo, hi, several = (x[order] for x in (bucket, shard, before, after, lo, hi, several))
+    masks = bwtdedup.merge(bucket, shard, lo, hi, before, after, several)
     for i in range(n):
         want = 0
         for o in range(lo[i], hi[i] + 1):
@@ -63,6 +66,26 @@ def test_merge_against_comparing_all_pairs():
         assert int(masks[i]) == want
 
 
+@pytest.mark.parametrize("shards", [1, 2, 7, 400])
+@pytest.mark.parametrize("letters", [1, 2, 200])
+def test_interleaved_shards_are_sorted_with_common_prefixes(shards, letters):
+    rng = np.random.default_rng(shards + letters)
+    n, d = 400, bwtdedup.SLICE - 1
+    bucket, shard = rng.integers(0, 4, n), rng.integers(0, shards, n)
+    after = rng.integers(0, letters, (n, d), dtype=np.uint8)
+    after[:, 3:] = after[rng.integers(0, 8, n), 3:]
+    order = np.lexsort((*after.T[::-1], shard, bucket))
+    bucket, shard, after = bucket[order], shard[order], after[order]
+    order, common = bwtdedup.interleave(bucket, shard, after)
+    want = sorted(range(n), key=lambda i: (bucket[i], after[i].tobytes(), shard[i], i))
+    assert order.tolist() == want
+    for i in range(n):
+        a, b = want[i - 1], want[i]
+        same = next((k for k in range(d) if after[a, k] != after[b, k]), d)
+        assert common[i] == (same if i and bucket[a] == bucket[b] else -1)
+    assert bwtdedup.interleave(bucket[:0], shard[:0], after[:0])[0].tolist() == []
+
+
 def test_ids_repeat_columns_clash_and_tables_are_empty(frame):
     text = "".join(chr(97 + i * i % 26) + str(i) for i in range(300))
     docs = frame([(1, text), (1, text), (None, text[:450]), (2, None)]).selectExpr("*", "1 as k1", "2 as places", "3 as base")
