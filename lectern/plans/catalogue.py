@@ -98,7 +98,8 @@ near as (
   from tokens window w as (partition by doc_id, block_id, sent_id order by tok_id)
 )
 """
-_PRELUDE = _PRELUDE.replace("@MARKED@", functools.reduce(lambda sql, m: f"regexp_replace({sql}, {_sql_text(m[0])}, {_sql_text(m[1])}, 'g')", marks(), "text"))
+_MARKED = functools.reduce(lambda sql, m: f"regexp_replace({sql}, {_sql_text(m[0])}, {_sql_text(m[1])}, 'g')", marks(), "text")
+_PRELUDE = _PRELUDE.replace("@MARKED@", _MARKED)
 
 
 
@@ -411,9 +412,13 @@ def noun_stack_shallow(spark, d):
     return shallow.noun_stacks(corpus_of(spark, d), 4).select(*_AT, "begin", "n")
 
 
-@query(_sql("select doc_id, block_id, sent_id, sum((tag in ('JJ', 'RB'))::int)::bigint as n_modifiers, count(*) as n_words from tagged group by all having sum((tag in ('JJ', 'RB'))::int) >= 5 and sum((tag in ('JJ', 'RB'))::int) >= 0.3 * count(*)", _TAG))
+#: A paragraph of modifiers: at the least number of them, one short of it, and at it but thin among other words.
+_MODIFIERS = "case doc_id % 3 when 0 then 'A useful, highly readable, plainly global plan.' when 1 then 'A really useful, highly readable plan.' else 'The really useful plan of the group went from the town to the coast by a highly readable and global map of the land and the sea.' end"
+
+
+@query(_sql_with("select doc_id, block_id, sent_id, sum((tag in ('JJ', 'RB'))::int)::bigint as n_modifiers, count(*) as n_words from tagged group by all having sum((tag in ('JJ', 'RB'))::int) >= 5 and sum((tag in ('JJ', 'RB'))::int) >= 0.3 * count(*)", _MODIFIERS, _TAG))
 def modifier_density(spark, d):
-    return shallow.modifier_density(corpus_of(spark, d)).select(*_AT, "n_modifiers", "n_words")
+    return shallow.modifier_density(corpus_with(spark, d, _MODIFIERS)).select(*_AT, "n_modifiers", "n_words")
 
 
 @query(_sql(f"select doc_id, block_id, sent_id, begin_at as begin, case when t1 = 'VBN' then f1 when t2 = 'VBN' then f2 else f3 end as participle from (select *, lead(tag) over w as t1, lead(tag, 2) over w as t2, lead(tag, 3) over w as t3, lead(form) over w as f1, lead(form, 2) over w as f2, lead(form, 3) over w as f3 from tagged window w as (partition by doc_id, block_id, sent_id order by tok_id)) where lower(form) in {_in(shallow.BE)} and (t1 = 'VBN' or (t1 = 'RB' and (t2 = 'VBN' or (t2 = 'RB' and t3 = 'VBN'))))", _TAG))
@@ -506,7 +511,10 @@ def paragraph_length(spark, d):
     return structure.paragraph_length(c.blocks, c.sentences, 150, 8).select("doc_id", "block_id", "n_words", "n_sentences")
 
 
-@query()
+_ARTICLE_PIECES = rf"per as (select doc_id, block_id, count(*) as n_sentences, sum(len(regexp_extract_all(piece, '{_WORD}')))::bigint as n_words from (select doc_id, block_id, trim(unnest(string_split({_MARKED}, chr(1))), {_TRIM}) as piece from blk where kind = 'paragraph') where piece <> '' group by doc_id, block_id)"
+
+
+@query(f"with {_ARTICLE}, {_ARTICLE_PIECES} select doc_id, block_id, n_words, n_short, n_all from (select *, sum(short::int) over (partition by doc_id)::bigint as n_short, count(*) over (partition by doc_id) as n_all from (select *, n_sentences = 1 and n_words <= 8 as short from per)) where short and n_short >= 3 and n_short >= 0.4 * n_all")
 def one_line_paragraphs(spark, d):
     c = Corpus(None, article_blocks(spark, d))
     return structure.one_line_paragraphs(c.blocks, c.sentences)
