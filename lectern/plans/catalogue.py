@@ -446,9 +446,14 @@ def restatement(spark, d):
     return shallow.restatements(corpus_of(spark, d))
 
 
-@query()
+#: A paragraph with lists of words, of three members and of others.
+_LISTS = "case doc_id % 4 when 0 then 'We like fast, small and safe tools, or old, worn, or lost ones.' when 1 then 'Red, green, blue and black paint.' when 2 then 'Salt and pepper.' else 'Née, été, and naïve words.' end"
+_LIST = r"\p{L}+(?:, \p{L}+)+,? (?:and|or) \p{L}+"
+
+
+@query(_sql_with("select doc_id, block_id, sent_id, begin, match, n from (select *, len(regexp_extract_all(regexp_replace(match, ',? (and|or) ', ', ', 'g'), '\\p{L}+'))::int as n from (select doc_id, block_id, sent_id, match, (begin_at + sum(length(g) + length(match)) over (partition by doc_id, block_id, sent_id order by i) - length(match))::int as begin from (select doc_id, block_id, sent_id, begin_at, unnest(m) as match, unnest(g[1:len(m)]) as g, unnest(range(0, len(m))) as i from (select *, regexp_extract_all(text, '@P@') as m, regexp_split_to_array(text, '@P@') as g from sentences)))) where n = 3".replace("@P@", _LIST), _LISTS))
 def rule_of_three_shallow(spark, d):
-    return shallow.coordinations(corpus_of(spark, d)).select(*_AT, "begin", "match", "n")
+    return shallow.coordinations(corpus_with(spark, d, _LISTS)).select(*_AT, "begin", "match", "n")
 
 
 @query()
