@@ -36,6 +36,7 @@ from lectern.llm.common import Batches, as_bytes, checkpoint, documents, mix, re
 GRAM = 64  # a power of 2
 SLICE = 64  # windows of a slice: one bit each in a long
 KEYS = 2_000_000  # keys of texts (16 bytes each) up to which they are broadcast
+COPIES, HOT = 256, 100_000  # copies of a text that one task takes in any case; texts dealt out over several, at most
 HEAVY = 200_000  # different rows from which a bucket is resolved window by window
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -268,6 +269,12 @@ def _window_by_window(rows: DataFrame) -> DataFrame:
     return each.join(often, ["w1", "w2"], "left_semi").groupBy("row_a", "row_b").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
 
 
+def _hot(wanted: DataFrame) -> DataFrame:
+    """(k1, k2, parts) of texts with more than COPIES copies and more than one in HOT of all: HOT rows at the most."""
+    each = max(COPIES, wanted.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] / HOT)
+    return wanted.where(F.col("copies") > each).select("k1", "k2", F.ceil(F.col("copies") / F.lit(float(each))).alias("parts"))
+
+
 def repeats(docs: DataFrame, *, length: int = 400, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, places) of every row: slices (base, mask) with repeated windows, or null where there is none.
 
@@ -289,6 +296,7 @@ def repeats(docs: DataFrame, *, length: int = 400, heavy: int = HEAVY, id_col: s
     keys = wanted.select("k1", "k2")
     few = keys.count() <= KEYS
     touched = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi") if few else texts
+    touched = touched.dropDuplicates(["k1", "k2"])  # a text's copies have the same slices
     found = _slices(touched.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "anchors", "copies"), length)
     rows = found.groupBy(*_ROW, "row_a", "row_b").agg(F.sum("copies").alias("copies"))
     rows = checkpoint(rows)
@@ -300,7 +308,12 @@ def repeats(docs: DataFrame, *, length: int = 400, heavy: int = HEAVY, id_col: s
         masks = masks.union(_window_by_window(rows.join(heavy_cores, _CORE, "left_semi")))
     places = found.select("k1", "k2", "base", "row_a", "row_b").join(masks, ["row_a", "row_b"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("base", "mask")).alias("places"))
     # The places of a partition are far smaller than its texts: they are hashed, and texts stream by without a sort.
-    with_places = lambda df: df.join(places.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "places")
+    # Copies of a text that has very many are dealt out over several tasks, its places to each of them.
+    hot = _hot(wanted)
+    deal = F.xxhash64("doc_id", F.spark_partition_id())
+    parted = lambda df: df.join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = parted(places).select("k1", "k2", "places", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    with_places = lambda df: parted(df).withColumn("part", F.pmod(deal, "parts")).join(dealt.hint("shuffle_hash"), ["k1", "k2", "part"], "left").select("doc_id", "text", "places")
     if not few:
         return with_places(whole)
     rest = whole.join(F.broadcast(keys), ["k1", "k2"], "left_anti")

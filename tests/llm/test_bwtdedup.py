@@ -45,6 +45,17 @@ def test_heavy_buckets_other_lengths_and_many_keys(frame, heavy, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("keys", [0, 2_000_000])
+def test_copies_of_a_hot_text_are_dealt_out(frame, keys, monkeypatch):
+    monkeypatch.setattr(bwtdedup, "KEYS", keys)
+    monkeypatch.setattr(bwtdedup, "COPIES", 2)
+    texts = corpus(13)
+    texts += [texts[3]] * 50 + [texts[7]] * 2 + [texts[5] + "x"] * 9
+    want = bwtdedup.brute_force([(t or "").encode() for t in texts], 400)
+    got = {r.doc_id: r[1:] for r in bwtdedup.digests(bwtdedup.remove(bwtdedup.repeats(frame(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_merge_against_comparing_all_pairs():
     rng = np.random.default_rng(0)
     n, d = 300, bwtdedup.SLICE - 1
