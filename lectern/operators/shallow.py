@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import WORD, match_all
 from lectern.operators.segment import Corpus
 
 # Closed classes and small verb lists of English.
@@ -156,15 +157,25 @@ def tense_shifts(corpus: Corpus, least: int = 3, share: float = 2 / 3) -> DataFr
 def restatements(corpus: Corpus, least: int = 4, percent: int = 80) -> DataFrame:
     """Sentences that share `percent` of the content words (four letters or more) of an earlier sentence of their document.
 
-    An inverted index on words within a document takes the place of comparing all pairs; the earliest partner is kept.
+    A sentence of n words that shares k = ceil(n * percent / 100) of them with another shares one of any n - k + 1: each looks
+    for partners by its rarest words alone, counted in the document, and the words of both decide. The earliest partner is kept.
     """
-    content = corpus.tokens.where(F.length("form") >= 4).select("doc_id", "block_id", "sent_id", F.lower("form").alias("word")).distinct()
-    sized = content.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "block_id", "sent_id"))).where(F.col("n") >= least)
-    order = F.struct("block_id", "sent_id")
-    later = sized.select("doc_id", "word", order.alias("later"), "n")
-    earlier = sized.select("doc_id", "word", order.alias("earlier"))
-    shared = later.join(earlier, ["doc_id", "word"]).where("earlier < later").groupBy("doc_id", "later", "n", "earlier").agg(F.count(F.lit(1)).alias("common"))
-    near = shared.where(F.col("common") * 100 >= F.col("n") * percent)
+    order = F.struct("block_id", "sent_id").alias("of")
+    forms = F.filter(match_all(F.col("text"), WORD), lambda w: F.length(w) >= 4)
+    # Behind a generator, so that neither the filter nor the size finds the words again.
+    words = corpus.sentences.select("doc_id", order, F.explode(F.array(F.array_distinct(F.transform(forms, F.lower)))).alias("words")).where(F.size("words") >= least)
+    each = words.select("doc_id", "of", F.size("words").alias("n"), F.explode("words").alias("word"))
+    # Words of one sentence of the document meet nothing; they come first among the rarest.
+    shared = each.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "word"))).where("times > 1")
+    ranked = shared.groupBy("doc_id", "of", "n").agg(F.sort_array(F.collect_list(F.struct("times", "word"))).alias("rarest"))
+    alone = F.col("n") - F.size("rarest")
+    most = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9) + 1 - alone).cast("int")
+    probes = ranked.where(most > 0).select("doc_id", F.col("of").alias("later"), F.explode(F.slice("rarest", F.lit(1), most)).alias("w")).select("doc_id", "later", F.col("w.word").alias("word"))
+    met = probes.join(shared.select("doc_id", "word", F.col("of").alias("earlier")), ["doc_id", "word"])
+    pairs = met.where("earlier < later").select("doc_id", "later", "earlier").distinct()
+    side = lambda name: words.select("doc_id", F.col("of").alias(name), F.col("words").alias(f"{name}_words"))
+    both = pairs.join(side("later"), ["doc_id", "later"]).join(side("earlier"), ["doc_id", "earlier"])
+    near = both.where(F.size(F.array_intersect("later_words", "earlier_words")) * 100 >= F.size("later_words") * percent)
     return near.groupBy("doc_id", "later").agg(F.min("earlier").alias("earlier")).select("doc_id", F.col("later.block_id").alias("block_id"), F.col("later.sent_id").alias("sent_id"), F.col("earlier.block_id").alias("of_block"), F.col("earlier.sent_id").alias("of_sent"))
 
 

@@ -159,3 +159,26 @@ def test_streams_leave_quotations_out(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.doc_id for r in out} == {2}
+
+
+def test_restatements_against_all_pairs(spark):
+    import random
+
+    from lectern.operators.shallow import restatements
+
+    rng = random.Random(4)
+    pool = ["apple", "banjo", "cedar", "delta", "ember", "fjord", "grape", "hotel", "it", "ox"]
+    docs = [[[rng.choice(pool) for _ in range(rng.randrange(1, 9))] for _ in range(25)] for _ in range(4)]
+    text = lambda doc: " ".join(" ".join(words).capitalize() + "." for words in doc)
+    frame = spark.createDataFrame([(i, text(d)) for i, d in enumerate(docs)] + [(9, None), (10, "")], "doc_id int, text string")
+    for percent in (50, 80, 100):
+        want = set()
+        for i, doc in enumerate(docs):
+            sets = [{w for w in words if len(w) >= 4} for words in doc]
+            for j, one in enumerate(sets):
+                first = next((k for k in range(j) if len(sets[k]) >= 4 and len(one & sets[k]) * 100 >= len(one) * percent), None)
+                if len(one) >= 4 and first is not None:
+                    want.add((i, j, first))
+        found = restatements(Corpus(frame), percent=percent).collect()
+        assert {(r.doc_id, r.sent_id, r.of_sent) for r in found} == want and len(found) == len(want)
+        assert want
