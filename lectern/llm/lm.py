@@ -85,7 +85,7 @@ class Vocabulary(dict):
         self.end = self.size  # an id of our own: the text's end, and what comes before its first id
         self.begins_word = np.zeros(self.size + 1, bool)
         self.begins_word[[r for t, r in ranks.items() if t.startswith(b" ")] + [self.end]] = True
-        self.counts = self.tables = self.attached = None
+        self.counts = self.model = self.attached = None
         self.reset()
 
     def reset(self) -> None:
@@ -94,15 +94,16 @@ class Vocabulary(dict):
         self.ids, self.first, self.length = Growing(np.int32), Growing(np.int64), Growing(np.int32)
         self._detach()
         self[END]
-        self._add(np.array([self.end]), np.array([1]), np.array([0]))
+        self._add(np.array([self.end]), np.array([1]))
 
     def _detach(self) -> None:
         self.count, self.key_a, self.key_b, self.inside = Growing(np.int64), Growing(np.int64), Growing(np.int64), Growing(np.float64)
+        self.flat = Growing(np.float32)
 
-    def attach(self, counts: dict[bytes, int], tables: Tables, key: str) -> None:
-        """From now on each word has its count, -1 and a 128-bit key where `counts` lacks it, and the log probability of its ids in their classes."""
+    def attach(self, counts: dict[bytes, int], model: Attention, key: str) -> None:
+        """From now on each word has its count, -1 and a 128-bit key where `counts` lacks it, the log probability of its ids in their classes and their mean embedding."""
         if self.attached != key:
-            self.counts, self.tables, self.attached = counts, tables, key
+            self.counts, self.model, self.attached = counts, model, key
             self._detach()
             for at in range(0, self.done, 50_000):
                 self._tell(np.arange(at, min(at + 50_000, self.done)))
@@ -112,49 +113,64 @@ class Vocabulary(dict):
         self.words.append(word)
         return at
 
-    def _add(self, ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> None:
-        """The ids of the words from `done` on, that of place done + order[0] first."""
-        first, length = np.empty(len(order), np.int64), np.empty(len(order), np.int32)
-        first[order], length[order] = self.ids.n + np.cumsum(sizes) - sizes, sizes
-        self.first.extend(first)
-        self.length.extend(length)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the words from `done` on."""
+        self.first.extend(self.ids.n + np.cumsum(sizes) - sizes)
+        self.length.extend(sizes)
         self.ids.extend(ids)
-        places = np.arange(self.done, self.done + len(order))
-        self.done += len(order)
+        places = np.arange(self.done, self.done + len(sizes))
+        self.done += len(sizes)
         if self.attached:
             self._tell(places)
 
     def _tell(self, places: np.ndarray) -> None:
         ids, sizes = self.spelt(places)
-        begin = np.cumsum(sizes) - sizes
-        before = np.concatenate([[START], self.tables.classes.inputs[ids[:-1]]])
+        begin, inputs = np.cumsum(sizes) - sizes, self.model.tables.classes.inputs[ids]
+        before = np.concatenate([[START], inputs[:-1]])
         before[begin] = START
-        self.inside.extend(np.add.reduceat(self.tables.in_class(before, ids).astype(np.float64), begin))
+        self.inside.extend(np.add.reduceat(self.model.tables.in_class(before, ids).astype(np.float64), begin))
+        self.flat.extend(self.model.means(inputs, sizes).ravel())
         words = self.words[places[0] : places[-1] + 1]
-        counts = [self.counts.get(w, -1) for w in words]
-        keys = [word_key(w) if c < 0 else (0, 0) for w, c in zip(words, counts, strict=True)]
-        for column, values in ((self.count, counts), (self.key_a, [a for a, _ in keys]), (self.key_b, [b for _, b in keys])):
-            column.extend(np.array(values, np.int64))
+        counts = np.array([self.counts.get(w, -1) for w in words], np.int64)
+        keys = np.zeros((len(words), 2), np.int64)
+        rare = np.flatnonzero(counts < 0)
+        keys[rare] = word_keys([words[i] for i in rare.tolist()])
+        for column, values in ((self.count, counts), (self.key_a, keys[:, 0]), (self.key_b, keys[:, 1])):
+            column.extend(values)
+
+    def vectors(self, places: np.ndarray) -> np.ndarray:
+        """The mean embeddings of words by their places."""
+        return self.flat.data[: self.flat.n].reshape(-1, WIDTH).take(places, 0)
 
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) of words that need not be known."""
-        if all(map(bytes.isascii, words)):
-            # No match of the pattern goes from one word into the blank before the next, so that all words go through at once.
-            ids = np.array(self.coder.encode_ordinary(" " + b" ".join(words).decode()), np.int32)
-            begin = np.flatnonzero(self.begins_word[ids])
-            if len(begin) == len(words):
-                return ids, np.diff(begin, append=len(ids))
-        each = [self.coder.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
-        return np.fromiter(chain.from_iterable(each), np.int32), np.array([len(i) for i in each])
+        # No match of the pattern goes from one word into the blank before the next, so that words without white space of another kind go through at once.
+        alone = [i for i, w in enumerate(words) if not w.isascii() and len(w.decode("utf-8", "replace").split()) != 1]
+        apart = set(alone)
+        at_once = [w for i, w in enumerate(words) if i not in apart] if alone else words
+        ids = self._encode(b" ".join(at_once)) if at_once else np.empty(0, np.int32)
+        begin = np.flatnonzero(self.begins_word[ids])
+        if len(begin) != len(at_once):
+            alone, at_once, ids, begin = range(len(words)), [], ids[:0], begin[:0]
+        if not alone:
+            return ids, np.diff(begin, append=len(ids))
+        each = [self._encode(words[i]) for i in alone]
+        which = np.ones(len(words), bool)
+        which[alone] = False
+        order = np.concatenate([np.flatnonzero(which), np.array(alone)])
+        some = np.concatenate([np.diff(begin, append=len(ids)), [len(i) for i in each]]).astype(np.int64)
+        first, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        first[order], sizes[order] = np.cumsum(some) - some, some
+        return np.concatenate([ids, *each])[ranges(first, sizes)], sizes
+
+    def _encode(self, words: bytes) -> np.ndarray:
+        return self.coder.encode_to_numpy(" " + words.decode("utf-8", "replace"), disallowed_special=()).astype(np.int32)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         new = self.words[self.done :]
         if new:
-            plain = np.array([w.isascii() for w in new])
-            order = np.argsort(~plain, kind="stable")
-            parts = [self.spell([new[i] for i in np.flatnonzero(which)]) for which in (plain, ~plain) if which.any()]
-            self._add(*(np.concatenate(p) for p in zip(*parts, strict=True)), order)
+            self._add(*self.spell(new))
         return out
 
     def spelt(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,14 +186,26 @@ def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def summed(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of so many rows each, one after the other; for few rows a sum faster than reduceat."""
-    begin, most = np.cumsum(sizes) - sizes, int(sizes.max(initial=0))
-    if most > 12:
-        return np.add.reduceat(rows, begin, axis=0)
+    order = by_length(sizes)[::-1]  # the longest first, so that those with a row k more are the first ones
+    sizes, begin = sizes[order], (np.cumsum(sizes) - sizes)[order]
+    longer = len(sizes) - np.cumsum(np.bincount(np.minimum(sizes, 13), minlength=14))
     out = rows.take(begin, 0)
-    for k in range(1, most):
-        longer = np.flatnonzero(sizes > k)
-        out[longer] += rows.take(begin[longer] + k, 0)
-    return out
+    for k in range(1, 12):
+        n = longer[k]
+        if not n:
+            break
+        out[:n] += rows.take(begin[:n] + k, 0)
+    if n := longer[12]:
+        rest = sizes[:n] - 12
+        out[:n] += np.add.reduceat(rows.take(ranges(begin[:n] + 12, rest), 0), np.cumsum(rest) - rest, axis=0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def by_length(sizes: np.ndarray) -> np.ndarray:
+    """The stable order of sizes; small integers are sorted by radix."""
+    return np.argsort(sizes.astype(np.int16 if sizes.max(initial=0) < 1 << 15 else np.int64), kind="stable")
 
 
 @functools.lru_cache(maxsize=1)
@@ -273,6 +301,7 @@ class Tables:
 
 SHAPES = {"e": (INPUTS + CLASSES, WIDTH), "p": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, CLASSES), "b": (CLASSES,)}
 _MASK = np.where(np.tril(np.ones((LENGTH, LENGTH), bool)), 0, -1e9).astype(np.float32)
+_SEEN = np.tril(np.ones((LENGTH, LENGTH), np.float32))
 
 
 def initial(seed: int = 3) -> np.ndarray:
@@ -315,7 +344,7 @@ class Batch:
     def by_size(self, words: np.ndarray, ids: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places in `words`, places of their ids) of words of one size at a time, about so many ids: what fits a core's cache."""
         sizes = self.sizes[words]
-        order = np.argsort(sizes.astype(np.int32), kind="stable")
+        order = by_length(sizes)
         edges = np.flatnonzero(np.diff(sizes[order], prepend=-1))
         for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
             size = int(sizes[order[first]])
@@ -325,6 +354,19 @@ class Batch:
                 yield part, self.begin[words[part], None] + np.arange(size)
 
 
+def exponentials(s: np.ndarray, first: int = 0) -> np.ndarray:
+    """Replaces rows of s, those of windows' places from `first` on, by what is in proportion to their softmax over the places up to their own; returns the sums of the rows."""
+    rows, columns = s.shape[-2:]
+    if s.size and max(s.max(), -s.min()) > 60:
+        s += _MASK[first : first + rows, :columns]
+        s -= s.max(-1, keepdims=True)
+        np.exp(s, out=s)
+    else:  # no exponential comes near the ends of the range, so that no row needs a level of its own
+        np.exp(s, out=s)
+        s *= _SEEN[first : first + rows, :columns]
+    return (s.reshape(-1, columns) @ np.ones(columns, s.dtype)).reshape(s.shape[:-1])
+
+
 class Attention:
     """One head over windows of words; corrections to the class bigrams."""
 
@@ -332,21 +374,30 @@ class Attention:
         self.w, self.tables = unpack(flat), tables
         self.scale = self.w["q"].dtype.type(1 / np.sqrt(WIDTH))
 
+    def means(self, inputs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The mean embedding of so many inputs each, one after the other."""
+        rows = self.w["e"].take(inputs, 0)
+        return summed(rows, sizes) / sizes[:, None].astype(rows.dtype)
+
     def embedded(self, batch: Batch, words: np.ndarray) -> np.ndarray:
         """The mean embedding of the ids of each of these words."""
         sizes = batch.sizes[words]
-        rows = self.w["e"].take(batch.inputs[ranges(batch.begin[words], sizes)], 0)
-        return summed(rows, sizes) / sizes[:, None].astype(rows.dtype)
+        return self.means(batch.inputs[ranges(batch.begin[words], sizes)], sizes)
 
-    def correction(self, h: np.ndarray) -> np.ndarray:
-        return np.clip(h @ self.w["o"] + self.w["b"], -_FAR, _FAR)
+    def reaches_far(self, h: np.ndarray) -> bool:
+        """Whether a correction may be beyond _FAR; by lengths of vectors, so that no correction is looked at."""
+        longest = np.sqrt(np.einsum("nd,nd->n", h, h).max(initial=0) * np.square(self.w["o"]).sum(0).max())
+        return bool(longest * 1.001 + np.abs(self.w["b"]).max() >= _FAR)
 
-    def score(self, batch: Batch, step: int = 64, ids_a_step: int = 1024) -> np.ndarray:
-        """Natural log probability of the classes of each word's ids and of its end; that of the first word, an end before all texts, is 0."""
+    def score(self, batch: Batch, step: int = 64, vectors: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of the classes of each word's ids and of its end; that of the first word, an end before all texts, is 0.
+
+        vectors: the mean embeddings of all words but the last, where they are known.
+        """
         n = len(batch.places)
         x = np.empty((n + LENGTH, WIDTH), np.float32)
         x[0], x[n:] = 0, 0
-        x[1:n] = self.embedded(batch, np.arange(n - 1))
+        x[1:n] = self.embedded(batch, np.arange(n - 1)) if vectors is None else vectors
         h = np.zeros((n + LENGTH, WIDTH), np.float32)
         text, begin, first = windows(batch.lengths)
         at = batch.text_words[text] + begin
@@ -354,16 +405,21 @@ class Attention:
         # The first window of a text also scores the places before, which have no earlier window.
         self._attend(x, h, at[first == 0], 0, LENGTH - STRIDE, 2 * step)
         by_word, ended = np.empty(n), np.empty(n)
-        bigram, odds = self.tables.bigram, self.tables.odds
-        begins_word = self.tables.classes.begins_word
+        bigram, odds, n_classes = self.tables.bigram.ravel(), self.tables.odds, self.tables.odds.shape[1]
+        begins_word, far = self.tables.classes.begins_word, self.reaches_far(h)
         for part, rows in batch.by_size(np.arange(n)):
-            correction = self.correction(h[part])
-            factors = np.exp(correction)
-            before, target = batch.before[rows], batch.target[rows]
+            correction = h.take(part, 0) @ self.w["o"]
+            correction += self.w["b"]
+            if far:
+                np.clip(correction, -_FAR, _FAR, out=correction)
+            before, target = batch.before.take(rows), batch.target.take(rows)
+            chosen = bigram.take(before * n_classes + target)
+            chosen += correction.ravel().take(np.arange(len(part))[:, None] * n_classes + target)
+            factors = np.exp(correction, out=correction)
             z = odds.take(before, 0)
             total = np.log(np.einsum("nsc,nc->ns", z, factors))
-            starts = np.log(np.einsum("nc,nc->n", z[:, 0], factors * begins_word) + np.float32(1e-30))
-            chosen = bigram[before, target] + np.take_along_axis(correction, target, 1)
+            factors *= begins_word
+            starts = np.log(np.einsum("nc,nc->n", z[:, 0], factors) + np.float32(1e-30))
             ended[part] = starts - total[:, 0]
             total[:, 0] = starts
             by_word[part] = (chosen - total).sum(1, dtype=np.float64)
@@ -375,61 +431,64 @@ class Attention:
     def _attend(self, x: np.ndarray, out: np.ndarray, begins: np.ndarray, first: int, last: int, step: int) -> None:
         """What the places from first to last of windows attend to; places past a text's end are written by their own windows later or not used."""
         w, places = self.w, np.arange(last)
-        mask, q, k, v = _MASK[first:last, :last], w["q"] * self.scale, w["k"], w["v"]
+        both = (w["q"] * self.scale) @ w["k"].T
         for i in range(0, len(begins), step):
             at = begins[i : i + step, None] + places
             np.minimum(at, len(x) - 1, out=at)
-            own = x[at]
+            own = x.take(at, 0)
             own += w["p"][:last]
-            flat = own.reshape(-1, WIDTH)
-            s = np.matmul((own[:, first:].reshape(-1, WIDTH) @ q).reshape(len(at), -1, WIDTH), (flat @ k).reshape(own.shape).swapaxes(1, 2))
-            s += mask
-            s -= s.max(2, keepdims=True)
-            np.exp(s, out=s)
-            s /= s.sum(2, keepdims=True)
-            h = np.matmul(s, (flat @ v).reshape(own.shape))
-            h += own[:, first:]
-            out[at[:, first:]] = h
+            late = own[:, first:]
+            s = np.matmul((late.reshape(-1, WIDTH) @ both).reshape(late.shape), own.swapaxes(1, 2))
+            sums = exponentials(s, first)
+            h = np.matmul(s, own).reshape(-1, WIDTH)
+            h /= sums.reshape(-1, 1)
+            out[at[:, first:]] = (h @ w["v"]).reshape(late.shape) + late
 
     def gradient(self, batch: Batch, words: np.ndarray, kept: np.ndarray) -> np.ndarray:
         """Of the mean negative log probability of the classes of all ids of the kept words of windows; both of shape (windows, LENGTH)."""
-        w = self.w
-        flat_words = words[kept]
-        own = self.embedded(batch, flat_words - 1)
-        x = np.zeros((*words.shape, WIDTH), own.dtype)
-        x[kept] = own
+        w, at = self.w, np.flatnonzero(kept)
+        flat_words = words.ravel().take(at)
+        sizes = batch.sizes.take(flat_words - 1)
+        rows = batch.inputs.take(ranges(batch.begin.take(flat_words - 1), sizes))
+        own = self.means(rows, sizes)
+        flat = np.zeros((kept.size, WIDTH), own.dtype)
+        flat[at] = own
+        x = flat.reshape(*words.shape, WIDTH)
         x += w["p"]
-        flat = x.reshape(-1, WIDTH)
-        shaped = lambda a: a.reshape(x.shape)
-        q, k, v = shaped(flat @ (w["q"] * self.scale)), shaped(flat @ w["k"]), shaped(flat @ w["v"])
-        a = q @ k.swapaxes(1, 2)
-        a += _MASK
-        a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        h = a @ v
-        h += x
-        h = h[kept]
-        raw = h @ w["o"] + w["b"]
-        by_word = self._class_errors(batch, flat_words, np.clip(raw, -_FAR, _FAR))
-        by_word[np.abs(raw) > _FAR] = 0
-        g = {"b": by_word.sum(0), "o": h.T @ by_word}
-        dh = np.zeros_like(x)
-        dh[kept] = by_word @ w["o"].T
-        da = dh @ v.swapaxes(1, 2)
-        dv = a.swapaxes(1, 2) @ dh
-        da -= (da * a).sum(2, keepdims=True)
+        q = w["q"] * self.scale
+        both = q @ w["k"].T
+        a = np.matmul((flat @ both).reshape(x.shape), x.swapaxes(1, 2))
+        a /= exponentials(a)[:, :, None]
+        seen = np.matmul(a, x).reshape(-1, WIDTH).take(at, 0)
+        h = flat.take(at, 0)
+        h += seen @ w["v"]
+        raw = h @ w["o"]
+        raw += w["b"]
+        if self.reaches_far(h):
+            by_word = self._class_errors(batch, flat_words, np.clip(raw, -_FAR, _FAR))
+            by_word[np.abs(raw) > _FAR] = 0
+        else:
+            by_word = self._class_errors(batch, flat_words, raw)
+        g = {"b": np.ones(len(at), own.dtype) @ by_word, "o": h.T @ by_word}
+        dh = by_word @ w["o"].T
+        dseen = dh @ w["v"].T
+        g["v"] = seen.T @ dh
+        du, level = np.zeros_like(x), np.zeros(kept.size, own.dtype)
+        du.reshape(-1, WIDTH)[at] = dseen
+        level[at] = np.einsum("nd,nd->n", dseen, seen)  # the mean of each place's da by its weights
+        da = np.matmul(du, x.swapaxes(1, 2))
+        da -= level.reshape(*kept.shape, 1)
         da *= a
-        dq, dk = (da @ k).reshape(-1, WIDTH), (da.swapaxes(1, 2) @ q).reshape(-1, WIDTH)
-        dq *= self.scale
-        dv = dv.reshape(-1, WIDTH)
-        g |= {"q": flat.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv}
-        dx = dh.reshape(-1, WIDTH) + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        g["p"] = shaped(dx).sum(0)
-        sizes = batch.sizes[flat_words - 1]
-        by_id = np.repeat(dx[kept.reshape(-1)] / sizes[:, None].astype(dx.dtype), sizes, axis=0)
-        rows = batch.inputs[ranges(batch.begin[flat_words - 1], sizes)]
-        g["e"] = np.stack([np.bincount(rows, by_id[:, i], len(w["e"])) for i in range(WIDTH)], 1)
+        left, right = np.matmul(da, x).reshape(-1, WIDTH), np.matmul(da.swapaxes(1, 2), x).reshape(-1, WIDTH)
+        dboth = flat.T @ left
+        g |= {"q": dboth @ w["k"] * self.scale, "k": dboth.T @ q}
+        dx = np.matmul(a.swapaxes(1, 2), du).reshape(-1, WIDTH)
+        dx += left @ both.T
+        dx += right @ both
+        dx[at] += dh
+        g["p"] = dx.reshape(x.shape).sum(0)
+        by_id = (dx.take(at, 0) / sizes[:, None].astype(dx.dtype)).T.astype(np.float64).repeat(sizes, axis=1)
+        g["e"] = np.stack([np.bincount(rows, column, len(w["e"])) for column in by_id], 1).astype(dx.dtype)
         return np.concatenate([g[n].ravel() for n in SHAPES])
 
     def _class_errors(self, batch: Batch, words: np.ndarray, corrections: np.ndarray) -> np.ndarray:
@@ -438,13 +497,15 @@ class Attention:
         share = out.dtype.type(1 / batch.sizes[words].sum())
         odds, n_classes = self.tables.odds, corrections.shape[1]
         for part, rows in batch.by_size(words):
-            factors = np.exp(corrections[part])
-            z = odds.take(batch.before[rows], 0)
+            factors = corrections.take(part, 0)
+            np.exp(factors, out=factors)
+            z = odds.take(batch.before.take(rows), 0)
             total = np.einsum("nsc,nc->ns", z, factors)
-            errors = np.einsum("nsc,ns->nc", z, share / total)
+            errors = np.ascontiguousarray(np.einsum("nsc,ns->nc", z, share / total))
             errors *= factors
-            met = np.bincount((np.arange(len(part))[:, None] * n_classes + batch.target[rows]).ravel(), minlength=errors.size)
-            errors -= share * met.reshape(errors.shape).astype(errors.dtype)
+            met, flat = batch.target.take(rows).T + np.arange(len(part)) * n_classes, errors.ravel()
+            for column in met:  # an id of each word, so that no place is met twice
+                flat[column] -= share
             out[part] = errors
         return out
 
@@ -631,26 +692,35 @@ def train_weights(train: DataFrame, classes: Classes, tables: Tables, path: str,
     return flat
 
 
-def word_key(word: bytes) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_digest(word)
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """128 bits of each word, as two integers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">i8").reshape(-1, 2).astype(np.int64)
+
+
+def groups(lengths: np.ndarray, most: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each group, first group of each text): texts of so many words, one after the other, in groups of `most` words."""
+    n = -(-lengths // most)
+    first = np.cumsum(n) - n
+    return np.repeat(np.cumsum(lengths) - lengths - first * most, n) + np.arange(int(n.sum())) * most, first
+
+
+def logs(values: np.ndarray, grouped: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums by text of log10 of values from 1e-18 to 1e18: a logarithm for each group's product, which is exact to some 16 roundings."""
+    return np.add.reduceat(np.log10(np.multiply.reduceat(values, grouped[0])), grouped[1])
 
 
-def mixed(weights: list[float], count: np.ndarray, total: float, subword: np.ndarray) -> Iterator[np.ndarray]:
-    """For each weight, log10 of a word's probability, from its count, that of all words and the log10 of its ids' probability."""
-    met = count > 0
-    share = (count / max(total, 1)).astype(np.float32)
-    with np.errstate(under="ignore"):
-        of_ids = np.power(np.float32(10), subword.astype(np.float32))
-    for w in weights:
-        with np.errstate(divide="ignore"):
-            seen = np.log10(np.float32(1 - w) * share + np.float32(w) * of_ids)
-        yield np.where(met, seen, math.log10(w) + subword)
+def mixed(weights: list[float], count: np.ndarray, total: float, subword: np.ndarray, of_ids: np.ndarray, grouped: tuple[np.ndarray, np.ndarray], text_words: np.ndarray) -> np.ndarray:
+    """For each text and weight, the sum of log10 of its words' probabilities, from their counts, that of all words and their ids' probabilities and log10 of these; words of a count below 0 add nothing."""
+    unmet = count == 0
+    left = np.add.reduceat(np.where(unmet, subword, 0), text_words)
+    number = np.add.reduceat(unmet.astype(np.int64), text_words)
+    share, kept = count / max(total, 1), count > 0
+    return np.stack([logs(np.where(kept, (1 - w) * share + w * of_ids, 1.0), grouped) + number * math.log10(w) + left for w in weights], 1)
 
 
-def mixture(weight: float, count: Column, total: float, subword: Column) -> Column:
-    """mixed() of columns."""
-    seen = F.log10(F.lit((1 - weight) / max(total, 1)) * count + F.lit(weight) * F.pow(F.lit(10.0), subword))
+def mixture(weight: float, count: Column, total: float, subword: Column, of_ids: Column) -> Column:
+    """log10 of a word's probability, as in mixed(), of columns."""
+    seen = F.log10(F.lit((1 - weight) / max(total, 1)) * count + F.lit(weight) * of_ids)
     return F.when(count > 0, seen).otherwise(F.lit(float(np.log10(weight))) + subword)
 
 
@@ -683,24 +753,25 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
     def run(batches: Batches) -> Batches:
         cls, tab, trained, head = held.value
         vocab, model = vocabulary(path), Attention(trained, tab)
-        vocab.attach(head, tab, run_key)
+        vocab.attach(head, model, run_key)
         for batch in batches:
             texts = words_of(as_bytes(batch.column(1)))
             learns = batch.column(2).to_numpy(zero_copy_only=False)
             known, base, tail_sizes, tails, scores, left_out = [], [], [], [], [], []
             for i in range(0, len(texts), 64):
                 b = Batch(texts[i : i + 64], vocab, cls)
-                places, text_words = b.places[1:], b.text_words - 1
-                by_word = (model.score(b)[1:] + vocab.inside.data[places]) * _LOG10
+                places, text_words, grouped = b.places[1:], b.text_words - 1, groups(b.lengths)
+                by_word = model.score(b, vectors=vocab.vectors(b.places[:-1]))[1:] + vocab.inside.data[places]
+                of_ids = np.exp(by_word.astype(np.float32)).astype(np.float64)
+                by_word *= _LOG10
                 counts = vocab.count.data[places]
                 counts[places == 0] = ends
                 head_word = counts >= 0
-                of = np.maximum(counts, 0)
                 known += np.add.reduceat((counts > 0).astype(np.int64), text_words).tolist()
-                base += np.add.reduceat(np.where(head_word, np.log10(of + 1) - denominator, 0), text_words).tolist()
-                summed = lambda count, total, rows=text_words, sub=by_word, kept=head_word: np.stack([np.add.reduceat(np.where(kept, m, 0), rows) for m in mixed(weights, count, total, sub)], 1)
-                scores += summed(of, tokens).tolist()
-                left_out += (summed(np.maximum(of - 1, 0), tokens - 1) * learns[i : i + 64, None]).tolist()
+                base += (logs(np.where(head_word, counts + 1.0, 1.0), grouped) - denominator * np.add.reduceat(head_word.astype(np.int64), text_words)).tolist()
+                scores += mixed(weights, counts, tokens, by_word, of_ids, grouped, text_words).tolist()
+                others = np.where(counts > 0, counts - 1, counts)
+                left_out += (mixed(weights, others, tokens - 1, by_word, of_ids, grouped, text_words) * learns[i : i + 64, None]).tolist()
                 tail_sizes.append(np.add.reduceat((~head_word).astype(np.int32), text_words))
                 rare = places[~head_word]
                 tails.append((vocab.key_a.data[rare], vocab.key_b.data[rare], by_word[~head_word]))
@@ -711,18 +782,21 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
 
     fields = "n_tokens long, known long, base double, tail array<struct<a:long,b:long,p:double>>, scores array<double>, left_out array<double>, learns boolean"
     scored = checkpoint(judged.mapInArrow(run, T.StructType([source_field, *T._parse_datatype_string(fields).fields])).withColumn("_row", F.monotonically_increasing_id()))
-    tail = scored.select("_row", F.explode("tail").alias("t")).select("_row", "t.*")
+    tail = scored.select("_row", "learns", F.explode("tail").alias("t")).select("_row", "learns", "t.*")
     rare = words.where(F.col("count") < least).mapInArrow(_keys, "a long, b long, count long")
-    c = F.coalesce("count", F.lit(0))
-    likelihood = np.zeros(len(weights))
+    # One join serves the choice of the weight and the scores under each.
+    met = tail.join(rare, ["a", "b"], "left").select("_row", "learns", "p", F.coalesce("count", F.lit(0)).alias("c"), F.pow(F.lit(10.0), F.col("p")).alias("of_ids"))
+    c, p, of_ids = F.col("c"), F.col("p"), F.col("of_ids")
+    by_weight = [F.sum(mixture(w, c, tokens, p, of_ids)).alias(f"score{k}") for k, w in enumerate(weights)]
+    by_weight += [F.sum(F.when(F.col("learns"), mixture(w, F.greatest(c - 1, F.lit(0)), tokens - 1, p, of_ids))).alias(f"left{k}") for k, w in enumerate(weights)]
+    of_tail = checkpoint(met.groupBy("_row").agg(F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(F.log10(c + 1) - F.lit(denominator)).alias("tail_base"), *by_weight))
+    best = len(weights) - 1
     if tokens:
         by_head = scored.where("learns").agg(*(F.sum(F.col("left_out")[k]) for k in range(len(weights)))).first()
-        learnt = scored.where("learns").select(F.explode("tail").alias("t")).select("t.*").join(rare, ["a", "b"], "left")
-        by_tail = learnt.agg(*(F.sum(mixture(w, F.greatest(c - 1, F.lit(0)), tokens - 1, F.col("p"))) for w in weights)).first()
-        likelihood = np.array([(h or 0.0) + (t or 0.0) for h, t in zip(by_head, by_tail, strict=True)])
-    best = int(np.argmax(likelihood)) if tokens else len(weights) - 1
+        by_tail = of_tail.agg(*(F.sum(f"left{k}") for k in range(len(weights)))).first()
+        best = int(np.argmax([(h or 0.0) + (t or 0.0) for h, t in zip(by_head, by_tail, strict=True)]))
     weight = weights[best]
-    of_tail = tail.join(rare, ["a", "b"], "left").groupBy("_row").agg(F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(F.log10(c + 1) - F.lit(denominator)).alias("tail_base"), F.sum(mixture(weight, c, tokens, F.col("p"))).alias("tail_score"))
+    of_tail = of_tail.select("_row", "tail_known", "tail_base", F.col(f"score{best}").alias("tail_score"))
     out = scored.withColumn("score", F.col("scores")[best]).drop("tail").join(of_tail, "_row", "left")
     whole_of = lambda column, of_tail: F.col(column) + F.coalesce(of_tail, F.lit(0).cast(out.schema[column].dataType))
     return out.select("doc_id", "n_tokens", whole_of("known", "tail_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), whole_of("base", "tail_base").alias("base_score"), whole_of("score", "tail_score").alias("score"), F.lit(weight).alias("weight"))
@@ -731,5 +805,5 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
 def _keys(batches: Batches) -> Batches:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("count", pa.int64())])
     for batch in batches:
-        keys = [word_key(w) for w in batch.column(0).to_pylist()]
-        yield record_batch(schema, [[k[0] for k in keys], [k[1] for k in keys], batch.column(1)])
+        keys = word_keys(batch.column(0).to_pylist())
+        yield record_batch(schema, [keys[:, 0], keys[:, 1], batch.column(1)])
