@@ -25,12 +25,13 @@ from __future__ import annotations
 import functools
 import math
 import uuid
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ class Growing:
         self.n = need
 
 
-class Vocabulary(dict):
+class Vocabulary(defaultdict):
     """word (bytes) -> place in arrays of its ids and, where they are attached, of its count and more. Place 0 is the end."""
 
     LIMIT = 700_000
@@ -90,11 +91,11 @@ class Vocabulary(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.words, self.done = [], 0
+        self.default_factory, self.done = count().__next__, 0
         self.ids, self.first, self.length = Growing(np.int32), Growing(np.int64), Growing(np.int32)
         self._detach()
         self[END]
-        self._add(np.array([self.end]), np.array([1]))
+        self._add([END], np.array([self.end]), np.array([1]))
 
     def _detach(self) -> None:
         self.count, self.key_a, self.key_b, self.inside = Growing(np.int64), Growing(np.int64), Growing(np.int64), Growing(np.float64)
@@ -105,32 +106,26 @@ class Vocabulary(dict):
         if self.attached != key:
             self.counts, self.model, self.attached = counts, model, key
             self._detach()
+            words = list(self)
             for at in range(0, self.done, 50_000):
-                self._tell(np.arange(at, min(at + 50_000, self.done)))
+                self._tell(at, words[at : min(at + 50_000, self.done)])
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.words)
-        self.words.append(word)
-        return at
-
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """The ids of the words from `done` on."""
         self.first.extend(self.ids.n + np.cumsum(sizes) - sizes)
         self.length.extend(sizes)
         self.ids.extend(ids)
-        places = np.arange(self.done, self.done + len(sizes))
         self.done += len(sizes)
         if self.attached:
-            self._tell(places)
+            self._tell(self.done - len(sizes), words)
 
-    def _tell(self, places: np.ndarray) -> None:
-        ids, sizes = self.spelt(places)
+    def _tell(self, first: int, words: list[bytes]) -> None:
+        ids, sizes = self.spelt(np.arange(first, first + len(words)))
         begin, inputs = np.cumsum(sizes) - sizes, self.model.tables.classes.inputs[ids]
         before = np.concatenate([[START], inputs[:-1]])
         before[begin] = START
         self.inside.extend(np.add.reduceat(self.model.tables.in_class(before, ids).astype(np.float64), begin))
         self.flat.extend(self.model.means(inputs, sizes).ravel())
-        words = self.words[places[0] : places[-1] + 1]
         counts = np.array([self.counts.get(w, -1) for w in words], np.int64)
         keys = np.zeros((len(words), 2), np.int64)
         rare = np.flatnonzero(counts < 0)
@@ -168,9 +163,9 @@ class Vocabulary(dict):
 
     def places(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        new = self.words[self.done :]
-        if new:
-            self._add(*self.spell(new))
+        if len(self) > self.done:
+            new = [*islice(reversed(self), len(self) - self.done)][::-1]
+            self._add(new, *self.spell(new))
         return out
 
     def spelt(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,9 +288,11 @@ class Tables:
         out = self.inside[self.classes.class_of[before], ids] + self.unmet[before, self.classes.of[ids]]
         if len(self.key):
             key = before.astype(np.int64) * self.size + ids
+            order = np.argsort(key)  # in order they are found near each other
+            key = key[order]
             at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             found = self.key[at] == key
-            out[found] = self.met[at[found]]
+            out[order[found]] = self.met[at[found]]
         return out
 
 
@@ -541,22 +538,29 @@ class Trainer:
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, count) over all texts, the end of each included; summed in each task before the shuffle."""
 
+    schema = pa.schema([("word", pa.binary()), ("count", pa.int64())])
+
     def run(batches: Batches) -> Batches:
-        schema = pa.schema([("word", pa.binary()), ("count", pa.int64())])
-        counts: Counter[bytes] = Counter()
+        held: list[pa.RecordBatch] = []
+        ends = 0
 
-        def rows() -> pa.RecordBatch:
-            out = record_batch(schema, [list(counts), list(counts.values())])
-            counts.clear()
-            return out
+        def total() -> list[pa.RecordBatch]:
+            table = pa.Table.from_batches(held, schema).group_by("word", use_threads=False).aggregate([("count", "sum")])
+            return table.rename_columns({"count_sum": "count"}).select(["word", "count"]).cast(schema).to_batches()
 
         for batch in batches:
-            for words in words_of(as_bytes(batch.column(1))):
-                counts.update(words)
-            counts[END] += batch.num_rows
-            if len(counts) > 500_000:
-                yield rows()
-        yield rows()
+            counted = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(1).cast(pa.string()))).flatten().value_counts()
+            words, counts = counted.field(0).cast(pa.binary()), counted.field(1)
+            some = pc.not_equal(pc.binary_length(words), 0)  # empty ones stand at the ends of texts
+            held.append(record_batch(schema, [words.filter(some), counts.filter(some)]))
+            ends += batch.num_rows
+            if sum(x.num_rows for x in held) > 1_000_000:
+                held = total()
+                if sum(x.num_rows for x in held) > 500_000:
+                    yield from held
+                    held = []
+        held.append(record_batch(schema, [[END], [ends]]))
+        yield from total()
 
     return train.mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -785,7 +789,7 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
     tail = scored.select("_row", "learns", F.explode("tail").alias("t")).select("_row", "learns", "t.*")
     rare = words.where(F.col("count") < least).mapInArrow(_keys, "a long, b long, count long")
     # One join serves the choice of the weight and the scores under each.
-    met = tail.join(rare, ["a", "b"], "left").select("_row", "learns", "p", F.coalesce("count", F.lit(0)).alias("c"), F.pow(F.lit(10.0), F.col("p")).alias("of_ids"))
+    met = tail.join(rare.hint("shuffle_hash"), ["a", "b"], "left").select("_row", "learns", "p", F.coalesce("count", F.lit(0)).alias("c"), F.pow(F.lit(10.0), F.col("p")).alias("of_ids"))
     c, p, of_ids = F.col("c"), F.col("p"), F.col("of_ids")
     by_weight = [F.sum(mixture(w, c, tokens, p, of_ids)).alias(f"score{k}") for k, w in enumerate(weights)]
     by_weight += [F.sum(F.when(F.col("learns"), mixture(w, F.greatest(c - 1, F.lit(0)), tokens - 1, p, of_ids))).alias(f"left{k}") for k, w in enumerate(weights)]

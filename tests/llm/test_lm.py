@@ -136,6 +136,56 @@ def test_words_are_spelt_alike_alone_and_together():
         assert ids.tolist() == vocab.coder.encode_ordinary(" " + w.decode())
 
 
+def test_words_go_to_the_coder_together():
+    vocab, calls = lm.Vocabulary(PATH), []
+
+    class Counted:
+        def __init__(self, coder):
+            self.coder = coder
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.coder, name)
+
+    vocab.coder = Counted(vocab.coder)
+    words = [f"{a}{i}".encode() for i in range(300) for a in ("w", "é", "日")]
+    vocab.places(words)
+    assert len(calls) <= 2
+    # Words with white space of another kind go alone, and the others keep their places.
+    ids, sizes = vocab.spell([b"a", "é\u00a0b".encode(), "日".encode(), "\u2003".encode(), b"c"])
+    each = [vocab.coder.encode_ordinary(" " + w) for w in ("a", "é\u00a0b", "日", "\u2003", "c")]
+    assert ids.tolist() == sum(each, []) and sizes.tolist() == [len(e) for e in each]
+
+
+def test_sums_of_rows_and_of_logarithms_by_text():
+    rng = np.random.default_rng(2)
+    for most in (1, 2, 11, 12, 13, 14, 60):
+        sizes = rng.integers(1, most + 1, 50)
+        rows = rng.standard_normal((sizes.sum(), 3))
+        want = [part.sum(0) for part in np.split(rows, np.cumsum(sizes)[:-1])]
+        assert np.allclose(lm.summed(rows, sizes), want)
+    lengths = np.array([1, 15, 16, 17, 400])
+    for values in (np.full(449, 1e-18), np.full(449, 1e18), 10 ** rng.uniform(-18, 18, 449)):
+        want = [np.log10(part).sum() for part in np.split(values, np.cumsum(lengths)[:-1])]
+        assert np.allclose(lm.logs(values, lm.groups(lengths)), want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("scale", [1, 50, 5000])
+@pytest.mark.parametrize("first", [0, 8])
+def test_attention_weights_near_and_far(scale, first):
+    s = scale * np.random.default_rng(scale).standard_normal((5, lm.LENGTH - first, lm.LENGTH))
+    want = np.exp(s + lm._MASK[first:] - (s + lm._MASK[first:]).max(2, keepdims=True))
+    sums = lm.exponentials(s, first)
+    assert np.allclose(s / sums[:, :, None], want / want.sum(2, keepdims=True), atol=1e-12)
+
+
+def test_word_counts_against_a_counter(frame):
+    docs = ["", None, " a  b\x0b\x0cA ", "É é\u00a0é x\x1cy\x85 z", "b\r\nB\tb"] * 3
+    want = Counter(w for t in docs for w in [*(t or "").encode().lower().split(), b"\n"])
+    rows = lm.word_counts(lm.documents(frame(docs))).collect()
+    assert {bytes(r.word): r["count"] for r in rows} == want and len(rows) == len(want)
+
+
 def test_each_word_is_scored_once_with_enough_context():
     for t in [*range(1, 120), 1000]:
         text, begin, first = lm.windows(np.array([t, 3]))
