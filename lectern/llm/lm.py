@@ -484,8 +484,9 @@ class Attention:
         dx += right @ both
         dx[at] += dh
         g["p"] = dx.reshape(x.shape).sum(0)
-        by_id = (dx.take(at, 0) / sizes[:, None].astype(dx.dtype)).T.astype(np.float64).repeat(sizes, axis=1)
-        g["e"] = np.stack([np.bincount(rows, column, len(w["e"])) for column in by_id], 1).astype(dx.dtype)
+        by_id = (dx.take(at, 0) / sizes[:, None].astype(dx.dtype)).repeat(sizes, axis=0)
+        g["e"] = np.zeros(w["e"].shape, dx.dtype)
+        np.add.at(g["e"].ravel(), (rows[:, None] * WIDTH + np.arange(WIDTH)).ravel(), by_id.ravel())
         return np.concatenate([g[n].ravel() for n in SHAPES])
 
     def _class_errors(self, batch: Batch, words: np.ndarray, corrections: np.ndarray) -> np.ndarray:
@@ -565,19 +566,36 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def larger(batches: Batches, rows: int = 100_000) -> Batches:
+    """The rows of batches of words or ids, which are small, in batches of about so many rows."""
+    held, n = [], 0
+    for batch in chain(batches, (None,)):
+        if batch is not None:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows or batch is None and n:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+
+
+def added(schema: pa.Schema, columns: list) -> pa.RecordBatch:
+    """Rows with the sums of the last column, one for each of the other columns' values."""
+    batch, (*names, value) = record_batch(schema, columns), schema.names
+    table = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([(value, "sum")])
+    return record_batch(schema, [*(table[n].combine_chunks() for n in names), table[f"{value}_sum"].combine_chunks()])
+
+
 def _spelt_words(batches: Batches, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, number of ids of each word, count of each word) of batches of counted words."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            part = batch.slice(at, 20_000)
-            words = part.column(0).to_pylist()
-            counts = part.column(1).to_numpy().astype(np.float64)
-            if END in words:
-                end = words.index(END)
-                yield np.array([vocab.end], np.int32), np.array([1]), counts[end : end + 1]
-                words, counts = words[:end] + words[end + 1 :], np.delete(counts, end)
-            if words:
-                yield *vocab.spell(words), counts
+    for batch in larger(batches):
+        words = batch.column(0).to_pylist()
+        counts = batch.column(1).to_numpy().astype(np.float64)
+        if END in words:
+            end = words.index(END)
+            yield np.array([vocab.end], np.int32), np.array([1]), counts[end : end + 1]
+            words, counts = words[:end] + words[end + 1 :], np.delete(counts, end)
+        if words:
+            yield *vocab.spell(words), counts
 
 
 def at_least(counted: DataFrame, most: int) -> int:
@@ -621,28 +639,25 @@ def make_tables(words: DataFrame, classes: Classes, path: str, most_pairs: int =
 
     def run(batches: Batches) -> Batches:
         vocab, cls = vocabulary(path), held.value
-        n = len(cls.of) + 1
         for ids, sizes, counts in _spelt_words(batches, vocab):
             last = np.cumsum(sizes) - 1
             inputs = cls.inputs[ids]
             previous = np.concatenate([[START], inputs[:-1]])
             previous[last - sizes + 1] = START
-            key = np.concatenate([previous.astype(np.int64) * n + ids, inputs[last].astype(np.int64) * n + (n - 1)])
-            key, at = np.unique(key, return_inverse=True)
-            ids = key % n
-            yield record_batch(pa.schema([("previous", pa.int32()), ("id", pa.int32()), ("count", pa.float64())]), [(key // n).astype(np.int32), np.where(ids == n - 1, ended, ids).astype(np.int32), np.bincount(at, np.concatenate([np.repeat(counts, sizes), counts]))])
+            both = [np.concatenate([previous, inputs[last]]), np.concatenate([ids, np.full(len(last), ended)])]
+            yield added(pa.schema([("previous", pa.int32()), ("id", pa.int32()), ("count", pa.float64())]), [*(x.astype(np.int32) for x in both), np.concatenate([np.repeat(counts, sizes), counts])])
 
     pairs = checkpoint(words.mapInArrow(run, "previous int, id int, count double").groupBy("previous", "id").agg(F.sum("count").alias("count")))
 
     def by_classes(batches: Batches) -> Batches:
         cls, schema = held.value, pa.schema([("row", pa.int32()), ("column", pa.int32()), ("count", pa.float64())])
-        for batch in batches:
+        for batch in larger(batches):
             previous, ids, counts = (batch.column(i).to_numpy() for i in range(3))
             inside = ids != ended
             # Rows below 0: after the class of an input, by id; others: after an input, by class.
             rows = np.concatenate([-1 - cls.class_of[previous[inside]], previous])
             columns = np.concatenate([ids[inside], np.where(inside, cls.of[ids], ended)])
-            yield record_batch(schema, [rows.astype(np.int32), columns.astype(np.int32), np.concatenate([counts[inside], counts])])
+            yield added(schema, [rows.astype(np.int32), columns.astype(np.int32), np.concatenate([counts[inside], counts])])
 
     summed = pairs.mapInArrow(by_classes, "row int, column int, count double").groupBy("row", "column").agg(F.sum("count").alias("count")).toArrow()
     row, column, count = (summed[c].to_numpy() for c in ("row", "column", "count"))
@@ -808,6 +823,6 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
 
 def _keys(batches: Batches) -> Batches:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("count", pa.int64())])
-    for batch in batches:
+    for batch in larger(batches, 20_000):
         keys = word_keys(batch.column(0).to_pylist())
         yield record_batch(schema, [keys[:, 0], keys[:, 1], batch.column(1)])
