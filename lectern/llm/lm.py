@@ -82,6 +82,8 @@ class Vocabulary(defaultdict):
 
         ranks = read_ranks(path)
         self.coder = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # Between words with one blank each there is no run of white space to look ahead in, and without looking ahead the library is faster.
+        self.joined = tiktoken.Encoding("joined", pat_str=public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})
         self.size = self.coder.n_vocab
         self.end = self.size  # an id of our own: the text's end, and what comes before its first id
         self.begins_word = np.zeros(self.size + 1, bool)
@@ -140,16 +142,16 @@ class Vocabulary(defaultdict):
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) of words that need not be known."""
         # No match of the pattern goes from one word into the blank before the next, so that words without white space of another kind go through at once.
-        alone = [i for i, w in enumerate(words) if not w.isascii() and len(w.decode("utf-8", "replace").split()) != 1]
+        alone = [i for i, w in enumerate(words) if not w.isascii() and (text := w.decode("utf-8", "replace")).split() != [text]]
         apart = set(alone)
         at_once = [w for i, w in enumerate(words) if i not in apart] if alone else words
-        ids = self._encode(b" ".join(at_once)) if at_once else np.empty(0, np.int32)
+        ids = self._encode(self.joined, b" ".join(at_once)) if at_once else np.empty(0, np.int32)
         begin = np.flatnonzero(self.begins_word[ids])
         if len(begin) != len(at_once):
             alone, at_once, ids, begin = range(len(words)), [], ids[:0], begin[:0]
         if not alone:
             return ids, np.diff(begin, append=len(ids))
-        each = [self._encode(words[i]) for i in alone]
+        each = [self._encode(self.coder, words[i]) for i in alone]
         which = np.ones(len(words), bool)
         which[alone] = False
         order = np.concatenate([np.flatnonzero(which), np.array(alone)])
@@ -158,8 +160,8 @@ class Vocabulary(defaultdict):
         first[order], sizes[order] = np.cumsum(some) - some, some
         return np.concatenate([ids, *each])[ranges(first, sizes)], sizes
 
-    def _encode(self, words: bytes) -> np.ndarray:
-        return self.coder.encode_to_numpy(" " + words.decode("utf-8", "replace"), disallowed_special=()).astype(np.int32)
+    def _encode(self, coder, words: bytes) -> np.ndarray:
+        return coder.encode_to_numpy(" " + words.decode("utf-8", "replace"), disallowed_special=()).astype(np.int32)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -459,15 +461,19 @@ class Attention:
         seen = np.matmul(a, x).reshape(-1, WIDTH).take(at, 0)
         h = flat.take(at, 0)
         h += seen @ w["v"]
-        raw = h @ w["o"]
+        order = by_length(batch.sizes.take(flat_words))  # words of one size stand together
+        sorted_h = h.take(order, 0)
+        raw = sorted_h @ w["o"]
         raw += w["b"]
-        if self.reaches_far(h):
-            by_word = self._class_errors(batch, flat_words, np.clip(raw, -_FAR, _FAR))
-            by_word[np.abs(raw) > _FAR] = 0
-        else:
-            by_word = self._class_errors(batch, flat_words, raw)
-        g = {"b": np.ones(len(at), own.dtype) @ by_word, "o": h.T @ by_word}
-        dh = by_word @ w["o"].T
+        beyond = np.abs(raw) > _FAR if self.reaches_far(h) else None
+        if beyond is not None:
+            np.clip(raw, -_FAR, _FAR, out=raw)
+        by_word = self._class_errors(batch, flat_words.take(order), raw)
+        if beyond is not None:
+            by_word[beyond] = 0
+        g = {"b": np.ones(len(at), own.dtype) @ by_word, "o": sorted_h.T @ by_word}
+        dh = np.empty_like(h)
+        dh[order] = by_word @ w["o"].T
         dseen = dh @ w["v"].T
         g["v"] = seen.T @ dh
         du, level = np.zeros_like(x), np.zeros(kept.size, own.dtype)
@@ -490,21 +496,19 @@ class Attention:
         return np.concatenate([g[n].ravel() for n in SHAPES])
 
     def _class_errors(self, batch: Batch, words: np.ndarray, corrections: np.ndarray) -> np.ndarray:
-        """The gradient of the mean loss by each word's corrections."""
-        out = np.empty_like(corrections)
+        """The gradient of the mean loss by each word's corrections, which it changes; words come by their sizes."""
+        out, factors = np.empty_like(corrections), np.exp(corrections, out=corrections)
         share = out.dtype.type(1 / batch.sizes[words].sum())
         odds, n_classes = self.tables.odds, corrections.shape[1]
         for part, rows in batch.by_size(words):
-            factors = corrections.take(part, 0)
-            np.exp(factors, out=factors)
+            here = slice(int(part[0]), int(part[-1]) + 1)
             z = odds.take(batch.before.take(rows), 0)
-            total = np.einsum("nsc,nc->ns", z, factors)
-            errors = np.ascontiguousarray(np.einsum("nsc,ns->nc", z, share / total))
-            errors *= factors
-            met, flat = batch.target.take(rows).T + np.arange(len(part)) * n_classes, errors.ravel()
+            total = np.einsum("nsc,nc->ns", z, factors[here])
+            errors = np.einsum("nsc,ns->nc", z, share / total, out=out[here])
+            errors *= factors[here]
+            met, flat = batch.target.take(rows).T + np.arange(len(part)) * n_classes, errors.reshape(-1)
             for column in met:  # an id of each word, so that no place is met twice
                 flat[column] -= share
-            out[part] = errors
         return out
 
 

@@ -147,13 +147,14 @@ def test_words_go_to_the_coder_together():
             calls.append(name)
             return getattr(self.coder, name)
 
-    vocab.coder = Counted(vocab.coder)
+    vocab.coder, vocab.joined = Counted(vocab.coder), Counted(vocab.joined)
     words = [f"{a}{i}".encode() for i in range(300) for a in ("w", "é", "日")]
     vocab.places(words)
     assert len(calls) <= 2
     # Words with white space of another kind go alone, and the others keep their places.
-    ids, sizes = vocab.spell([b"a", "é\u00a0b".encode(), "日".encode(), "\u2003".encode(), b"c"])
-    each = [vocab.coder.encode_ordinary(" " + w) for w in ("a", "é\u00a0b", "日", "\u2003", "c")]
+    odd = ["a", "é\u00a0b", "日", "\u2003", "\u00a0é", "é\u2003\u2003", "c"]
+    ids, sizes = vocab.spell([w.encode() for w in odd])
+    each = [vocab.coder.encode_ordinary(" " + w) for w in odd]
     assert ids.tolist() == sum(each, []) and sizes.tolist() == [len(e) for e in each]
 
 
