@@ -807,19 +807,16 @@ def score(docs: DataFrame, learn_from: Column, path: str, *, rounds: int = ROUND
     scored = checkpoint(judged.mapInArrow(run, T.StructType([source_field, *T._parse_datatype_string(fields).fields])).withColumn("_row", F.monotonically_increasing_id()))
     tail = scored.select("_row", "learns", F.explode("tail").alias("t")).select("_row", "learns", "t.*")
     rare = words.where(F.col("count") < least).mapInArrow(_keys, "a long, b long, count long")
-    # One join serves the choice of the weight and the scores under each.
-    met = tail.join(rare.hint("shuffle_hash"), ["a", "b"], "left").select("_row", "learns", "p", F.coalesce("count", F.lit(0)).alias("c"), F.pow(F.lit(10.0), F.col("p")).alias("of_ids"))
+    # The weight is chosen from sums over all rows; sums by row under every weight would be many times larger than the scores.
+    met = lambda df: df.join(rare.hint("shuffle_hash"), ["a", "b"], "left").withColumns({"c": F.coalesce("count", F.lit(0)), "of_ids": F.pow(F.lit(10.0), F.col("p"))})
     c, p, of_ids = F.col("c"), F.col("p"), F.col("of_ids")
-    by_weight = [F.sum(mixture(w, c, tokens, p, of_ids)).alias(f"score{k}") for k, w in enumerate(weights)]
-    by_weight += [F.sum(F.when(F.col("learns"), mixture(w, F.greatest(c - 1, F.lit(0)), tokens - 1, p, of_ids))).alias(f"left{k}") for k, w in enumerate(weights)]
-    of_tail = checkpoint(met.groupBy("_row").agg(F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(F.log10(c + 1) - F.lit(denominator)).alias("tail_base"), *by_weight))
     best = len(weights) - 1
     if tokens:
         by_head = scored.where("learns").agg(*(F.sum(F.col("left_out")[k]) for k in range(len(weights)))).first()
-        by_tail = of_tail.agg(*(F.sum(f"left{k}") for k in range(len(weights)))).first()
+        by_tail = met(tail.where("learns").select("a", "b", "p")).agg(*(F.sum(mixture(w, F.greatest(c - 1, F.lit(0)), tokens - 1, p, of_ids)) for w in weights)).first()
         best = int(np.argmax([(h or 0.0) + (t or 0.0) for h, t in zip(by_head, by_tail, strict=True)]))
     weight = weights[best]
-    of_tail = of_tail.select("_row", "tail_known", "tail_base", F.col(f"score{best}").alias("tail_score"))
+    of_tail = met(tail.drop("learns")).groupBy("_row").agg(F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(F.log10(c + 1) - F.lit(denominator)).alias("tail_base"), F.sum(mixture(weight, c, tokens, p, of_ids)).alias("tail_score"))
     out = scored.withColumn("score", F.col("scores")[best]).drop("tail").join(of_tail, "_row", "left")
     whole_of = lambda column, of_tail: F.col(column) + F.coalesce(of_tail, F.lit(0).cast(out.schema[column].dataType))
     return out.select("doc_id", "n_tokens", whole_of("known", "tail_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), whole_of("base", "tail_base").alias("base_score"), whole_of("score", "tail_score").alias("score"), F.lit(weight).alias("weight"))
