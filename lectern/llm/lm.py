@@ -564,8 +564,9 @@ def word_counts(train: DataFrame) -> DataFrame:
                 if sum(x.num_rows for x in held) > 500_000:
                     yield from held
                     held = []
-        held.append(record_batch(schema, [[END], [ends]]))
-        yield from total()
+        if ends:  # no training text, no word
+            held.append(record_batch(schema, [[END], [ends]]))
+            yield from total()
 
     return train.mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 

@@ -361,3 +361,10 @@ def test_no_training_rows_and_no_rows(frame):
     rows = lm.score(docs, F.lit(False), PATH).collect()
     assert {(r.n_known, r.train_tokens) for r in rows} == {(0, 0)} and all(r.base_score == 0 and r.score < 0 for r in rows)
     assert lm.score(docs.limit(0), F.lit(True), PATH).count() == 0
+
+
+def test_no_row_is_admitted_by_a_condition_on_ids(frame):
+    docs = frame(["a b", "c", None])
+    assert lm.word_counts(lm.documents(docs).where("doc_id < 0")).count() == 0
+    rows = lm.score(docs, F.col("doc_id") < 0, PATH).collect()
+    assert {(r.n_known, r.train_tokens, r.base_score) for r in rows} == {(0, 0, 0.0)} and len(rows) == 3
